@@ -35,7 +35,10 @@ def read(block: bytes) -> pa.Table:
 
 
 def blocks(rows: DataFrame, text: str, block_bytes: int = A.SLICE_BYTES) -> DataFrame:
-    """batch_id, block: all rows in blocks of about block_bytes of text. Saved, so that a block keeps its number."""
+    """batch_id, block: all rows in blocks of about block_bytes of text.
+
+    Saved, so that a block keeps its number, and dealt by it, so that answers come to the blocks without moving them again.
+    """
 
     def run(batches):
         at, held, size = TaskContext.get().partitionId() << 32, [], 0
@@ -50,7 +53,7 @@ def blocks(rows: DataFrame, text: str, block_bytes: int = A.SLICE_BYTES) -> Data
         if held:
             yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([write(pa.Table.from_batches(held))], pa.binary())], ["batch_id", "block"])
 
-    return saved(rows.mapInArrow(run, "batch_id long, block binary"))
+    return saved(rows.mapInArrow(run, "batch_id long, block binary").repartition(partitions(rows.sparkSession), "batch_id"))
 
 
 def buckets(packed: DataFrame) -> int:
