@@ -53,7 +53,14 @@ def blocks(rows: DataFrame, text: str, block_bytes: int = A.SLICE_BYTES) -> Data
         if held:
             yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([write(pa.Table.from_batches(held))], pa.binary())], ["batch_id", "block"])
 
-    return saved(rows.mapInArrow(run, "batch_id long, block binary").repartition(partitions(rows.sparkSession), "batch_id"))
+    spark = rows.sparkSession
+    dealt_out = rows.mapInArrow(run, "batch_id long, block binary").repartition(partitions(spark), "batch_id")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # a saved table remembers how it is dealt only without
+    try:
+        return saved(dealt_out)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
 def buckets(packed: DataFrame) -> int:
@@ -69,8 +76,16 @@ def with_answers(packed: DataFrame, *answers: DataFrame) -> DataFrame:
     return out
 
 
+def squeezed(payload: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(payload)
+
+
+def unsqueezed(payload: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(payload)
+
+
 def by_bucket(cell) -> dict[int, bytes]:
-    return {x["bucket"]: x["payload"] for x in cell or []}
+    return {x["bucket"]: unsqueezed(x["payload"]) for x in cell or []}
 
 
 def over_blocks(packed: DataFrame, work: Callable[..., Iterator], schema: str) -> DataFrame:
@@ -89,14 +104,14 @@ def over_blocks(packed: DataFrame, work: Callable[..., Iterator], schema: str) -
 def questions(batch_id: int, payloads: list[bytes | None]) -> pa.RecordBatch:
     """One row for each bucket that is asked."""
     asked = [k for k, p in enumerate(payloads) if p]
-    return pa.RecordBatch.from_arrays([pa.array([batch_id] * len(asked), pa.int64()), pa.array(asked, pa.int32()), pa.array([payloads[k] for k in asked], pa.binary())], ["batch_id", "bucket", "payload"])
+    return pa.RecordBatch.from_arrays([pa.array([batch_id] * len(asked), pa.int64()), pa.array(asked, pa.int32()), pa.array([squeezed(payloads[k]) for k in asked], pa.binary())], ["batch_id", "bucket", "payload"])
 
 
 def answered(asked: DataFrame, answer: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
     """For each bucket all its questions, answered in their order. What an answer has beyond goes to block -1."""
 
     def run(key, own):
-        out = answer(own.column("payload").to_pylist())
+        out = [squeezed(x) for x in answer([unsqueezed(x) for x in own.column("payload").to_pylist()])]
         more = [-1] * (len(out) - own.num_rows)
         return pa.table({"batch_id": pa.array(own.column("batch_id").to_pylist() + more, pa.int64()), "bucket": pa.array([key[0].as_py()] * len(out), pa.int32()), "payload": pa.array(out, pa.binary())})
 
