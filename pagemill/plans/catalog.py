@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from pagemill.plans import text
+
+QUERIES: dict = {**text.QUERIES}
+ORACLE_SQL: dict = {**text.ORACLE_SQL}
