@@ -42,13 +42,13 @@ def write_versions(documents: DataFrame, path: str, saved_at: Column | None = No
 def expire_results(results: DataFrame, now: Column, ttl_days: int = 30) -> DataFrame:
     """Page results of hashes whose newest write is at most ttl_days old, without pages from before a longer pause in writes."""
     ttl = ttl_days * 86400
-    seconds = F.unix_micros("updated_at") / 1e6
+    seconds = F.unix_micros(F.col("updated_at").cast("timestamp")) / 1e6
     order = Window.partitionBy("content_hash").orderBy("updated_at", "page")
     rows = results.withColumn("pause", F.coalesce((seconds - F.lag(seconds).over(order) > ttl).cast("int"), F.lit(0)))
     rows = rows.withColumn("era", F.sum("pause").over(order))
     hash_ = Window.partitionBy("content_hash")
     rows = rows.withColumn("last_era", F.max("era").over(hash_)).withColumn("newest", F.max(seconds).over(hash_))
-    return rows.where((F.col("era") == F.col("last_era")) & (F.unix_micros(now) / 1e6 - F.col("newest") <= ttl)).drop("pause", "era", "last_era", "newest")
+    return rows.where((F.col("era") == F.col("last_era")) & (F.unix_micros(now.cast("timestamp")) / 1e6 - F.col("newest") <= ttl)).drop("pause", "era", "last_era", "newest")
 
 
 def books(spark: SparkSession, sf_dir: str) -> DataFrame:
