@@ -18,7 +18,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 SPACES = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 SPACE, LETTER, NUMBER, OTHER = range(4)
 #: Distinct pieces that a worker remembers.
-CACHE = 300_000
+CACHE = 200_000
+#: Bytes of text encoded at once; code points and piece hashes take some twenty times as much.
+SLICE_BYTES = 1 << 20
 
 _kinds: np.ndarray | None = None
 
@@ -87,7 +89,7 @@ class ByteBpe:
     def encode(self, batch: pa.RecordBatch, text: str, end: int | None = None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
         """Slices of the batch, their ids laid end to end (each row's closed by `end`), and each row's first id (with a last entry)."""
         merge, whole, cache = self._load()
-        for part in A.slices(batch, text):
+        for part in A.slices(batch, text, SLICE_BYTES):
             texts = [x or "" for x in part.column(text).to_pylist()]
             odd = {i for i, x in enumerate(texts) if any(s in x for s in self.special)}
             plain = ["" if i in odd else x for i, x in enumerate(texts)]
