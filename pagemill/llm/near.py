@@ -21,6 +21,8 @@ from pagemill.llm.session import fresh, partitions, saved
 WORDS, THRESHOLD, RECALL, TREES, DEPTH = 5, 0.8, 0.9999, 24, 8
 #: Documents of a block of exact comparisons, and runs that a prefix is dealt into.
 BLOCK, SALTS = 256, 8
+#: Parts that a component of several blocks is dealt into where it meets its size.
+PARTS = 64
 
 
 def depth_for(threshold: float, recall: float, trees: int, depth: int) -> int:
@@ -146,8 +148,9 @@ def ngram_jaccard_join(documents: DataFrame, *, text: str = "text", doc_id: str
     heads = walked.where("head").groupBy("tree", "prefix").agg(F.collect_set("a").alias("heads")).where(F.size("heads") > 1)  # at most SALTS
     chained = walked.where("not head").select("a", "b").unionByName(heads.select(F.explode("heads").alias("a"), F.array_min("heads").alias("b")))
     near = saved(components(chained))
-    sized = near.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    nodes = near.join(sized, "component").join(kinds.select("node", "h", "size"), "node")
+    large = near.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    large = large.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    nodes = near.withColumn("part", F.pmod(F.hash("node"), F.lit(PARTS))).join(large, ["component", "part"], "left").drop("part").fillna(1, ["blocks"]).join(kinds.select("node", "h", "size"), "node")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     nodes = nodes.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     units = nodes.select("node", "h", "size", "component", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
