@@ -99,3 +99,24 @@ def missing_products(expected: DataFrame, offered: DataFrame) -> DataFrame:
     """Expected product ids that are not offered, as they are or with a plan behind a colon."""
     base = offered.select(F.explode(F.array(F.col("offered"), F.substring_index("offered", ":", 1))).alias("expected")).distinct()
     return expected.join(base, "expected", "left_anti")
+
+
+def locate_span(offsets: DataFrame, chunks: DataFrame) -> DataFrame:
+    """offsets (chunk, at) with sentence_id and char_offset: the first span of the chunk that ends at or after the place, else the last.
+
+    chunks: chunk, length, spans (array of start, end, source_start, sentence_id in order). Places are held to the text; a
+    chunk without spans gives nulls.
+    """
+    at = F.greatest(F.lit(0), F.least(F.greatest(F.lit(0), F.col("length") - 1), F.col("at")))
+    span = F.coalesce(F.get(F.filter("spans", lambda s: F.col("_at") <= s["end"]), F.lit(0)), F.try_element_at("spans", F.lit(-1)))
+    rows = offsets.join(chunks, "chunk").withColumn("_at", at).withColumn("_span", span)
+    return rows.select(*offsets.columns, F.col("_span.sentence_id").alias("sentence_id"), F.greatest(F.lit(0), F.col("_span.source_start") + F.col("_at") - F.col("_span.start")).alias("char_offset"))
+
+
+def locate_line(offsets: DataFrame, sentences: DataFrame) -> DataFrame:
+    """offsets (sentence_id, at) with line_ix: the first of the sentence's lines (array of start, end) that holds the place, else the last, 0 if none."""
+    at = F.greatest(F.lit(0), F.col("at"))
+    hit = F.array_position(F.transform("lines", lambda r: (F.col("_at") >= r["start"]) & (F.col("_at") <= r["end"])), True) - 1
+    rows = offsets.join(sentences, "sentence_id", "left").withColumn("_at", at)
+    line = F.when(F.coalesce(F.size("lines"), F.lit(0)) <= 0, 0).when(hit >= 0, hit).otherwise(F.size("lines") - 1)
+    return rows.select(*offsets.columns, line.cast("int").alias("line_ix"))

@@ -79,3 +79,14 @@ def pending_union(*parts: DataFrame) -> DataFrame:
 
 def pending_except(pending: DataFrame, done: DataFrame) -> DataFrame:
     return pending.join(done.select(*PAGE), PAGE, "left_anti")
+
+
+def merge_cached(fresh: DataFrame, cached: DataFrame, pending: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pages, pending) of documents parsed anew: recognised pages kept from before win where they are longer and are not pending.
+
+    A document's kept pages count only in the same language (`lang`, null is eng).
+    """
+    spoken = F.coalesce("lang", F.lit("eng"))
+    of = fresh.select("doc_id", spoken.alias("_lang")).distinct()
+    kept = cached.where((F.col("source") == "ocr") & (F.col("text") != "")).join(of, (cached["doc_id"] == of["doc_id"]) & (F.coalesce(cached["lang"], F.lit("eng")) == of["_lang"]), "left_semi")
+    return merge_ocr_longer(fresh.select(*PAGE, "text", "source"), kept), pending_except(pending, kept)

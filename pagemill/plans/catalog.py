@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagemill.plans import metering, speech, text
+from pagemill.plans import metering, requests, speech, text
 
-QUERIES: dict = {**text.QUERIES, **metering.QUERIES, **speech.QUERIES}
-ORACLE_SQL: dict = {**text.ORACLE_SQL, **metering.ORACLE_SQL, **speech.ORACLE_SQL}
+QUERIES: dict = {**text.QUERIES, **metering.QUERIES, **speech.QUERIES, **requests.QUERIES}
+ORACLE_SQL: dict = {**text.ORACLE_SQL, **metering.ORACLE_SQL, **speech.ORACLE_SQL, **requests.ORACLE_SQL}
