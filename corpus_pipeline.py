@@ -26,9 +26,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of linked documents the one with the smallest doc_id."""
-    kept = ngram_jaccard_join(docs.select("doc_id", "text")).where("class_id = doc_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """Of each class of linked documents exactly one row, of the smallest doc_id; all rows with a null doc_id.
+
+    Where a doc_id is repeated, rows are documents of their own, named by 64-bit hashes of all their columns: equal rows become one,
+    different texts of one doc_id stay unless they are linked. Texts without words have no links and stay.
+    """
+    named = docs.where("doc_id is not null").select(*COLUMNS)
+    if named.groupBy("doc_id").count().where("count > 1").isEmpty():
+        rows = named.withColumn("row_key", F.col("doc_id").cast("long"))
+    else:
+        rows = named.withColumn("row_key", F.xxhash64(*COLUMNS)).dropDuplicates(["row_key"])
+    classes = ngram_jaccard_join(rows.select("doc_id", "text", "row_key"), doc_id="row_key").groupBy("class_id")
+    kept = classes.agg(F.min(F.struct("doc_id", "row_key")).alias("one")).select("one.row_key")
+    return rows.join(kept, "row_key", "left_semi").select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
