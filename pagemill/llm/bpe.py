@@ -18,11 +18,13 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 SPACES = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 SPACE, LETTER, NUMBER, OTHER = range(4)
 #: Distinct pieces that a worker remembers.
-CACHE = 200_000
+CACHE = 50_000
 #: Bytes of text encoded at once; code points and piece hashes take some twenty times as much.
 SLICE_BYTES = 1 << 20
 
 _kinds: np.ndarray | None = None
+_loaded: dict[str, tuple] = {}  # of this worker, by path
+_library: dict[str, Tokenizer] = {}
 
 
 def _kind() -> np.ndarray:
@@ -71,24 +73,27 @@ class ByteBpe:
         spec = json.load(open(path, encoding="utf-8"))
         self.special = [x["content"] for x in spec["added_tokens"]]
         self.dtype = np.dtype("<u2" if len(spec["model"]["vocab"]) <= 1 << 16 else "<u4")
-        self._ready: tuple | None = None
-
-    def __getstate__(self):
-        return self.__dict__ | {"_ready": None}
 
     def _load(self) -> tuple:
-        if self._ready is None:
+        """What merges pieces, and pieces seen; a worker reads the file once, whichever task it runs."""
+        if self.path not in _loaded:
             plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
             letters = dict(zip(map(chr, plain), plain, strict=True))
             letters |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
             vocab = json.load(open(self.path, encoding="utf-8"))["model"]["vocab"]
             ranks = {bytes(letters[c] for c in k): v for k, v in vocab.items() if k not in self.special}
-            self._ready = tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), Tokenizer.from_file(self.path), {}
-        return self._ready
+            _loaded[self.path] = tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), {}
+        return _loaded[self.path]
+
+    def _whole(self, text: str) -> np.ndarray:
+        """Of a text with special tokens, as the library has it, which only such texts load."""
+        if self.path not in _library:
+            _library[self.path] = Tokenizer.from_file(self.path)
+        return np.array(_library[self.path].encode(text, add_special_tokens=False).ids, dtype=self.dtype)
 
     def encode(self, batch: pa.RecordBatch, text: str, end: int | None = None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
         """Slices of the batch, their ids laid end to end (each row's closed by `end`), and each row's first id (with a last entry)."""
-        merge, whole, cache = self._load()
+        merge, cache = self._load()
         for part in A.slices(batch, text, SLICE_BYTES):
             texts = [x or "" for x in part.column(text).to_pylist()]
             odd = {i for i, x in enumerate(texts) if any(s in x for s in self.special)}
@@ -114,7 +119,7 @@ class ByteBpe:
             flat = flat[A.spread(begin[inverse], count)]
             first = np.append(0, np.cumsum(count))[np.searchsorted(start, offsets)]
             rows = np.diff(first)
-            special = {i: np.array(whole.encode(texts[i], add_special_tokens=False).ids, dtype=self.dtype) for i in odd}
+            special = {i: self._whole(texts[i]) for i in odd}
             if special or end is not None:
                 close = [] if end is None else [np.array([end], dtype=self.dtype)]
                 flat = np.concatenate([x for i in range(len(texts)) for x in (special.get(i, flat[first[i] : first[i + 1]]), *close)])

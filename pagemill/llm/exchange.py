@@ -1,8 +1,8 @@
-"""Questions from blocks of documents to buckets of hashes, and answers back.
+"""Blocks of documents, and what comes back to them.
 
-A block is a bounded run of whole documents, compressed in one row. A block asks about each of its distinct hashes once,
-however often they occur in it, so a hash has at most as many questions as there are blocks. Questions of one bucket meet in
-one task, which answers each in turn; answers go back to their block.
+A block is a bounded run of whole documents, compressed in one row. What tasks ask about a block's items (words, strings) are
+plain rows with the block's number and the item's place in it; Spark shuffles, sorts and joins these by key, so their number
+follows the input and not the square of the blocks. Answers are rows of the same kind and are gathered by block.
 """
 
 from __future__ import annotations
@@ -14,12 +14,12 @@ import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagemill.llm import arrays as A
 from pagemill.llm.session import partitions, saved
 
-ROWS = "batch_id long, bucket int, payload binary"
+ROWS_A_BATCH = 50_000
 
 
 def write(table: pa.RecordBatch | pa.Table) -> bytes:
@@ -27,11 +27,19 @@ def write(table: pa.RecordBatch | pa.Table) -> bytes:
     table = pa.Table.from_batches([table]) if isinstance(table, pa.RecordBatch) else table
     with pa.ipc.new_stream(sink, table.schema) as out:
         out.write_table(table.combine_chunks())
-    return zstandard.ZstdCompressor(level=3).compress(sink.getvalue())
+    return squeezed(sink.getvalue())
 
 
 def read(block: bytes) -> pa.Table:
-    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(block)).read_all().combine_chunks()
+    return pa.ipc.open_stream(unsqueezed(block)).read_all().combine_chunks()
+
+
+def squeezed(payload: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(payload)
+
+
+def unsqueezed(payload: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(payload)
 
 
 def blocks(rows: DataFrame, text: str, block_bytes: int = A.SLICE_BYTES) -> DataFrame:
@@ -63,63 +71,41 @@ def blocks(rows: DataFrame, text: str, block_bytes: int = A.SLICE_BYTES) -> Data
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
-def buckets(packed: DataFrame) -> int:
-    """Buckets for questions of these blocks: as many as blocks, so that a bucket is about as large as a block."""
-    return max(partitions(packed.sparkSession), min(packed.count(), 1 << 15))
-
-
-def with_answers(packed: DataFrame, *answers: DataFrame) -> DataFrame:
-    """Blocks with one column answers0, answers1, ... for each set of answers: (bucket, payload) structs."""
-    out = packed
-    for i, one in enumerate(answers):
-        out = out.join(one.groupBy("batch_id").agg(F.collect_list(F.struct("bucket", "payload")).alias(f"answers{i}")), "batch_id", "left")
-    return out
-
-
-def squeezed(payload: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(payload)
-
-
-def unsqueezed(payload: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(payload)
-
-
-def by_bucket(cell) -> dict[int, bytes]:
-    return {x["bucket"]: unsqueezed(x["payload"]) for x in cell or []}
-
-
-def over_blocks(packed: DataFrame, work: Callable[..., Iterator], schema: str) -> DataFrame:
-    """work(batch_id, table, *answers) yields record batches of the schema, for each block."""
+def over_blocks(packed: DataFrame, work: Callable[..., Iterator], schema: str | T.StructType) -> DataFrame:
+    """work(batch_id, table, *answers) yields record batches of the schema, for each block; an answer is bytes or None."""
 
     def run(batches):
         for batch in batches:
-            names = batch.schema.names
-            for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-                row = dict(zip(names, row, strict=True))
-                yield from work(row["batch_id"], read(row["block"]), *(by_bucket(row[c]) for c in names if c.startswith("answers")))
+            names = [c for c in batch.schema.names if c not in ("batch_id", "block")]
+            for k in range(batch.num_rows):
+                one = batch.slice(k, 1)
+                yield from work(one.column("batch_id")[0].as_py(), read(one.column("block")[0].as_py()), *(one.column(c)[0].as_py() for c in names))
 
     return packed.mapInArrow(run, schema)
 
 
-def questions(batch_id: int, payloads: list[bytes | None]) -> pa.RecordBatch:
-    """One row for each bucket that is asked."""
-    asked = [k for k, p in enumerate(payloads) if p]
-    return pa.RecordBatch.from_arrays([pa.array([batch_id] * len(asked), pa.int64()), pa.array(asked, pa.int32()), pa.array([squeezed(payloads[k]) for k in asked], pa.binary())], ["batch_id", "bucket", "payload"])
+def rows_of(schema: T.StructType | pa.Schema | list[str], columns: list[np.ndarray | pa.Array]) -> Iterator[pa.RecordBatch]:
+    """The columns in record batches of bounded length."""
+    made = [c if isinstance(c, pa.Array) else pa.array(c) for c in columns]
+    for at in range(0, len(made[0]), ROWS_A_BATCH):
+        yield pa.RecordBatch.from_arrays([c.slice(at, ROWS_A_BATCH) for c in made], schema)
 
 
-def answered(asked: DataFrame, answer: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
-    """For each bucket all its questions, answered in their order. What an answer has beyond goes to block -1."""
+def gathered(answers: DataFrame, name: str, kind: str) -> DataFrame:
+    """(batch_id, name): the answers (batch_id, ix int, value of a numpy kind) of each block in one row; a block's answers are no more than its items."""
 
     def run(key, own):
-        out = [squeezed(x) for x in answer([unsqueezed(x) for x in own.column("payload").to_pylist()])]
-        more = [-1] * (len(out) - own.num_rows)
-        return pa.table({"batch_id": pa.array(own.column("batch_id").to_pylist() + more, pa.int64()), "bucket": pa.array([key[0].as_py()] * len(out), pa.int32()), "payload": pa.array(out, pa.binary())})
+        ix = own.column("ix").to_numpy().astype("<i4")
+        return pa.table({"batch_id": pa.array([key[0].as_py()], pa.int64()), name: pa.array([squeezed(ix.tobytes() + own.column("value").to_numpy().astype(kind).tobytes())], pa.binary())})
 
-    return asked.groupBy("bucket").applyInArrow(run, ROWS)
+    return answers.groupBy("batch_id").applyInArrow(run, f"batch_id long, `{name}` binary")
 
 
-def dealt(hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """An order of the hashes by bucket, and where each of n buckets starts in it (with a last entry)."""
-    bucket = (hashes % np.uint64(n)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(n + 1))
+def told(payload: bytes | None, n: int, kind: str) -> np.ndarray:
+    """Of n items of a block the sum of the values that were gathered for each, 0 where there is none."""
+    out = np.zeros(n, dtype=kind)
+    if payload is not None:
+        data = unsqueezed(payload)
+        count = len(data) // (4 + out.itemsize)
+        np.add.at(out, np.frombuffer(data, "<i4", count), np.frombuffer(data, kind, count, 4 * count))
+    return out

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from pagemill.llm.bpe import ByteBpe
 from pagemill.llm.decontaminate import decontaminate
 from pagemill.llm.html import extract
 from pagemill.llm.language import identify, profiles
-from pagemill.llm.maxent import lm_scores
+from pagemill.llm.maxent import BEGIN, CLASSES, END, MEMBERS, Words, fitted, lm_scores, member_of
 from pagemill.llm.near import ngram_jaccard_join
 from pagemill.llm.packing import pack, served
 from pagemill.llm.shard import shard
@@ -68,9 +69,9 @@ def test_collection_is_sorted():
             assert prefix[i] == k
 
 
-@pytest.mark.parametrize("block_bytes", [2000, 1 << 20])
-def test_suffix_dedup(docs, rows, block_bytes):
-    got = {r.doc_id: r for r in suffix_dedup(docs, block_bytes=block_bytes).collect()}
+@pytest.mark.parametrize(("block_bytes", "most_reads"), [(2000, 10_000), (1 << 20, 10_000), (2000, 3), (500, 1)])
+def test_suffix_dedup(docs, rows, block_bytes, most_reads):
+    got = {r.doc_id: r for r in suffix_dedup(docs, block_bytes=block_bytes, most_reads=most_reads).collect()}
     first = {}
     for doc_id, text, *_ in rows:
         data = (text or "").encode()
@@ -113,7 +114,6 @@ def test_ngram_jaccard_join(docs, rows):
 
 
 def test_bpe_matches_the_library():
-    import pyarrow as pa
     from tokenizers import Tokenizer
 
     library, rng = Tokenizer.from_file(TOKENIZER), random.Random(1)
@@ -166,14 +166,44 @@ def test_top_k(spark):
 
 def test_lm_scores(docs, rows):
     train = F.col("doc_id") % 3 != 1
-    got = {r.doc_id: r for r in lm_scores(docs, train=train, block_bytes=3000, rounds=6).collect()}
+    model, counts, scored = fitted(docs, train=train, block_bytes=3000, rounds=3)
+    got = {r.doc_id: r for r in scored.collect()}
     token = {d: [*re.findall(r"[^\x20\x09-\x0D]+", lower(t or "")), None] for d, t, *_ in rows}
-    counts = Counter(w for d, ws in token.items() if d % 3 != 1 for w in ws)
-    n, v = sum(counts.values()), len(counts)
+    counts_of = Counter(w for d, ws in token.items() if d % 3 != 1 for w in ws)
+    n, v = sum(counts_of.values()), len(counts_of)
     for d, words in token.items():
-        base = sum(np.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in words)
-        assert (got[d].n_tokens, got[d].n_known, got[d].train_tokens) == (len(words), sum(counts[w] > 0 for w in words), n)
-        assert got[d].base_score == pytest.approx(base) and got[d].score < 0
+        base = sum(np.log10((counts_of[w] + 0.5) / (n + 0.5 * (v + 1))) for w in words)
+        assert (got[d].n_tokens, got[d].n_known, got[d].train_tokens) == (len(words), sum(counts_of[w] > 0 for w in words), n)
+        assert got[d].base_score == pytest.approx(base)
+    hashed = lambda w: Words(pa.array([w])).hash[0]
+    known = {w: hashed(w) for w in counts_of if w is not None}
+
+    def probabilities(one, two):
+        """Of each known word, of an unknown word of each member, and of the end (None)."""
+        at = lambda kind, member: 10.0 ** model.log10(*(np.full(len(kind), x, np.uint64) for x in (one, two)), np.array(kind), np.array(member))
+        both = at([c for c in range(CLASSES) for _ in range(MEMBERS)], [*range(MEMBERS)] * CLASSES).reshape(CLASSES, MEMBERS)
+        n, v = counts["members"], counts["types"]
+        share = lambda c, m, k: both[c, m] * (k + 0.5) / (n[c, m] + 0.5 * (v[c, m] + 1))
+        words = {w: share(*(int(x[0]) for x in member_of(np.array([h]))), counts_of[w]) for w, h in known.items()}
+        unknown = {(c, m): share(c, m, 0) for c in range(CLASSES) for m in range(MEMBERS)}
+        return words, unknown, at([END], [0])[0]
+
+    for d in (0, 1, 4, 60, 62):
+        before, total = [BEGIN, BEGIN], 0.0
+        for w in token[d][:12]:
+            words, unknown, end = probabilities(before[-1], before[-2])
+            assert sum(words.values()) + sum(unknown.values()) + end == pytest.approx(1, abs=1e-5)
+            total += np.log10(end if w is None else words[w] if w in words else unknown[tuple(int(x[0]) for x in member_of(np.array([hashed(w)])))])
+            before.append(hashed(w) if w is not None else BEGIN)
+        if len(token[d]) <= 12:
+            assert got[d].score == pytest.approx(total, rel=1e-5)
+
+
+def test_lm_beats_its_base(spark):
+    """Held-out texts are likelier than by single words."""
+    data = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = lm_scores(data.select("doc_id", "text"), train=F.col("doc_id") % 5 != 1).where("doc_id % 5 = 1").agg(F.sum("score"), F.sum("base_score")).first()
+    assert got[0] > got[1]
 
 
 def test_shard(docs, rows):
