@@ -13,7 +13,7 @@ from pagemill.llm.language import identify, profiles
 from pagemill.llm.near import ngram_jaccard_join
 from pagemill.llm.packing import pack
 from pagemill.llm.queries import fold, tokenizer_path
-from pagemill.llm.session import saved
+from pagemill.llm.session import removed, shared_folder
 from pagemill.llm.suffix_dedup import suffix_dedup
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -63,12 +63,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents. What a stage returns is written to the cluster's checkpoint folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    saved(spark.range(0))  # sets the folder where the setting is missing
-    folder = posixpath.join(spark.sparkContext._jsc.sc().getCheckpointDir().get(), f"pipeline-{uuid.uuid4().hex}")
+    """All stages over documents. What a stage returns is written to the cluster's checkpoint folder and read again; the next stage's end removes it."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    folder = posixpath.join(shared_folder(spark), f"pipeline-{uuid.uuid4().hex}")
     for k, (_, stage) in enumerate(STAGES):
         path = posixpath.join(folder, str(k))
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            removed(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
