@@ -16,6 +16,8 @@ LATIN = r"A-Za-z\u00C0-\u024F"
 SCRIPTS = r"\u0400-\u04FF\u0600-\u06FF\u0750-\u077F\u08A0-\u08FF\uFB50-\uFDFF\uFE70-\uFEFF\u0900-\u097F\u0E00-\u0E7F\u3040-\u30FF\u3400-\u9FFF\uAC00-\uD7AF\u1100-\u11FF"
 STARS = r"[∗*＊﹡]"
 ARTIFACTS = r"[AÂÃÄÅÆØÙÚÛÜÝÞÐÑ\uFFFD\u0466\u0467]{1,4}"
+#: Marks, and what may stand behind a word, in repairs; fixed values.
+FOOTNOTE_MARKS, SCRIPT_ENDS = "[∗*＊﹡¥￥]", r"[،؛؟,.!?\-]"
 #: Word endings that scanned text splits off, and words that it splits; fixed values.
 ENDINGS = "er|ers|est|ing|ed|ly|ment|ness|tion|tions|sion|ter|der|per|able|ible|ally|ive|ous"
 LONG_WORD_ENDINGS = "al|ic|ical|ity|ies"
@@ -60,10 +62,12 @@ def joined_words(line: Column) -> Column:
     """Words that scanning split are joined again; real words with such endings are joined as well."""
     out = F.regexp_replace(line, _bounded(rf"([A-Za-z]{{3,}}){WS}+({ENDINGS})"), "$1$2")
     out = F.regexp_replace(out, _bounded(rf"([A-Za-z]{{5,}}){WS}+({LONG_WORD_ENDINGS})"), "$1$2")
-    for word in SPLIT_WORDS:
-        for i in range(2, len(word) - 1):
-            out = F.regexp_replace(out, _bounded(rf"(?i:({word[:i]}){WS}+({word[i:]}))"), "$1$2")
-    return out
+    halves = [(word[:i], word[i:]) for word in SPLIT_WORDS for i in range(2, len(word) - 1)]
+    whole = out
+    for a, b in halves:
+        whole = F.regexp_replace(whole, _bounded(rf"(?i:({a}){WS}+({b}))"), "$1$2")
+    some = "|".join(rf"{a}{WS}+{b}" for a, b in halves)
+    return F.when(out.rlike(f"(?i:{some})"), whole).otherwise(out)  # few lines have one, so one pass suffices for most
 
 
 def repair_latin_breaks(text: Column | str, latin=mostly_latin) -> Column:
@@ -78,7 +82,7 @@ def nfkc(text: pd.Series) -> pd.Series:
 
 
 def compatible(text: Column | str, where: Column) -> Column:
-    """NFKC where the condition holds; Python sees those texts alone."""
+    """NFKC where the condition holds. Other rows pass Python as nulls, in Arrow batches."""
     return F.when(where, nfkc(F.when(where, col(text)))).otherwise(col(text))
 
 
@@ -88,9 +92,9 @@ def has_script(line: Column | str) -> Column:
 
 def repair_script(line: Column | str) -> Column:
     """On lines with a letter of SCRIPTS: NFKC, leftovers of broken fonts away, doubled runs once."""
-    ends = r"[،؛؟,.!?\-]"
+    ends = SCRIPT_ENDS
     out = F.regexp_replace(compatible(line, has_script(line)), r"\(cid:\d+\)", "")
-    out = F.regexp_replace(out, "[∗*＊﹡¥￥]{1,4}", " ")
+    out = F.regexp_replace(out, f"{FOOTNOTE_MARKS}{{1,4}}", " ")
     out = F.regexp_replace(out, rf"([{SCRIPTS}]){ARTIFACTS}(?=[{SCRIPTS}])", "$1")
     out = F.regexp_replace(out, rf"([{SCRIPTS}]){ARTIFACTS}(?={WS}|$|{ends})", "$1")
     out = F.regexp_replace(out, rf"(^|{WS}|{ends}){ARTIFACTS}(?=[{SCRIPTS}])", "$1")
@@ -138,7 +142,7 @@ def tidy_ocr(text: Column | str, lang: str) -> Column:
 
 def clean_rtl_line(line: Column | str, rtl: Column) -> Column:
     out = F.regexp_replace(compatible(line, col(line).isNotNull()), "[Ѧѧ]", "")
-    out = trim(F.regexp_replace(F.regexp_replace(out, r"\(cid:\d+\)", ""), r"[ \t]{2,}", " "))
+    out = trim(F.regexp_replace(F.regexp_replace(out, r"\(cid:\d+\)", ""), r"[ \t]+", " "))
     right = F.regexp_replace(F.translate(out, "ھ", "ه"), rf"([{SCRIPTS}]{{3,}})\1", "$1")
     return F.when(rtl, right).otherwise(out)
 
@@ -156,6 +160,11 @@ def speech_normalize(text: Column | str) -> Column:
     return trim(out)
 
 
+def document_key(name: Column | str, page_count: Column | str) -> Column:
+    """name:pages; a file without a name is a document."""
+    return F.concat_ws(":", F.coalesce(F.nullif(col(name), F.lit("")), F.lit("document")), col(page_count).cast("string"))
+
+
 def filename_title(name: Column | str) -> Column:
     title = trim(F.regexp_replace(col(name), r"(?i)\.(pdf|docx)$", ""))
     return F.when(title == "", col(name)).otherwise(title)
@@ -184,14 +193,20 @@ def _by_script(lang: Column, found) -> Column:
     return out
 
 
+#: Single letters and pairs that a wrong decoding leaves, and what a Latin text may hold; fixed values.
+MOJIBAKE = "[ÂÃÄÅÆØÙÛÜÝÞÐÑâãäåæðñøùûüýþÿ]"
+MOJIBAKE_PAIRS = r"(?:Ã.|Â.|Ð.|Ñ.|Ø.|Ù.|Ú.|Û.|â[€\u0080-\u00BF]?)"
+FOREIGN = rf"[^\u0000-\u024F{WS[1:-1]}\d.,;:!?'\"()\[\]{{}}\-–—/\\]"
+
+
 def looks_corrupted(text: Column | str, lang: Column) -> Column:
     """Traces of a broken text layer, more of them for languages with a script of their own."""
     text = col(text)
     n = F.greatest(F.lit(1), F.length(text))
     lost = count_of(text, r"\uFFFD")
-    single = count_of(text, "[ÂÃÄÅÆØÙÛÜÝÞÐÑâãäåæðñøùûüýþÿ]")
-    pairs = count_of(text, r"(?:Ã.|Â.|Ð.|Ñ.|Ø.|Ù.|Ú.|Û.|â[€\u0080-\u00BF]?)")
-    foreign = text.rlike(rf"[^\u0000-\u024F{WS[1:-1]}\d.,;:!?'\"()\[\]{{}}\-–—/\\]")
+    single = count_of(text, MOJIBAKE)
+    pairs = count_of(text, MOJIBAKE_PAIRS)
+    foreign = text.rlike(FOREIGN)
     runs = F.when(foreign, count_of(text, "A{2,}")).otherwise(0)
 
     def in_script(letters: str, _) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,9 +12,10 @@ PAGE = ["doc_id", "page"]
 
 
 def split_lines(pages: DataFrame) -> DataFrame:
-    """doc_id, page, i, n, line: the lines of each page, counted from 0."""
-    rows = pages.select(*PAGE, F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "\r", ""), "\n").alias("lines"))
-    return rows.select(*PAGE, F.size("lines").alias("n"), F.posexplode("lines").alias("i", "line"))
+    """doc_id, page, i, n, line: the lines of each page, counted from 0; other columns of pages stay."""
+    own = [c for c in pages.columns if c not in (*PAGE, "text")]
+    rows = pages.select(*PAGE, *own, F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "\r", ""), "\n").alias("lines"))
+    return rows.select(*PAGE, *own, F.size("lines").alias("n"), F.posexplode("lines").alias("i", "line"))
 
 
 def distinct_lines(lines: DataFrame) -> DataFrame:
@@ -77,9 +79,9 @@ def clean_ocr(text: Column) -> Column:
 
 def clean_pages(pages: DataFrame) -> DataFrame:
     """doc_id, page, source, text: pages after all line rules; pages of no line left are gone."""
-    lines = split_lines(pages)
+    lines = split_lines(pages.select(*PAGE, "text", "source"))
     kept = skip_lines(strip_footnote_blocks(lines), repeated_lines(pages, lines)).withColumn("line", X.repair_script("line"))
-    text = _pages_of(kept).join(pages.select(*PAGE, "source"), PAGE)
+    text = _pages_of(kept, "source").select(*PAGE, "source", "text")
     return text.withColumn("text", F.when(F.col("source") == "ocr", clean_ocr(F.col("text"))).otherwise(clean_native(F.col("text"))))
 
 
@@ -116,3 +118,72 @@ def paginate(documents: DataFrame, max_chars: int = 1800) -> DataFrame:
     pages = F.aggregate(paragraphs, start, add, lambda acc: F.when(acc["now"] == "", acc["pages"]).otherwise(F.array_append(acc["pages"], acc["now"])))
     rows = documents.select("doc_id", F.posexplode(pages).alias("at", "text"))
     return rows.select("doc_id", (F.col("at") + 1).alias("page"), "text", F.lit("native").alias("source"))
+
+
+#: Letters of scripts from right to left, of scripts without blanks, and signs that take no blank before or after them; fixed values.
+RTL = r"\u0600-\u06FF\u0750-\u077F\u08A0-\u08FF\uFB50-\uFDFF\uFE70-\uFEFF"
+CJK = r"\u3040-\u30FF\u3400-\u9FFF\uAC00-\uD7AF"
+NO_BLANK_BEFORE, NO_BLANK_AFTER = "[,.;:!?،؛؟)\\]}”’\"»٪%]", "[(\\[{“‘\"«]"
+
+
+def _line_numbers(y: list[float], tolerance: float) -> list[int]:
+    """The line of each item, items being ordered from the top: the first one whose mean height is within the tolerance, or a new one."""
+    out, means, sizes, open_ = [], [], [], []
+    for at in y:
+        open_ = [k for k in open_ if means[k] - at <= tolerance]  # what is higher meets no later item
+        k = next((k for k in open_ if abs(means[k] - at) <= tolerance), None)
+        if k is None:
+            k = len(means)
+            means.append(at)
+            sizes.append(1)
+            open_.append(k)
+        else:
+            sizes[k] += 1
+            means[k] = (means[k] * (sizes[k] - 1) + at) / sizes[k]
+        out.append(k)
+    order = sorted(range(len(means)), key=lambda k: -means[k])
+    place = {k: i for i, k in enumerate(order)}
+    return [place[k] for k in out]
+
+
+def layout_lines(items: DataFrame) -> DataFrame:
+    """doc_id, page, line_no, text, rtl: positioned items (idx, str, dir, x, y, width, height) of a page as lines of text, from the top.
+
+    Items without text or place are left out. The tolerance of a line's height follows the upper median of the page's item
+    heights. Only the walk from the top, which depends on order, is done in Python, a page at a time; direction, order in the line,
+    gaps and clean-up are columns. A page without items has no lines, and lines that are blank in the end are left out.
+    """
+    number = lambda c: F.coalesce(F.abs(F.col(c).cast("double")), F.lit(0.0))
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) != float("inf"))
+    held = lambda c: F.greatest(F.lit(1.5), F.least(F.lit(4.0), F.when(c * 0.35 > 0, c * 0.35).otherwise(2.5)))
+    rows = items.where((F.coalesce("str", F.lit("")) != "") & finite("x") & finite("y")).select(*PAGE, "idx", "str", "dir", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), number("width").alias("width"), number("height").alias("height"))
+    high = F.array_sort(F.collect_list(F.when(F.col("height") > 0, F.col("height"))))
+    walk = F.array_sort(F.collect_list(F.struct((-F.col("y")).alias("down"), "x", "idx", "str", "dir", "width")))
+    pages = rows.groupBy(*PAGE).agg(high.alias("high"), walk.alias("items"))
+    pages = pages.select(*PAGE, "items", held(F.coalesce(F.get("high", F.floor(F.size("high") / 2).cast("int")), F.lit(0.0))).alias("tolerance"))
+
+    @F.pandas_udf("array<int>")
+    def lines_of(down: pd.Series, tolerance: pd.Series) -> pd.Series:
+        return pd.Series([_line_numbers([-d for d in own], t) for own, t in zip(down, tolerance, strict=True)])
+
+    placed = pages.withColumn("lines", lines_of(F.transform("items", lambda x: x["down"]), "tolerance")).select(*PAGE, F.explode(F.arrays_zip("lines", "items")).alias("z")).select(*PAGE, F.col("z.lines").alias("line_no"), "z.items.*")
+    count = lambda c, letters: X.count_of(c, f"[{letters}]")
+    own = F.struct("x", "idx", "str", "width")
+    lines = placed.groupBy(*PAGE, "line_no").agg(
+        F.array_sort(F.collect_list(own)).alias("ltr"), F.array_sort(F.collect_list(F.struct((-F.col("x")).alias("x"), "idx", "str", "width"))).alias("from_right"), F.sum(count("str", RTL)).alias("letters"),
+        F.sum(F.length(F.regexp_replace("str", X.WS, ""))).alias("signs"), F.count_if((F.col("dir") == "rtl") | F.col("str").rlike(f"[{RTL}]")).alias("right"), F.count("*").alias("n"),
+    )
+    rtl = (F.col("letters") > 0) & ((F.col("right") >= F.col("n") / 2) | (F.col("letters") / F.greatest(F.lit(1), "signs") > 0.25))
+    lines = lines.withColumn("rtl", rtl).withColumn("items", F.when(rtl, F.transform("from_right", lambda x: F.struct((-x["x"]).alias("x"), x["idx"].alias("idx"), x["str"].alias("str"), x["width"].alias("width")))).otherwise(F.col("ltr")))
+
+    def blank(a: Column, b: Column) -> Column:
+        """Whether a blank goes between an item and the next one."""
+        wide = lambda x: F.when(x["width"] > 0, x["width"] / F.greatest(F.lit(1), F.length(X.trim(x["str"]))))
+        mean = F.coalesce((wide(a) + wide(b)) / 2, wide(a), wide(b), F.lit(0.0))
+        gap = F.when(F.col("rtl"), a["x"] - (b["x"] + b["width"])).otherwise(b["x"] - (a["x"] + a["width"]))
+        closed = a["str"].rlike(f"{X.WS}$|{NO_BLANK_AFTER}$") | b["str"].rlike(f"^{X.WS}|^{NO_BLANK_BEFORE}") | (a["str"].rlike(f"[{CJK}]$") & b["str"].rlike(f"^[{CJK}]"))
+        return ~closed & (gap > 0) & (gap > held(mean))
+
+    joined = F.transform("items", lambda x, i: F.concat(F.when((i > 0) & blank(F.get("items", i - 1), x), " ").otherwise(""), x["str"]))
+    lines = lines.select(*PAGE, "line_no", F.array_join(joined, "").alias("text"), "rtl")
+    return lines.withColumn("text", X.clean_rtl_line("text", F.col("rtl"))).where("text <> ''")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagemill.functions import text as X
+
 
 def within_page(sentences: DataFrame) -> DataFrame:
     order = Window.partitionBy("doc_id", "page").orderBy("id")
@@ -18,6 +20,14 @@ def page_chunks(pages: DataFrame, n: int = 10) -> DataFrame:
     return rows.groupBy("doc_id", "chunk_ix").agg(F.min("page").alias("start_page"), F.max("page").alias("end_page"))
 
 
+def chunk_sentences(chunks: DataFrame, sentences: DataFrame) -> DataFrame:
+    """chunks with their sentences, an array of (id, page, text) in order; empty where a chunk has none."""
+    placed = chunk_of_page(sentences.select("doc_id", "page").distinct(), chunks)
+    own = sentences.join(placed, ["doc_id", "page"]).groupBy("doc_id", "chunk_ix").agg(F.array_sort(F.collect_list(F.struct("id", "page", "text"))).alias("sentences"))
+    none = F.array().cast("array<struct<id:bigint,page:int,text:string>>")
+    return chunks.join(own, ["doc_id", "chunk_ix"], "left").withColumn("sentences", F.coalesce(F.col("sentences").cast("array<struct<id:bigint,page:int,text:string>>"), none))
+
+
 def chunk_of_page(refs: DataFrame, chunks: DataFrame) -> DataFrame:
     """doc_id, page, chunk_ix of the chunk around the page, -1 if there is none."""
     inside = (refs.doc_id == chunks.doc_id) & refs.page.between(chunks.start_page, chunks.end_page)
@@ -50,20 +60,32 @@ def reanchor(anchors: DataFrame, sentences: DataFrame) -> DataFrame:
     return clamped.join(placed.withColumnRenamed("within", "at"), ["doc_id", "page", "at"]).select("doc_id", "page", "k", "id")
 
 
-def speech_chunks(sentences: DataFrame, most: int = 2, cap: int = 420) -> DataFrame:
-    """doc_id, page, chunk_ix, text, first_id, last_id: up to `most` sentences of a page and `cap` characters with their blanks; a longer one stands alone."""
-    pages = sentences.where(F.trim("text") != "").groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("id", "text"))).alias("all"))
-    kind = "array<struct<text:string,first_id:bigint,last_id:bigint,n:int>>"
+def speech_chunks(sentences: DataFrame, mode: str = "local", cap: int = 420, page_cap: int | None = None, starts: DataFrame | None = None) -> DataFrame:
+    """doc_id, page, chunk_ix, text, spans: what is spoken at once, with a span (start, end, source_start, sentence_id) for each sentence.
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joins = (F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["n"] < most) & (F.length(F.get(acc, F.size(acc) - 1)["text"]) + 1 + F.length(x["text"]) <= cap)
-        fresh = F.array(F.struct(x["text"].alias("text"), x["id"].alias("first_id"), x["id"].alias("last_id"), F.lit(1).alias("n")))
-        grown = F.array(F.struct(F.concat_ws(" ", last["text"], x["text"]).alias("text"), last["first_id"].alias("first_id"), x["id"].alias("last_id"), (last["n"] + 1).alias("n")))
-        return F.when(joins, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), grown)).otherwise(F.concat(acc, fresh))
+    In mode local two sentences of a page go together if they and the blank between them have at most `cap` characters; in other
+    modes each stands alone. Blank sentences and pages beyond page_cap are left out. starts (doc_id, start_id, offset) tells
+    where reading begins: sentences before it are left out, and the first one is read from the offset on, held to its text.
 
-    chunks = F.aggregate("all", F.array().cast(kind), step)
-    return pages.select("doc_id", "page", F.posexplode(chunks).alias("chunk_ix", "x")).select("doc_id", "page", "chunk_ix", "x.text", "x.first_id", "x.last_id")
+    Sentences that fit their neighbours make runs, and a run is taken in pairs, so windows by page suffice.
+    """
+    rows = sentences.select("doc_id", "page", "id", "text", F.lit(0).alias("source_start"))
+    if starts is not None:
+        rows = rows.drop("source_start").join(starts.select("doc_id", "start_id", "offset"), "doc_id", "left").where(F.col("start_id").isNull() | (F.col("id") >= F.col("start_id")))
+        rows = rows.withColumn("source_start", F.when(F.col("id") == F.col("start_id"), F.greatest(F.lit(0), F.least(F.length("text"), F.coalesce("offset", F.lit(0))))).otherwise(0).cast("int"))
+        rows = rows.withColumn("text", F.substring("text", F.col("source_start") + 1, F.length("text")))
+    if page_cap is not None:
+        rows = rows.where(F.col("page") <= page_cap)
+    rows = rows.where(X.trim("text") != "").withColumn("n", F.length("text"))
+    order = Window.partitionBy("doc_id", "page").orderBy("id")
+    fits = F.coalesce(F.lag("n").over(order) + 1 + F.col("n") <= cap, F.lit(False)) if mode == "local" else F.lit(False)
+    rows = rows.withColumn("fits", fits).withColumn("run", F.sum((~F.col("fits")).cast("int")).over(order))
+    rows = rows.withColumn("second", (F.row_number().over(Window.partitionBy("doc_id", "page", "run").orderBy("id")) % 2 == 0))
+    rows = rows.withColumn("chunk_ix", F.sum((~F.col("second")).cast("int")).over(order) - 1).withColumn("start", F.when(F.col("second"), F.lag("n").over(order) + 1).otherwise(0))
+    span = F.struct(F.col("start").cast("long").alias("start"), (F.col("start") + F.col("n")).cast("long").alias("end"), F.col("source_start").cast("long").alias("source_start"), F.col("id").alias("sentence_id"), "text")
+    chunks = rows.groupBy("doc_id", "page", "chunk_ix").agg(F.array_sort(F.collect_list(span)).alias("all"))  # of two at most
+    spans = F.transform("all", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["source_start"].alias("source_start"), x["sentence_id"].alias("sentence_id")))
+    return chunks.select("doc_id", "page", F.col("chunk_ix").cast("int").alias("chunk_ix"), F.array_join(F.transform("all", lambda x: x["text"]), " ").alias("text"), spans.alias("spans"))
 
 
 def bookmarks_latest(events: DataFrame) -> DataFrame:
@@ -72,6 +94,16 @@ def bookmarks_latest(events: DataFrame) -> DataFrame:
     return events.withColumn("at", F.row_number().over(order)).where("at = 1 and not removed").select("doc_id", F.trim("tag").alias("tag"), "page", "ts")
 
 
+def bookmark_list(bookmarks: DataFrame) -> DataFrame:
+    """Bookmarks of each document, the newest first; ties go to the tag."""
+    return bookmarks.orderBy("doc_id", F.desc("ts"), "tag")
+
+
+def library_list(library: DataFrame) -> DataFrame:
+    """Documents, the one opened last first; ties go to the doc_id."""
+    return library.orderBy(F.desc("opened_at"), "doc_id")
+
+
 def library_latest(events: DataFrame) -> DataFrame:
     """doc_id, title, added_at, opened_at, last_page: newest metadata, first opening, newest progress; removed documents are gone."""
     newest = F.struct("ts", "event_id")

@@ -121,14 +121,67 @@ def voices_ranked(voices: DataFrame, n: int = 8) -> DataFrame:
     return first.withColumn("place", F.row_number().over(Window.partitionBy("code").orderBy(*order))).where(F.col("place") <= n).select("code", "place", "voice_id", "rank")
 
 
+#: Tasks, and what they ask for; fixed values.
+TASKS = ["summary", "explain", "simplify", "key_points", "ask"]
+ASKED = {
+    "simplify": 'Rewrite the meaning simply (aim for a 12-year-old) in "simple_explanation".',
+    "key_points": "Focus on extracting the most important key_points.",
+    "explain": "Explain what this passage means and why it matters.",
+}
+ASKED_ELSE = "Summarize concisely."
+REPLY = 'Return JSON with keys: summary (string), simple_explanation (string), key_points (string[] up to 6), terms (array of {term, meaning} up to 5), answer (string, only for the "ask" task else empty).'
+TEXT_CHARS = 12000
+
+
+def valid_user_id(user_id: Column | str) -> Column:
+    """The trimmed id; null if it is empty, longer than 128 characters or has others than letters, digits and : _ - . $"""
+    one = X.trim(user_id)
+    return F.when((F.length(one) <= 128) & one.rlike(r"\A[A-Za-z0-9:_\-.$]+\z"), one)
+
+
+def valid_ai_requests(requests: DataFrame) -> DataFrame:
+    """Requests of a known task with a text that is not blank; the service reads its first 12000 characters."""
+    return requests.where(F.col("task").isin(TASKS) & (X.trim("text") != "")).withColumn("text", F.substring("text", 1, TEXT_CHARS))
+
+
+def ai_prompt(task: Column | str, text: Column | str, language: Column | str, question: Column | str) -> Column:
+    """What a model is asked; no language is en, no question and no text are empty, an unknown task is a summary."""
+    task, text = F.coalesce(X.col(task), F.lit("")), F.coalesce(X.col(text), F.lit(""))
+    language = F.coalesce(F.nullif(X.col(language), F.lit("")), F.lit("en"))
+    wanted = F.lit(ASKED_ELSE + " ")
+    for name, words in ASKED.items():
+        wanted = F.when(task == name, words + " ").otherwise(wanted)
+    wanted = F.when(task == "ask", F.concat(F.lit("User question: "), F.coalesce(X.col(question), F.lit("")), F.lit("\n"))).otherwise(wanted)
+    return F.concat(F.lit("Language: "), language, F.lit("\nTask: "), task, F.lit("\n"), wanted, F.lit(REPLY + "\n\nTEXT:\n"), text)
+
+
+def error_class(code: Column | str, message: Column | str) -> Column:
+    """network, quota, expired, upgrade or other, by the message and, before it, the code of a failed request."""
+    message = F.coalesce(X.col(message), F.lit(""))
+    named = F.coalesce(F.nullif(X.col(code), F.lit("")), message)
+    return (
+        F.when(message.rlike("(?i)network request failed|network error|failed to fetch|timeout|timed out"), "network")
+        .when(named.rlike("(?i)quota_exceeded"), "quota").when(named.rlike("(?i)doc_expired"), "expired").when(named.rlike("(?i)upgrade_required"), "upgrade").otherwise("other")
+    )
+
+
+def speech_error_class(status: Column | str, code: Column | str, feature: Column | str, message: Column | str) -> Column:
+    """Why speech falls back to the device: quota, language_unsupported, network or error."""
+    status, code, feature, message = map(X.col, (status, code, feature, message))
+    quota = (status == 429) | (code == "quota_exceeded") | (feature == "cloudVoice")
+    language = (status == 422) | (code == "cloud_voice_language_unsupported")
+    return F.when(quota, "quota").when(language, "language_unsupported").when(message.rlike("(?i)network|fetch"), "network").otherwise("error")
+
+
 def parse_ai_result(raw: Column) -> Column:
     """A reply as a struct. What is not JSON is the summary as it stands; missing or ill-typed fields are '', [] or null."""
     reply = F.coalesce(raw, F.lit("{}"))
     parsed = F.try_parse_json(reply)
     text = lambda f: F.coalesce(F.try_variant_get(parsed, f"$.{f}", "string"), F.lit(""))
-    items = lambda f: F.coalesce(F.try_variant_get(parsed, f"$.{f}", "array<string>"), F.array().cast("array<string>"))
+    items = lambda f, kind: F.coalesce(F.try_variant_get(parsed, f"$.{f}", kind), F.array().cast(kind))
     summary = F.when(parsed.isNull(), reply).otherwise(text("summary"))
-    return F.struct(summary.alias("summary"), text("simple_explanation").alias("simple_explanation"), items("key_points").alias("key_points"), items("terms").alias("terms"), F.nullif(text("answer"), F.lit("")).alias("answer"))
+    terms = items("terms", "array<struct<term:string,meaning:string>>")
+    return F.struct(summary.alias("summary"), text("simple_explanation").alias("simple_explanation"), items("key_points", "array<string>").alias("key_points"), terms.alias("terms"), F.nullif(text("answer"), F.lit("")).alias("answer"))
 
 
 def enrich_distinct(rows: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], pd.Series], output: str, kind: str = "string") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -77,20 +78,47 @@ def quota_admit_unit(requests: DataFrame, limit: Column) -> DataFrame:
     return requests.withColumn("admitted", F.row_number().over(order) <= limit)
 
 
-def quota_admit_amount(requests: DataFrame, limit: Column) -> DataFrame:
-    """req_id, admitted, used: in order of time, what would exceed the limit is refused and uses nothing; smaller ones may follow.
+def _in_order(rows: DataFrame, keys: list[str], columns: list[str], start, step, schema: str) -> DataFrame:
+    """Rows of each key in order of (ts, req_id) through step(state, *columns) -> (state, *results); what is kept between rows is one state.
 
-    One month of one user is folded in a row; rows in it are as many as the user's requests of the month.
+    Spark sorts within partitions and spills, so a key of very many rows is a long stream but no large group.
     """
-    rows = requests.groupBy("app_user_id", "month").agg(F.array_sort(F.collect_list(F.struct("ts", "req_id", "amount"))).alias("all"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<req_id:bigint,admitted:boolean,used:bigint>>").alias("out"))
+    kept = [*keys, "req_id"]
 
-    def step(acc: Column, x: Column) -> Column:
-        fits = acc["used"] + x["amount"] <= limit
-        used = F.when(fits, acc["used"] + x["amount"]).otherwise(acc["used"])
-        return F.struct(used.alias("used"), F.concat(acc["out"], F.array(F.struct(x["req_id"].alias("req_id"), fits.alias("admitted"), used.alias("used")))).alias("out"))
+    def run(batches):
+        key, state = None, start
+        for batch in batches:
+            out = []
+            for own, *values in zip(zip(*(batch.column(k).to_pylist() for k in keys), strict=True), *(batch.column(c).to_pylist() for c in columns), strict=True):
+                if own != key:
+                    key, state = own, start
+                state, *result = step(state, *values)
+                out.append(result)
+            made = zip(*out, strict=True) if out else [[]] * (len(schema.split(",")) - len(kept))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), *(pa.array(x) for x in made)], [x.split()[0] for x in schema.split(",")])
 
-    return rows.select("app_user_id", "month", F.explode(F.aggregate("all", start, step, lambda acc: acc["out"])).alias("x")).select("app_user_id", "month", "x.*")
+    spark = rows.sparkSession
+    sorted_ = rows.select(*dict.fromkeys([*kept, "ts", *columns])).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys, "ts", "req_id")
+    return sorted_.select(*dict.fromkeys([*kept, *columns])).mapInArrow(run, schema)
+
+
+def _type(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
+def quota_admit_amount(requests: DataFrame, limit: int) -> DataFrame:
+    """app_user_id, month, req_id, admitted, used: in order of time, what would exceed the limit is refused and uses nothing; smaller ones may follow.
+
+    A null amount uses nothing.
+    """
+
+    def step(used, amount):
+        fits = used + (amount or 0) <= limit
+        used += (amount or 0) if fits else 0
+        return used, fits, used
+
+    schema = f"app_user_id {_type(requests, 'app_user_id')}, month string, req_id long, admitted boolean, used long"
+    return _in_order(requests.withColumn("amount", F.col("amount").cast("long")).withColumn("req_id", F.col("req_id").cast("long")), ["app_user_id", "month"], ["amount"], 0, step, schema)
 
 
 def quota_trim_pages(requests: DataFrame, limit: Column) -> DataFrame:
@@ -101,15 +129,15 @@ def quota_trim_pages(requests: DataFrame, limit: Column) -> DataFrame:
 
 
 def ttl_dedupe(requests: DataFrame, ttl_hours: int = 24) -> DataFrame:
-    """req_id, hit: a request whose key was set at most that long ago is a hit and does not renew it."""
-    rows = requests.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("ts", "req_id"))).alias("all"))
-    start = F.struct(F.lit(None).cast("timestamp").alias("set_at"), F.array().cast("array<struct<req_id:bigint,hit:boolean>>").alias("out"))
+    """key, req_id, hit: a request whose key was set at most that long ago is a hit and does not renew it. A request without a time is a miss that sets nothing."""
+    ttl = ttl_hours * 3_600_000_000
 
-    def step(acc: Column, x: Column) -> Column:
-        hit = F.coalesce(x["ts"] <= acc["set_at"] + F.expr(f"INTERVAL {ttl_hours} HOURS"), F.lit(False))
-        return F.struct(F.when(hit, acc["set_at"]).otherwise(x["ts"]).alias("set_at"), F.concat(acc["out"], F.array(F.struct(x["req_id"].alias("req_id"), hit.alias("hit")))).alias("out"))
+    def step(set_at, us):
+        hit = us is not None and set_at is not None and us <= set_at + ttl
+        return set_at if hit or us is None else us, hit
 
-    return rows.select("key", F.explode(F.aggregate("all", start, step, lambda acc: acc["out"])).alias("x")).select("key", "x.*")
+    rows = requests.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("req_id", F.col("req_id").cast("long"))
+    return _in_order(rows, ["key"], ["us"], None, step, f"key {_type(requests, 'key')}, req_id long, hit boolean")
 
 
 def sliding_sessions(accesses: DataFrame, key: str, gap_minutes: int = 45) -> DataFrame:
@@ -119,7 +147,11 @@ def sliding_sessions(accesses: DataFrame, key: str, gap_minutes: int = 45) -> Da
     return accesses.withColumn("session_id", F.sum(F.coalesce(pause.cast("long"), F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 
 
-def rate_violations(requests: DataFrame, limits: dict[str, int]) -> DataFrame:
+#: Requests a minute of each route; fixed values.
+RATE_LIMITS = {"extract": 12, "ai": 20, "tts": 180}
+
+
+def rate_violations(requests: DataFrame, limits: dict[str, int] = RATE_LIMITS) -> DataFrame:
     """app_user_id, route, minute, n: minutes in which a user asked more often than the route allows."""
     limit = F.create_map(*(F.lit(x) for kv in limits.items() for x in kv))[F.col("route")]
     counts = requests.groupBy("app_user_id", "route", F.window("ts", "1 minute")["start"].alias("minute")).agg(F.count("*").alias("n"))

@@ -10,19 +10,33 @@ from pagemill.functions import text as X
 PAGE = ["doc_id", "page"]
 
 
-def merge_ocr_longer(pages: DataFrame, recognised: DataFrame) -> DataFrame:
-    """Pages with recognised ones where the page is missing or its text strictly shorter; blank ones are ignored."""
+def _confidence(pages: DataFrame) -> Column:
+    return F.col("confidence") if "confidence" in pages.columns else F.lit(None)
+
+
+def longer(pages: DataFrame, recognised: DataFrame) -> DataFrame:
+    """Pages with recognised ones where the page is missing or its text strictly shorter; blank ones are ignored. Other pages keep their confidence."""
     new = recognised.where(X.trim("text") != "").select(*PAGE, F.col("text").alias("new_text"), F.col("confidence").alias("new_confidence"))
-    both = pages.join(new, PAGE, "full")
     wins = F.col("new_text").isNotNull() & (F.col("text").isNull() | (F.length("new_text") > F.length("text")))
-    return both.select(*PAGE, F.when(wins, F.col("new_text")).otherwise(F.col("text")).alias("text"), F.when(wins, "ocr").otherwise(F.col("source")).alias("source"), F.when(wins, F.col("new_confidence")).alias("confidence"))
+    own = pages.select(*PAGE, "text", "source", _confidence(pages).alias("confidence"))
+    return own.join(new, PAGE, "full").select(*PAGE, F.when(wins, F.col("new_text")).otherwise(F.col("text")).alias("text"), F.when(wins, "ocr").otherwise(F.col("source")).alias("source"), F.when(wins, F.col("new_confidence")).otherwise(F.col("confidence")).alias("confidence"))
+
+
+def merge_ocr_longer(pages: DataFrame, recognised: DataFrame, pending: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pages, pending): longer recognised texts win; all pages that were wanted leave pending, with or without a result."""
+    return longer(pages, recognised), pending_except(pending, wanted)
 
 
-def merge_ocr_strict(pages: DataFrame, recognised: DataFrame, force: Column) -> DataFrame:
-    """Pages (with `low`) replaced by recognised text that is not blank, if forced, of low quality, or longer; `replaced` tells."""
+def merge_ocr_strict(pages: DataFrame, recognised: DataFrame, targets: DataFrame, force: Column) -> tuple[DataFrame, DataFrame]:
+    """(pages, pending): pages (with `low`) replaced by recognised text that is not blank, if forced, of low quality, or longer; `replaced` tells.
+
+    Targets that were not replaced are pending. Pages that are not replaced keep their confidence.
+    """
     new = recognised.select(*PAGE, F.col("text").alias("new_text"), F.col("confidence").alias("new_confidence"))
     wins = F.coalesce((X.trim("new_text") != "") & (force | F.col("low") | (F.length("new_text") > F.length("text"))), F.lit(False))
-    return pages.join(new, PAGE, "left").select(*PAGE, F.when(wins, F.col("new_text")).otherwise(F.col("text")).alias("text"), F.when(wins, "ocr").otherwise(F.col("source")).alias("source"), F.when(wins, F.col("new_confidence")).alias("confidence"), wins.alias("replaced"))
+    own = pages.select(*PAGE, "text", "source", "low", _confidence(pages).alias("confidence"))
+    merged = own.join(new, PAGE, "left").select(*PAGE, F.when(wins, F.col("new_text")).otherwise(F.col("text")).alias("text"), F.when(wins, "ocr").otherwise(F.col("source")).alias("source"), F.when(wins, F.col("new_confidence")).otherwise(F.col("confidence")).alias("confidence"), wins.alias("replaced"))
+    return merged, pending_except(targets, merged.where("replaced"))
 
 
 def doc_needs_paid_ocr(pages: DataFrame, lang: Column) -> DataFrame:
@@ -35,9 +49,10 @@ def doc_needs_paid_ocr(pages: DataFrame, lang: Column) -> DataFrame:
     return counts.select("doc_id", verdict.alias("needs"))
 
 
-def doc_flags(pages: DataFrame) -> DataFrame:
+def doc_flags(pages: DataFrame, kind: Column) -> DataFrame:
+    """doc_id, has_text, scanned, ocr_pages; scanned is a document of kind pdf (any of its pages says so) without text."""
     has = F.bool_or(X.trim(F.coalesce("text", F.lit(""))) != "")
-    return pages.groupBy("doc_id").agg(has.alias("has_text"), (~has).alias("scanned"), F.count_if(F.col("source") == "ocr").alias("ocr_pages"))
+    return pages.groupBy("doc_id").agg(has.alias("has_text"), (F.coalesce(F.bool_or(kind == "pdf"), F.lit(False)) & ~has).alias("scanned"), F.count_if(F.col("source") == "ocr").alias("ocr_pages"))
 
 
 def ocr_progress(pages: DataFrame, pending: DataFrame) -> DataFrame:
@@ -59,11 +74,17 @@ def eager_split(low: DataFrame, n: int = 4) -> DataFrame:
     return low.withColumn("eager", F.row_number().over(order) <= n)
 
 
-def page_cap(pages: DataFrame, cap: Column) -> DataFrame:
-    """The first pages up to the cap, and whether the document had more."""
+def cap_of(page_cap: Column, max_pages: Column) -> Column:
+    """Pages of a document that a plan allows: its cap where it has one, but never more than its most."""
+    return F.when(page_cap > 0, F.least(page_cap, max_pages)).otherwise(max_pages)
+
+
+def page_cap(pages: DataFrame, tiers: DataFrame) -> DataFrame:
+    """pages (with the tier of their document) up to the plan's cap, and whether the document had more. A plan that is not known allows none."""
+    caps = tiers.select(F.col("key").alias("tier"), cap_of(F.col("page_cap"), F.col("max_pages")).alias("_cap"))
     order = Window.partitionBy("doc_id").orderBy("page")
-    rows = pages.withColumn("at", F.row_number().over(order)).withColumn("truncated", F.count("*").over(Window.partitionBy("doc_id")) > cap)
-    return rows.where(F.col("at") <= cap).drop("at")
+    rows = pages.withColumn("_at", F.row_number().over(order)).withColumn("_n", F.count("*").over(Window.partitionBy("doc_id")))
+    return rows.join(F.broadcast(caps), "tier").where(F.col("_at") <= F.col("_cap")).withColumn("truncated", F.col("_n") > F.col("_cap")).drop("_at", "_n", "_cap")
 
 
 def blank_pages(pages: DataFrame, hidden: DataFrame) -> DataFrame:
@@ -81,12 +102,13 @@ def pending_except(pending: DataFrame, done: DataFrame) -> DataFrame:
     return pending.join(done.select(*PAGE), PAGE, "left_anti")
 
 
-def merge_cached(fresh: DataFrame, cached: DataFrame, pending: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pages, pending) of documents parsed anew: recognised pages kept from before win where they are longer and are not pending.
+def merge_cached(fresh: DataFrame, fresh_docs: DataFrame, cached: DataFrame, cached_docs: DataFrame, pending: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pages, pending, docs) of documents parsed anew: recognised pages kept from before win where they are longer and are not pending.
 
-    A document's kept pages count only in the same language (`lang`, null is eng).
+    Documents (doc_id, lang, force_ocr) count as kept only in the same language (null is eng); force_ocr holds if either says so.
     """
     spoken = F.coalesce("lang", F.lit("eng"))
-    of = fresh.select("doc_id", spoken.alias("_lang")).distinct()
-    kept = cached.where((F.col("source") == "ocr") & (F.col("text") != "")).join(of, (cached["doc_id"] == of["doc_id"]) & (F.coalesce(cached["lang"], F.lit("eng")) == of["_lang"]), "left_semi")
-    return merge_ocr_longer(fresh.select(*PAGE, "text", "source"), kept), pending_except(pending, kept)
+    same = fresh_docs.select("doc_id", spoken.alias("_lang")).join(cached_docs.select("doc_id", spoken.alias("_lang"), F.col("force_ocr").alias("_forced")), ["doc_id", "_lang"])
+    kept = cached.where((F.col("source") == "ocr") & (F.col("text") != "")).join(same, "doc_id", "left_semi")
+    docs = fresh_docs.join(same.drop("_lang"), "doc_id", "left").withColumn("force_ocr", F.coalesce("force_ocr", F.lit(False)) | F.coalesce("_forced", F.lit(False))).drop("_forced")
+    return longer(fresh, kept), pending_except(pending, kept), docs

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import re
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pagemill.functions import text as X
 from pagemill.operators import lines as L
 from pagemill.operators import reading as R
+from pagemill.operators import requests as Q
+from pagemill.operators import speech as P
 from pagemill.operators import usage as U
 from pagemill.operators import versions as V
 from pagemill.plans.text import BP, NEEDS, SE, TRIM
-from pagemill.sources.tables import books, expire_results, read_table, read_versions, usage_events
+from pagemill.sources import tables as S
+from pagemill.sources.tables import books, expire_results, read_table, read_versions, scratch, usage_events
+from pagemill.streaming import usage as ST
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -79,7 +85,7 @@ w AS (SELECT req_id, app_user_id, month, k, amount <= 1000 AS admitted, CASE WHE
 UNION ALL SELECT o.req_id, o.app_user_id, o.month, o.k, w.used + o.amount <= 1000, CASE WHEN w.used + o.amount <= 1000 THEN w.used + o.amount ELSE w.used END FROM w JOIN o ON o.app_user_id = w.app_user_id AND o.month = w.month AND o.k = w.k + 1)
 SELECT req_id, app_user_id, month, admitted, CAST(used AS BIGINT) AS used FROM w""")
 def quota_admit_amount(spark, d):
-    return U.quota_admit_amount(_requests(spark, d).where("field = 'cloudVoiceChars'"), F.lit(1000).cast("long")).select("req_id", "app_user_id", "month", "admitted", "used")
+    return U.quota_admit_amount(_requests(spark, d).where("field = 'cloudVoiceChars'"), 1000).select("req_id", "app_user_id", "month", "admitted", "used")
 
 
 @query(f"""WITH {EV} SELECT req_id, CAST(g AS BIGINT) AS granted, CAST(k - g AS BIGINT) AS pending FROM (
@@ -103,10 +109,16 @@ def sliding_sessions(spark, d):
     return U.sliding_sessions(_requests(spark, d), "app_user_id").select("req_id", "session_id")
 
 
-@query(f"WITH {EV} SELECT app_user_id, field AS route, date_trunc('minute', ts) AS minute, count(*) AS n FROM ev GROUP BY ALL HAVING count(*) > 0")
+ROUTE = "CASE event_type WHEN 'view' THEN 'extract' WHEN 'click' THEN 'ai' WHEN 'signup' THEN 'ai' ELSE 'tts' END"
+
+
+@query(f"""WITH r AS (SELECT user_id % 40 AS app_user_id, {ROUTE} AS route, date_trunc('week', ts) AS minute FROM events)
+SELECT app_user_id, route, minute, count(*) AS n FROM r GROUP BY ALL HAVING count(*) > CASE route WHEN 'extract' THEN 12 WHEN 'ai' THEN 20 ELSE 180 END""")
 def rate_violations(spark, d):
-    routes = ["pdfs", "aiActions", "cloudVoiceChars", "cacheHits", "failedRequests"]
-    return U.rate_violations(_requests(spark, d).withColumnRenamed("field", "route"), dict.fromkeys(routes, 0))
+    """A week's requests within one minute, so that limits are met."""
+    seconds = F.expr("make_interval(0, 0, 0, 0, 0, 0, event_id % 60)")
+    rows = read_table(spark, d, "events").select((F.col("user_id") % 40).alias("app_user_id"), F.expr(ROUTE).alias("route"), (F.date_trunc("week", "ts") + seconds).alias("ts"))
+    return U.rate_violations(rows).withColumn("minute", F.col("minute").cast("timestamp_ntz"))
 
 
 @query(f"""WITH {EV}, g AS (SELECT DISTINCT user_id AS app_user_id, 'ai_pro' AS entitlement_id, CASE user_id % 3 WHEN 0 THEN NULL WHEN 1 THEN '2024-01-10 00:00:00' ELSE 'soon' END AS expires FROM events)
@@ -130,25 +142,51 @@ def ocr_unit_cost(spark, d):
     return U.ocr_unit_cost(books(spark, d).groupBy("doc_id").agg(F.count("*").alias("volume")), 25)
 
 
-# versions of pages: every third page has a recognised text, shorter or blank for some
-OCR = "oc AS (SELECT doc_id, page, CASE WHEN page % 7 = 0 THEN ' ' WHEN page % 2 = 0 THEN substr(text, 1, 100) ELSE text || ' more' END AS text, page % 101 AS confidence FROM bp WHERE page % 3 = 0)"
+# versions of pages: recognised texts are blank, shorter or longer by the length of the page's own
+LOW = "length(trim(text)) < 600"
+OCR = "oc AS (SELECT doc_id, page, CASE WHEN length(text) < 100 THEN ' ' WHEN length(text) < 1000 THEN substr(text, 2) ELSE text || ' more' END AS text, length(text) % 101 AS confidence FROM bp)"
+#: Pages that are there: all but very long ones; recognised ones have a confidence.
+HAVE = "hv AS (SELECT *, CASE WHEN source = 'ocr' THEN length(text) % 89 END AS confidence FROM bp WHERE length(text) < 8000)"
 
 
 def _recognised(spark, d):
-    return books(spark, d).where("page % 3 = 0").select("doc_id", "page", F.when(F.col("page") % 7 == 0, " ").when(F.col("page") % 2 == 0, F.substring("text", 1, 100)).otherwise(F.concat("text", F.lit(" more"))).alias("text"), (F.col("page") % 101).alias("confidence"))
+    n = F.length("text")
+    return books(spark, d).select("doc_id", "page", F.when(n < 100, " ").when(n < 1000, F.expr("substr(text, 2)")).otherwise(F.concat("text", F.lit(" more"))).alias("text"), (n % 101).alias("confidence"))
+
 
+def _have(spark, d):
+    return books(spark, d).where(F.length("text") < 8000).withColumn("confidence", F.when(F.col("source") == "ocr", F.length("text") % 89))
 
-@query(f"""WITH {BP}, {OCR}, j AS (SELECT b.doc_id, b.page, b.text AS t, b.source, o.text AS n, o.confidence AS c, o.text IS NOT NULL AND length(o.text) > length(b.text) AS w FROM (SELECT * FROM bp WHERE page % 5 <> 0) b LEFT JOIN (SELECT * FROM oc WHERE trim(text) <> '') o USING (doc_id, page)
-UNION ALL SELECT doc_id, page, NULL, NULL, text, confidence, true FROM oc WHERE trim(text) <> '' AND page % 5 = 0)
-SELECT doc_id, page, CASE WHEN w THEN n ELSE t END AS text, CASE WHEN w THEN 'ocr' ELSE source END AS source, CASE WHEN w THEN c END AS confidence FROM j""")
+
+def _low(spark, d):
+    return books(spark, d).where(F.expr(LOW))
+
+
+@query(f"""WITH {BP}, {OCR}, {HAVE}, o AS (SELECT * FROM oc WHERE trim(text) <> '')
+SELECT doc_id, page, CASE WHEN w THEN n ELSE t END AS text, CASE WHEN w THEN 'ocr' ELSE source END AS source, CASE WHEN w THEN c ELSE confidence END AS confidence FROM (
+SELECT doc_id, page, hv.text AS t, hv.source, hv.confidence, o.text AS n, o.confidence AS c, o.text IS NOT NULL AND (hv.text IS NULL OR length(o.text) > length(hv.text)) AS w FROM hv FULL JOIN o USING (doc_id, page))""")
 def merge_ocr_longer(spark, d):
-    return V.merge_ocr_longer(books(spark, d).where("page % 5 <> 0"), _recognised(spark, d))
+    low = _low(spark, d)
+    return V.merge_ocr_longer(_have(spark, d), _recognised(spark, d), low, low)[0]
+
 
+@query(f"WITH {BP} SELECT doc_id, page FROM bp WHERE source = 'ocr' AND NOT {LOW}")
+def merge_ocr_longer_pending(spark, d):
+    """What is left after the low pages were asked for, blank results included."""
+    return V.merge_ocr_longer(_have(spark, d), _recognised(spark, d), books(spark, d).where("source = 'ocr'"), _low(spark, d))[1].select("doc_id", "page")
 
-@query(f"""WITH {BP}, {OCR}, j AS (SELECT b.*, o.text AS n, o.confidence AS c, coalesce(trim(o.text) <> '' AND (b.page % 4 = 0 OR length(o.text) > length(b.text)), false) AS replaced FROM bp b LEFT JOIN oc o USING (doc_id, page))
-SELECT doc_id, page, CASE WHEN replaced THEN n ELSE text END AS text, CASE WHEN replaced THEN 'ocr' ELSE source END AS source, CASE WHEN replaced THEN c END AS confidence, replaced FROM j""")
+
+STRICT = f"""{BP}, {OCR}, {HAVE}, j AS (SELECT hv.*, o.text AS n, o.confidence AS c, coalesce(trim(o.text) <> '' AND (length(trim(hv.text)) < 600 OR length(o.text) > length(hv.text)), false) AS replaced FROM hv LEFT JOIN oc o USING (doc_id, page))"""
+
+
+@query(f"WITH {STRICT} SELECT doc_id, page, CASE WHEN replaced THEN n ELSE text END AS text, CASE WHEN replaced THEN 'ocr' ELSE source END AS source, CASE WHEN replaced THEN c ELSE confidence END AS confidence, replaced FROM j")
 def merge_ocr_strict(spark, d):
-    return V.merge_ocr_strict(books(spark, d).withColumn("low", F.col("page") % 4 == 0), _recognised(spark, d), F.lit(False))
+    return V.merge_ocr_strict(_have(spark, d).withColumn("low", F.expr(LOW)), _recognised(spark, d), _low(spark, d), F.lit(False))[0]
+
+
+@query(f"WITH {STRICT} SELECT doc_id, page FROM j WHERE length(trim(text)) < 600 AND NOT replaced")
+def merge_ocr_strict_pending(spark, d):
+    return V.merge_ocr_strict(_have(spark, d).withColumn("low", F.expr(LOW)), _recognised(spark, d), _low(spark, d), F.lit(False))[1].select("doc_id", "page")
 
 
 @query(f"""WITH {BP}, r AS (SELECT doc_id, {NEEDS.format('t')} AS low, length(t) >= 40 AS l FROM (SELECT doc_id, {TRIM.format('text')} AS t FROM bp)),
@@ -158,15 +196,19 @@ def doc_needs_paid_ocr(spark, d):
     return V.doc_needs_paid_ocr(books(spark, d), F.lit("eng"))
 
 
-@query(f"WITH {BP} SELECT doc_id, bool_or(trim(text) <> '') AS has_text, NOT bool_or(trim(text) <> '') AS scanned, count(*) FILTER (source = 'ocr') AS ocr_pages FROM bp GROUP BY doc_id")
+@query(f"""WITH {BP}, k AS (SELECT doc_id, page, CASE WHEN length(text) < 2000 THEN '' ELSE text END AS text, source, CASE WHEN substr(doc_id, -1) IN ('0', '2', '4') THEN 'pdf' ELSE 'docx' END AS kind FROM bp WHERE substr(doc_id, -1) <> '2'
+UNION ALL SELECT doc_id, page, ' ', source, 'pdf' FROM bp WHERE substr(doc_id, -1) = '2')
+SELECT doc_id, bool_or(trim(text) <> '') AS has_text, bool_or(kind = 'pdf') AND NOT bool_or(trim(text) <> '') AS scanned, count(*) FILTER (source = 'ocr') AS ocr_pages FROM k GROUP BY doc_id""")
 def doc_flags(spark, d):
-    return V.doc_flags(books(spark, d))
+    last = F.substring("doc_id", -1, 1)
+    pages = books(spark, d).withColumn("text", F.when(last == "2", " ").when(F.length("text") < 2000, "").otherwise(F.col("text")))
+    return V.doc_flags(pages, F.when(last.isin("0", "2", "4"), "pdf").otherwise("docx"))
 
 
-@query(f"""WITH {BP}, a AS (SELECT doc_id, count(*) FILTER (source = 'ocr' AND trim(text) <> '') AS done, count(*) FILTER (page % 4 = 0) AS pending FROM bp GROUP BY doc_id)
+@query(f"""WITH {BP}, a AS (SELECT doc_id, count(*) FILTER (source = 'ocr' AND trim(text) <> '') AS done, count(*) FILTER ({LOW}) AS pending FROM bp GROUP BY doc_id)
 SELECT doc_id, done + pending AS total, done, pending, CAST(CASE WHEN done + pending = 0 THEN 100 ELSE floor(100.0::DOUBLE * done / (done + pending) + 0.5) END AS INTEGER) AS percent FROM a""")
 def ocr_progress(spark, d):
-    return V.ocr_progress(books(spark, d), books(spark, d).where("page % 4 = 0"))
+    return V.ocr_progress(books(spark, d), _low(spark, d))
 
 
 @query(f"WITH {BP} SELECT doc_id, page, CAST(r AS INTEGER) AS turn FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY abs(page - 10), page) AS r FROM bp) WHERE r <= 4")
@@ -174,31 +216,136 @@ def batch_priority(spark, d):
     return V.batch_priority(books(spark, d), F.lit(10)).select("doc_id", "page", "turn")
 
 
-@query(f"WITH {BP} SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id ORDER BY page) <= 4 AS eager FROM bp WHERE page % 3 = 0")
+@query(f"WITH {BP} SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id ORDER BY page) <= 4 AS eager FROM bp WHERE {LOW}")
 def eager_split(spark, d):
-    return V.eager_split(books(spark, d).where("page % 3 = 0")).select("doc_id", "page", "eager")
+    return V.eager_split(_low(spark, d)).select("doc_id", "page", "eager")
 
 
-@query(f"WITH {BP} SELECT doc_id, page, n > 40 AS truncated FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM bp) WHERE page <= 40")
+@query(f"""WITH {BP}, t(tier, cap) AS (VALUES ('free', 10), ('reader_plus', 20), ('ai_pro', 15), ('power', 50)),
+p AS (SELECT *, CASE substr(doc_id, -1) WHEN '0' THEN 'free' WHEN '1' THEN 'reader_plus' WHEN '2' THEN 'ai_pro' WHEN '3' THEN 'gone' ELSE 'power' END AS tier, count(*) OVER (PARTITION BY doc_id) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS k FROM bp)
+SELECT doc_id, page, tier, n > cap AS truncated FROM p JOIN t USING (tier) WHERE k <= cap""")
 def page_cap(spark, d):
-    return V.page_cap(books(spark, d), F.lit(40)).select("doc_id", "page", "truncated")
+    """Plans with a hundredth of their most pages and a tenth of their cap, so that caps are met."""
+    last = F.substring("doc_id", -1, 1)
+    tier = F.when(last == "0", "free").when(last == "1", "reader_plus").when(last == "2", "ai_pro").when(last == "3", "gone").otherwise("power")
+    small = U.tiers(spark).withColumn("max_pages", F.col("max_pages") / 100).withColumn("page_cap", F.col("page_cap") / 10)
+    return V.page_cap(books(spark, d).withColumn("tier", tier), small).select("doc_id", "page", "tier", "truncated")
 
 
-@query(f"WITH {BP} SELECT doc_id, page, CASE WHEN page % 4 = 0 THEN '' ELSE text END AS text FROM bp")
+@query(f"WITH {BP} SELECT doc_id, page, CASE WHEN {LOW} THEN '' ELSE text END AS text FROM bp")
 def blank_pages(spark, d):
-    return V.blank_pages(books(spark, d), books(spark, d).where("page % 4 = 0")).select("doc_id", "page", "text")
+    return V.blank_pages(books(spark, d), _low(spark, d)).select("doc_id", "page", "text")
 
 
-@query(f"WITH {BP} SELECT doc_id, page FROM bp WHERE page % 3 = 0 OR page % 5 = 0")
+@query(f"WITH {BP} SELECT doc_id, page FROM bp WHERE {LOW} OR source = 'ocr'")
 def pending_union(spark, d):
-    b = books(spark, d)
-    return V.pending_union(b.where("page % 3 = 0"), b.where("page % 5 = 0"))
+    return V.pending_union(_low(spark, d), books(spark, d).where("source = 'ocr'"))
 
 
-@query(f"WITH {BP} SELECT doc_id, page FROM bp WHERE page % 3 = 0 AND page % 5 <> 0")
+@query(f"WITH {BP} SELECT doc_id, page FROM bp WHERE {LOW} AND source <> 'ocr'")
 def pending_except(spark, d):
-    b = books(spark, d).select("doc_id", "page")
-    return V.pending_except(b.where("page % 3 = 0"), b.where("page % 5 = 0"))
+    return V.pending_except(_low(spark, d).select("doc_id", "page"), books(spark, d).where("source = 'ocr'"))
+
+
+# readers and writers: what is written is read again
+@query("SELECT doc_id, 1 AS page, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS text, 'native' AS source FROM documents")
+def read_pages(spark, d):
+    path = scratch(spark)
+    read_table(spark, d, "documents").select("doc_id", F.lit(1).alias("page"), F.concat(F.lit("\n "), "text", F.lit(" ")).alias("text")).write.parquet(path)
+    return S.read_pages(spark, path)
+
+
+SUMS = ", ".join(f"CAST(coalesce(sum(CASE WHEN field = '{f}' THEN amount END), 0) AS BIGINT) AS {f}" for f in S.FIELDS)
+
+
+def _two_months(spark, d):
+    rows = usage_events(spark, d)
+    return rows.unionByName(rows.where("field = 'aiActions'").withColumn("ts", F.col("ts") + F.expr("INTERVAL 31 DAYS")).where("date_format(ts, 'yyyy-MM') = '2024-02'"))
+
+
+@query(f"WITH {EV}, ev2 AS (SELECT month, app_user_id, field, amount FROM ev UNION ALL SELECT '2024-02', app_user_id, field, amount FROM ev WHERE field = 'aiActions' AND strftime(ts + INTERVAL 31 DAY, '%Y-%m') = '2024-02') SELECT month, app_user_id, {SUMS} FROM ev2 GROUP BY month, app_user_id")
+def write_usage(spark, d):
+    """Both months are written, one of them twice; the second write replaces its own month only."""
+    path, usage = scratch(spark), U.usage_monthly(_two_months(spark, d))
+    S.write_usage(usage, path)
+    S.write_usage(usage.where("month = '2024-02'"), path)
+    return S.read_usage(spark, path, ["2024-01", "2024-02"])
+
+
+@query(f"""WITH {EV}, ev2 AS (SELECT month, app_user_id, field, amount FROM ev UNION ALL SELECT '2024-02', app_user_id, field, amount FROM ev WHERE field = 'aiActions' AND strftime(ts + INTERVAL 31 DAY, '%Y-%m') = '2024-02'),
+w AS (SELECT DISTINCT month, app_user_id FROM (SELECT unnest(['2024-02', '2024-03']) AS month), (SELECT app_user_id FROM ev UNION SELECT -1))
+SELECT month, app_user_id, {SUMS} FROM w LEFT JOIN ev2 USING (month, app_user_id) GROUP BY month, app_user_id""")
+def read_usage(spark, d):
+    """Users without a record, and a month without any, have zeros."""
+    path, users = scratch(spark), usage_events(spark, d).select("app_user_id")
+    S.write_usage(U.usage_monthly(_two_months(spark, d)), path)
+    return S.read_usage(spark, path, ["2024-02", "2024-03"], users.unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("app_user_id"))))
+
+
+@query("SELECT doc_id, CASE WHEN lang = 'fr' THEN upper(source) ELSE source END AS source, CASE WHEN lang = 'fr' THEN 2 ELSE 1 END AS saved FROM documents")
+def write_versions(spark, d):
+    """All documents are saved, then the French ones again; rows of another version are not read."""
+    path, rows = scratch(spark), read_table(spark, d, "documents").select("doc_id", "source", "lang")
+    S.write_versions(rows, path, F.lit("2024-01-01 00:00:01").cast("timestamp"))
+    S.write_versions(rows.where("lang = 'fr'").withColumn("source", F.upper("source")), path, F.lit("2024-01-01 00:00:02").cast("timestamp"))
+    rows.withColumn("cache_version", F.lit(3)).withColumn("saved_at", F.lit("2025-01-01").cast("timestamp")).write.mode("append").partitionBy("cache_version").parquet(path)
+    return read_versions(spark.read.parquet(path)).select("doc_id", "source", F.second("saved_at").alias("saved"))
+
+
+# streams: events arrive in three files, by time
+def _replayed(spark, rows):
+    """A stream of the rows in three micro-batches, in order of ts."""
+    path = scratch(spark)
+    edges = [r.t for r in rows.select(F.ntile(3).over(Window.orderBy("ts", "req_id")).alias("k"), "ts").groupBy("k").agg(F.max("ts").alias("t")).orderBy("k").collect()]
+    low = None
+    for edge in edges:
+        rows.where((F.col("ts") <= edge) & (F.lit(True) if low is None else F.col("ts") > low)).coalesce(1).write.mode("append").parquet(path)
+        low = edge
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _ran(spark, stream):
+    """Rows that a stream in append mode gives until its input ends."""
+    path = scratch(spark)
+    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", scratch(spark)).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(path)
+
+
+@query(ORACLE_SQL["usage_monthly"])
+def usage_stream(spark, d):
+    path = scratch(spark)
+
+    def keep(batch, n):
+        batch.write.mode("overwrite").parquet(path)
+
+    stream = ST.usage_stream(_replayed(spark, _requests(spark, d)))
+    stream.writeStream.outputMode("complete").option("checkpointLocation", scratch(spark)).foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(path)
+
+
+@query(ORACLE_SQL["quota_admit_amount"])
+def quota_stream(spark, d):
+    return _ran(spark, ST.quota_stream(_replayed(spark, _requests(spark, d).where("field = 'cloudVoiceChars'").select("req_id", "app_user_id", "month", "ts", "amount")), 1000))
+
+
+@query(ORACLE_SQL["ttl_dedupe"])
+def ttl_dedupe_stream(spark, d):
+    return _ran(spark, ST.ttl_dedupe_stream(_replayed(spark, _requests(spark, d).select("req_id", F.concat_ws("|", "field", "app_user_id").alias("key"), "ts"))))
+
+
+@query(ORACLE_SQL["merge_ocr_longer"])
+def page_backfill(spark, d):
+    """Recognised pages arrive in two batches, by the length of their document's pages."""
+    pages, pending, new = scratch(spark), scratch(spark), scratch(spark)
+    ST.bucketed(_have(spark, d)).write.partitionBy("bucket").parquet(pages)
+    _low(spark, d).select("doc_id", "page").write.parquet(pending)
+    rows = _recognised(spark, d)
+    for part in (rows.where("length(text) < 2000"), rows.where("length(text) >= 2000")):
+        part.coalesce(1).write.mode("append").parquet(new)
+    merge = ST.page_backfill(spark, pages, pending, lambda progress, n: progress.write.format("noop").mode("overwrite").save())
+    stream = spark.readStream.schema(spark.read.parquet(new).schema).option("maxFilesPerTrigger", 1).parquet(new)
+    stream.writeStream.foreachBatch(merge).option("checkpointLocation", scratch(spark)).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(pages).drop("bucket")
 
 
 @query("""WITH v AS (SELECT doc_id, text, CAST(2 + doc_id % 4 AS INTEGER) AS cache_version FROM documents) SELECT doc_id, text, cache_version FROM v WHERE cache_version = 4""")
@@ -259,9 +406,52 @@ def reanchor(spark, d):
     return R.reanchor(books(spark, d).select("doc_id", "page", (F.col("page") % 40).alias("k")), _sentences(spark, d))
 
 
-@query()
+PAIRS = """ft AS (SELECT *, coalesce(lag(n) OVER (PARTITION BY doc_id, page ORDER BY id) + 1 + n <= 420, false) AS fits FROM sp),
+rn AS (SELECT *, sum(CASE WHEN fits THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, page ORDER BY id ROWS UNBOUNDED PRECEDING) AS run FROM ft),
+pr AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page, run ORDER BY id) % 2 = 0 AS second FROM rn),
+ck AS (SELECT *, CAST(sum(CASE WHEN second THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, page ORDER BY id ROWS UNBOUNDED PRECEDING) - 1 AS INTEGER) AS chunk_ix FROM pr)"""
+CHUNKS = "SELECT doc_id, page, chunk_ix, string_agg(text, ' ' ORDER BY id) AS text, string_agg(id || ':' || (CASE WHEN second THEN p ELSE 0 END) || '-' || ((CASE WHEN second THEN p ELSE 0 END) + n) || '@' || source_start, ',' ORDER BY id) AS spans FROM (SELECT *, lag(n) OVER (PARTITION BY doc_id, page ORDER BY id) + 1 AS p FROM ck) GROUP BY doc_id, page, chunk_ix"
+
+
+def _spans(chunks):
+    """Spans as text, which SQL engines write alike."""
+    own = F.transform("spans", lambda s: F.format_string("%d:%d-%d@%d", s["sentence_id"], s["start"], s["end"], s["source_start"]))
+    return chunks.withColumn("spans", F.array_join(own, ","))
+
+
+@query(f"WITH {SE}, sp AS (SELECT *, length(text) AS n, 0 AS source_start FROM se WHERE trim(text) <> ''), {PAIRS} {CHUNKS}")
 def speech_chunks(spark, d):
-    return R.speech_chunks(_sentences(spark, d))
+    return _spans(R.speech_chunks(_sentences(spark, d)))
+
+
+@query(f"""WITH {SE}, sp AS (SELECT doc_id, page, id, text, length(text) AS n, source_start FROM (SELECT doc_id, page, id, substr(text, o + 1) AS text, o AS source_start FROM (SELECT *, CASE WHEN id = 3 THEN least(length(text), 7) ELSE 0 END AS o FROM se WHERE id >= 3 AND page <= 30)) WHERE trim(text) <> ''), {PAIRS} {CHUNKS}""")
+def speech_chunks_from(spark, d):
+    """Reading begins within the fourth sentence, and a plan ends after page 30."""
+    starts = books(spark, d).select("doc_id").distinct().select("doc_id", F.lit(3).alias("start_id"), F.lit(7).alias("offset"))
+    return _spans(R.speech_chunks(_sentences(spark, d), page_cap=30, starts=starts))
+
+
+@query(f"WITH {SE} SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY id) - 1 AS INTEGER) AS chunk_ix, text, id || ':0-' || length(text) || '@0' AS spans FROM se WHERE trim(text) <> ''")
+def speech_chunks_natural(spark, d):
+    return _spans(R.speech_chunks(_sentences(spark, d), mode="natural"))
+
+
+@query(f"""WITH {SE}, sp AS (SELECT *, length(text) AS n, 0 AS source_start FROM se WHERE trim(text) <> ''), {PAIRS},
+c AS (SELECT doc_id, page, chunk_ix, min(id) AS a, max(id) AS b, min_by(n, id) AS n1, sum(n) + count(*) - 1 AS total FROM ck GROUP BY doc_id, page, chunk_ix),
+o AS (SELECT *, greatest(0, least(total - 1, k * 150 - 20)) AS place, k * 150 - 20 AS asked FROM c, (SELECT unnest([0, 1, 2]) AS k))
+SELECT doc_id || '/' || page || '/' || chunk_ix AS chunk, CAST(asked AS BIGINT) AS "at", CASE WHEN place <= n1 THEN a ELSE b END AS sentence_id, CAST(CASE WHEN place <= n1 THEN place ELSE greatest(0, place - n1 - 1) END AS BIGINT) AS char_offset FROM o""")
+def locate_span(spark, d):
+    """Places in what is spoken, found in the spans of its chunks."""
+    chunks = R.speech_chunks(_sentences(spark, d)).select(F.concat_ws("/", "doc_id", "page", "chunk_ix").alias("chunk"), F.length("text").cast("long").alias("length"), "spans")
+    offsets = chunks.select("chunk", F.explode(F.array(*(F.lit(k * 150 - 20).cast("long") for k in range(3)))).alias("at"))
+    return R.locate_span(offsets, chunks).select("chunk", "at", "sentence_id", "char_offset")
+
+
+@query(f"WITH {SE}, {CH}, s AS (SELECT doc_id, CAST((page - 1) // 10 AS INTEGER) AS chunk_ix, count(*) AS n, string_agg(page || '.' || id, ' ' ORDER BY id) AS ids FROM se GROUP BY doc_id, (page - 1) // 10) SELECT ch.*, coalesce(n, 0) AS n, coalesce(ids, '') AS ids FROM ch LEFT JOIN s USING (doc_id, chunk_ix)")
+def chunk_sentences(spark, d):
+    rows = R.chunk_sentences(R.page_chunks(books(spark, d)), _sentences(spark, d))
+    ids = F.array_join(F.transform("sentences", lambda x: F.concat_ws(".", x["page"], x["id"])), " ")
+    return rows.select("doc_id", "chunk_ix", "start_page", "end_page", F.size("sentences").cast("long").alias("n"), ids.alias("ids"))
 
 
 @query("""WITH b AS (SELECT event_id, user_id AS doc_id, ' Tag' || (event_id % 7) || CASE WHEN event_id % 2 = 0 THEN ' ' ELSE '' END AS tag, ts, CAST(floor(value) AS INTEGER) AS page, event_type = 'error' AS removed FROM events)
@@ -299,35 +489,67 @@ def missing_products(spark, d):
     return R.missing_products(users.select(F.concat(F.lit("p"), "user_id").alias("expected")), offered)
 
 
-@query(f"""WITH {SE} SELECT doc_id, CAST(sum(length(text)) AS BIGINT) AS chars, sum(length(text)) * 30.0::DOUBLE / 1000000 AS usd FROM se GROUP BY doc_id""")
+@query("""WITH b AS (SELECT event_id, user_id AS doc_id, 'Tag' || (event_id % 7) AS tag, ts FROM events), l AS (SELECT *, row_number() OVER (PARTITION BY doc_id, tag ORDER BY ts DESC, event_id DESC) AS k FROM b)
+SELECT doc_id, tag, ts FROM l WHERE k = 1 ORDER BY doc_id, ts DESC, tag""")
+def bookmark_list(spark, d):
+    rows = read_table(spark, d, "events").select("event_id", F.col("user_id").alias("doc_id"), F.concat(F.lit("Tag"), F.col("event_id") % 7).alias("tag"), "ts", F.lit(1).alias("page"), F.lit(False).alias("removed"))
+    return R.bookmark_list(R.bookmarks_latest(rows)).select("doc_id", "tag", "ts")
+
+
+@query("SELECT user_id AS doc_id, max(ts) AS opened_at FROM events GROUP BY user_id ORDER BY opened_at DESC, doc_id")
+def library_list(spark, d):
+    return R.library_list(read_table(spark, d, "events").groupBy(F.col("user_id").alias("doc_id")).agg(F.max("ts").alias("opened_at")))
+
+
+@query(f"""WITH {SE} SELECT doc_id, CAST(sum(length(text)) AS BIGINT) AS chars, sum(length(text)) * 15.0::DOUBLE / 1000000 AS usd FROM se GROUP BY doc_id""")
 def voice_cost(spark, d):
-    return _sentences(spark, d).groupBy("doc_id").agg(F.sum(F.length("text")).cast("long").alias("chars"), (F.sum(F.length("text")) * 30.0 / 1000000).alias("usd"))
+    return P.voice_cost(_sentences(spark, d), 15)
 
 
-@query(f"""WITH {SE} SELECT doc_id, page, round(sum(greatest(0.75::DOUBLE, greatest(1, len(regexp_extract_all(text, '\\S+'))) / 165.0::DOUBLE * 60)), 6) AS seconds FROM se GROUP BY doc_id, page""")
+@query(f"""WITH {SE}, w AS (SELECT *, greatest(1, len(regexp_extract_all(text, '\\S+'))) AS words, CASE page % 4 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 4.0::DOUBLE WHEN 2 THEN 0.25::DOUBLE ELSE 1.5::DOUBLE END AS rate FROM se)
+SELECT doc_id, page, round(sum(greatest(0.75::DOUBLE, words / (165.0::DOUBLE * rate) * 60)), 6) AS seconds FROM w GROUP BY doc_id, page""")
 def listening_time(spark, d):
-    words = F.greatest(F.lit(1), X.count_of("text", f"[^{X.WS[1:-1]}]+"))
-    return _sentences(spark, d).groupBy("doc_id", "page").agg(F.round(F.sum(F.greatest(F.lit(0.75), words / 165.0 * 60)), 6).alias("seconds"))
+    """At rates that are missing, too fast, too slow and fine."""
+    k = F.col("page") % 4
+    return P.listening_time(_sentences(spark, d), F.when(k == 0, F.lit(None).cast("double")).when(k == 1, 9.0).when(k == 2, 0.1).otherwise(1.5))
 
 
-@query("""SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN 'summary' WHEN 1 THEN 'explain' WHEN 2 THEN 'simplify' WHEN 3 THEN 'key_points' ELSE 'ask' END AS task, substr(text, 1, 12000) AS text FROM conversations WHERE role = 'user' AND trim(text) <> ''""")
+@query("""SELECT conv_id, turn, CASE turn % 6 WHEN 0 THEN 'summary' WHEN 1 THEN 'explain' WHEN 2 THEN 'simplify' WHEN 3 THEN 'key_points' ELSE 'ask' END AS task, substr(text, 1, 12000) AS text FROM conversations WHERE turn % 6 < 5 AND regexp_replace(text, '\\s', '', 'g') <> ''""")
 def valid_ai_request(spark, d):
-    task = F.element_at(F.array(*map(F.lit, ["summary", "explain", "simplify", "key_points", "ask"])), (F.col("turn") % 5 + 1).cast("int"))
-    rows = read_table(spark, d, "conversations").where("role = 'user'").withColumn("task", task)
-    return rows.where(F.col("task").isin("summary", "explain", "simplify", "key_points", "ask") & (X.trim("text") != "")).select("conv_id", "turn", "task", F.substring("text", 1, 12000).alias("text"))
+    task = F.get(F.array(*map(F.lit, ["summary", "explain", "simplify", "key_points", "ask", "translate"])), (F.col("turn") % 6).cast("int"))
+    return Q.valid_ai_requests(read_table(spark, d, "conversations").withColumn("task", task)).select("conv_id", "turn", "task", "text")
 
 
 @query("""SELECT doc_id, CASE WHEN u = '' OR length(u) > 128 OR NOT regexp_full_match(u, '[A-Za-z0-9:_\\-.$]+') THEN NULL ELSE u END AS user_id FROM (SELECT doc_id, trim(CASE doc_id % 3 WHEN 0 THEN ' ' || source || ' ' WHEN 1 THEN text ELSE '' END) AS u FROM documents)""")
 def valid_user_id(spark, d):
     k = F.col("doc_id") % 3
-    one = X.trim(F.when(k == 0, F.concat(F.lit(" "), "source", F.lit(" "))).when(k == 1, F.col("text")).otherwise(""))
-    return read_table(spark, d, "documents").select("doc_id", F.when((F.length(one) <= 128) & one.rlike(r"^[A-Za-z0-9:_\-.$]+$"), one).alias("user_id"))
+    one = F.when(k == 0, F.concat(F.lit(" "), "source", F.lit(" "))).when(k == 1, F.col("text")).otherwise("")
+    return read_table(spark, d, "documents").select("doc_id", Q.valid_user_id(one).alias("user_id"))
 
 
-@query("""SELECT event_id, CASE WHEN m LIKE '%network%' OR m LIKE '%timeout%' THEN 'network' WHEN c = 429 THEN 'quota' WHEN c = 404 THEN 'expired' WHEN c = 402 THEN 'upgrade' ELSE 'other' END AS class FROM
-(SELECT event_id, CASE event_id % 6 WHEN 0 THEN 429 WHEN 1 THEN 404 WHEN 2 THEN 402 ELSE 500 END AS c, CASE WHEN event_id % 5 = 0 THEN 'Network down' ELSE event_type END AS m FROM events) WHERE lower(m) <> ''""".replace("m LIKE", "lower(m) LIKE"))
+FAILED = """SELECT event_id, CASE event_id % 7 WHEN 0 THEN 429 WHEN 1 THEN 422 WHEN 2 THEN 402 ELSE 500 END AS status, CASE event_id % 5 WHEN 0 THEN 'QUOTA_exceeded' WHEN 1 THEN 'doc_expired' WHEN 2 THEN 'cloud_voice_language_unsupported' WHEN 3 THEN '' END AS code,
+CASE event_id % 11 WHEN 0 THEN 'Network request failed' WHEN 1 THEN 'TypeError: Failed to fetch' WHEN 2 THEN 'Request timed out' WHEN 3 THEN 'upgrade_required' WHEN 4 THEN 'network down' WHEN 5 THEN NULL WHEN 6 THEN 'doc_expired (410)' ELSE event_type END AS message,
+CASE WHEN event_id % 13 = 0 THEN 'cloudVoice' END AS feature FROM events"""
+
+
+@query(f"""SELECT event_id, CASE WHEN regexp_matches(lower(m), 'network request failed|network error|failed to fetch|timeout|timed out') THEN 'network' WHEN contains(c, 'quota_exceeded') THEN 'quota' WHEN contains(c, 'doc_expired') THEN 'expired' WHEN contains(c, 'upgrade_required') THEN 'upgrade' ELSE 'other' END AS class,
+CASE WHEN status = 429 OR code = 'quota_exceeded' OR feature = 'cloudVoice' THEN 'quota' WHEN status = 422 OR code = 'cloud_voice_language_unsupported' THEN 'language_unsupported' WHEN regexp_matches(lower(m), 'network|fetch') THEN 'network' ELSE 'error' END AS speech_class
+FROM (SELECT *, coalesce(message, '') AS m, lower(coalesce(nullif(code, ''), message, '')) AS c FROM ({FAILED}))""")
 def error_class(spark, d):
-    k = F.col("event_id")
-    code = F.when(k % 6 == 0, 429).when(k % 6 == 1, 404).when(k % 6 == 2, 402).otherwise(500)
-    message = F.lower(F.when(k % 5 == 0, "Network down").otherwise(F.col("event_type")))
-    return read_table(spark, d, "events").select("event_id", F.when(message.rlike("network|timeout"), "network").when(code == 429, "quota").when(code == 404, "expired").when(code == 402, "upgrade").otherwise("other").alias("class"))
+    rows = read_table(spark, d, "events").selectExpr(*(f"{x}" for x in FAILED_COLUMNS))
+    return rows.select("event_id", Q.error_class("code", "message").alias("class"), Q.speech_error_class("status", "code", "feature", "message").alias("speech_class"))
+
+
+FAILED_COLUMNS = [x.strip() for x in re.split(r",\s*(?=CASE)", FAILED.removeprefix("SELECT ").removesuffix(" FROM events"))]
+
+
+@query("""SELECT conv_id, turn, 'Language: ' || CASE turn % 3 WHEN 0 THEN 'fr' ELSE 'en' END || chr(10) || 'Task: ' || task || chr(10) ||
+CASE task WHEN 'ask' THEN 'User question: ' || CASE WHEN turn % 2 = 0 THEN 'Why?' ELSE '' END || chr(10) WHEN 'simplify' THEN 'Rewrite the meaning simply (aim for a 12-year-old) in "simple_explanation". ' WHEN 'key_points' THEN 'Focus on extracting the most important key_points. '
+WHEN 'explain' THEN 'Explain what this passage means and why it matters. ' ELSE 'Summarize concisely. ' END ||
+'Return JSON with keys: summary (string), simple_explanation (string), key_points (string[] up to 6), terms (array of {term, meaning} up to 5), answer (string, only for the "ask" task else empty).' || chr(10) || chr(10) || 'TEXT:' || chr(10) || text AS prompt
+FROM (SELECT *, CASE conv_id % 5 WHEN 0 THEN 'summary' WHEN 1 THEN 'explain' WHEN 2 THEN 'simplify' WHEN 3 THEN 'key_points' ELSE 'ask' END AS task FROM conversations)""")
+def ai_prompt(spark, d):
+    task = F.get(F.array(*map(F.lit, Q.TASKS)), (F.col("conv_id") % 5).cast("int"))
+    language = F.when(F.col("turn") % 3 == 0, "fr").when(F.col("turn") % 3 == 1, "")
+    question = F.when(F.col("turn") % 2 == 0, "Why?")
+    return read_table(spark, d, "conversations").select("conv_id", "turn", Q.ai_prompt(task, "text", language, question).alias("prompt"))

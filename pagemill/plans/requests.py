@@ -8,6 +8,7 @@ from pagemill.operators import reading as R
 from pagemill.operators import requests as Q
 from pagemill.operators import usage as U
 from pagemill.operators import versions as V
+from pagemill.plans.text import BP
 from pagemill.sources.tables import books, read_table
 
 QUERIES: dict = {}
@@ -79,19 +80,15 @@ def voices_ranked(spark, d):
     return Q.voices_ranked(_events(spark, d, voice_id="lpad(CAST(event_id AS STRING), 9, '0')", name=NAME, language=VOICE).drop("event_id"))
 
 
-@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN props WHEN 1 THEN 'sum' ELSE '' END AS summary, CAST(CASE WHEN event_id % 3 = 1 THEN [event_type] ELSE [] END AS VARCHAR[]) AS key_points, CASE WHEN event_id % 3 = 2 THEN event_type END AS answer
+@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN props WHEN 1 THEN 'sum' ELSE '' END AS summary, CASE WHEN event_id % 3 = 1 THEN 'plainly ' || event_type ELSE '' END AS simple_explanation, CAST(CASE WHEN event_id % 3 = 1 THEN [event_type] ELSE [] END AS VARCHAR[]) AS key_points,
+CASE WHEN event_id % 3 = 1 THEN event_type || '=what it is;other=' ELSE '' END AS terms, CASE WHEN event_id % 3 = 2 THEN event_type END AS answer
 FROM (SELECT event_id, event_type, 'not json ' || props AS props FROM events)""")
 def parse_ai_result(spark, d):
-    raw = """CASE event_id % 3 WHEN 0 THEN concat('not json ', props) WHEN 1 THEN concat('{"summary": "sum", "key_points": ["', event_type, '"]}') ELSE concat('{"key_points": "x", "answer": "', event_type, '"}') END"""
-    return _events(spark, d, raw=raw).withColumn("x", Q.parse_ai_result(F.col("raw"))).select("event_id", "x.summary", "x.key_points", "x.answer")
-
-
-@query("""SELECT event_id, CASE WHEN a <= 9 THEN 1 ELSE 2 END AS sentence_id, CAST(CASE WHEN a <= 9 THEN a WHEN a = 10 THEN 4 ELSE a - 11 + 5 END AS BIGINT) AS char_offset FROM (SELECT event_id, greatest(0, least(19, event_id % 30 - 5)) AS a FROM events)""")
-def locate_span(spark, d):
-    spans = "array(named_struct('start', 0L, 'end', 9L, 'source_start', 0L, 'sentence_id', 1), named_struct('start', 11L, 'end', 19L, 'source_start', 5L, 'sentence_id', 2))"
-    offsets = _events(spark, d, chunk="event_id % 50", at="event_id % 30 - 5")
-    chunks = offsets.select("chunk").distinct().select("chunk", F.lit(20).cast("long").alias("length"), F.expr(spans).alias("spans"))
-    return R.locate_span(offsets, chunks).select("event_id", "sentence_id", "char_offset")
+    raw = """CASE event_id % 3 WHEN 0 THEN concat('not json ', props)
+    WHEN 1 THEN concat('{"summary": "sum", "simple_explanation": "plainly ', event_type, '", "key_points": ["', event_type, '"], "terms": [{"term": "', event_type, '", "meaning": "what it is"}, {"term": "other"}]}')
+    ELSE concat('{"key_points": "x", "terms": 5, "answer": "', event_type, '"}') END"""
+    terms = F.array_join(F.transform("x.terms", lambda t: F.concat(t["term"], F.lit("="), F.coalesce(t["meaning"], F.lit("")))), ";")
+    return _events(spark, d, raw=raw).withColumn("x", Q.parse_ai_result(F.col("raw"))).select("event_id", "x.summary", "x.simple_explanation", "x.key_points", terms.alias("terms"), "x.answer")
 
 
 @query("SELECT event_id, CASE WHEN event_id % 50 % 2 = 1 OR event_id % 30 - 5 <= 9 THEN 0 ELSE 1 END AS line_ix FROM events")
@@ -101,24 +98,36 @@ def locate_line(spark, d):
     return R.locate_line(offsets, offsets.where("sentence_id % 2 = 0").select("sentence_id").distinct().withColumn("lines", F.expr(lines))).select("event_id", "line_ix")
 
 
-@query("""WITH bp AS (SELECT source AS doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page, text, n_chars, CASE WHEN doc_id % 3 = 0 THEN 'ocr' ELSE 'native' END AS source FROM documents),
-k AS (SELECT doc_id, page, text || '+' AS text FROM bp WHERE source = 'ocr' AND text <> '' AND hex(substr(doc_id, -1)) <> '30')
-SELECT doc_id, page, coalesce(k.text, f.text) AS text, CASE WHEN k.text IS NULL THEN 'native' ELSE 'ocr' END AS source FROM (SELECT doc_id, page, substr(text, 1, 50) AS text FROM bp) f LEFT JOIN k USING (doc_id, page)""")
+# documents parsed anew have only pages of up to 2000 characters, some without their end; kept ones are whole and in other languages for some books
+FRESH = """fr AS (SELECT doc_id, page, CASE WHEN length(text) > 900 THEN substr(text, 1, 900) ELSE text END AS text, 'native' AS source FROM bp WHERE length(text) < 2000),
+kp AS (SELECT doc_id, page, text, length(text) % 101 AS confidence FROM bp WHERE source = 'ocr' AND text <> '' AND substr(doc_id, -1) <> '0')"""
+
+
+def _cached(spark, d):
+    pages, n = books(spark, d), F.length("text")
+    fresh = pages.where(n < 2000).select("doc_id", "page", F.when(n > 900, F.substring("text", 1, 900)).otherwise(F.col("text")).alias("text"), F.lit("native").alias("source"))
+    last = F.substring("doc_id", -1, 1)
+    docs = pages.select("doc_id").distinct().select("doc_id", F.lit(None).cast("string").alias("lang"), (last == "1").alias("force_ocr"))
+    kept_docs = docs.select("doc_id", F.when(last == "0", "fra").otherwise("eng").alias("lang"), last.isin("0", "2").alias("force_ocr"))
+    return V.merge_cached(fresh, docs, pages.withColumn("confidence", n % 101), kept_docs, pages.where(n < 2000))
+
+
+@query(f"""WITH {BP}, {FRESH} SELECT doc_id, page, CASE WHEN w THEN k.text ELSE fr.text END AS text, CASE WHEN w THEN 'ocr' ELSE fr.source END AS source, CASE WHEN w THEN k.confidence END AS confidence
+FROM (SELECT doc_id, page, kp.text IS NOT NULL AND (fr.text IS NULL OR length(kp.text) > length(fr.text)) AS w FROM fr FULL JOIN kp USING (doc_id, page)) LEFT JOIN fr USING (doc_id, page) LEFT JOIN kp k USING (doc_id, page)""")
 def merge_cached(spark, d):
-    pages = books(spark, d)
-    fresh = pages.select("doc_id", "page", F.substring("text", 1, 50).alias("text"), F.lit("native").alias("source"), F.lit(None).cast("string").alias("lang"))
-    cached = pages.withColumn("text", F.when(F.col("text") != "", F.concat("text", F.lit("+")))).withColumn("lang", F.when(F.col("doc_id").endswith("0"), "fra").otherwise("eng")).withColumn("confidence", F.lit(90))
-    return V.merge_cached(fresh, cached, pages.where("page % 3 = 0"))[0].select("doc_id", "page", "text", "source")
+    return _cached(spark, d)[0]
+
+
+@query(f"WITH {BP}, {FRESH} SELECT doc_id, page FROM bp WHERE length(text) < 2000 AND NOT EXISTS (SELECT 1 FROM kp WHERE kp.doc_id = bp.doc_id AND kp.page = bp.page)")
+def merge_cached_pending(spark, d):
+    return _cached(spark, d)[1].select("doc_id", "page")
+
+
+@query(f"WITH {BP} SELECT DISTINCT doc_id, substr(doc_id, -1) IN ('1', '2') AS force_ocr FROM bp")
+def merge_cached_docs(spark, d):
+    return _cached(spark, d)[2].select("doc_id", "force_ocr")
 
 
 @query("SELECT event_id, upper(event_type) AS note FROM events")
 def enrich_distinct(spark, d):
     return Q.enrich_distinct(_events(spark, d, kind="event_type"), ["kind"], lambda x: x["kind"].str.upper(), "note").select("event_id", "note")
-
-
-@query("SELECT user_id AS doc_id, CAST(row_number() OVER (ORDER BY max(ts) DESC, user_id) AS INTEGER) AS place FROM events GROUP BY user_id QUALIFY place <= 20")
-def library_list(spark, d):
-    """The report of the 20 documents that were opened last."""
-    opened = read_table(spark, d, "events").groupBy(F.col("user_id").alias("doc_id")).agg(F.max("ts").alias("opened_at"))
-    top = opened.orderBy(F.desc("opened_at"), "doc_id").limit(20).agg(F.array_sort(F.collect_list(F.struct((-F.unix_micros(F.col("opened_at").cast("timestamp"))).alias("t"), "doc_id"))).alias("all"))
-    return top.select(F.posexplode("all").alias("at", "x")).select("x.doc_id", (F.col("at") + 1).alias("place"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import posixpath
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,10 +24,13 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("doc_id", "page", X.trim(F.coalesce("text", F.lit(""))).alias("text"), F.lit("native").alias("source"))
 
 
-def read_usage(spark: SparkSession, path: str, months: list[str]) -> DataFrame:
-    """Monthly counters of these months, read from their partitions only; missing ones are 0."""
-    usage = spark.read.parquet(path).where(F.col("month").cast("string").isin(months))
-    return usage.select(F.col("month").cast("string").alias("month"), "app_user_id", *(F.coalesce(f, F.lit(0)).cast("long").alias(f) for f in FIELDS))
+def read_usage(spark: SparkSession, path: str, months: list[str], users: DataFrame | None = None) -> DataFrame:
+    """Monthly counters of these months, read from their partitions only; missing ones are 0, and so are all of a user (app_user_id) without any."""
+    usage = spark.read.parquet(path).where(F.col("month").cast("string").isin(months)).select(F.col("month").cast("string").alias("month"), "app_user_id", *FIELDS)
+    if users is not None:
+        wanted = users.select("app_user_id").distinct().select(F.explode(F.array(*map(F.lit, months))).alias("month"), "app_user_id")
+        usage = wanted.join(usage, ["month", "app_user_id"], "left")
+    return usage.select("month", "app_user_id", *(F.coalesce(f, F.lit(0)).cast("long").alias(f) for f in FIELDS))
 
 
 def write_usage(usage: DataFrame, path: str) -> None:
@@ -31,12 +38,18 @@ def write_usage(usage: DataFrame, path: str) -> None:
 
 
 def read_versions(versions: DataFrame, version: int = CACHE_VERSION) -> DataFrame:
-    return versions.where(F.col("cache_version") == version)
+    """Documents of this version; where rows say when they were saved, the last one of each doc_id."""
+    rows = versions.where(F.col("cache_version") == version)
+    if "saved_at" not in rows.columns:
+        return rows
+    newest = Window.partitionBy("doc_id").orderBy(F.desc("saved_at"))
+    return rows.withColumn("_at", F.row_number().over(newest)).where("_at = 1").drop("_at")
 
 
 def write_versions(documents: DataFrame, path: str, saved_at: Column | None = None) -> None:
+    """Adds documents to the saved ones. A document that was saved before is superseded, as readers take the last one; others are not touched."""
     stamped = documents.withColumn("cache_version", F.lit(CACHE_VERSION)).withColumn("saved_at", F.current_timestamp() if saved_at is None else saved_at)
-    stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("cache_version").parquet(path)
+    stamped.write.mode("append").partitionBy("cache_version").parquet(path)
 
 
 def expire_results(results: DataFrame, now: Column, ttl_days: int = 30) -> DataFrame:
@@ -52,10 +65,21 @@ def expire_results(results: DataFrame, now: Column, ttl_days: int = 30) -> DataF
 
 
 def books(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The supplied documents as pages: a source is a book, its documents in order are pages."""
+    """The supplied documents as pages: a source is a book, its documents in order are pages. Only ids are numbered; texts meet their number by id."""
     order = Window.partitionBy("source").orderBy("doc_id")
-    rows = read_table(spark, sf_dir, "documents")
-    return rows.select(F.col("source").alias("doc_id"), F.row_number().over(order).alias("page"), "text", F.when(F.col("doc_id") % 3 == 0, "ocr").otherwise("native").alias("source"))
+    rows = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    numbers = rows.select("doc_id", "source").withColumn("page", F.row_number().over(order))
+    return rows.join(numbers, ["doc_id", "source"]).select(F.col("source").alias("doc_id"), "page", "text", F.when(F.col("doc_id") % 3 == 0, "ocr").otherwise("native").alias("source"))
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder below the one that the cluster names in spark.checkpoint.dir; a local session without it (tests) uses its own disk."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="scratch-")
+    return posixpath.join(folder, uuid.uuid4().hex)
 
 
 def usage_events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from pagemill.operators.usage import usage_monthly
-from pagemill.operators.versions import merge_ocr_longer, ocr_progress, pending_except
+from pagemill.operators.versions import longer, ocr_progress, pending_except
 
 
 def usage_stream(events: DataFrame) -> DataFrame:
@@ -45,7 +45,7 @@ def quota_stream(requests: DataFrame, limit: int, late: str = "1 day") -> DataFr
         yield pd.DataFrame({"req_id": rows["req_id"].values, "app_user_id": key[0], "month": key[1], "admitted": [a for a, _ in out], "used": [u for _, u in out]})
 
     user = requests.schema["app_user_id"].dataType.simpleString()
-    return requests.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))).withWatermark("ts", late).groupBy("app_user_id", "month").applyInPandasWithState(admit, f"req_id long, app_user_id {user}, month string, admitted boolean, used long", "used long", "append", GroupStateTimeout.EventTimeTimeout)
+    return requests.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("us", F.unix_micros("ts")).withWatermark("ts", late).groupBy("app_user_id", "month").applyInPandasWithState(admit, f"req_id long, app_user_id {user}, month string, admitted boolean, used long", "used long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def ttl_dedupe_stream(requests: DataFrame, ttl_hours: int = 24, late: str = "1 day") -> DataFrame:
@@ -66,20 +66,35 @@ def ttl_dedupe_stream(requests: DataFrame, ttl_hours: int = 24, late: str = "1 d
         state.setTimeoutTimestamp(max((at + ttl) // 1000, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({"key": key[0], "req_id": rows["req_id"].values, "hit": hits})
 
-    return requests.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))).withWatermark("ts", late).groupBy("key").applyInPandasWithState(judge, "key string, req_id long, hit boolean", "at long", "append", GroupStateTimeout.EventTimeTimeout)
+    return requests.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("us", F.unix_micros("ts")).withWatermark("ts", late).groupBy("key").applyInPandasWithState(judge, "key string, req_id long, hit boolean", "at long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def page_backfill(spark: SparkSession, pages: str, pending: str, report: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch over recognised pages: merges them into the table of pages at a path and reports progress.
+#: Parts of a table of pages that are written anew when a document of theirs gets pages.
+BUCKETS = 64
 
-    Each batch writes the next version of the table (pages/v=N), so a batch that is run again gives the same version.
+
+def bucketed(pages: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """pages with the part of the table that their document belongs to, to be written with partitionBy("bucket")."""
+    return pages.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
+
+
+def page_backfill(spark: SparkSession, pages: str, pending: str, report: Callable[[DataFrame, int], None], buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch over recognised pages: merges them into the table of pages at a path (see bucketed) and reports progress of the batch's documents.
+
+    Only the parts with documents of the batch are read and written. A longer text wins, so a batch that is run again changes
+    nothing. Of several texts of a page in one batch the longest counts.
     """
 
     def merge(batch: DataFrame, n: int) -> None:
-        now = spark.read.parquet(f"{pages}/v={n}")
-        merge_ocr_longer(now, batch).select(*now.columns).write.mode("overwrite").parquet(f"{pages}/v={n + 1}")
-        have = spark.read.parquet(f"{pages}/v={n + 1}")
-        left = pending_except(spark.read.parquet(pending), have.where("source = 'ocr'"))
-        report(ocr_progress(have, left), n)
+        best = F.max_by(F.struct("text", "confidence"), F.struct(F.length("text"), "text"))
+        batch = batch.groupBy("doc_id", "page").agg(best.alias("x")).select("doc_id", "page", "x.text", "x.confidence").persist()
+        touched = [r.bucket for r in bucketed(batch, buckets).select("bucket").distinct().collect()]  # at most so many as there are parts
+        if touched:
+            now = spark.read.parquet(pages).where(F.col("bucket").isin(touched))
+            bucketed(longer(now, batch), buckets).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(pages)
+            have = spark.read.parquet(pages).where(F.col("bucket").isin(touched)).join(batch.select("doc_id").distinct(), "doc_id", "left_semi")
+            left = pending_except(spark.read.parquet(pending), have.where("source = 'ocr'"))
+            report(ocr_progress(have, left), n)
+        batch.unpersist()
 
     return merge

@@ -29,7 +29,7 @@ def test_usage(spark, requests):
 
 
 def test_quota(spark, requests):
-    want = U.quota_admit_amount(spark.read.parquet(requests), F.lit(20).cast("long")).select("req_id", "app_user_id", "month", "admitted", "used")
+    want = U.quota_admit_amount(spark.read.parquet(requests), 20).select("req_id", "app_user_id", "month", "admitted", "used")
     assert run(spark, requests, lambda s: S.quota_stream(s, 20), "quota_s") == sorted(map(tuple, want.collect()))
 
 
@@ -38,14 +38,18 @@ def test_ttl(spark, requests):
 
 
 def test_backfill(spark, tmp_path):
+    """Two batches: what a batch does not replace keeps its text, source and confidence; other parts of the table are not written."""
     pages, pending, new, seen = str(tmp_path / "pages"), str(tmp_path / "pending"), str(tmp_path / "new"), []
-    spark.createDataFrame([("d", 1, "abc", "native", None), ("d", 2, "", "native", None)], "doc_id string, page int, text string, source string, confidence int").write.parquet(f"{pages}/v=0")
+    S.bucketed(spark.createDataFrame([("d", 1, "abc", "native", None), ("d", 2, "", "native", None), ("e", 1, "x", "ocr", 50)], "doc_id string, page int, text string, source string, confidence int")).write.partitionBy("bucket").parquet(pages)
     spark.createDataFrame([("d", 2), ("d", 3)], "doc_id string, page int").write.parquet(pending)
-    spark.createDataFrame([("d", 2, "recognised", 90)], "doc_id string, page int, text string, confidence int").write.parquet(new)
+    schema = "doc_id string, page int, text string, confidence int"
+    for rows in ([("d", 2, "recognised", 90), ("d", 2, "rec", 10)], [("d", 3, "third", 70), ("d", 2, "short", 20), ("d", 1, " ", 5)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(new)
     merge = S.page_backfill(spark, pages, pending, lambda df, n: seen.append([tuple(r) for r in df.collect()]))
-    spark.readStream.schema(spark.read.parquet(new).schema).parquet(new).writeStream.foreachBatch(merge).trigger(availableNow=True).start().awaitTermination(120)
-    assert seen == [[("d", 2, 1, 1, 50)]]
-    assert {(r.page, r.text, r.source) for r in spark.read.parquet(f"{pages}/v=1").collect()} == {(1, "abc", "native"), (2, "recognised", "ocr")}
+    spark.readStream.schema(spark.read.parquet(new).schema).option("maxFilesPerTrigger", 1).parquet(new).writeStream.foreachBatch(merge).trigger(availableNow=True).start().awaitTermination(120)
+    assert seen == [[("d", 2, 1, 1, 50)], [("d", 2, 2, 0, 100)]]
+    got = {(r.doc_id, r.page, r.text, r.source, r.confidence) for r in spark.read.parquet(pages).collect()}
+    assert got == {("d", 1, "abc", "native", None), ("d", 2, "recognised", "ocr", 90), ("d", 3, "third", "ocr", 70), ("e", 1, "x", "ocr", 50)}
 
 
 def test_replies(spark):

@@ -61,7 +61,7 @@ def test_speech_chunks(spark):
 
 def test_quota_amount(spark):
     rows = spark.createDataFrame([("u", "2024-01", i, i, a) for i, a in enumerate([6, 5, 4])], "app_user_id string, month string, ts int, req_id long, amount long")
-    got = U.quota_admit_amount(rows, F.lit(10).cast("long")).orderBy("req_id").collect()
+    got = U.quota_admit_amount(rows, 10).orderBy("req_id").collect()
     assert [r.admitted for r in got] == [True, False, True]
 
 
@@ -74,3 +74,24 @@ def test_plan_economics(spark):
     got = {r.key: r for r in U.plan_economics(U.tiers(spark)).collect()}
     assert round(got["ai_pro"].cost, 4) == 1.6275 and round(got["ai_pro"].budget, 3) == 1.680 and got["ai_pro"].ok
     assert round(got["power"].cost, 2) == 3.74 and got["power"].ok
+
+
+def test_ttl(spark):
+    rows = spark.createDataFrame([("k", i, t) for i, t in enumerate(["2024-01-01 00:00:00", "2024-01-01 23:00:00", "2024-01-02 00:00:00", "2024-01-02 00:00:00.001"])] + [("n", 9, None)], "key string, req_id long, ts string")
+    got = U.ttl_dedupe(rows.withColumn("ts", F.to_timestamp("ts"))).orderBy("req_id").collect()
+    assert [r.hit for r in got] == [False, True, True, False, False]
+
+
+def test_layout_lines(spark):
+    items = [("d", 1, 0, "world", None, 60.0, 100.0, 30.0, 10.0), ("d", 1, 1, "Hello", None, 20.0, 101.0, 35.0, 10.0), ("d", 1, 2, "", None, 0.0, 0.0, 0.0, 0.0), ("d", 1, 3, "lost", None, None, 5.0, 1.0, 1.0)]
+    items += [("d", 1, 4, "!", None, 95.0, 100.0, 3.0, 10.0), ("d", 1, 5, "دنیا", "rtl", 10.0, 50.0, 20.0, 10.0), ("d", 1, 6, "سلام", "rtl", 40.0, 50.0, 20.0, 10.0), ("d", 1, 7, "x", None, 0.0, 20.0, 0.0, 0.0), ("d", 1, 8, "y", None, 9.0, 20.0, 0.0, 0.0), ("e", 2, 0, " ", None, 1.0, 1.0, 1.0, 1.0)]
+    got = L.layout_lines(spark.createDataFrame(items, "doc_id string, page int, idx int, str string, dir string, x double, y double, width double, height double")).orderBy("line_no").collect()
+    assert [(r.doc_id, r.line_no, r.text, r.rtl) for r in got] == [("d", 0, "Hello world!", False), ("d", 1, "سلام دنیا", True), ("d", 2, "x y", False)]
+
+
+@pytest.mark.parametrize(("lang", "text", "expected"), [
+    ("rus", "Это простое предложение на русском языке", False), ("rus", "123456789012345678 1", True), ("hin", "यह एक सरल हिंदी वाक्य है जो लंबा है", False), ("jpn", "これは日本語の簡単な文章です。とても短い", False), ("jpn", "an English line in place of it, short", True),
+    ("kor", "이것은 한국어로 된 간단한 문장입니다 그렇죠", False), ("tha", "นี่คือประโยคภาษาไทยง่ายๆ ประโยคหนึ่ง", False), ("rus", "ПростоA текстB ещеC словоD и такE далееF", True),
+])
+def test_needs_ocr_in_scripts(spark, lang, text, expected):
+    assert one(spark, lambda c: X.needs_ocr(c, F.lit(lang)), text) is expected
