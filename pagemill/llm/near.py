@@ -1,8 +1,10 @@
 """Jaccard join on word n-grams: a MinHash LSH forest finds what may be linked, shared shingles decide.
 
-Each tree of the forest keeps documents in the order of its own signature, so that neighbours share prefixes; the prefix that
-must match starts at the full depth and is shortened until a link at the threshold is met with the target recall. Documents
-of one prefix are candidates for each other. Connected candidates are compared exactly, all with all, in blocks.
+Each tree of the forest is one sorted run of all signatures, so that neighbours share prefixes, and the prefix that two neighbours
+share is known from one pass. At first documents are candidates that share a prefix of full depth in some tree. Candidates that
+are connected are compared exactly, all with all, in blocks. From the similarities of the links that are found follows how
+many were missed: a link of similarity s shares a prefix of depth d in one of t trees with probability 1 - (1 - s^d)^t. While the
+recall so estimated is below its target, the prefix is shortened by one, and components that grew are compared anew.
 """
 
 from __future__ import annotations
@@ -11,7 +13,8 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.llm import arrays as A
@@ -19,15 +22,20 @@ from pagemill.llm.graph import components
 from pagemill.llm.session import fresh, partitions, saved
 
 WORDS, THRESHOLD, RECALL, TREES, DEPTH = 5, 0.8, 0.9999, 24, 8
-#: Documents of a block of exact comparisons, and runs that a prefix is dealt into.
-BLOCK, SALTS = 256, 8
+#: Documents and bytes of text of a block of exact comparisons.
+BLOCK, BLOCK_BYTES = 256, 2 << 20
 #: Parts that a component of several blocks is dealt into where it meets its size.
 PARTS = 64
 
 
+def met(similarity: np.ndarray | float, depth: int, trees: int) -> np.ndarray | float:
+    """The probability that documents of that similarity share a prefix of that depth in one tree at least."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
 def depth_for(threshold: float, recall: float, trees: int, depth: int) -> int:
-    """The longest prefix by which a link at the threshold is met in one tree at least with the recall; 1 if none is short enough."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
+    """The longest prefix by which even a link at the threshold is met with the recall; 1 if none is short enough."""
+    while depth > 1 and met(threshold, depth, trees) < recall:
         depth -= 1
     return depth
 
@@ -60,8 +68,8 @@ def _signatures(hashes: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
-    """Which of the sets `left` are similar to which of the sets `right`."""
+def _similarity(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Jaccard similarity of the sets `left` to the sets `right`."""
     sizes = np.array([len(x) for x in sets])
     values, inverse, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(len(sets)), sizes)
@@ -78,8 +86,106 @@ def _links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshol
         grid = np.zeros((len(sets), step), dtype=np.float32)
         grid[owner[lo:hi], item[lo:hi] - a] = 1
         common += grid[left] @ grid[right].T
-    union = sizes[left][:, None] + sizes[right][None, :] - common
-    return common >= threshold * union - 1e-6
+    return common / (sizes[left][:, None] + sizes[right][None, :] - common)
+
+
+def forest(kinds: DataFrame, trees: int, depth: int, least: int) -> DataFrame:
+    """(a, b, shared): neighbours in the sorted tries, and how many values of their signatures are alike from the first on, where that is at least `least`.
+
+    Tries are cut by range, with the node as the last part of the key, so a prefix that very many documents share spreads over
+    tasks like any other stretch; the ends of the cuts are neighbours too.
+    """
+    spark = kinds.sparkSession
+
+    def plant(batches):
+        for batch in batches:
+            n = batch.num_rows
+            keys = np.frombuffer(b"".join(batch.column("signature").to_pylist()), dtype=np.uint8).reshape(n * trees, 2 * depth)
+            flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * depth), n * trees, [None, pa.py_buffer(np.ascontiguousarray(keys))]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(trees, dtype=np.int32), n)), flat, pa.array(np.repeat(batch.column("node").to_numpy(), trees))], ["tree", "key", "node"])
+
+    def shared_by(tree, key):
+        same = np.logical_and.accumulate(key[1:] == key[:-1], axis=1).sum(axis=1)
+        return np.where(tree[1:] == tree[:-1], same, 0)
+
+    def walk(batches):
+        """Edges, and the first and last row of the partition (place 0 and 1)."""
+        part, before, first = TaskContext.get().partitionId(), None, True
+
+        def rows(a, b, shared, place, tree, key):
+            n = len(a)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.asarray(shared, np.int32)), pa.array([part] * n, pa.int32()), pa.array([place] * n, pa.int32()), pa.array([tree] * n, pa.int32()), pa.array([key] * n, pa.binary())], ["a", "b", "shared", "part", "place", "tree", "key"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tree, node = batch.column("tree").to_numpy(), batch.column("node").to_numpy()
+            key = np.frombuffer(b"".join(batch.column("key").to_pylist()), dtype=">u2").reshape(-1, depth)
+            if first:
+                yield rows(node[:1], node[:1], [0], 0, int(tree[0]), key[0].tobytes())
+                first = False
+            if before:
+                tree, node, key = np.append(before[0], tree), np.append(before[1], node), np.concatenate([before[2], key])
+            shared = shared_by(tree, key)
+            some = np.flatnonzero(shared >= least)
+            yield rows(node[some], node[some + 1], shared[some], -1, None, None)
+            before = tree[-1:], node[-1:], key[-1:]
+        if before:
+            yield rows(before[1], before[1], [0], 1, int(before[0][0]), before[2][0].tobytes())
+
+    planted = kinds.select("signature", "node").mapInArrow(plant, "tree int, key binary, node long")
+    tries = planted.repartitionByRange(partitions(spark), "tree", "key", "node").sortWithinPartitions("tree", "key", "node")
+    walked = saved(tries.mapInArrow(walk, "a long, b long, shared int, part int, place int, tree int, key binary"))
+    ends = Window.orderBy("part", "place")  # two rows a partition
+    cuts = walked.where("place >= 0").withColumn("next", F.lead(F.struct("place", "tree", "key", "a")).over(ends)).where("place = 1 and next.place = 0 and tree = next.tree")
+    alike = lambda n: F.substring("key", 1, F.lit(2 * n)) == F.substring("next.key", 1, F.lit(2 * n))
+    shared = sum((alike(n).cast("int") for n in range(1, depth + 1)), F.lit(0))
+    cuts = cuts.select("a", F.col("next.a").alias("b"), shared.alias("shared")).where(F.col("shared") >= least)
+    return walked.where("place < 0").select("a", "b", "shared").unionByName(cuts)
+
+
+def _compared(near: DataFrame, kinds: DataFrame, texts: DataFrame, words: int, threshold: float, depths: list[int], trees: int) -> DataFrame:
+    """node, links, root, found, expected over blocks of components: links counted with copies, the least place linked, and links between sets, found and, by depth, estimated."""
+    rows = near.join(kinds.select("node", "h", "size", "bytes"), "node")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("bytes") / BLOCK_BYTES)).cast("int")
+    large = rows.groupBy("component").agg(blocks.alias("blocks")).where("blocks > 1")
+    large = large.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    rows = rows.withColumn("part", F.pmod(F.hash("node"), F.lit(PARTS))).join(large, ["component", "part"], "left").drop("part").fillna(1, ["blocks"])
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    units = rows.select("node", "h", "size", "component", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")).join(texts, ["node", "h"])
+
+    def compare(key, table):
+        low, high = key[1].as_py(), key[2].as_py()
+        _, where = np.unique(np.stack([table.column("node").to_numpy(), table.column("h").to_numpy()]), axis=1, return_index=True)
+        table = table.take(where)
+        hashes, first = shingles(table.column("text"), words)
+        sets = [np.unique(hashes[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+        node, size, side = (table.column(c).to_numpy() for c in ("node", "size", "own"))
+        left, right = np.flatnonzero(side == low), np.flatnonzero(side == high)
+        n = len(node)
+        links, found, expected, root = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros((n, len(depths))), np.arange(n)
+        if len(left) and len(right):
+            alike = _similarity(sets, left, right)
+            similar = alike >= threshold - 1e-6
+            if low == high:
+                np.fill_diagonal(similar, False)
+            for a, b, grid in ((left, right, similar), (right, left, similar.T))[: 1 + (low != high)]:
+                links[a], found[a] = grid @ size[b], grid.sum(axis=1)
+            i, j = np.nonzero(similar)
+            for k, depth in enumerate(depths):
+                odds = 1 / met(np.clip(alike[i, j].astype(np.float64), threshold, 1), depth, trees)
+                expected[left, k] += np.bincount(i, odds, len(left))
+                if low != high:
+                    expected[right, k] += np.bincount(j, odds, len(right))
+            while True:  # the least linked place spreads until nothing changes
+                old = root.copy()
+                for a, b, grid in ((left, right, similar), (right, left, similar.T)):
+                    root[a] = np.minimum(root[a], np.where(grid, root[b][None, :], n).min(axis=1))
+                if (old == root).all():
+                    break
+        return pa.table({"node": node, "links": links, "root": node[root], "found": found, "expected": pa.array(list(expected), pa.list_(pa.float64()))})
+
+    return units.groupBy("component", "low", "high").applyInArrow(compare, "node long, links long, root long, found long, expected array<double>")
 
 
 def ngram_jaccard_join(documents: DataFrame, *, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
@@ -91,19 +197,18 @@ def ngram_jaccard_join(documents: DataFrame, *, text: str = "text", doc_id: str
     runs of ASCII letters (lower-cased), digits and characters above ASCII; a text of fewer words than `words` is one run.
 
     Equal sets become one before anything is compared, and links between different sets are counted, not listed, so neither
-    a large group of copies nor one of near copies makes rows in the square of its size. A prefix that very many documents
-    share is dealt into runs that are chained together. A link at the threshold is met with probability `recall`, closer ones
-    with a higher one; what is met is decided by the sets themselves.
+    a large group of copies nor one of near copies makes rows in the square of its size. Prefixes are shortened from `depth` on until
+    the estimated share of links that are met reaches `recall`, at the latest where even links at the threshold are met with that
+    probability; what is met is decided by the sets themselves. Where no link is found at a depth, it is shortened on.
 
     Texts that are null or have no words have no links. Rows with a null doc_id have no links and a null class. Rows that
     repeat a doc_id are taken for one document that holds each of these sets. An empty table gives an empty one.
     """
-    spark = documents.sparkSession
     columns = [c for c in documents.columns if c not in ("class_id", "copy_of", "n_links", text)]
-    own = fresh(["doc_id", "h", "digest", "signature", "text"], *(f"own_{c}" for c in columns))
-    prefix = depth_for(threshold, recall, trees, depth)
+    own = fresh(["doc_id", "h", "digest", "signature", "text", "bytes"], *(f"own_{c}" for c in columns))
+    shortest = depth_for(threshold, recall, trees, depth)
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
-    carried = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), *(F.col(c).alias(n) for c, n in zip(columns, own, strict=True)), F.col(text).alias("text"))
+    carried = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"), *(F.col(c).alias(n) for c, n in zip(columns, own, strict=True)), F.col(text).alias("text"))
 
     def sign(batches):
         for batch in batches:
@@ -118,72 +223,28 @@ def ngram_jaccard_join(documents: DataFrame, *, text: str = "text", doc_id: str
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema if f.name != "text")
     signed = saved(carried.mapInArrow(sign, f"{fields}, digest binary, signature binary"))
-    kinds = saved(signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "h")).alias("one"), F.count("*").alias("size"), F.min("signature").alias("signature")).select("digest", F.col("one.doc_id").alias("node"), F.col("one.h").alias("h"), "size", "signature"))
-
-    def plant(batches):
-        for batch in batches:
-            n = batch.num_rows
-            keys = np.frombuffer(b"".join(batch.column("signature").to_pylist()), dtype=np.uint8).reshape(n, trees, 2 * depth)
-            tree = np.tile(np.arange(trees, dtype=np.int32), n)
-            flat = [bytes(x) for x in keys.reshape(n * trees, 2 * depth)]
-            yield pa.RecordBatch.from_arrays([pa.array(tree), pa.array([x[: 2 * prefix] for x in flat], pa.binary()), pa.array([x[2 * prefix :] for x in flat], pa.binary()), pa.array(np.repeat(batch.column("node").to_numpy(), trees))], ["tree", "prefix", "rest", "node"])
-
-    forest = kinds.select("signature", "node").mapInArrow(plant, "tree int, prefix binary, rest binary, node long").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
-
-    def walk(batches):
-        """Chains each run of an equal prefix in the sorted tries; head marks the run's first document."""
-        before = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = list(zip(*(batch.column(c).to_pylist() for c in ("tree", "salt", "prefix")), strict=True))
-            node = batch.column("node").to_numpy()
-            same = np.fromiter((x == y for x, y in zip(key, [before[0] if before else None, *key[:-1]], strict=True)), dtype=bool, count=len(key))
-            prior = np.append(before[1] if before else 0, node[:-1])
-            yield pa.RecordBatch.from_arrays([batch.column("tree"), batch.column("prefix"), pa.array(node), pa.array(np.where(same, prior, node)), pa.array(~same)], ["tree", "prefix", "a", "b", "head"])
-            before = key[-1], node[-1]
-
-    tries = forest.repartition(partitions(spark), "tree", "prefix", "salt").sortWithinPartitions("tree", "salt", "prefix", "rest", "node")
-    walked = saved(tries.mapInArrow(walk, "tree int, prefix binary, a long, b long, head boolean").where("head or a <> b"))
-    heads = walked.where("head").groupBy("tree", "prefix").agg(F.collect_set("a").alias("heads")).where(F.size("heads") > 1)  # at most SALTS
-    chained = walked.where("not head").select("a", "b").unionByName(heads.select(F.explode("heads").alias("a"), F.array_min("heads").alias("b")))
-    near = saved(components(chained))
-    large = near.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
-    large = large.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    nodes = near.withColumn("part", F.pmod(F.hash("node"), F.lit(PARTS))).join(large, ["component", "part"], "left").drop("part").fillna(1, ["blocks"]).join(kinds.select("node", "h", "size"), "node")
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    nodes = nodes.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = nodes.select("node", "h", "size", "component", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    one = F.min(F.struct("doc_id", "h", "bytes")).alias("one")
+    kinds = saved(signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(one, F.count("*").alias("size"), F.min("signature").alias("signature")).select("digest", F.col("one.doc_id").alias("node"), F.col("one.h").alias("h"), F.col("one.bytes").alias("bytes"), "size", "signature"))
     texts = rows.where("doc_id is not null").withColumnRenamed("doc_id", "node")
-    units = units.join(texts, ["node", "h"])
+    edges = saved(forest(kinds, trees, depth, shortest))
 
-    def compare(key, table):
-        low, high = key[1].as_py(), key[2].as_py()
-        _, where = np.unique(np.stack([table.column("node").to_numpy(), table.column("h").to_numpy()]), axis=1, return_index=True)
-        table = table.take(where)
-        hashes, first = shingles(table.column("text"), words)
-        sets = [np.unique(hashes[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
-        node, size, side = (table.column(c).to_numpy() for c in ("node", "size", "own"))
-        left, right = np.flatnonzero(side == low), np.flatnonzero(side == high)
-        if not len(left) or not len(right):
-            return pa.table({"node": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
-        similar = _links(sets, left, right, threshold)
-        if low == high:
-            np.fill_diagonal(similar, False)
-        links = np.zeros(len(node), dtype=np.int64)
-        links[left] = similar @ size[right]
-        if low != high:
-            links[right] = similar.T @ size[left]
-        root = np.arange(len(node))
-        while True:  # the least linked place spreads until nothing changes
-            old = root.copy()
-            for a, b, grid in ((left, right, similar), (right, left, similar.T)):
-                root[a] = np.minimum(root[a], np.where(grid, root[b][None, :], len(node)).min(axis=1))
-            if (old == root).all():
-                break
-        return pa.table({"node": node, "links": links, "root": node[root]})
-
-    compared = saved(units.groupBy("component", "low", "high").applyInArrow(compare, "node long, links long, root long"))
+    near = compared = None
+    depths = list(range(depth, shortest - 1, -1))
+    for now in depths:
+        if near is not None and edges.where(F.col("shared") == now).isEmpty():
+            continue
+        before = near
+        near = saved(components(edges.where(F.col("shared") >= now)))
+        if before is None:
+            grown = near
+        else:  # a component of the same least node and size is the same one
+            size = lambda df: df.groupBy("component").agg(F.count("*").alias("n"))
+            grown = saved(near.join(size(near).join(size(before), ["component", "n"], "left_anti").select("component"), "component", "left_semi"))
+        again = _compared(grown, kinds, texts, words, threshold, depths, trees)
+        compared = saved(again if before is None else compared.join(grown.select("node").distinct(), "node", "left_anti").unionByName(again))
+        found, expected = compared.agg(F.coalesce(F.sum("found"), F.lit(0)), F.coalesce(F.sum(F.get("expected", F.lit(depth - now))), F.lit(0.0))).first()
+        if found and found >= recall * expected:
+            break
     links = compared.groupBy("node").agg(F.sum("links").alias("links"))
     # documents that repeat a doc_id tie their sets together
     repeated = signed.where("doc_id is not null").select("doc_id", "digest").join(kinds.select("digest", "node"), "digest").where("doc_id <> node").groupBy("doc_id").agg(F.collect_set("node").alias("nodes")).where(F.size("nodes") > 1)
