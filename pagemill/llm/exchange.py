@@ -1,7 +1,7 @@
 """Blocks of documents, and what comes back to them.
 
 A block is a bounded run of whole documents, compressed in one row. What tasks ask about a block's items (words, strings) are
-plain rows with the block's number and the item's place in it; Spark shuffles, sorts and joins these by key, so their number
+plain rows with the block's number and the item's hash; Spark shuffles, sorts and joins these by key, so their number
 follows the input and not the square of the blocks. Answers are rows of the same kind and are gathered by block.
 """
 
@@ -92,20 +92,25 @@ def rows_of(schema: T.StructType | pa.Schema | list[str], columns: list[np.ndarr
 
 
 def gathered(answers: DataFrame, name: str, kind: str) -> DataFrame:
-    """(batch_id, name): the answers (batch_id, ix int, value of a numpy kind) of each block in one row; a block's answers are no more than its items."""
+    """(batch_id, name): the answers (batch_id, key long, value of a numpy kind) of each block in one row; a block's answers are no more than its items."""
 
-    def run(key, own):
-        ix = own.column("ix").to_numpy().astype("<i4")
-        return pa.table({"batch_id": pa.array([key[0].as_py()], pa.int64()), name: pa.array([squeezed(ix.tobytes() + own.column("value").to_numpy().astype(kind).tobytes())], pa.binary())})
+    def run(number, own):
+        return pa.table({"batch_id": pa.array([number[0].as_py()], pa.int64()), name: pa.array([squeezed(own.column("key").to_numpy().astype("<i8").tobytes() + own.column("value").to_numpy().astype(kind).tobytes())], pa.binary())})
 
     return answers.groupBy("batch_id").applyInArrow(run, f"batch_id long, `{name}` binary")
 
 
-def told(payload: bytes | None, n: int, kind: str) -> np.ndarray:
-    """Of n items of a block the sum of the values that were gathered for each, 0 where there is none."""
-    out = np.zeros(n, dtype=kind)
+def answers_of(payload: bytes, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and values that were gathered."""
+    data = unsqueezed(payload)
+    count = len(data) // (8 + np.dtype(kind).itemsize)
+    return np.frombuffer(data, "<u8", count), np.frombuffer(data, kind, count, 8 * count)
+
+
+def told(payload: bytes | None, keys: np.ndarray, kind: str) -> np.ndarray:
+    """For each of a block's keys (sorted, distinct) the sum of the values that were gathered for it, 0 where there is none."""
+    out = np.zeros(len(keys), dtype=kind)
     if payload is not None:
-        data = unsqueezed(payload)
-        count = len(data) // (4 + out.itemsize)
-        np.add.at(out, np.frombuffer(data, "<i4", count), np.frombuffer(data, kind, count, 4 * count))
+        key, value = answers_of(payload, kind)
+        np.add.at(out, np.searchsorted(keys, key), value)
     return out

@@ -69,9 +69,9 @@ def test_collection_is_sorted():
             assert prefix[i] == k
 
 
-@pytest.mark.parametrize(("block_bytes", "most_reads"), [(2000, 10_000), (1 << 20, 10_000), (2000, 3), (500, 1)])
-def test_suffix_dedup(docs, rows, block_bytes, most_reads):
-    got = {r.doc_id: r for r in suffix_dedup(docs, block_bytes=block_bytes, most_reads=most_reads).collect()}
+@pytest.mark.parametrize(("block_bytes", "hot"), [(2000, 2000), (1 << 20, 2000), (2000, 3), (500, 1)])
+def test_suffix_dedup(docs, rows, block_bytes, hot):
+    got = {r.doc_id: r for r in suffix_dedup(docs, block_bytes=block_bytes, hot=hot).collect()}
     first = {}
     for doc_id, text, *_ in rows:
         data = (text or "").encode()
