@@ -26,6 +26,11 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def swept(spark: SparkSession) -> None:
+    """Lets the driver collect its garbage, upon which Spark's cleaner removes the shuffles of steps that are saved and done with."""
+    spark._jvm.System.gc()
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Deletes a folder of the shared storage."""
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
