@@ -1,65 +1,26 @@
 """Mixture-controlled packing by deficit round-robin over source queues.
 
-Each source is a queue of tokens. Window w of `length` tokens gives each queue its share of the mixture; the part of a token
-that a queue is owed is its deficit and is carried to the next window. Carried deficits are those of the divisor method with
-rounding to nearest: token x of a queue with T tokens is due at (x + 1/2) / T of the way, and the first w windows hold the
-length * w tokens that are due first. So the deficits before any window have a closed form, and partitions work on their own
-stretches of windows without waiting for each other.
+Each source is a queue of documents. In every round a queue is given its share of a window of tokens, and sends packets (whole
+documents, or `packet` tokens of a longer one) as long as what it was given covers them; the rest is its deficit and is carried to
+the next round, across windows and partitions. So packet k of a queue goes in round ceil(tokens up to and with it / tokens a
+round): deficits before any round have a closed form, and rounds are worked on apart. The packets of all rounds in order are
+one stream, which is cut into windows; nothing is padded.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.llm.bpe import ByteBpe
 from pagemill.llm.session import saved
 
-LENGTH, END, ROWS_A_BLOCK = 2048, 1, 2048
-
-
-def served(totals: np.ndarray, upto: np.ndarray) -> np.ndarray:
-    """For each count of tokens in `upto`, how many of them come from each queue: a row for each count, a column for each queue.
-
-    Ties are due in the order of the queues; rows never decrease.
-    """
-    weights = totals.astype(np.float64)
-    out = np.floor(weights * (upto[:, None] / max(totals.sum(), 1)) + 0.5).astype(np.int64)
-    np.minimum(out, totals, out=out)
-    with np.errstate(divide="ignore"):
-        while True:
-            over = out.sum(axis=1) - upto
-            more, less = np.flatnonzero(over > 0), np.flatnonzero(over < 0)
-            if len(more):
-                due = np.where(out[more] > 0, (out[more] - 0.5) / weights, -np.inf)
-                last = due.shape[1] - 1 - due[:, ::-1].argmax(axis=1)
-                out[more, last] -= 1
-            if len(less):
-                due = np.where(out[less] < totals, (out[less] + 0.5) / weights, np.inf)
-                out[less, due.argmin(axis=1)] += 1
-            if not len(more) and not len(less):
-                return out
-
-
-def windows_of(totals: np.ndarray, queue: int, first: int, last: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Windows that hold tokens first .. last - 1 of a queue, and what each queue was served before each of them (a last row: after).
-
-    Between windows that do not follow each other there is one more row, with window -1.
-    """
-    total, guard = int(totals.sum()), len(totals) // (2 * length) + 2
-    near = lambda x: np.floor((x + 0.5) / totals[queue] * total / length).astype(np.int64)
-    ends = near(np.array([first, last - 1]))
-    if ends[1] - ends[0] < last - first:
-        w = np.arange(ends[0] - guard, ends[1] + guard + 2)
-    else:
-        w = np.unique(near(np.arange(first, last))[:, None] + np.arange(-guard, guard + 2))
-    w = w[(w >= 0) & (w <= -(-total // length))]
-    table = served(totals, np.minimum(w * length, total))
-    return np.where(np.append(np.diff(w), 0) == 1, w, -1), table
+LENGTH, END = 2048, 1
+#: Documents of a stretch of a queue, rounds of a stretch of the stream, and stretches that are summed together.
+ROWS_A_STRETCH, ROUNDS_A_STRETCH, STRETCHES = 2048, 64, 4096
 
 
 def tail(rest: int) -> list[int]:
@@ -72,82 +33,110 @@ def tail(rest: int) -> list[int]:
     return cuts
 
 
-def pieces(totals: np.ndarray, queue: int, first: int, sizes: np.ndarray, length: int) -> dict[str, np.ndarray]:
-    """Where documents that follow each other in a queue, the first one's first token being token `first`, go."""
-    starts = first + np.append(0, np.cumsum(sizes))
-    window, table = windows_of(totals, queue, first, int(starts[-1]), length)
-    mine = table[:, queue]
-    inner = np.append(np.diff(table[:, :queue], axis=0).sum(axis=1), 0)
-    total = int(totals.sum())
-    full, rest = divmod(total, length)
-    cuts = tail(rest)
-    bounds = [starts[:-1], mine[:-1]]
-    if rest and full in window:
-        i = int(np.flatnonzero(window == full)[0])
-        bounds.append(np.clip(mine[i] + np.array(cuts) - inner[i], mine[i], mine[i + 1]))
-    a = np.unique(np.concatenate(bounds))
-    a = a[(a >= first) & (a < starts[-1])]
-    b = np.append(a[1:], starts[-1])
-    doc = np.searchsorted(starts, a, side="right") - 1
-    at = np.searchsorted(mine, a, side="right") - 1
-    offset, sequence = inner[at] + a - mine[at], window[at]
-    last = sequence == full
-    if last.any():
-        k = np.searchsorted(cuts, offset[last], side="right") - 1
-        sequence[last] += k
-        offset[last] -= np.array(cuts)[k]
-    return {"doc": doc, "start": a - starts[doc], "length": b - a, "sequence": sequence, "offset": offset}
-
-
-def pack(documents: DataFrame, *, tokenizer: str, text: str = "text", source: str = "source", doc_id: str = "doc_id", length: int = LENGTH, end: int | None = END, rows_a_block: int = ROWS_A_BLOCK) -> DataFrame:
+def _before(rows: DataFrame, keys: list[str], stretch: str, size: str, name: str) -> DataFrame:
+    """(keys, stretch, name): the sum of size in all stretches before each one, in three levels so that no task has all rows of a key."""
+    own = rows.groupBy(*keys, stretch).agg(F.sum(size).alias("_own")).withColumn("_coarse", F.floor(F.col(stretch) / STRETCHES))
+    coarse = own.groupBy(*keys, "_coarse").agg(F.sum("_own").alias("_sum"))
+    upto = F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_coarse")) - F.col("_sum")
+    coarse = coarse.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_coarse").alias("_at"), upto.alias("_start"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col("_coarse") == F.col("_at")]
+    inner = F.sum("_own").over(Window.partitionBy(*keys, "_coarse").orderBy(stretch)) - F.col("_own")
+    return own.withColumn("_inner", inner).join(coarse, same).select(*keys, stretch, (F.col("_inner") + F.col("_start")).alias(name))
+
+
+def rounds_of(queued: DataFrame, weights: DataFrame | None, quantum: int, packet: int) -> DataFrame:
+    """Packets (queue, at, row, part, size, round) of documents (queue, at: a random place in it, row, n), and `before`, the tokens of the queue before them.
+
+    weights (source, weight) are shares of a round; without them, a source has its share of all tokens. Weights are scaled to a
+    sum of 1 over the sources that there are; a source without one or with none above 0 goes with the least of the others.
+    """
+    totals = queued.groupBy("queue").agg(F.sum("n").alias("total"), F.count("*").alias("rows"))
+    if weights is None:
+        share = totals.withColumn("weight", F.col("total").cast("double"))
+    else:
+        asked = weights.select(F.col("source").alias("_source"), F.col("weight").cast("double").alias("weight")).where("weight > 0")
+        share = totals.join(asked, F.col("queue").eqNullSafe(F.col("_source")), "left")
+        share = share.crossJoin(share.agg(F.coalesce(F.min("weight"), F.lit(1.0)).alias("_least"))).withColumn("weight", F.coalesce("weight", "_least"))  # one row
+    share = share.crossJoin(share.agg(F.sum("weight").alias("_all"))).select("queue", "rows", (F.col("weight") / F.col("_all") * quantum).alias("a_round"))  # one row
+    # where a document is in its queue: by stretches of places, whose number follows the queue's length
+    sized = share.select(F.col("queue").alias("_queue"), "a_round", F.greatest(F.lit(1), F.ceil(F.col("rows") / ROWS_A_STRETCH)).alias("_stretches"))
+    placed = queued.join(sized, F.col("queue").eqNullSafe(F.col("_queue"))).drop("_queue").withColumn("stretch", F.floor(F.pmod("at", F.lit(1 << 40)) * F.col("_stretches") / float(1 << 40)))
+    starts = _before(placed, ["queue"], "stretch", "n", "_start")
+    starts = starts.select(F.col("queue").alias("_queue"), F.col("stretch").alias("_stretch"), "_start")
+    order = Window.partitionBy("queue", "stretch").orderBy(F.pmod("at", F.lit(1 << 40)), "row")
+    placed = placed.withColumn("_inner", F.sum("n").over(order) - F.col("n")).join(starts, F.col("queue").eqNullSafe(F.col("_queue")) & (F.col("stretch") == F.col("_stretch")))
+    parts = F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / packet))
+    packets = placed.select("queue", "row", "n", "a_round", (F.col("_inner") + F.col("_start")).alias("before"), F.explode(parts).alias("part"))
+    packets = packets.select("queue", "row", "a_round", (F.col("before") + F.col("part") * packet).alias("before"), "part", F.least(F.lit(packet), F.col("n") - F.col("part") * packet).alias("size"))
+    return packets.select("queue", "row", "part", "size", "before", F.ceil((F.col("before") + F.col("size")) / F.col("a_round")).cast("long").alias("round"))
+
+
+def pack(documents: DataFrame, *, tokenizer: str, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: DataFrame | None = None, length: int = LENGTH, end: int | None = END, quantum: int | None = None, packet: int | None = None) -> DataFrame:
     """One row for each piece of a document: doc_id, source, start, length, ids, doc_tokens, sequence_id, offset.
 
-    A document is its byte-level BPE ids and then `end`; ids are little-endian unsigned 32-bit numbers. Every window takes
-    from each source its share of all tokens, to within a token, until all queues end together in the last window. That one
-    is cut into sequences whose lengths are powers of two, so nothing is padded. Within a queue, documents follow each other
-    in the order of a hash block and then doc_id.
+    A document is its byte-level BPE ids and then `end`; ids are little-endian unsigned 32-bit numbers. Sources are mixed by
+    `weights` (source, weight), or by their shares of all tokens: after every round of `quantum` tokens (a window) each queue that is
+    not empty has sent its share, less than a packet aside, which stays its deficit. A queue whose weight is larger than its share ends
+    earlier; the others go on. Pieces are cut where a packet (a window, if not given) or a window ends, so documents stay whole
+    where that is possible. The last window is cut into sequences whose lengths are powers of two, so nothing is padded.
 
-    Blocks of about rows_a_block documents of a source are the units of work, however many documents the source has; their
-    place in the queue comes from sums over blocks. The driver sees one number for each source. Ids cross one shuffle.
+    Documents are queued in random order, by a hash of doc_id and their row. Queues and the stream are summed in stretches, so neither
+    a large source nor many sources are one task's, and the driver sees one number. Ids cross one shuffle.
 
     Null texts are empty and yield `end` alone (nothing, if end is None, as does an empty text then). A null source is a
     queue of its own. Null and repeated doc_ids are packed like any others; other columns are left out. An empty table gives
     an empty result.
     """
-    spark = documents.sparkSession
-    rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
-    blocks = max(1, rows.count() // rows_a_block)
     bpe = ByteBpe(tokenizer)
+    rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
 
     def tokenise(batches):
         squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for part, ids, first in bpe.encode(batch, "text", end):
                 packed = [squeeze.compress(ids[first[i] : first[i + 1]].tobytes()) for i in range(part.num_rows)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), part.column("block"), pa.array(np.diff(first)), pa.array(packed, pa.binary())], ["doc_id", "source", "block", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), pa.array(np.diff(first)), pa.array(packed, pa.binary())], ["doc_id", "source", "n", "ids"])
 
     doc_type = rows.schema["doc_id"].dataType.simpleString()
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
-    made = saved(rows.mapInArrow(tokenise, f"doc_id {doc_type}, source string, block int, n long, ids binary").where("n > 0"))
-    sums = made.groupBy("source", "block").agg(F.sum("n").alias("block_tokens"))
-    queues = sums.groupBy("source").agg(F.sum("block_tokens").alias("n")).orderBy("source").collect()
-    totals, order = np.array([q.n for q in queues], dtype=np.int64), {q.source: i for i, q in enumerate(queues)}
-    upto = Window.partitionBy("source").orderBy("block")
-    starts = saved(sums.select("source", "block", (F.sum("block_tokens").over(upto) - F.col("block_tokens")).alias("first")))
-
-    def cut(key, own):
-        name, first = key[0].as_py(), own.column("first")[0].as_py()
-        own = own.sort_by([("doc_id", "ascending"), ("n", "ascending"), ("ids", "ascending")])
-        sizes = own.column("n").to_numpy()
-        p = pieces(totals, order[name], first, sizes, length)
+    made = saved(rows.mapInArrow(tokenise, f"doc_id {doc_type}, source string, n long, ids binary").where("n > 0")).withColumn("row", F.monotonically_increasing_id())
+    queued = made.select(F.col("source").alias("queue"), "row", "n", F.xxhash64("doc_id", "row").alias("at"))
+    packets = saved(rounds_of(queued, weights, quantum or length, packet or length).withColumn("stretch", F.floor(F.col("round") / ROUNDS_A_STRETCH)))
+    total = packets.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    starts = _before(packets, [], "stretch", "size", "_start")
+    inner = F.sum("size").over(Window.partitionBy("stretch").orderBy("round", "queue", "before")) - F.col("size")
+    at = packets.withColumn("_inner", inner).join(starts, "stretch").select("row", (F.col("part") * (packet or length)).alias("start"), "size", (F.col("_inner") + F.col("_start")).alias("at"))
+    own = at.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "size", "at"))).alias("packets"))  # a document's packets
+    full, rest = divmod(total, length)
+    cuts = np.array(tail(rest) or [0])
+
+    def cut(batches):
         squeeze = zstandard.ZstdDecompressor()
-        ids = np.concatenate([np.frombuffer(squeeze.decompress(x), dtype=bpe.dtype) for x in own.column("ids").to_pylist()]).astype("<u4")
-        begin = np.append(0, np.cumsum(sizes))[p["doc"]] + p["start"]
-        data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(np.append(begin, len(ids)) * 4), pa.py_buffer(ids)]).cast(pa.binary())
-        return pa.table({
-            "doc_id": own.column("doc_id").take(p["doc"]), "source": pa.array([name] * len(begin), pa.string()), "start": p["start"], "length": p["length"], "ids": data,
-            "doc_tokens": sizes[p["doc"]], "sequence_id": p["sequence"], "offset": p["offset"],
-        })
-
-    joined = made.join(F.broadcast(starts) if blocks * len(queues) <= 1_000_000 else starts, (made.source.eqNullSafe(starts.source)) & (made.block == starts.block)).select(made["*"], "first")
-    return joined.groupBy("source", "block").applyInArrow(cut, f"doc_id {doc_type}, source string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+        for batch in batches:
+            for k in range(batch.num_rows):
+                one = batch.slice(k, 1)
+                ids = np.frombuffer(squeeze.decompress(one.column("ids")[0].as_py()), dtype=bpe.dtype).astype("<u4")
+                start, size, at = (one.column("packets").flatten().field(x).to_numpy() for x in ("start", "size", "at"))
+                bounds = [np.stack([at, start])]
+                for a, s, n in zip(at, start, size, strict=True):  # where windows, and sequences of the last one, begin in it
+                    inside = np.append(np.arange(a // length + 1, (a + n - 1) // length + 1) * length, full * length + cuts)
+                    inside = np.unique(inside[(inside > a) & (inside < a + n)])
+                    bounds.append(np.stack([inside, inside - a + s]))
+                at, start = np.concatenate(bounds, axis=1)
+                order = np.argsort(start)
+                at, start = at[order], start[order]
+                size = np.diff(np.append(start, len(ids)))
+                new = np.append(True, (at[1:] != at[:-1] + size[:-1]) | np.isin(at[1:], full * length + cuts) | (at[1:] % length == 0))
+                at, start = at[new], start[new]  # packets that follow each other in a window are one piece
+                size = np.diff(np.append(start, len(ids)))
+                sequence, offset = at // length, at % length
+                last = sequence == full
+                if last.any():
+                    which = np.searchsorted(cuts, offset[last], side="right") - 1
+                    sequence[last] += which
+                    offset[last] -= cuts[which]
+                data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(np.append(start, len(ids)) * 4), pa.py_buffer(ids)]).cast(pa.binary())
+                same = pa.array(np.zeros(len(start), np.int64))
+                yield pa.RecordBatch.from_arrays([one.column("doc_id").take(same), one.column("source").take(same), pa.array(start), pa.array(size), data, pa.array(np.full(len(start), len(ids))), pa.array(sequence), pa.array(offset)], ["doc_id", "source", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+
+    schema = f"doc_id {doc_type}, source string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+    return made.join(own, "row").select("doc_id", "source", "ids", "packets").mapInArrow(cut, schema)

@@ -16,7 +16,7 @@ from pagemill.llm.html import extract
 from pagemill.llm.language import identify, profiles
 from pagemill.llm.maxent import BEGIN, CLASSES, END, MEMBERS, Words, fitted, lm_scores, member_of
 from pagemill.llm.near import ngram_jaccard_join
-from pagemill.llm.packing import pack, served
+from pagemill.llm.packing import pack
 from pagemill.llm.shard import shard
 from pagemill.llm.suffix_dedup import suffix_dedup
 from pagemill.llm.suffixes import collection
@@ -124,28 +124,42 @@ def test_bpe_matches_the_library():
             assert ids[first[i] : first[i + 1]].tolist() == [*library.encode(text or "", add_special_tokens=False).ids, 1]
 
 
-def test_packing(docs, rows):
+@pytest.mark.parametrize(("weights", "packet"), [(None, None), ({"a": 1.0, "b": 6.0, None: 2.0}, 16)])
+def test_packing(spark, docs, rows, weights, packet):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(TOKENIZER)
-    got = pack(docs, tokenizer=TOKENIZER, length=64, rows_a_block=7).toPandas()
+    asked = spark.createDataFrame(list(weights.items()), "source string, weight double") if weights else None
+    twice = docs.unionByName(docs.where("doc_id in (3, 4)")).unionByName(docs.where("doc_id = 5").withColumn("doc_id", F.lit(None).cast("long")))
+    got = pack(twice, tokenizer=TOKENIZER, length=64, weights=asked, packet=packet).toPandas()
     whole = {d: [*library.encode(t or "", add_special_tokens=False).ids, 1] for d, t, *_ in rows}
+    times = {d: 2 if d in (3, 4) else 1 for d in whole}
+    got["doc_id"] = got.doc_id.fillna(-1)
+    whole[-1], times[-1] = whole[5], 1
     assert set(got.doc_id) == set(whole)
-    for d, own in got.sort_values("start").groupby("doc_id"):
-        assert [i for b in own.ids for i in np.frombuffer(b, "<u4")] == whole[d] and set(own.doc_tokens) == {len(whole[d])}
+    for d, own in got.groupby("doc_id"):
+        assert set(own.doc_tokens) == {len(whole[d])} and own.length.sum() == times[d] * len(whole[d])
+        if times[d] == 1:
+            assert [i for b in own.sort_values("start").ids for i in np.frombuffer(b, "<u4")] == whole[d]
     for _, own in got.sort_values("offset").groupby("sequence_id"):
         assert own.offset.tolist() == np.append(0, own.length.cumsum()[:-1]).tolist()
         assert own.length.sum() == 64 or bin(own.length.sum()).count("1") == 1
-    share = got.groupby(got.source.fillna("")).length.sum() / got.length.sum()
-    windows = got.groupby(["sequence_id", got.source.fillna("")]).length.sum().unstack(fill_value=0)
-    windows = windows[windows.sum(axis=1) == 64]
-    assert (windows - 64 * share).abs().max().max() < 2
-
-
-def test_served_is_fair():
-    totals = np.array([100, 7, 0, 3000, 1])
-    s = served(totals, np.arange(3109))
-    assert (np.diff(s, axis=0) >= 0).all() and (s.sum(axis=1) == np.arange(3109)).all() and (s[-1] == totals).all()
+    # until a queue runs dry, it has its share of what was sent, but for a packet, and a round of each queue
+    got["queue"] = got.source.fillna("")
+    windows = got.groupby(["sequence_id", "queue"]).length.sum().unstack(fill_value=0)
+    total = windows.sum()
+    share = total / total.sum() if not weights else {k or "": v / sum(weights.values()) for k, v in weights.items()}
+    sent, largest = windows.cumsum(), packet or 64
+    dry = int((sent >= total).to_numpy().any(axis=1).argmax())
+    for q in total.index:
+        assert (sent[q] - sent.sum(axis=1) * share[q])[:dry].abs().max() <= 2 * 64 + 3 * largest
+
+
+def test_pieces_stay_long(spark):
+    """Mixing cuts a document only where windows end: two pieces more than documents and windows at most."""
+    data = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = pack(data, tokenizer=TOKENIZER).agg(F.count("*"), F.countDistinct("sequence_id"), F.countDistinct("doc_id"), F.median("length")).first()
+    assert got[0] <= got[1] * 2 + got[2] and got[3] > 250
 
 
 def test_top_k(spark):
