@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from pagemill.llm import arrays as A
 from pagemill.llm.graph import components
-from pagemill.llm.session import fresh, partitions, saved
+from pagemill.llm.session import fresh, partitions, saved, swept
 
 WORDS, THRESHOLD, RECALL, TREES, DEPTH = 5, 0.8, 0.9999, 24, 8
 #: Documents and bytes of text of a block of exact comparisons.
@@ -234,7 +234,9 @@ def ngram_jaccard_join(documents: DataFrame, *, text: str = "text", doc_id: str
         if near is not None and edges.where(F.col("shared") == now).isEmpty():
             continue
         before = near
-        near = saved(components(edges.where(F.col("shared") >= now)))
+        met_now = edges.where(F.col("shared") == now).select("a", "b")  # beside what is connected already
+        near = saved(components(met_now if before is None else met_now.unionByName(before.select(F.col("node").alias("a"), F.col("component").alias("b")))))
+        swept(documents.sparkSession)
         if before is None:
             grown = near
         else:  # a component of the same least node and size is the same one
