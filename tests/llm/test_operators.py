@@ -20,7 +20,7 @@ from pagemill.llm.packing import pack
 from pagemill.llm.shard import shard
 from pagemill.llm.suffix_dedup import suffix_dedup
 from pagemill.llm.suffixes import collection
-from pagemill.llm.topk import top_k
+from pagemill.llm.topk import block_pairs, top_k
 from pagemill.llm.urls import filter_urls
 
 TOKENIZER = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
@@ -166,16 +166,32 @@ def test_top_k(spark):
     rng = np.random.default_rng(0)
     vectors = rng.normal(size=(400, 12)) * rng.exponential(size=(400, 1))
     vectors[7] = vectors[9]
-    data = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)] + [(400, None), (500, [1.0, None]), (600, [float("nan")] * 12), (None, [1.0]), (700, [])]
-    got = top_k(spark.createDataFrame(data, "vec_id long, embedding array<double>"), queries=F.col("vec_id") % 20 == 0, block_rows=64, query_rows=5).collect()
-    whole = np.floor(1024 * vectors).astype(np.int64)
-    found = {}
-    for r in sorted(got, key=lambda r: r["rank"]):
-        found.setdefault(r.query_id, []).append((r.vec_id, r.score))
-    assert set(found) == set(range(0, 400, 20))
-    for q, own in found.items():
+    vectors[20] = 0
+    data = [(i, [float(x) for x in v], "s", 1) for i, v in enumerate(vectors)]
+    data += [(40, data[3][1], "s", 1), (800, [], "s", 1), (802, [0.5], "s", 1), (500, None, "s", 1), (500, [1.0, None], "s", 1), (600, [float("nan")] * 12, "s", 1), (None, [1.0], "s", 1), (700, [float("inf")], "s", 1)]
+    table = spark.createDataFrame(data, "vec_id long, embedding array<double>, score string, row int").repartition(3)
+    got = top_k(table, queries=F.col("vec_id") % 20 == 0, block_rows=64, query_rows=5).collect()
+    ids = np.array([*range(400), 40, 800, 802])
+    whole = np.floor(1024 * np.concatenate([vectors, vectors[3:4], np.zeros((2, 12))])).astype(np.int64)
+    whole[402, 0] = 512
+    want = []
+    for q in np.flatnonzero(ids % 20 == 0):
         scores = whole @ whole[q]
-        assert own == [(i, scores[i]) for i in np.lexsort((np.arange(400), -scores)) if i != q][:10]
+        best = [i for i in np.lexsort((ids, -scores)) if i != q][:10]
+        want += [(ids[q], n + 1, ids[i], scores[i]) for n, i in enumerate(best)]
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+def test_pairs_of_blocks_are_pruned(spark):
+    """Blocks of short candidates never meet queries that longer ones have satisfied."""
+    asked = spark.createDataFrame([(k, float(k)) for k in range(10)] + [(99, float("-inf"))], "qb long, need double")
+    blocks = spark.createDataFrame([(k, k / 10) for k in range(100)], "cb long, longest double")
+    got = {tuple(r) for r in block_pairs(asked, blocks).collect()}
+    assert got == {(q, c) for q in range(10) for c in range(100) if c / 10 >= q} | {(99, c) for c in range(100)}
+    rng = np.random.default_rng(1)
+    data = [(i, [float(x) for x in rng.normal(size=4) * (100 if i < 50 else 0.1)]) for i in range(3000)]
+    plan = top_k(spark.createDataFrame(data, "vec_id long, embedding array<double>"), queries=F.col("vec_id") % 100 == 0, block_rows=64)
+    assert plan.count() == 300
 
 
 def test_lm_scores(docs, rows):
