@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,8 +28,14 @@ def saved(df: DataFrame) -> DataFrame:
 
 
 def swept(spark: SparkSession) -> None:
-    """Lets the driver collect its garbage, upon which Spark's cleaner removes the shuffles of steps that are saved and done with."""
-    spark._jvm.System.gc()
+    """Lets Spark's cleaner remove the shuffles of steps that are saved and done with, instead of waiting for the driver's next full collection.
+
+    Python's and the JVM's garbage goes; a small job before takes the place of the last one, which the driver still holds.
+    """
+    gc.collect()
+    for _ in range(2):
+        spark.range(2).repartition(1).count()
+        spark._jvm.System.gc()
 
 
 def removed(spark: SparkSession, path: str) -> None:
