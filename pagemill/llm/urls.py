@@ -15,6 +15,9 @@ from pagemill.llm.session import fresh
 
 #: (verdict, host, path)
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+ROWS_A_TASK = 100_000
+#: Rules up to which their last labels are broadcast.
+FEW = 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -44,29 +47,40 @@ def _stacks(rules: DataFrame) -> DataFrame:
     return entries.groupBy("key").agg(F.sort_array(F.collect_list(entry)).alias("stack"))
 
 
-def filter_urls(pages: DataFrame, rules: DataFrame | None = None, *, url: str = "url", default: str = "allow", salts: int = 64) -> DataFrame:
+def _few(rules: DataFrame) -> bool:
+    return rules.limit(FEW + 1).count() <= FEW
+
+
+def filter_urls(pages: DataFrame, rules: DataFrame | None = None, *, url: str = "url", default: str = "allow", rows_a_task: int = ROWS_A_TASK) -> DataFrame:
     """pages with host, path, rule and verdict; columns of these names are replaced.
 
     A rule (host, path, verdict) fits urls of its host and all subdomains whose path starts with the rule's. The longest
     fitting rule wins (of equal length, the one with the longer host; then block before allow is decided by the verdict's
     name, the later one winning). Without a fitting rule, `rule` is null and the verdict is `default`.
 
-    Pages are dealt by the last label of their host and their place in the input, `salts` ways, so that one host or top-level
-    domain spreads over many tasks; rules are repeated for each salt. Null urls, and urls without ://, have an empty host
+    Pages are dealt by the last label of their host and, where that has more than rows_a_task pages, by their place in the input,
+    so that one host or top-level domain spreads over as many tasks as it takes; rules are repeated for each. Null urls, and urls without ://, have an empty host
     and path and fit no rule. Rules with a null or empty host are ignored. Repeated rows are each judged.
     """
     spark = pages.sparkSession
     if rules is None:
         rules = spark.createDataFrame(RULES, "verdict string, host string, path string")
     columns = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    host, path, key, top, salt, stack, best = fresh(columns, "host", "path", "sort_key", "top_label", "salt", "stack", "best")
+    host, path, key, top, salt, stack, best, is_rule, salts = fresh(columns, "host", "path", "sort_key", "top_label", "salt", "stack", "best", "is_rule", "salts")
     rules = rules.select("host", F.coalesce("path", F.lit("")).alias("path"), "verdict").where("host is not null and host <> ''")
     first_label = lambda c: F.substring_index(c, ".", 1)
-    stacks = _stacks(rules).select(F.col("key").alias(key), first_label("key").alias(top), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias(salt), F.col("stack").alias(stack), F.lit(True).alias("is_rule"))
     rows = pages.select(*columns, host_of(F.col(url)).alias(host), path_of(F.col(url)).alias(path))
-    rows = rows.withColumn(key, reversed_host(F.col(host))).withColumn(top, first_label(key)).withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")).withColumn("is_rule", F.lit(False))
-    sweep = Window.partitionBy(top, salt).orderBy(key, F.desc("is_rule")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    swept = rows.unionByName(stacks, allowMissingColumns=True).withColumn(stack, F.last(stack, ignorenulls=True).over(sweep)).where(~F.col("is_rule"))
+    rows = rows.withColumn(key, reversed_host(F.col(host))).withColumn(top, first_label(key))
+    ruled = _stacks(rules).select(F.col("key").alias(key), first_label("key").alias(top), F.col("stack").alias(stack))
+    # only last labels that rules have are counted; pages of others meet no rule and need no sweep
+    tops = F.broadcast(ruled.select(top).distinct()) if _few(rules) else ruled.select(top).distinct()
+    sized = rows.join(tops, top, "left_semi").groupBy(top).agg(F.ceil(F.count("*") / rows_a_task).cast("int").alias(salts))
+    sized = F.broadcast(sized) if _few(rules) else sized
+    stacks = ruled.join(sized, top).select(key, top, stack, F.explode(F.sequence(F.lit(0), F.col(salts) - 1)).alias(salt), F.lit(True).alias(is_rule))
+    place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce(F.col(salts), F.lit(1))).cast("int")
+    rows = rows.join(sized, top, "left").withColumn(salt, F.when(F.col(salts).isNotNull(), place).otherwise(-1 - F.pmod(F.xxhash64(key), F.lit(1 << 20)).cast("int"))).drop(salts).withColumn(is_rule, F.lit(False))
+    sweep = Window.partitionBy(top, salt).orderBy(key, F.desc(is_rule)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = rows.unionByName(stacks, allowMissingColumns=True).withColumn(stack, F.last(stack, ignorenulls=True).over(sweep)).where(~F.col(is_rule))
     fits = F.filter(stack, lambda r: F.startswith(F.col(key), r["key"]) & F.startswith(F.col(path), r["path"]))
     found = swept.withColumn(best, F.array_max(F.transform(fits, lambda r: F.struct(F.length(r["rule"]).alias("n"), r["depth"].alias("depth"), r["verdict"].alias("verdict"), r["rule"].alias("rule")))))
     return found.select(*columns, F.col(host).alias("host"), F.col(path).alias("path"), F.col(best)["rule"].alias("rule"), F.coalesce(F.col(best)["verdict"], F.lit(default)).alias("verdict"))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -236,24 +237,41 @@ def test_lm_beats_its_base(spark):
     assert got[0] > got[1]
 
 
-def test_shard(docs, rows):
-    got = shard(docs.select("doc_id", "text", "key"), shards=5).toPandas()
-    assert len(got) == len(rows) and set(got.law) == {"bytes"} and set(got.key) == {"k"}
-    largest = got["size"].max()
+@pytest.mark.parametrize(("tolerance", "ranges"), [(0.02, None), (0.5, None), (0.02, 3), (0.3, 7)])
+def test_shard(docs, rows, tolerance, ranges):
+    many = docs.select("doc_id", "text", "key").unionByName(docs.select(F.lit(None).cast("long").alias("doc_id"), F.lit("one and the same text").alias("text"), "key"))
+    many = many.unionByName(docs.where("doc_id < 9").select("doc_id", "text", "key"))
+    got = shard(many, shards=5, tolerance=tolerance, ranges=ranges).toPandas()
+    assert len(got) == 2 * len(rows) + 9 and set(got.law) == {"bytes"} and set(got.key) == {"k"}
+    whole = got["size"].sum()
     sums = got.groupby("shard")["size"].sum()
-    assert (sums - got["size"].sum() / 5).abs().max() <= largest
+    groups = got.groupby(["text_crc32", "size"])
+    small = [g for _, g in groups if g["size"].sum() <= tolerance * whole / 5]
+    assert all(g.shard.nunique() == 1 for g in small) and len(small) > 30
+    largest = max(max(g["size"].sum() for g in small), got["size"].max())
+    assert (sums - whole / 5).abs().max() <= largest
     for _, own in got.groupby("shard"):
         assert sorted(own.slot) == list(range(len(own)))
+    texts = {d: t for d, t, *_ in rows}
+    for r in got[got.doc_id.notna()].itertuples():
+        data = (texts[int(r.doc_id)] or "").encode()
+        assert (r.size, r.text_crc32) == (len(data) + 16, zlib.crc32(data))
 
 
 def test_urls(spark):
     urls = ["http://a.example.net/en/1", "http://example.net/de/", "https://X.org/fr/a?b", "http://org", "http://notexample.com/de/", "http://b.example.com/de/x#y", None, "nothing", "http://x.net"]
-    got = {r.url: (r.host, r.path, r.rule, r.verdict) for r in filter_urls(spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id int, url string")).collect()}
-    assert got["http://a.example.net/en/1"] == ("a.example.net", "/en/1", "example.net/en/", "allow")
-    assert got["http://example.net/de/"][2:] == ("net/", "block")
-    assert got["https://X.org/fr/a?b"] == ("x.org", "/fr/a", "org/fr/", "allow")
-    assert got["http://b.example.com/de/x#y"] == ("b.example.com", "/de/x", "example.com/de/", "block")
-    assert got["http://notexample.com/de/"][2:] == (None, "allow") and got["http://x.net"] == ("x.net", "", None, "allow") and got[None] == ("", "", None, "allow") == got["nothing"]
+    data = [(i % 5, u, "s", 1, "t") for i, u in enumerate(urls * 30)]
+    for rows_a_task in (7, 1000):
+        all_ = filter_urls(spark.createDataFrame(data, "page_id int, url string, salt string, is_rule int, host string").repartition(3), rows_a_task=rows_a_task).collect()
+        got = {r.url: (r.host, r.path, r.rule, r.verdict) for r in all_}
+        assert Counter((r.page_id, r.url, r.salt, r.is_rule) for r in all_) == Counter((*x[:2], "s", 1) for x in data) and len({(r.url, r.host, r.path, r.rule, r.verdict) for r in all_}) == 9
+        assert got["http://a.example.net/en/1"] == ("a.example.net", "/en/1", "example.net/en/", "allow")
+        assert got["http://example.net/de/"][2:] == ("net/", "block")
+        assert got["https://X.org/fr/a?b"] == ("x.org", "/fr/a", "org/fr/", "allow")
+        assert got["http://b.example.com/de/x#y"] == ("b.example.com", "/de/x", "example.com/de/", "block")
+        assert got["http://notexample.com/de/"][2:] == (None, "allow") and got["http://x.net"] == ("x.net", "", None, "allow") and got[None] == ("", "", None, "allow") == got["nothing"]
+    none = spark.createDataFrame([], "verdict string, host string, path string")
+    assert {r.verdict for r in filter_urls(spark.createDataFrame(data, "page_id int, url string, salt string, is_rule int, host string"), none).collect()} == {"allow"}
 
 
 def test_html(spark):
