@@ -1,9 +1,9 @@
 """Benchmark decontamination by winnowing.
 
 Each run of six consecutive five-word hashes (ten words) keeps its minimum, in documents and benchmark alike, so two texts
-that share ten words in a row share a fingerprint. The benchmark's fingerprints meet those of the documents in a hash join
-inside the scan of the documents; hits are extended to whole windows, whose hashes decide. Items shorter than a window are
-matched by their own length.
+that share ten words in a row share a fingerprint. Fingerprints of benchmark and documents are joined, hits are extended to whole
+windows, whose hashes decide. Items shorter than a window are matched by their own length. A small benchmark is broadcast, and the
+joins are lookups inside one scan of the documents; a larger one is joined by shuffles of fingerprints, then of windows under them.
 """
 
 from __future__ import annotations
@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagemill.llm import arrays as A
-from pagemill.llm.session import fresh
+from pagemill.llm.session import fresh, saved
 
 WINDOW, GRAM = 10, 5
+#: Bytes of a benchmark that is broadcast; its tables take some four times as much in each worker.
+MOST_BYTES = 8 << 20
 
 
 def _words(column: pa.Array) -> tuple[A.Rolling, np.ndarray, np.ndarray]:
@@ -38,7 +40,7 @@ def _winnowed(words: A.Rolling, window: int, gram: int) -> np.ndarray:
 
 
 class Benchmark:
-    """Windows of a bounded part of the benchmark, as sorted arrays."""
+    """Windows of a small benchmark, as sorted arrays."""
 
     def __init__(self, ids: list, texts: pa.Array, window: int, gram: int):
         self.window, self.gram = window, gram
@@ -72,56 +74,134 @@ class Benchmark:
                 yield width, at[place >= 0], place[place >= 0]
 
 
-def _step(part: Benchmark | object, text: str, columns: list[str], carried: list[str], last: bool):
-    """A scan of documents against one part of the benchmark; the two carried columns gather a bit for each word, and items, over parts."""
+RESULT = {"n_words": "long", "n_hit": "long", "n_items": "long", "items": "array<string>", "items_sha256": "string", "contaminated": "boolean"}
+
+
+def _result(rows: pa.RecordBatch | pa.Table, columns: list[str], n_words: np.ndarray, hit: list[np.ndarray], items: list[list[str]]) -> pa.RecordBatch:
+    """The rows with their result, by words that are hit and sorted items."""
+    n_hit = np.array([x.sum() for x in hit], dtype=np.int64)
+    digests = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
+    own = [rows.column(c) for c in columns]
+    made = [pa.array(n_words), pa.array(n_hit), pa.array([len(x) for x in items], pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(digests, pa.string()), pa.array(n_hit > 0)]
+    return pa.RecordBatch.from_arrays([*(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in own), *made], [*columns, *RESULT])
+
+
+def _covered(n: int, at: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """Of n words those in windows that start at the places."""
+    change = np.zeros(n + 1, dtype=np.int64)
+    np.add.at(change, at, 1)
+    np.add.at(change, at + width, -1)
+    return np.cumsum(change)[:n] > 0
+
+
+def _scan(known, text: str, columns: list[str]):
+    """Documents against a benchmark that is broadcast."""
 
     def run(batches):
-        bench = part.value
+        bench = known.value
+        names = np.array(bench.names, dtype=object)
         for batch in batches:
             for rows in A.slices(batch, text):
                 words, first, left = _words(rows.column(text))
-                n = len(left)
-                hit = np.zeros(n + 1, dtype=np.int64)
-                pairs = []
-                for width, at, place in bench.hits(words, left):
-                    np.add.at(hit, at, 1)
-                    np.add.at(hit, at + width, -1)
-                    _, start, owner = bench.tables[width]
-                    count = start[place + 1] - start[place]
-                    doc = np.searchsorted(first, at, side="right") - 1
-                    pairs.append(np.stack([np.repeat(doc, count), owner[A.spread(start[place], count)]], axis=1))
-                hit = np.cumsum(hit)[:n] > 0
+                at, width, pairs = [], [], []
+                for own, places, found in bench.hits(words, left):
+                    at.append(places)
+                    width.append(np.full(len(places), own))
+                    _, start, owner = bench.tables[own]
+                    count = start[found + 1] - start[found]
+                    doc = np.searchsorted(first, places, side="right") - 1
+                    pairs.append(np.stack([np.repeat(doc, count), owner[A.spread(start[found], count)]], axis=1))
+                hit = _covered(len(left), np.concatenate(at), np.concatenate(width)) if at else np.zeros(len(left), dtype=bool)
                 pairs = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
                 near = np.searchsorted(pairs[:, 0], np.arange(rows.num_rows + 1))
-                names = np.array(bench.names, dtype=object)
-                bits, items = [], []
-                before = [rows.column(c).to_pylist() for c in carried]
-                for i in range(rows.num_rows):
-                    own = hit[first[i] : first[i + 1]]
-                    if before[0][i] is not None:
-                        own = own | np.unpackbits(np.frombuffer(before[0][i], np.uint8), count=len(own)).astype(bool)
-                    bits.append(own)
-                    items.append(sorted({*names[pairs[near[i] : near[i + 1], 1]], *(before[1][i] or [])}))
-                out = [rows.column(c) for c in columns]
-                if last:
-                    n_hit = np.array([x.sum() for x in bits], dtype=np.int64)
-                    digests = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
-                    out += [pa.array(np.diff(first)), pa.array(n_hit), pa.array([len(x) for x in items], pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(digests), pa.array(n_hit > 0)]
-                    yield pa.RecordBatch.from_arrays(out, [*columns, "n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated"])
-                else:
-                    out += [pa.array([np.packbits(x).tobytes() for x in bits], pa.binary()), pa.array(items, pa.list_(pa.string()))]
-                    yield pa.RecordBatch.from_arrays(out, [*columns, *carried])
+                items = [sorted(set(names[pairs[near[i] : near[i + 1], 1]])) for i in range(rows.num_rows)]
+                yield _result(rows, columns, np.diff(first), [hit[first[i] : first[i + 1]] for i in range(rows.num_rows)], items)
 
     return run
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM, part_bytes: int = 64 << 20) -> DataFrame:
+def _joined(documents: DataFrame, items: DataFrame, text: str, columns: list[str], window: int, gram: int, schema: T.StructType) -> DataFrame:
+    """Documents against a benchmark of any size: fingerprints meet, then windows under fingerprints that met."""
+    row, prints, found = fresh(columns, "row", "prints", "found")
+    docs = saved(documents.select(*columns)).withColumn(row, F.monotonically_increasing_id())
+
+    def windows(words: A.Rolling, first: np.ndarray, left: np.ndarray, widths: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each width the places of windows and their fingerprints (of shorter ones their hashes)."""
+        for width in widths:
+            at = np.flatnonzero(left >= width)
+            if len(at):
+                yield width, at, (_winnowed(words, window, gram) if width == window else words.windows(width))[at]
+
+    def of_items(batches):
+        """(width, print, hash, id) of the items' windows; an item of fewer words is one window."""
+        for batch in batches:
+            for own in A.slices(batch, "text"):
+                words, first, left = _words(own.column("text"))
+                length = np.diff(first)
+                for width in [window, *sorted(set(length[(length > 0) & (length < window)].tolist()))]:
+                    at = np.flatnonzero(left >= width) if width == window else first[:-1][length == width]
+                    if len(at):
+                        hashes = words.windows(width)[at]
+                        printed = _winnowed(words, window, gram)[at] if width == window else hashes
+                        ids = own.column("id").take(pa.array(np.searchsorted(first, at, side="right") - 1))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), width, np.int32)), pa.array(printed.view(np.int64)), pa.array(hashes.view(np.int64)), ids], ["width", "print", "hash", "id"])
+
+    bench = saved(items.select(F.col("id").cast("string").alias("id"), "text").mapInArrow(of_items, "width int, print long, hash long, id string").distinct())
+    widths = sorted({r.width for r in bench.select("width").distinct().collect()} | {window})  # at most `window`
+
+    def ask(batches):
+        for batch in batches:
+            for own in A.slices(batch, text):
+                words, first, left = _words(own.column(text))
+                for width, at, printed in windows(words, first, left, widths):
+                    doc = np.searchsorted(first, at, side="right") - 1
+                    pairs = np.unique(np.rec.fromarrays([doc, printed], names="d,p"))
+                    yield pa.RecordBatch.from_arrays([own.column(row).take(pa.array(np.asarray(pairs.d))), pa.array(np.full(len(pairs), width, np.int32)), pa.array(np.asarray(pairs.p).view(np.int64))], ["row", "width", "print"])
+
+    asked = docs.select(F.col(text).alias(text), F.col(row).alias(row)).mapInArrow(ask, "row long, width int, print long")
+    met = asked.join(bench.select("width", "print").distinct(), ["width", "print"]).groupBy("row").agg(F.collect_list(F.struct("width", "print")).alias(prints))
+
+    def extend(batches):
+        for batch in batches:
+            for own in A.slices(batch, text):
+                words, first, left = _words(own.column(text))
+                lists = own.column(prints)
+                wanted = {(d, *x.values()) for d in range(own.num_rows) for x in lists[d].as_py()}
+                for width, at, printed in windows(words, first, left, widths):
+                    doc = np.searchsorted(first, at, side="right") - 1
+                    use = np.fromiter(((d, width, p) in wanted for d, p in zip(doc.tolist(), printed.view(np.int64).tolist(), strict=True)), dtype=bool, count=len(at))
+                    at, doc = at[use], doc[use]
+                    if len(at):
+                        hashes = words.windows(width)[at]
+                        yield pa.RecordBatch.from_arrays([own.column("row").take(pa.array(doc)), pa.array(np.full(len(at), width, np.int32)), pa.array(hashes.view(np.int64)), pa.array(at - first[doc])], ["row", "width", "hash", "at"])
+
+    texts = docs.select(F.col(row).alias("row"), F.col(text).alias(text))
+    under = texts.join(met, "row").select("row", text, prints).mapInArrow(extend, "row long, width int, hash long, at long")
+    hits = under.join(bench.select("width", "hash", "id"), ["width", "hash"])
+    hits = hits.groupBy("row").agg(F.array_sort(F.collect_set("id")).alias("items"), F.collect_set(F.struct("at", "width")).alias("places"))  # a document's own
+    hits = hits.select(F.col("row").alias(row), F.struct("items", "places").alias(found))
+
+    def judge(batches):
+        for batch in batches:
+            for own in A.slices(batch, text):
+                _, first, _ = _words(own.column(text))
+                hit, names = [], []
+                for n, x in zip(np.diff(first), own.column(found).to_pylist(), strict=True):
+                    places = x["places"] if x else []
+                    hit.append(_covered(n, np.array([p["at"] for p in places], np.int64), np.array([p["width"] for p in places], np.int64)))
+                    names.append(sorted(x["items"]) if x else [])
+                yield _result(own, columns, np.diff(first), hit, names)
+
+    return docs.join(hits, row, "left").select(*columns, found).mapInArrow(judge, schema)
+
+
+def decontaminate(documents: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM, most_bytes: int = MOST_BYTES) -> DataFrame:
     """documents with n_words, n_hit, n_items, items, items_sha256 and contaminated; columns of these names are replaced.
 
     Words are runs of ASCII letters (lower-cased), digits and characters above ASCII. A document word inside any occurrence
-    of `window` consecutive words of an item (of the whole item, if it is shorter) is hit. Texts are scanned whole, without
-    a shuffle. The benchmark reaches the tasks in broadcast parts of at most about part_bytes bytes, as many as it takes; a
-    benchmark of any size works, and each further part costs a pass inside the same stage.
+    of `window` consecutive words of an item (of the whole item, if it is shorter) is hit. Texts are scanned whole. A benchmark of up to
+    most_bytes is broadcast and documents are not shuffled; a larger one is joined by fingerprint. Words and windows are told apart by
+    64-bit hashes.
 
     Null texts have no words. Items without words, and those with a null id, match nothing. Rows repeated in the benchmark
     count once for each id; repeated documents are each judged. An empty benchmark leaves every document clean, and empty
@@ -130,17 +210,10 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, *, text: str = "te
     spark = documents.sparkSession
     items = benchmark.select(F.col(item_id).alias("id"), F.col(item_text).alias("text")).where("id is not null and text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-total // part_bytes))
-    made = {"n_words": "long", "n_hit": "long", "n_items": "long", "items": "array<string>", "items_sha256": "string", "contaminated": "boolean"}
-    columns = [c for c in documents.columns if c not in made]
-    schema = T.StructType([documents.schema[c] for c in columns])
-    bits, names = carried = fresh(columns, "hit_bits", "hit_items")
-    out = documents.select(*columns, F.lit(None).cast("binary").alias(bits), F.lit(None).cast("array<string>").alias(names))
-    for k in range(parts):
-        own = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == k).toArrow()
-        part = spark.sparkContext.broadcast(Benchmark(own.column("id").to_pylist(), own.column("text"), window, gram))
-        last = k == parts - 1
-        more = made if last else {bits: "binary", names: "array<string>"}
-        kind = T.StructType([*schema.fields, *(T.StructField(c, T._parse_datatype_string(t)) for c, t in more.items())])
-        out = out.mapInArrow(_step(part, text, columns, carried, last), kind)
-    return out
+    columns = [c for c in documents.columns if c not in RESULT]
+    schema = T.StructType([*(documents.schema[c] for c in columns), *(T.StructField(c, T._parse_datatype_string(t)) for c, t in RESULT.items())])
+    if total > most_bytes:
+        return _joined(documents, items, text, columns, window, gram, schema)
+    own = items.toArrow()
+    known = spark.sparkContext.broadcast(Benchmark(own.column("id").to_pylist(), own.column("text"), window, gram))
+    return documents.select(*columns).mapInArrow(_scan(known, text, columns), schema)
