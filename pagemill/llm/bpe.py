@@ -39,6 +39,8 @@ def _kind() -> np.ndarray:
 def piece_starts(points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Where PATTERN's matches start in texts laid end to end."""
     n = len(points)
+    if not n:
+        return np.zeros(0, np.int64)
     kind = _kind()[points]
     edge = np.zeros(n + 1, dtype=bool)
     edge[offsets] = True
