@@ -20,7 +20,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; profiles are learned from the training fold of the documents. lang becomes the prediction."""
+    """Documents with a language; profiles are learned from the training fold of the documents. lang becomes the prediction.
+
+    Texts that are null or have no letter go. Null and repeated doc_ids stay, as do repeated rows; an empty table stays empty.
+    """
     judged = identify(docs, profiles(docs.where(fold() != 0)))
     return judged.where("lang_pred <> 'und'").withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
@@ -42,17 +45,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of 50 bytes that a document of smaller doc_id has."""
+    """Texts without the strings of 50 bytes that a document of smaller doc_id has; n_chars is of what is left.
+
+    All rows stay, also those that are left empty. A null doc_id neither takes nor loses; rows of one doc_id take nothing from each other.
+    """
     return suffix_dedup(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without ten words in a row of a benchmark item."""
+    """Documents without ten words in a row of a benchmark item (all its words, if it has fewer). Null and empty texts are clean and stay."""
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("not contaminated").select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 2048 tokens, mixed by source."""
+    """Pieces of all documents in sequences of 2048 tokens, mixed by source. Null and empty texts are one end token; null sources are a queue."""
     return pack(docs, tokenizer=tokenizer_path()).select("doc_id", "source", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")
 
 
