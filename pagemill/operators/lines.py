@@ -184,6 +184,7 @@ def layout_lines(items: DataFrame) -> DataFrame:
         closed = a["str"].rlike(f"{X.WS}$|{NO_BLANK_AFTER}$") | b["str"].rlike(f"^{X.WS}|^{NO_BLANK_BEFORE}") | (a["str"].rlike(f"[{CJK}]$") & b["str"].rlike(f"^[{CJK}]"))
         return ~closed & (gap > 0) & (gap > held(mean))
 
-    joined = F.transform("items", lambda x, i: F.concat(F.when((i > 0) & blank(F.get("items", i - 1), x), " ").otherwise(""), x["str"]))
+    before = F.concat(F.slice("items", 1, 1), F.slice("items", F.lit(1), F.size("items") - 1))  # the first one before itself, which takes no blank
+    joined = F.zip_with("items", before, lambda x, y: F.concat(F.when(blank(y, x), " ").otherwise(""), x["str"]))
     lines = lines.select(*PAGE, "line_no", F.array_join(joined, "").alias("text"), "rtl")
     return lines.withColumn("text", X.clean_rtl_line("text", F.col("rtl"))).where("text <> ''")
