@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,10 +31,12 @@ def saved(df: DataFrame) -> DataFrame:
 def swept(spark: SparkSession) -> None:
     """Lets Spark's cleaner remove the shuffles of steps that are saved and done with, instead of waiting for the driver's next full collection.
 
-    Python's and the JVM's garbage goes; a small job before takes the place of the last one, which the driver still holds.
+    Python's and the JVM's garbage goes; a small job before takes the place of the last one, which the driver still holds. The
+    JVM hears of Python's garbage a moment later.
     """
     gc.collect()
     for _ in range(2):
+        time.sleep(1)
         spark.range(2).repartition(1).count()
         spark._jvm.System.gc()
 
