@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill.llm.binpack import pack_best_fit
 from pagemill.llm.decontaminate import decontaminate
 from pagemill.llm.html import extract
 from pagemill.llm.language import identify, profiles
 from pagemill.llm.maxent import lm_scores
 from pagemill.llm.near import ngram_jaccard_join
 from pagemill.llm.packing import pack
+from pagemill.llm.runs import periodic_runs
 from pagemill.llm.shard import shard
 from pagemill.llm.suffix_dedup import suffix_dedup
 from pagemill.llm.topk import top_k
 from pagemill.llm.urls import filter_urls
+from pagemill.llm.whiten import whiten
 
 
 def tokenizer_path() -> str:
@@ -77,13 +80,44 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(rows.select("doc_id", "text"), known).withColumn("held_out", F.coalesce(fold() == 0, F.lit(False))).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return whiten(vectors).select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
+def planted() -> Column:
+    """text, or for a tenth of the documents its words up to a place and from there on the next few again and again."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    n, g = F.size(words), F.floor(h / 10)
+    a = F.pmod(g, n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))).cast("int")
+    again = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+    changed = F.array_join(F.concat(F.slice(words, F.lit(1), a), F.slice(again, F.lit(1), n - a)), " ")
+    return F.when((h % 10 == 0) & F.coalesce(n > 0, F.lit(False)), changed).otherwise(F.col("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(documents(spark, sf_dir).select("doc_id", planted().alias("text")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), F.concat(r["period"].cast("string"), F.lit("\n")))), "")
+    rows = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("m"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    own = [(-F.col("m.start")).alias("start"), F.col("m.length").alias("length"), (-F.col("m.period")).alias("period")]
+    return rows.select("doc_id", "n_runs", *own, F.floor(F.col("m.length") * 1000 / -F.col("m.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack_best_fit(documents(spark, sf_dir), tokenizer=tokenizer_path())
+    return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_ngram_jaccard_join, op3_packing, op4_topk_inner_product, op5_lm_scoring, op6_sharding, op7_url_filter, op8_html_extraction, op9_decontamination, op10_language_id, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_ngram_jaccard_join, op3_packing, op4_topk_inner_product, op5_lm_scoring, op6_sharding, op7_url_filter, op8_html_extraction, op9_decontamination, op10_language_id, op11_embedding_whitening, op12_periodic_runs, op13_best_fit_packing, pipeline)}
 
 ORACLE_SQL = {
     "op4_topk_inner_product": """
