@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: White space as web clients have it.
 WS = r"[\t-\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
@@ -42,7 +38,7 @@ def count_of(c: Column | str, pattern: str) -> Column:
 def normalize_line(line: Column | str) -> Column:
     """Digits to ASCII, white space to single blanks, tatweel away, trimmed, lower case."""
     digits = F.translate(col(line), PERSIAN_ARABIC_DIGITS, "01234567890123456789")
-    return F.lower(trim(F.regexp_replace(F.regexp_replace(digits, f"{WS}+", " "), "ـ+", "")))
+    return F.lower(F.trim(F.replace(F.regexp_replace(digits, f"{WS}+", " "), F.lit("ـ"), F.lit(""))))
 
 
 def mostly_latin(line: Column | str, letters: str = LATIN, least: int = 6, times: int = 2) -> Column:
@@ -66,8 +62,9 @@ def joined_words(line: Column) -> Column:
     whole = out
     for a, b in halves:
         whole = F.regexp_replace(whole, _bounded(rf"(?i:({a}){WS}+({b}))"), "$1$2")
-    some = "|".join(rf"{a}{WS}+{b}" for a, b in halves)
-    return F.when(out.rlike(f"(?i:{some})"), whole).otherwise(out)  # few lines have one, so one pass suffices for most
+    # few lines have one; it is looked for in the line as it was, where a second half may still lack its own ending
+    some = "|".join(rf"{a}{WS}+{b[:2]}" for a, b in halves)
+    return F.when(line.rlike(f"(?i:{some})"), whole).otherwise(out)
 
 
 def repair_latin_breaks(text: Column | str, latin=mostly_latin) -> Column:
@@ -76,14 +73,15 @@ def repair_latin_breaks(text: Column | str, latin=mostly_latin) -> Column:
     return F.array_join(lines, "\n")
 
 
-@F.pandas_udf(T.StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+def nfkc(text: Column | str) -> Column:
+    """Unicode's compatibility form with composition, by the library for it that Spark brings along; ASCII is left as it is, null stays null."""
+    made = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), col(text), F.lit(True))
+    return F.when(col(text).rlike(r"[^\x00-\x7F]"), made).otherwise(col(text))
 
 
 def compatible(text: Column | str, where: Column) -> Column:
-    """NFKC where the condition holds. Other rows pass Python as nulls, in Arrow batches."""
-    return F.when(where, nfkc(F.when(where, col(text)))).otherwise(col(text))
+    """nfkc where the condition holds."""
+    return F.when(where, nfkc(text)).otherwise(col(text))
 
 
 def has_script(line: Column | str) -> Column:
@@ -141,7 +139,7 @@ def tidy_ocr(text: Column | str, lang: str) -> Column:
 
 
 def clean_rtl_line(line: Column | str, rtl: Column) -> Column:
-    out = F.regexp_replace(compatible(line, col(line).isNotNull()), "[Ѧѧ]", "")
+    out = F.regexp_replace(nfkc(line), "[Ѧѧ]", "")
     out = trim(F.regexp_replace(F.regexp_replace(out, r"\(cid:\d+\)", ""), r"[ \t]+", " "))
     right = F.regexp_replace(F.translate(out, "ھ", "ه"), rf"([{SCRIPTS}]{{3,}})\1", "$1")
     return F.when(rtl, right).otherwise(out)
@@ -149,7 +147,7 @@ def clean_rtl_line(line: Column | str, rtl: Column) -> Column:
 
 def speech_normalize(text: Column | str) -> Column:
     """Spellings that a voice reads well."""
-    out = compatible(text, col(text).rlike(r"[^\x00-\x7F]"))
+    out = nfkc(text)
     for pattern, to in [
         (r"\u00AD", ""), ("[“”„]", '"'), ("[‘’]", "'"), ("[–—]", " - "), ("…", "..."), ("&", " and "), ("%", " percent"),
         (_bounded("AI"), "A I"), (_bounded("OCR"), "O C R"), (_bounded("PDF"), "P D F"),

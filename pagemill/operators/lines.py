@@ -11,10 +11,14 @@ from pagemill.functions import text as X
 PAGE = ["doc_id", "page"]
 
 
+def _lines_of(text: Column | str) -> Column:
+    return F.split(F.regexp_replace(F.coalesce(X.col(text), F.lit("")), "\r", ""), "\n")
+
+
 def split_lines(pages: DataFrame) -> DataFrame:
     """doc_id, page, i, n, line: the lines of each page, counted from 0; other columns of pages stay."""
     own = [c for c in pages.columns if c not in (*PAGE, "text")]
-    rows = pages.select(*PAGE, *own, F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "\r", ""), "\n").alias("lines"))
+    rows = pages.select(*PAGE, *own, _lines_of("text").alias("lines"))
     return rows.select(*PAGE, *own, F.size("lines").alias("n"), F.posexplode("lines").alias("i", "line"))
 
 
@@ -22,6 +26,11 @@ def distinct_lines(lines: DataFrame) -> DataFrame:
     return lines.select(*PAGE, X.normalize_line("line").alias("norm")).distinct()
 
 
+def _often(counts: DataFrame, sizes: DataFrame, share: float, least: int) -> DataFrame:
+    """doc_id, norm of the lines that are `on` enough of the document's pages."""
+    return counts.join(sizes, "doc_id").where(F.col("on") >= F.greatest(F.lit(least), F.ceil(F.col("pages") * F.lit(share)))).select("doc_id", "norm")
+
+
 def repeated_lines(pages: DataFrame, lines: DataFrame, share: float = 0.18, least: int = 3) -> DataFrame:
     """doc_id, norm: normalized lines of 4 to 90 characters on at least that share of the document's pages.
 
@@ -29,38 +38,50 @@ def repeated_lines(pages: DataFrame, lines: DataFrame, share: float = 0.18, leas
     """
     sizes = pages.groupBy("doc_id").agg(F.count("*").alias("pages"))
     counts = distinct_lines(lines).where(F.length("norm").between(4, 90)).groupBy("doc_id", "norm").agg(F.count("*").alias("on"))
-    return counts.join(sizes, "doc_id").where(F.col("on") >= F.greatest(F.lit(least), F.ceil(F.col("pages") * F.lit(share)))).select("doc_id", "norm")
+    return _often(counts, sizes, share, least)
 
 
-def strip_footnote_blocks(lines: DataFrame) -> DataFrame:
-    """Lines without blocks that a starred line opens, up to the line before a question or answer."""
-    t = X.trim("line")
-    place = F.col("i") / F.greatest(F.lit(1), "n")
+def _opens(line: Column, i: Column, n: Column) -> Column:
+    """Whether a line begins a block of footnotes: a star before it, or one behind it in the lower part of a page."""
+    t = X.trim(line)
+    place = i / F.greatest(F.lit(1), n)
     marked = rf"^{X.STARS}{{1,4}}{X.WS}*(.+)$"
     rest = X.trim(F.regexp_extract(t, marked, 1))
-    opens = F.when(t.rlike(marked), (rest != "") & ((place > 0.45) | (F.length(rest) > 80))).otherwise((place > 0.45) & t.rlike(rf"{X.STARS}{X.WS}*$") & X.mostly_latin(t))
-    closes = t.rlike(rf"^(سوال|جواب)({X.WS}|-)|^(?i:question|answer)(?![A-Za-z0-9_])")
+    found = F.when(t.rlike(marked), (rest != "") & ((place > 0.45) | (F.length(rest) > 80))).otherwise((place > 0.45) & t.rlike(rf"{X.STARS}{X.WS}*$") & X.mostly_latin(t))
+    return line.rlike(X.STARS) & found
+
+
+def _closes(line: Column) -> Column:
+    """Whether a line is a question or an answer, which ends such a block."""
+    return X.trim(line).rlike(rf"^(سوال|جواب)({X.WS}|-)|^(?i:question|answer)(?![A-Za-z0-9_])")
+
+
+def strip_footnote_blocks(lines: DataFrame) -> DataFrame:
+    """Lines without blocks that a starred line opens, up to the line before a question or answer."""
     order = Window.partitionBy(*PAGE).orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = F.last(F.when(opens, True).when(closes, False), ignorenulls=True).over(order)
+    inside = F.last(F.when(_opens(F.col("line"), F.col("i"), F.col("n")), True).when(_closes(F.col("line")), False), ignorenulls=True).over(order)
     return lines.withColumn("inside", F.coalesce(inside, F.lit(False))).where(~F.col("inside")).drop("inside")
 
 
+def _blank(line: Column) -> Column:
+    return ~line.rlike(f"[^{X.WS[1:-1]}]")
+
+
+def _skipped(line: Column, norm: Column, page: Column) -> Column:
+    """Whether a line that is not blank is a footnote mark alone, the page's number, an address or stamp, or a rule."""
+    number, rule = page.cast("string"), r"._=\-*~•·"
+    ruled = rf"^{X.WS}*[{rule}][{rule}{X.WS[1:-1]}]{{2,}}[{rule}]{X.WS}*$"
+    drop = line.rlike(f"^{X.WS}*{X.STARS}{{1,4}}{X.WS}*$") | ((norm != "") & ((norm == number) | (norm == F.concat(F.lit("page "), number)) | (norm == F.concat(F.lit("صفحه "), number)) | norm.rlike(X.STAMPS) | line.rlike(ruled)))
+    return F.coalesce(drop, F.lit(False))
+
+
 def skip_lines(lines: DataFrame, skip: DataFrame) -> DataFrame:
     """Lines without footnote marks alone, repeated lines, page numbers, addresses and stamps, and rules. Blank lines stay."""
-    t = X.trim("line")
     rows = lines.withColumn("norm", X.normalize_line("line"))
-    page = F.col("page").cast("string")
-    fixed = F.col("norm").isin("") == F.lit(False)
-    drop = t.rlike(f"^{X.STARS}{{1,4}}$") | (fixed & ((F.col("norm") == page) | (F.col("norm") == F.concat(F.lit("page "), page)) | (F.col("norm") == F.concat(F.lit("صفحه "), page)) | F.col("norm").rlike(X.STAMPS) | t.rlike(rf"^[._=\-*~•·{X.WS[1:-1]}]{{4,}}$")))
-    kept = rows.where((t == "") | ~drop)
+    kept = rows.where(_blank(F.col("line")) | ~_skipped(F.col("line"), F.col("norm"), F.col("page")))
     return kept.join(skip, ["doc_id", "norm"], "left_anti").drop("norm")
 
 
-def _pages_of(lines: DataFrame, *carried: str) -> DataFrame:
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"])
-    return lines.groupBy(*PAGE, *carried).agg(F.array_join(ordered, "\n").alias("text"))
-
-
 def _unhyphenated(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, "\r", ""), r"([A-Za-z0-9_])-\n([A-Za-z0-9_])", "$1$2")
 
@@ -77,29 +98,82 @@ def clean_ocr(text: Column) -> Column:
     return X.trim(F.regexp_replace(F.regexp_replace(out, r"[ \t]*\n[ \t]*", "\n"), r"\n{3,}", "\n\n"))
 
 
-def clean_pages(pages: DataFrame) -> DataFrame:
-    """doc_id, page, source, text: pages after all line rules; pages of no line left are gone."""
-    lines = split_lines(pages.select(*PAGE, "text", "source"))
-    kept = skip_lines(strip_footnote_blocks(lines), repeated_lines(pages, lines)).withColumn("line", X.repair_script("line"))
-    text = _pages_of(kept, "source").select(*PAGE, "source", "text")
+def _read(pages: DataFrame) -> DataFrame:
+    """pages with lines (array of line and norm), which are looked at twice: for what repeats, and for what is kept."""
+    return pages.select(*PAGE, "source", F.transform(_lines_of("text"), lambda x: F.struct(x.alias("line"), X.normalize_line(x).alias("norm"))).alias("lines"))
+
+
+def clean_pages(pages: DataFrame, share: float = 0.18, least: int = 3) -> DataFrame:
+    """doc_id, page, source, text: pages after all line rules; pages of no line left are gone.
+
+    Lines are not taken apart from their page. Only distinct lines of a page are counted by document, and what repeats comes back as one list for each
+    stretch of the document's pages, which is as short as pages are: a line on 18 % of the pages is one of less than six times those of a page.
+    """
+    read = _read(pages)
+    at = _stretch()
+    norms = F.array_distinct(F.filter(F.transform("lines", lambda x: x["norm"]), lambda x: F.length(x).between(4, 90)))
+    counts = read.select("doc_id", F.explode(norms).alias("norm")).groupBy("doc_id", "norm").agg(F.count("*").alias("on"))
+    stretches = pages.groupBy("doc_id", at.alias("_at")).agg(F.count("*").alias("pages"))
+    often = _often(counts, stretches.groupBy("doc_id").agg(F.sum("pages").alias("pages")), share, least).groupBy("doc_id").agg(F.collect_list("norm").alias("_often"))
+    read = read.withColumn("_at", at).join(stretches.join(often, "doc_id").select("_at", "_often"), "_at", "left")
+    held = F.filter("lines", lambda x: ~F.coalesce(F.array_contains("_often", x["norm"]), F.lit(False)))
+    # blocks are found among all lines of the page, and what repeats opens and closes them as well
+    start = F.struct(F.lit(False).alias("inside"), F.array().cast("array<struct<line:string,norm:string>>").alias("kept"), F.lit(0).alias("i"))
+
+    def step(acc: Column, x: Column) -> Column:
+        inside = F.when(_opens(x["line"], acc["i"], F.size("lines")), True).when(_closes(x["line"]), False).otherwise(acc["inside"])
+        return F.struct(inside.alias("inside"), F.when(inside, acc["kept"]).otherwise(F.array_append(acc["kept"], x)).alias("kept"), (acc["i"] + 1).alias("i"))
+
+    starred = F.exists("lines", lambda x: x["line"].rlike(X.STARS))
+    outside = F.when(starred, F.aggregate("lines", start, step, lambda acc: acc["kept"])).otherwise(F.col("lines"))
+    read = read.withColumn("lines", outside).withColumn("lines", held)
+    kept = F.filter("lines", lambda x: _blank(x["line"]) | ~_skipped(x["line"], x["norm"], F.col("page")))
+    joined = F.array_join(F.transform(kept, lambda x: F.concat(F.lit("\n"), X.repair_script(x["line"]))), "")
+    # as a generator, so that the text is made once and not for the condition as well
+    text = read.select(*PAGE, "source", F.explode(F.filter(F.array(joined), lambda x: x != "")).alias("text")).withColumn("text", F.substring("text", 2, 1 << 30))
     return text.withColumn("text", F.when(F.col("source") == "ocr", clean_ocr(F.col("text"))).otherwise(clean_native(F.col("text"))))
 
 
-def page_units(cleaned: DataFrame) -> DataFrame:
-    """doc_id, page, pos, text: sentences of a page; a recognised page's lines are split each for itself."""
+def page_sentences(cleaned: DataFrame) -> DataFrame:
+    """doc_id, page, sentences of a page; a recognised page's lines are split each for itself."""
     by_line = F.flatten(F.transform(F.split("text", "\n+"), X.split_sentences))
-    units = F.when(F.col("source") == "ocr", by_line).otherwise(X.split_sentences("text"))
-    return cleaned.select(*PAGE, F.posexplode(units).alias("pos", "text"))
+    return cleaned.select(*PAGE, F.when(F.col("source") == "ocr", by_line).otherwise(X.split_sentences("text")).alias("sentences"))
 
 
-def numbered(units: DataFrame) -> DataFrame:
-    """doc_id, id, page, text: ids from 0 in each document."""
-    order = Window.partitionBy("doc_id").orderBy("page", "pos")
-    return units.select("doc_id", (F.row_number().over(order) - 1).cast("long").alias("id"), "page", "text")
+def page_units(cleaned: DataFrame) -> DataFrame:
+    """doc_id, page, pos, text: the sentences of each page, counted from 0."""
+    return page_sentences(cleaned).select(*PAGE, F.posexplode("sentences").alias("pos", "text"))
+
+
+#: Pages of a document that are numbered together.
+PAGES_A_STRETCH = 64
+
+
+def _stretch() -> Column:
+    """Where a page belongs: its document and the stretch of the document that it is in."""
+    return F.struct(F.col("doc_id").alias("doc_id"), F.floor(F.col("page") / PAGES_A_STRETCH).alias("stretch"))
+
+
+def numbered(sentences: DataFrame) -> DataFrame:
+    """doc_id, id, page, text: ids from 0 in each document, for pages with their sentences.
+
+    Prefix sums over stretches of pages: a stretch is one group, however long its document is, and only sums are looked at by document. Texts
+    cross one shuffle, which sums and numbers share.
+    """
+    placed = sentences.withColumn("_at", _stretch()).repartition("_at")
+    # all columns are looked at here too, so that this is the same shuffle
+    sums = placed.groupBy("_at").agg(F.sum(F.size("sentences")).alias("n"), F.max(F.struct("doc_id", "page")).alias("_last"))
+    before_it = Window.partitionBy("_at.doc_id").orderBy("_at.stretch").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.where(F.col("_last").isNotNull()).select("_at", F.coalesce(F.sum("n").over(before_it), F.lit(0)).alias("_before"))
+    inner = Window.partitionBy("_at").orderBy("page", "sentences").rowsBetween(Window.unboundedPreceding, -1)
+    rows = placed.withColumn("_inner", F.coalesce(F.sum(F.size("sentences")).over(inner), F.lit(0))).join(before, "_at")
+    rows = rows.select("doc_id", (F.col("_before") + F.col("_inner")).alias("_first"), "page", F.posexplode("sentences").alias("pos", "text"))
+    return rows.select("doc_id", (F.col("_first") + F.col("pos")).cast("long").alias("id"), "page", "text")
 
 
 def build_sentences(pages: DataFrame) -> DataFrame:
-    return numbered(page_units(clean_pages(pages)))
+    """doc_id, id, page, text: the sentences of documents after all line rules, numbered from 0 in each document."""
+    return numbered(page_sentences(clean_pages(pages)))
 
 
 def paginate(documents: DataFrame, max_chars: int = 1800) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as X
+from pagemill.operators.ranges import earlier, ranged, row_numbers
 
 CACHE_VERSION = 4
 FIELDS = ["ocrPages", "aiActions", "cloudVoiceChars", "pdfs", "failedRequests", "cacheHits"]
@@ -53,23 +54,29 @@ def write_versions(documents: DataFrame, path: str, saved_at: Column | None = No
 
 
 def expire_results(results: DataFrame, now: Column, ttl_days: int = 30) -> DataFrame:
-    """Page results of hashes whose newest write is at most ttl_days old, without pages from before a longer pause in writes."""
-    ttl = ttl_days * 86400
-    seconds = F.unix_micros(F.col("updated_at").cast("timestamp")) / 1e6
-    order = Window.partitionBy("content_hash").orderBy("updated_at", "page")
-    rows = results.withColumn("pause", F.coalesce((seconds - F.lag(seconds).over(order) > ttl).cast("int"), F.lit(0)))
-    rows = rows.withColumn("era", F.sum("pause").over(order))
-    hash_ = Window.partitionBy("content_hash")
-    rows = rows.withColumn("last_era", F.max("era").over(hash_)).withColumn("newest", F.max(seconds).over(hash_))
-    return rows.where((F.col("era") == F.col("last_era")) & (F.unix_micros(now.cast("timestamp")) / 1e6 - F.col("newest") <= ttl)).drop("pause", "era", "last_era", "newest")
+    """Page results of hashes whose newest write is at most ttl_days old, without pages from before a longer pause in writes.
+
+    Pauses are looked for within ranges of time and between one range and the next, so a hash of very many pages is no task's alone. Results without a time
+    are as old as can be.
+    """
+    ttl = ttl_days * 86_400_000_000
+    us = F.coalesce(F.unix_micros(F.col("updated_at").cast("timestamp")), F.lit(-(1 << 62)))
+    rows = ranged(results.withColumn("_us", us), ["content_hash"], F.col("_us"))
+    pause = F.col("_us") - F.lag("_us").over(Window.partitionBy("_at").orderBy("_us")) > ttl
+    spans = rows.select("_at", "_key", "_range", "_us", pause.alias("_pause")).groupBy("_at", "_key", "_range").agg(F.min("_us").alias("first"), F.max("_us").alias("last"), F.max(F.when(F.col("_pause"), F.col("_us"))).alias("inner"))
+    before = F.max("last").over(earlier())
+    start = F.coalesce("inner", F.when(before.isNull() | (F.col("first") - before > ttl), F.col("first")))
+    whole = Window.partitionBy("_key")
+    spans = spans.withColumn("_start", start).select("_at", F.max("_start").over(whole).alias("_start"), F.max("last").over(whole).alias("_newest"))
+    fresh = (F.col("_us") >= F.col("_start")) & (F.unix_micros(now.cast("timestamp")) - F.col("_newest") <= ttl)
+    return rows.join(spans, "_at").where(fresh).select(*results.columns)
 
 
 def books(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The supplied documents as pages: a source is a book, its documents in order are pages. Only ids are numbered; texts meet their number by id."""
-    order = Window.partitionBy("source").orderBy("doc_id")
-    rows = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    numbers = rows.select("doc_id", "source").withColumn("page", F.row_number().over(order))
-    return rows.join(numbers, ["doc_id", "source"]).select(F.col("source").alias("doc_id"), "page", "text", F.when(F.col("doc_id") % 3 == 0, "ocr").otherwise("native").alias("source"))
+    """The supplied documents as pages: a source is a book, its documents in order are pages. Null and repeated doc_ids are pages of their own."""
+    rows = read_table(spark, sf_dir, "documents").select(F.col("source").alias("book"), "doc_id", "text")
+    numbered = row_numbers(rows, ["book"], F.col("doc_id"), ["doc_id", "text"], "page")
+    return numbered.select(F.col("book").alias("doc_id"), F.col("page").cast("int").alias("page"), "text", F.when(F.col("doc_id") % 3 == 0, "ocr").otherwise("native").alias("source"))
 
 
 def scratch(spark: SparkSession) -> str:
