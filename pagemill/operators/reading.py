@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as X
+from pagemill.operators.ranges import PARTS, earlier, later, ranged, row_numbers, within
 
 
 def within_page(sentences: DataFrame) -> DataFrame:
@@ -14,9 +15,8 @@ def within_page(sentences: DataFrame) -> DataFrame:
 
 
 def page_chunks(pages: DataFrame, n: int = 10) -> DataFrame:
-    """doc_id, chunk_ix, start_page, end_page: each n page rows, by place and not by number."""
-    order = Window.partitionBy("doc_id").orderBy("page")
-    rows = pages.select("doc_id", "page", F.floor((F.row_number().over(order) - 1) / n).cast("int").alias("chunk_ix"))
+    """doc_id, chunk_ix, start_page, end_page: each n page rows, by place and not by number; only page numbers are moved."""
+    rows = row_numbers(pages.select("doc_id", "page"), ["doc_id"], F.col("page"), ["page"], "_row").select("doc_id", "page", F.floor((F.col("_row") - 1) / n).cast("int").alias("chunk_ix"))
     return rows.groupBy("doc_id", "chunk_ix").agg(F.min("page").alias("start_page"), F.max("page").alias("end_page"))
 
 
@@ -28,10 +28,26 @@ def chunk_sentences(chunks: DataFrame, sentences: DataFrame) -> DataFrame:
     return chunks.join(own, ["doc_id", "chunk_ix"], "left").withColumn("sentences", F.coalesce(F.col("sentences").cast("array<struct<id:bigint,page:int,text:string>>"), none))
 
 
+#: Page numbers that are looked through together.
+PAGES_A_STRETCH = 4096
+
+
 def chunk_of_page(refs: DataFrame, chunks: DataFrame) -> DataFrame:
-    """doc_id, page, chunk_ix of the chunk around the page, -1 if there is none."""
-    inside = (refs.doc_id == chunks.doc_id) & refs.page.between(chunks.start_page, chunks.end_page)
-    return refs.join(chunks, inside, "left").select(refs.doc_id, refs.page, F.coalesce("chunk_ix", F.lit(-1)).alias("chunk_ix"))
+    """doc_id, page, chunk_ix of the chunk around each page, -1 if there is none.
+
+    A sweep, not a join: pages and ends of chunks are one table in order, and the next end at or behind a page is the only chunk
+    that can be around it. Stretches of page numbers are swept apart, and the first end of each is carried to those before. Of chunks
+    that overlap, the one that ends first counts; what page_chunks makes never does. Null documents are one document, a null page has no chunk.
+    """
+    stretch = lambda c: F.floor(F.col(c) / PAGES_A_STRETCH)
+    ends = chunks.select("doc_id", F.col("end_page").alias("_place"), F.struct("start_page", "chunk_ix").alias("_chunk"), F.lit(1).alias("_kind"), stretch("end_page").alias("_range"), F.lit(None).cast(refs.schema["page"].dataType).alias("page")).where("_place is not null")
+    asked = refs.select("doc_id", F.col("page").alias("_place"), F.lit(None).cast(ends.schema["_chunk"].dataType).alias("_chunk"), F.lit(0).alias("_kind"), stretch("page").alias("_range"), "page")
+    both = asked.unionByName(ends).withColumn("_key", F.struct("doc_id")).withColumn("_at", F.struct("_key", "_range"))
+    ahead = Window.partitionBy("_at").orderBy("_place", "_kind").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    firsts = both.groupBy("_at", "_key", "_range").agg(F.min(F.when(F.col("_kind") == 1, F.struct("_place", "_chunk"))).alias("_first"))
+    firsts = firsts.select("_at", F.first("_first", ignorenulls=True).over(later())["_chunk"].alias("_carried"))
+    found = both.withColumn("_next", F.first("_chunk", ignorenulls=True).over(ahead)).where("_kind = 0").join(firsts, "_at").withColumn("_next", F.coalesce("_next", "_carried"))
+    return found.select("doc_id", "page", F.when(F.col("_next.start_page") <= F.col("page"), F.col("_next.chunk_ix")).otherwise(-1).alias("chunk_ix"))
 
 
 def chunk_text(sentences: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -79,8 +95,10 @@ def speech_chunks(sentences: DataFrame, mode: str = "local", cap: int = 420, pag
     rows = rows.where(X.trim("text") != "").withColumn("n", F.length("text"))
     order = Window.partitionBy("doc_id", "page").orderBy("id")
     fits = F.coalesce(F.lag("n").over(order) + 1 + F.col("n") <= cap, F.lit(False)) if mode == "local" else F.lit(False)
-    rows = rows.withColumn("fits", fits).withColumn("run", F.sum((~F.col("fits")).cast("int")).over(order))
-    rows = rows.withColumn("second", (F.row_number().over(Window.partitionBy("doc_id", "page", "run").orderBy("id")) % 2 == 0))
+    # every window has the same order: where the run began, and whether an odd number of sentences lies between
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("fits", fits).withColumn("place", F.row_number().over(order))
+    rows = rows.withColumn("second", (F.col("place") - F.last(F.when(~F.col("fits"), F.col("place")), ignorenulls=True).over(upto)) % 2 == 1)
     rows = rows.withColumn("chunk_ix", F.sum((~F.col("second")).cast("int")).over(order) - 1).withColumn("start", F.when(F.col("second"), F.lag("n").over(order) + 1).otherwise(0))
     span = F.struct(F.col("start").cast("long").alias("start"), (F.col("start") + F.col("n")).cast("long").alias("end"), F.col("source_start").cast("long").alias("source_start"), F.col("id").alias("sentence_id"), "text")
     chunks = rows.groupBy("doc_id", "page", "chunk_ix").agg(F.array_sort(F.collect_list(span)).alias("all"))  # of two at most
@@ -100,24 +118,63 @@ def bookmark_list(bookmarks: DataFrame) -> DataFrame:
 
 
 def library_list(library: DataFrame) -> DataFrame:
-    """Documents, the one opened last first; ties go to the doc_id."""
-    return library.orderBy(F.desc("opened_at"), "doc_id")
+    """Documents, the one opened or read last first; ties go to the doc_id."""
+    return library.orderBy(F.desc("updated_at"), "doc_id")
 
 
-def library_latest(events: DataFrame) -> DataFrame:
-    """doc_id, title, added_at, opened_at, last_page: newest metadata, first opening, newest progress; removed documents are gone."""
-    newest = F.struct("ts", "event_id")
-    rows = events.groupBy("doc_id").agg(
-        F.max_by("title", F.when(F.col("kind") == "open", newest)).alias("title"), F.min(F.when(F.col("kind") == "open", F.col("ts"))).alias("added_at"),
-        F.max(F.when(F.col("kind") == "open", F.col("ts"))).alias("opened_at"), F.max_by("page", F.when(F.col("kind") == "progress", newest)).alias("last_page"), F.max_by("kind", newest).alias("newest"),
-    )
-    return rows.where("newest <> 'remove' and added_at is not null").drop("newest")
+def _given(number: Column) -> Column:
+    """null for 0, which counts as not given."""
+    return F.nullif(number, F.lit(0))
+
+
+def position(page: Column, sentence: Column, total: Column, page_count: Column) -> list[Column]:
+    """last_page (from 1), last_sentence (from 0) and progress from 0 to 1: the page as it was given, over the total that was given, else the document's pages, else 1."""
+    pages = F.greatest(F.lit(1), F.coalesce(_given(total), _given(page_count), F.lit(1)))
+    progress = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(page, F.lit(0)) / pages))
+    return [F.greatest(F.lit(1), F.coalesce(page, F.lit(1))).alias("last_page"), F.greatest(F.lit(0), F.coalesce(sentence, F.lit(0))).alias("last_sentence"), progress.alias("progress")]
 
 
-def reading_progress(events: DataFrame) -> DataFrame:
-    """Events with page at least 1 and progress from 0 to 1 of the total (1, if it is unknown)."""
-    page = F.greatest(F.lit(1), "page")
-    return events.withColumn("progress", F.greatest(F.lit(0.0), F.least(F.lit(1.0), page / F.greatest(F.lit(1), F.coalesce("total", F.lit(1)))))).withColumn("page", page)
+def library_latest(events: DataFrame, parts: int = PARTS) -> DataFrame:
+    """doc_id, title, page_count, added_at, updated_at, last_page, last_sentence, progress of documents that were not removed.
+
+    events: doc_id, event_id, ts, kind (open, progress, remove), and title and page_count of an opening, page, sentence and total of progress. A document lives from
+    its first opening to its removal; one that is opened again starts afresh, at page 1 and with a new added_at. Title and pages are of
+    the newest opening. Progress counts from the first opening on; its total falls back to the pages that the document had by
+    then. Events of a document are in order of (ts, event_id), those without ts first.
+
+    A fold over ranges of time: each range of a document is folded apart to what it has of each life, and these few rows are put together by document.
+    """
+    when, kind = F.struct("ts", "event_id"), F.col("kind")
+    rows = ranged(events.select("doc_id", "event_id", "ts", "kind", "title", "page_count", "page", "sentence", "total"), ["doc_id"], F.unix_micros(F.col("ts").cast("timestamp")), parts)
+    rows = rows.withColumn("_when", when).withColumn("_life", F.sum((kind == "remove").cast("long")).over(within("ts", "event_id")))
+    order = Window.partitionBy("_at", "_life").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_pages", F.last(F.when(kind == "open", F.struct("page_count")), ignorenulls=True).over(order))
+    read = F.struct("page", "sentence", "total", "_pages")
+    lives = rows.groupBy("_at", "_key", "_range", "_life").agg(
+        F.min(F.when(kind == "open", F.col("_when"))).alias("first"), F.max(F.when(kind == "open", F.col("_when"))).alias("last"), F.max_by(F.struct("title", "page_count"), F.when(kind == "open", F.col("_when"))).alias("header"),
+        F.max(F.when(kind == "progress", F.col("_when"))).alias("read_at"), F.max_by(read, F.when(kind == "progress", F.col("_when"))).alias("read"), F.count_if(kind == "remove").alias("removed"),
+    )
+    # a life is numbered by the removals before it; only the one behind the last removal is looked at further
+    removed = lives.groupBy("_at", "_key", "_range").agg(F.sum("removed").alias("n"))
+    removed = removed.select("_at", F.coalesce(F.sum("n").over(earlier()), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy("_key")).alias("all"))
+    lives = lives.join(removed, "_at").where(F.col("before") + F.col("_life") == F.col("all"))
+    lives = lives.withColumn("known", F.last(F.when(F.col("last").isNotNull(), F.struct("header.page_count")), ignorenulls=True).over(earlier()))
+    now = lives.groupBy("_key").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.max_by("header", "last").alias("header"), F.max("read_at").alias("read_at"), F.max_by(F.struct("read", "known"), "read_at").alias("x"))
+    now = now.where("first is not null").withColumn("x", F.when(F.col("read_at") > F.col("first"), F.col("x")))
+    pages = F.coalesce("x.read._pages", "x.known")["page_count"]
+    at = position(F.col("x.read.page"), F.col("x.read.sentence"), F.col("x.read.total"), pages)
+    newest = F.greatest("last", F.when(F.col("x").isNotNull(), F.col("read_at")))["ts"]
+    return now.select("_key.doc_id", "header.title", "header.page_count", F.col("first.ts").alias("added_at"), newest.alias("updated_at"), *at)
+
+
+def reading_progress(events: DataFrame, headers: DataFrame) -> DataFrame:
+    """events (doc_id, page, sentence, total) with last_page, last_sentence and progress; headers (doc_id, page_count, a row a document) give totals that are missing or 0.
+
+    A document without a header has one page.
+    """
+    known = headers.select(F.col("doc_id").alias("_doc"), F.col("page_count").alias("_count"))
+    rows = events.join(known, F.col("doc_id") == F.col("_doc"), "left")
+    return rows.select(*events.columns, *position(F.col("page"), F.col("sentence"), F.col("total"), F.col("_count")))
 
 
 def requested_pages(requests: DataFrame, n: int = 12) -> DataFrame:
@@ -128,8 +185,13 @@ def requested_pages(requests: DataFrame, n: int = 12) -> DataFrame:
 
 
 def missing_products(expected: DataFrame, offered: DataFrame) -> DataFrame:
-    """Expected product ids that are not offered, as they are or with a plan behind a colon."""
-    base = offered.select(F.explode(F.array(F.col("offered"), F.substring_index("offered", ":", 1))).alias("expected")).distinct()
+    """Expected product ids that are not offered, as they are or with anything behind a colon. Null ids are not offered.
+
+    An offer is taken apart into all that ends at one of its colons, so this is a plain anti join.
+    """
+    parts = F.split("offered", ":")
+    upto = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), ":"))
+    base = offered.where("offered is not null").select(F.explode(upto).alias("expected")).distinct()
     return expected.join(base, "expected", "left_anti")
 
 

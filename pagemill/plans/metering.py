@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pagemill.operators import lines as L
@@ -13,6 +12,7 @@ from pagemill.operators import requests as Q
 from pagemill.operators import speech as P
 from pagemill.operators import usage as U
 from pagemill.operators import versions as V
+from pagemill.operators.ranges import cuts, range_of
 from pagemill.plans.text import BP, NEEDS, SE, TRIM
 from pagemill.sources import tables as S
 from pagemill.sources.tables import books, expire_results, read_table, read_versions, scratch, usage_events
@@ -79,13 +79,20 @@ def quota_admit_unit(spark, d):
     return U.quota_admit_unit(_requests(spark, d), F.lit(5)).select("req_id", "admitted")
 
 
-@query(f"""WITH RECURSIVE {EV.replace("ev AS", "ev AS MATERIALIZED")},
-o AS MATERIALIZED (SELECT req_id, app_user_id, month, amount, row_number() OVER (PARTITION BY app_user_id, month ORDER BY ts, req_id) AS k FROM ev WHERE field = 'cloudVoiceChars'),
-w AS (SELECT req_id, app_user_id, month, k, amount <= 1000 AS admitted, CASE WHEN amount <= 1000 THEN amount ELSE 0 END AS used FROM o WHERE k = 1
-UNION ALL SELECT o.req_id, o.app_user_id, o.month, o.k, w.used + o.amount <= 1000, CASE WHEN w.used + o.amount <= 1000 THEN w.used + o.amount ELSE w.used END FROM w JOIN o ON o.app_user_id = w.app_user_id AND o.month = w.month AND o.k = w.k + 1)
+@query(f"""WITH RECURSIVE {EV.replace("ev AS", "ev AS MATERIALIZED")}, {TIERS}, {UT},
+o AS MATERIALIZED (SELECT req_id, app_user_id, month, amount, req_id % 10 <> 3 AS ok, t.cloudVoiceChars // 50 AS lim, row_number() OVER (PARTITION BY app_user_id, month ORDER BY ts, req_id) AS k FROM ev JOIN ut USING (app_user_id) JOIN tiers t ON t.key = ut.tier WHERE field = 'cloudVoiceChars'),
+w AS (SELECT req_id, app_user_id, month, k, amount <= lim AS admitted, CASE WHEN amount <= lim AND ok THEN amount ELSE 0 END AS used FROM o WHERE k = 1
+UNION ALL SELECT o.req_id, o.app_user_id, o.month, o.k, w.used + o.amount <= lim, CASE WHEN w.used + o.amount <= lim AND ok THEN w.used + o.amount ELSE w.used END FROM w JOIN o ON o.app_user_id = w.app_user_id AND o.month = w.month AND o.k = w.k + 1)
 SELECT req_id, app_user_id, month, admitted, CAST(used AS BIGINT) AS used FROM w""")
 def quota_admit_amount(spark, d):
-    return U.quota_admit_amount(_requests(spark, d).where("field = 'cloudVoiceChars'"), 1000).select("req_id", "app_user_id", "month", "admitted", "used")
+    return U.quota_admit_amount(_voice_requests(spark, d)).select("req_id", "app_user_id", "month", "admitted", "used")
+
+
+def _voice_requests(spark, d):
+    """Requests for voice with the limits of their user's tier, at a fiftieth so that they are met; a tenth of the requests fail."""
+    small = U.tiers(spark).withColumn("cloudVoiceChars", F.floor(F.col("cloudVoiceChars") / 50))
+    rows = _requests(spark, d).where("field = 'cloudVoiceChars'").withColumn("ok", F.col("req_id") % 10 != 3)
+    return U.with_limits(rows, U.highest_tier(_entitlements(spark, d), U.tiers(spark)), small, "cloudVoiceChars")
 
 
 @query(f"""WITH {EV} SELECT req_id, CAST(g AS BIGINT) AS granted, CAST(k - g AS BIGINT) AS pending FROM (
@@ -95,12 +102,17 @@ def quota_trim_pages(spark, d):
 
 
 @query(f"""WITH RECURSIVE {EV.replace("ev AS", "ev AS MATERIALIZED")},
-o AS MATERIALIZED (SELECT req_id, ts, field || '|' || app_user_id AS key, row_number() OVER (PARTITION BY field || '|' || app_user_id ORDER BY ts, req_id) AS i FROM ev),
-w AS (SELECT req_id, key, i, false AS hit, ts AS set_at FROM o WHERE i = 1
-UNION ALL SELECT o.req_id, o.key, o.i, o.ts <= w.set_at + INTERVAL 24 HOUR, CASE WHEN o.ts <= w.set_at + INTERVAL 24 HOUR THEN w.set_at ELSE o.ts END FROM w JOIN o ON o.key = w.key AND o.i = w.i + 1)
+o AS MATERIALIZED (SELECT req_id, ts, req_id % 4 <> 1 AS ok, field || '|' || app_user_id AS key, row_number() OVER (PARTITION BY field || '|' || app_user_id ORDER BY ts, req_id) AS i FROM ev),
+w AS (SELECT req_id, key, i, false AS hit, CASE WHEN ok THEN ts END AS set_at FROM o WHERE i = 1
+UNION ALL SELECT o.req_id, o.key, o.i, coalesce(o.ts <= w.set_at + INTERVAL 24 HOUR, false), CASE WHEN coalesce(o.ts <= w.set_at + INTERVAL 24 HOUR, false) OR NOT o.ok THEN w.set_at ELSE o.ts END FROM w JOIN o ON o.key = w.key AND o.i = w.i + 1)
 SELECT key, req_id, hit FROM w""")
 def ttl_dedupe(spark, d):
-    return U.ttl_dedupe(_requests(spark, d).withColumn("key", F.concat_ws("|", "field", "app_user_id")))
+    return U.ttl_dedupe(_keyed(spark, d))
+
+
+def _keyed(spark, d):
+    """Requests with the key of what they ask for; a fourth of them fail or are denied, if they are fresh."""
+    return _requests(spark, d).withColumn("key", F.concat_ws("|", "field", "app_user_id")).withColumn("ok", F.col("req_id") % 4 != 1)
 
 
 @query(f"""WITH {EV} SELECT req_id, CAST(sum(p) OVER (PARTITION BY app_user_id ORDER BY ts, req_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session_id FROM (
@@ -121,11 +133,15 @@ def rate_violations(spark, d):
     return U.rate_violations(rows).withColumn("minute", F.col("minute").cast("timestamp_ntz"))
 
 
-@query(f"""WITH {EV}, g AS (SELECT DISTINCT user_id AS app_user_id, 'ai_pro' AS entitlement_id, CASE user_id % 3 WHEN 0 THEN NULL WHEN 1 THEN '2024-01-10 00:00:00' ELSE 'soon' END AS expires FROM events)
-SELECT req_id, entitlement_id FROM ev JOIN g USING (app_user_id) WHERE expires IS NULL OR TRY_CAST(expires AS TIMESTAMP) > ts""")
+@query(f"""WITH {EV}, g AS (SELECT user_id AS app_user_id, CASE event_id % 3 WHEN 0 THEN 'ai_pro' WHEN 1 THEN 'power' ELSE 'reader_plus' END AS entitlement_id,
+CASE WHEN event_id % 97 = 0 THEN NULL WHEN event_id % 5 = 0 THEN 'soon' ELSE strftime(ts + to_days(CAST(event_id % 4 AS INTEGER)), '%Y-%m-%d %H:%M:%S') END AS expires FROM events)
+SELECT DISTINCT req_id, entitlement_id FROM ev JOIN g USING (app_user_id) WHERE expires IS NULL OR TRY_CAST(expires AS TIMESTAMP) > ts""")
 def active_entitlement(spark, d):
-    k = F.col("user_id") % 3
-    grants = read_table(spark, d, "events").select(F.col("user_id").alias("app_user_id"), F.lit("ai_pro").alias("entitlement_id"), F.when(k == 0, F.lit(None)).when(k == 1, "2024-01-10 00:00:00").otherwise("soon").alias("expires")).distinct()
+    """Every event is a grant as well, so users have many for each entitlement."""
+    k = F.col("event_id")
+    name = F.when(k % 3 == 0, "ai_pro").when(k % 3 == 1, "power").otherwise("reader_plus")
+    end = F.when(k % 97 == 0, F.lit(None)).when(k % 5 == 0, "soon").otherwise(F.date_format(F.col("ts") + F.make_interval(days=(k % 4).cast("int")), "yyyy-MM-dd HH:mm:ss"))
+    grants = read_table(spark, d, "events").select(F.col("user_id").alias("app_user_id"), name.alias("entitlement_id"), end.alias("expires"))
     return U.active_entitlements(_requests(spark, d), grants)
 
 
@@ -284,68 +300,69 @@ def read_usage(spark, d):
 
 @query("SELECT doc_id, CASE WHEN lang = 'fr' THEN upper(source) ELSE source END AS source, CASE WHEN lang = 'fr' THEN 2 ELSE 1 END AS saved FROM documents")
 def write_versions(spark, d):
-    """All documents are saved, then the French ones again; rows of another version are not read."""
+    """All documents are saved, then the French ones again, then all at an earlier time; the French ones are saved twice at one time. Another version is not read."""
     path, rows = scratch(spark), read_table(spark, d, "documents").select("doc_id", "source", "lang")
-    S.write_versions(rows, path, F.lit("2024-01-01 00:00:01").cast("timestamp"))
-    S.write_versions(rows.where("lang = 'fr'").withColumn("source", F.upper("source")), path, F.lit("2024-01-01 00:00:02").cast("timestamp"))
-    rows.withColumn("cache_version", F.lit(3)).withColumn("saved_at", F.lit("2025-01-01").cast("timestamp")).write.mode("append").partitionBy("cache_version").parquet(path)
-    return read_versions(spark.read.parquet(path)).select("doc_id", "source", F.second("saved_at").alias("saved"))
-
-
-# streams: events arrive in three files, by time
-def _replayed(spark, rows):
-    """A stream of the rows in three micro-batches, in order of ts."""
+    french = rows.where("lang = 'fr'")
+    at = lambda second: F.lit(f"2024-01-01 00:00:0{second}").cast("timestamp")
+    S.write_versions(rows, path, at(1))
+    S.write_versions(french.withColumn("source", F.lit("superseded")), path, at(2))
+    S.write_versions(french.withColumn("source", F.upper("source")), path, at(2))
+    S.write_versions(rows.withColumn("source", F.lit("too early")), path, at(0))
+    S.saved_versions(spark, path, 3).append(rows.withColumn("cache_version", F.lit(3)).withColumn("saved_at", at(9)))
+    return S.saved_versions(spark, path).read().select("doc_id", "source", F.second("saved_at").alias("saved"))
+
+
+# streams: rows arrive in three parts, by time
+def _replayed(spark, rows, run):
+    """Runs a stream (run(stream), up to its query) over three parts of the rows, by ts, from one checkpoint; each run begins anew and ends with its part."""
+    path, checkpoint = scratch(spark), scratch(spark)
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    edges = cuts(rows, us, 3)
+    for part in range(len(edges) + 1):
+        rows.where(F.greatest(F.lit(0), range_of(us, edges)) == part).write.mode("append").parquet(path)
+        with ST.with_rocksdb(spark):
+            stream = spark.readStream.schema(rows.schema).parquet(path)
+            run(stream).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def _ran(spark, rows, make):
+    """Rows that make(stream) gives in append mode."""
     path = scratch(spark)
-    edges = [r.t for r in rows.select(F.ntile(3).over(Window.orderBy("ts", "req_id")).alias("k"), "ts").groupBy("k").agg(F.max("ts").alias("t")).orderBy("k").collect()]
-    low = None
-    for edge in edges:
-        rows.where((F.col("ts") <= edge) & (F.lit(True) if low is None else F.col("ts") > low)).coalesce(1).write.mode("append").parquet(path)
-        low = edge
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
-
-
-def _ran(spark, stream):
-    """Rows that a stream in append mode gives until its input ends."""
-    path = scratch(spark)
-    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", scratch(spark)).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    _replayed(spark, rows, lambda s: make(s).writeStream.format("parquet").option("path", path).outputMode("append"))
     return spark.read.parquet(path)
 
 
 @query(ORACLE_SQL["usage_monthly"])
 def usage_stream(spark, d):
     path = scratch(spark)
-
-    def keep(batch, n):
-        batch.write.mode("overwrite").parquet(path)
-
-    stream = ST.usage_stream(_replayed(spark, _requests(spark, d)))
-    stream.writeStream.outputMode("complete").option("checkpointLocation", scratch(spark)).foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(path)
+    rows = usage_events(spark, d)
+    _replayed(spark, rows, lambda s: ST.usage_stream(s).writeStream.outputMode("update").foreachBatch(ST.keep_counters(spark, path)))
+    return ST.read_counters(spark, path)
 
 
 @query(ORACLE_SQL["quota_admit_amount"])
 def quota_stream(spark, d):
-    return _ran(spark, ST.quota_stream(_replayed(spark, _requests(spark, d).where("field = 'cloudVoiceChars'").select("req_id", "app_user_id", "month", "ts", "amount")), 1000))
+    return _ran(spark, _voice_requests(spark, d).select("req_id", "app_user_id", "month", "ts", "amount", "limit", "ok"), ST.quota_stream)
 
 
 @query(ORACLE_SQL["ttl_dedupe"])
 def ttl_dedupe_stream(spark, d):
-    return _ran(spark, ST.ttl_dedupe_stream(_replayed(spark, _requests(spark, d).select("req_id", F.concat_ws("|", "field", "app_user_id").alias("key"), "ts"))))
+    return _ran(spark, _keyed(spark, d).select("req_id", "key", "ts", "ok"), ST.ttl_dedupe_stream)
 
 
 @query(ORACLE_SQL["merge_ocr_longer"])
 def page_backfill(spark, d):
     """Recognised pages arrive in two batches, by the length of their document's pages."""
-    pages, pending, new = scratch(spark), scratch(spark), scratch(spark)
-    ST.bucketed(_have(spark, d)).write.partitionBy("bucket").parquet(pages)
-    _low(spark, d).select("doc_id", "page").write.parquet(pending)
-    rows = _recognised(spark, d)
-    for part in (rows.where("length(text) < 2000"), rows.where("length(text) >= 2000")):
-        part.coalesce(1).write.mode("append").parquet(new)
-    merge = ST.page_backfill(spark, pages, pending, lambda progress, n: progress.write.format("noop").mode("overwrite").save())
-    stream = spark.readStream.schema(spark.read.parquet(new).schema).option("maxFilesPerTrigger", 1).parquet(new)
-    stream.writeStream.foreachBatch(merge).option("checkpointLocation", scratch(spark)).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(pages).drop("bucket")
+    new, checkpoint = scratch(spark), scratch(spark)
+    pages = ST.page_table(spark, scratch(spark))
+    pages.append(_have(spark, d).select("doc_id", "page", "text", "source", F.col("confidence").cast("int").alias("confidence")))
+    pending, rows = _low(spark, d).select("doc_id", "page"), _recognised(spark, d)
+    for part in ("length(text) < 2000", "length(text) >= 2000"):
+        rows.where(part).write.mode("append").parquet(new)
+        merge = ST.page_backfill(spark, pages, pending, lambda progress, n: progress.write.format("noop").mode("overwrite").save())
+        stream = spark.readStream.schema(rows.schema).parquet(new)
+        stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return pages.read()
 
 
 @query("""WITH v AS (SELECT doc_id, text, CAST(2 + doc_id % 4 AS INTEGER) AS cache_version FROM documents) SELECT doc_id, text, cache_version FROM v WHERE cache_version = 4""")
@@ -461,18 +478,42 @@ def bookmarks_latest(spark, d):
     return R.bookmarks_latest(read_table(spark, d, "events").select("event_id", F.col("user_id").alias("doc_id"), tag.alias("tag"), "ts", F.floor("value").cast("int").alias("page"), (F.col("event_type") == "error").alias("removed")))
 
 
-@query("""WITH l AS (SELECT event_id, user_id AS doc_id, ts, 'T' || event_id AS title, CAST(floor(value) AS INTEGER) AS page, CASE event_type WHEN 'error' THEN 'remove' WHEN 'click' THEN 'progress' ELSE 'open' END AS kind FROM events)
-SELECT doc_id, arg_max(title, (ts, event_id)) FILTER (kind = 'open') AS title, min(ts) FILTER (kind = 'open') AS added_at, max(ts) FILTER (kind = 'open') AS opened_at, arg_max(page, (ts, event_id)) FILTER (kind = 'progress') AS last_page
-FROM l GROUP BY doc_id HAVING arg_max(kind, (ts, event_id)) <> 'remove' AND min(ts) FILTER (kind = 'open') IS NOT NULL""")
+READ = """CAST(CASE WHEN event_id % 11 = 0 THEN NULL ELSE event_id % 300 - 5 END AS INTEGER) AS page, CAST(event_id % 50 - 3 AS INTEGER) AS sentence, CAST(CASE event_id % 4 WHEN 0 THEN 0 WHEN 1 THEN NULL WHEN 2 THEN event_id % 40 + 1 ELSE 200 END AS INTEGER) AS total"""
+PROGRESS = "greatest(0::DOUBLE, least(1::DOUBLE, coalesce({0}.page, 0) / greatest(1, coalesce(nullif({0}.total, 0), nullif({1}.page_count, 0), 1))::DOUBLE))"
+
+
+def _read_events(spark, d):
+    k = F.col("event_id")
+    page = F.when(k % 11 == 0, F.lit(None)).otherwise(k % 300 - 5).cast("int")
+    total = F.when(k % 4 == 0, 0).when(k % 4 == 1, F.lit(None)).when(k % 4 == 2, k % 40 + 1).otherwise(200).cast("int")
+    return read_table(spark, d, "events").select("event_id", F.col("user_id").alias("doc_id"), "ts", "event_type", page.alias("page"), (k % 50 - 3).cast("int").alias("sentence"), total.alias("total"))
+
+
+@query(f"""WITH e AS (SELECT event_id, user_id AS doc_id, ts, 'T' || event_id AS title, CAST(CASE event_id % 5 WHEN 0 THEN 0 WHEN 1 THEN NULL ELSE event_id % 90 + 1 END AS INTEGER) AS page_count, {READ},
+CASE event_type WHEN 'error' THEN 'remove' WHEN 'click' THEN 'progress' WHEN 'view' THEN 'progress' ELSE 'open' END AS kind FROM events),
+l AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ts, event_id) AS o FROM e),
+c AS (SELECT doc_id, coalesce(max(o) FILTER (kind = 'remove'), 0) AS cut FROM l GROUP BY doc_id),
+a AS (SELECT doc_id, min(o) AS added FROM l JOIN c USING (doc_id) WHERE kind = 'open' AND o > cut GROUP BY doc_id),
+n AS (SELECT l.* FROM l JOIN a USING (doc_id) WHERE o >= added),
+k AS (SELECT doc_id, min(o) AS added, max(o) AS newest, max(o) FILTER (kind = 'open') AS opened, max(o) FILTER (kind = 'progress') AS read FROM n GROUP BY doc_id),
+b AS (SELECT k.doc_id, max(n.o) AS header FROM k JOIN n ON n.doc_id = k.doc_id AND n.kind = 'open' AND n.o < k.read GROUP BY k.doc_id)
+SELECT k.doc_id, h.title, h.page_count, f.ts AS added_at, u.ts AS updated_at, greatest(1, coalesce(p.page, 1)) AS last_page, greatest(0, coalesce(p.sentence, 0)) AS last_sentence, {PROGRESS.format("p", "g")} AS progress
+FROM k JOIN n h ON h.doc_id = k.doc_id AND h.o = k.opened JOIN n f ON f.doc_id = k.doc_id AND f.o = k.added JOIN n u ON u.doc_id = k.doc_id AND u.o = k.newest
+LEFT JOIN n p ON p.doc_id = k.doc_id AND p.o = k.read LEFT JOIN b ON b.doc_id = k.doc_id LEFT JOIN n g ON g.doc_id = k.doc_id AND g.o = b.header""")
 def library_latest(spark, d):
-    kind = F.when(F.col("event_type") == "error", "remove").when(F.col("event_type") == "click", "progress").otherwise("open")
-    return R.library_latest(read_table(spark, d, "events").select("event_id", F.col("user_id").alias("doc_id"), "ts", F.concat(F.lit("T"), "event_id").alias("title"), F.floor("value").cast("int").alias("page"), kind.alias("kind")))
+    """Events are openings, reading and removals in turn, so documents come back after they were removed."""
+    k, kind = F.col("event_id"), F.col("event_type")
+    count = F.when(k % 5 == 0, 0).when(k % 5 == 1, F.lit(None)).otherwise(k % 90 + 1).cast("int")
+    what = F.when(kind == "error", "remove").when(kind.isin("click", "view"), "progress").otherwise("open")
+    return R.library_latest(_read_events(spark, d).withColumns({"title": F.concat(F.lit("T"), "event_id"), "page_count": count, "kind": what}))
 
 
-@query("SELECT event_id, greatest(1, p) AS page, greatest(0::DOUBLE, least(1::DOUBLE, greatest(1, p) / greatest(1, coalesce(t, 1))::DOUBLE)) AS progress FROM (SELECT event_id, CAST(event_id % 300 - 5 AS INTEGER) AS p, CASE WHEN event_id % 9 = 0 THEN NULL ELSE CAST(event_id % 200 AS INTEGER) END AS t FROM events)")
+@query(f"""WITH e AS (SELECT event_id, user_id AS doc_id, {READ} FROM events), h AS (SELECT DISTINCT user_id AS doc_id, CAST(user_id % 7 * 20 AS INTEGER) AS page_count FROM events WHERE user_id % 5 <> 0)
+SELECT event_id, greatest(1, coalesce(page, 1)) AS last_page, greatest(0, coalesce(sentence, 0)) AS last_sentence, {PROGRESS.format("e", "h")} AS progress FROM e LEFT JOIN h USING (doc_id)""")
 def reading_progress(spark, d):
-    k = F.col("event_id")
-    return R.reading_progress(read_table(spark, d, "events").select("event_id", (k % 300 - 5).cast("int").alias("page"), F.when(k % 9 == 0, F.lit(None)).otherwise((k % 200).cast("int")).alias("total"))).select("event_id", "page", "progress")
+    """Pages below 1, totals that are 0 or missing, and documents without a header."""
+    headers = read_table(spark, d, "events").where("user_id % 5 <> 0").select(F.col("user_id").alias("doc_id"), (F.col("user_id") % 7 * 20).cast("int").alias("page_count")).distinct()
+    return R.reading_progress(_read_events(spark, d), headers).select("event_id", "last_page", "last_sentence", "progress")
 
 
 @query("""SELECT req_id, page, CAST(turn AS INTEGER) AS turn FROM (SELECT req_id, page, row_number() OVER (PARTITION BY req_id ORDER BY pos) AS turn FROM
@@ -481,12 +522,14 @@ def requested_pages(spark, d):
     return R.requested_pages(read_table(spark, d, "events").select(F.col("user_id").alias("req_id"), (F.col("event_id") % 40 - 3).alias("page"), F.col("event_id").alias("pos")))
 
 
-@query("""WITH e AS (SELECT DISTINCT 'p' || user_id AS expected FROM events), o AS (SELECT DISTINCT 'p' || user_id || CASE WHEN user_id % 2 = 0 THEN ':base' ELSE '' END AS offered FROM events WHERE user_id % 3 = 0)
+@query("""WITH u AS (SELECT DISTINCT user_id FROM events), e AS (SELECT 'p' || user_id || CASE WHEN user_id % 4 = 1 THEN ':base' ELSE '' END AS expected FROM u),
+o AS (SELECT 'p' || user_id || CASE user_id % 5 WHEN 0 THEN ':base' WHEN 1 THEN ':base:month' WHEN 2 THEN 'x' WHEN 3 THEN ':' ELSE '' END AS offered FROM u WHERE user_id % 3 = 0)
 SELECT expected FROM e WHERE NOT EXISTS (SELECT 1 FROM o WHERE offered = expected OR starts_with(offered, expected || ':'))""")
 def missing_products(spark, d):
+    k = F.col("user_id")
     users = read_table(spark, d, "events").select("user_id").distinct()
-    offered = users.where("user_id % 3 = 0").select(F.concat(F.lit("p"), "user_id", F.when(F.col("user_id") % 2 == 0, ":base").otherwise("")).alias("offered"))
-    return R.missing_products(users.select(F.concat(F.lit("p"), "user_id").alias("expected")), offered)
+    ends = F.when(k % 5 == 0, ":base").when(k % 5 == 1, ":base:month").when(k % 5 == 2, "x").when(k % 5 == 3, ":").otherwise("")
+    return R.missing_products(users.select(F.concat(F.lit("p"), k, F.when(k % 4 == 1, ":base").otherwise("")).alias("expected")), users.where("user_id % 3 = 0").select(F.concat(F.lit("p"), k, ends).alias("offered")))
 
 
 @query("""WITH b AS (SELECT event_id, user_id AS doc_id, 'Tag' || (event_id % 7) AS tag, ts FROM events), l AS (SELECT *, row_number() OVER (PARTITION BY doc_id, tag ORDER BY ts DESC, event_id DESC) AS k FROM b)
@@ -496,9 +539,9 @@ def bookmark_list(spark, d):
     return R.bookmark_list(R.bookmarks_latest(rows)).select("doc_id", "tag", "ts")
 
 
-@query("SELECT user_id AS doc_id, max(ts) AS opened_at FROM events GROUP BY user_id ORDER BY opened_at DESC, doc_id")
+@query("SELECT user_id AS doc_id, max(ts) AS updated_at FROM events GROUP BY user_id ORDER BY updated_at DESC, doc_id")
 def library_list(spark, d):
-    return R.library_list(read_table(spark, d, "events").groupBy(F.col("user_id").alias("doc_id")).agg(F.max("ts").alias("opened_at")))
+    return R.library_list(read_table(spark, d, "events").groupBy(F.col("user_id").alias("doc_id")).agg(F.max("ts").alias("updated_at")))
 
 
 @query(f"""WITH {SE} SELECT doc_id, CAST(sum(length(text)) AS BIGINT) AS chars, sum(length(text)) * 15.0::DOUBLE / 1000000 AS usd FROM se GROUP BY doc_id""")

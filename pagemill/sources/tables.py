@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import text as X
 from pagemill.operators.ranges import earlier, ranged, row_numbers
+from pagemill.sources.merged import MergedTable
 
 CACHE_VERSION = 4
 FIELDS = ["ocrPages", "aiActions", "cloudVoiceChars", "pdfs", "failedRequests", "cacheHits"]
@@ -39,18 +40,23 @@ def write_usage(usage: DataFrame, path: str) -> None:
 
 
 def read_versions(versions: DataFrame, version: int = CACHE_VERSION) -> DataFrame:
-    """Documents of this version; where rows say when they were saved, the last one of each doc_id."""
+    """Documents of this version; where rows say when they were saved, the last one of each doc_id, and of several at that time the one with the largest hash."""
     rows = versions.where(F.col("cache_version") == version)
     if "saved_at" not in rows.columns:
         return rows
-    newest = Window.partitionBy("doc_id").orderBy(F.desc("saved_at"))
-    return rows.withColumn("_at", F.row_number().over(newest)).where("_at = 1").drop("_at")
+    best = rows.groupBy(F.struct("doc_id").alias("_key")).agg(F.max_by(F.struct(*rows.columns), F.struct("saved_at", F.xxhash64(*rows.columns))).alias("_row"))
+    return best.select("_row.*")
+
+
+def saved_versions(spark: SparkSession, path: str, version: int = CACHE_VERSION) -> MergedTable:
+    """The saved documents of a version, the last saved one of each doc_id. Each version is a table of its own, so others are not read."""
+    return MergedTable(spark, posixpath.join(path, f"cache_version={version}"), ["doc_id"], ["saved_at"])
 
 
 def write_versions(documents: DataFrame, path: str, saved_at: Column | None = None) -> None:
-    """Adds documents to the saved ones. A document that was saved before is superseded, as readers take the last one; others are not touched."""
+    """Saves documents. One that was saved before is superseded unless it has a later saved_at; of equal times the document written last stays."""
     stamped = documents.withColumn("cache_version", F.lit(CACHE_VERSION)).withColumn("saved_at", F.current_timestamp() if saved_at is None else saved_at)
-    stamped.write.mode("append").partitionBy("cache_version").parquet(path)
+    saved_versions(documents.sparkSession, path).append(stamped)
 
 
 def expire_results(results: DataFrame, now: Column, ttl_days: int = 30) -> DataFrame:

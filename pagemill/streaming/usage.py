@@ -1,100 +1,228 @@
-"""Metering over streams of requests; with availableNow each gives what its batch twin gives on ordered input."""
+"""Metering over streams of requests, and pages that are recognised later; over rows in order of time each gives what its batch twin gives.
+
+Stateful streams keep their state in RocksDB (see with_rocksdb) and drop it by timers of event time. The watermark's column does not reach the
+stateful operator, so Spark drops no late row: what is later than the watermark gets an answer of its own here. Between micro-batches, rows have to
+come in order of time; within one they may come in any order.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
+
+from pagemill.functions import text as X
+from pagemill.operators.usage import NEVER, metered, month_of, quota_steps, timed, ttl_steps
+from pagemill.operators.versions import ocr_progress, pending_except
+from pagemill.sources.merged import MergedTable
+from pagemill.sources.tables import FIELDS
+
+PROVIDER, ROCKSDB = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
-from pagemill.operators.usage import usage_monthly
-from pagemill.operators.versions import longer, ocr_progress, pending_except
+@contextmanager
+def with_rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams that are started inside keep their state in RocksDB."""
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(PROVIDER, before)
 
 
-def usage_stream(events: DataFrame) -> DataFrame:
-    """Counters by month and user for output mode update or complete. Events of any lateness count, as the month's total must hold them."""
-    return usage_monthly(events)
+def _end_of(month: str) -> int:
+    """The first millisecond behind a month like 2024-01."""
+    return int((pd.Timestamp(f"{month}-01") + pd.DateOffset(months=1)).value // 1_000_000)
 
 
-def _together(tables) -> pd.DataFrame:
+def _watermarked(rows: DataFrame, late: str, *kept: str) -> DataFrame:
+    """The kept columns of rows, behind a watermark on ts."""
+    return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).select(*kept)
+
+
+def _together(tables: Iterator[pd.DataFrame]) -> pd.DataFrame:
     """A key's rows of one micro-batch in order of time."""
     return pd.concat(list(tables)).sort_values(["us", "req_id"], kind="stable")
 
 
-def quota_stream(requests: DataFrame, limit: int, late: str = "1 day") -> DataFrame:
-    """req_id, app_user_id, month, admitted, used: what would exceed the month's limit is refused and uses nothing.
+class _Counters(StatefulProcessor):
+    """Six sums of a month, user and part of the user's events, until the watermark has passed the month's end."""
+
+    def init(self, handle):
+        self._handle, self._sums = handle, handle.getValueState("sums", ", ".join(f"{f} long" for f in FIELDS))
+
+    def handleInputRows(self, key, rows, timerValues):
+        sums = np.zeros(len(FIELDS), dtype=np.int64)
+        for table in rows:
+            sums += table[FIELDS].sum().to_numpy(dtype=np.int64)
+        month = key[0]
+        late = month is None or timerValues.getCurrentWatermarkInMs() >= _end_of(month)
+        if not late:
+            if self._sums.exists():
+                sums += np.array(self._sums.get(), dtype=np.int64)
+            else:
+                self._handle.registerTimer(_end_of(month))
+            self._sums.update(tuple(sums.tolist()))
+        yield pd.DataFrame([[*key, late, *sums.tolist()]], columns=["month", "app_user_id", "part", "late", *FIELDS])
 
-    State is one number for a user and month and goes 32 days and `late` after that user's newest request.
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self._sums.clear()
+        yield pd.DataFrame(columns=["month", "app_user_id", "part", "late", *FIELDS])
+
+    def close(self):
+        pass
+
+
+def usage_stream(events: DataFrame, late: str = "1 day", parts: int = 8) -> DataFrame:
+    """month, app_user_id, part, late and the six counters, for output mode update; read_counters sums them up.
+
+    A row that is not late replaces the one before it of its month, user and part. Parts are shares of a user's events, by hash, so that a user with very many of
+    them is not one task's. Rows of a month that the watermark has passed (or without a time) are late: their sums stand for themselves, and no state
+    is kept for them; a month's state goes once the watermark, `late` behind the newest event, passes its end.
     """
+    sums = [F.when(F.col("field") == f, F.coalesce("amount", F.lit(0))).otherwise(0).cast("long").alias(f) for f in FIELDS]
+    part = F.pmod(F.xxhash64(*(c for c in events.columns if c != "app_user_id")), F.lit(parts)).cast("int")
+    rows = _watermarked(events, late, month_of("ts").alias("month"), "app_user_id", part.alias("part"), *sums)
+    user = events.schema["app_user_id"].dataType.simpleString()
+    schema = f"month string, app_user_id {user}, part int, late boolean, " + ", ".join(f"{f} long" for f in FIELDS)
+    return rows.groupBy("month", "app_user_id", "part").transformWithStateInPandas(_Counters(), schema, "update", "eventTime")
+
+
+def keep_counters(spark: SparkSession, path: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch over usage_stream: the newest sums at path/now, those of late rows at path/late. A batch that comes again changes nothing."""
+    keys = ["month", "app_user_id", "part"]
+
+    def keep(batch: DataFrame, n: int) -> None:
+        batch = batch.persist()
+        MergedTable(spark, f"{path}/now", keys).append(batch.where("not late").drop("late"), n)
+        MergedTable(spark, f"{path}/late", [*keys, "batch"]).append(batch.where("late").drop("late").withColumn("batch", F.lit(n).cast("long")), n)
+        batch.unpersist()
+
+    return keep
+
+
+def read_counters(spark: SparkSession, path: str) -> DataFrame:
+    """month, app_user_id and the six counters: what usage_monthly gives for all events that were streamed, late ones included."""
+    now, late = MergedTable(spark, f"{path}/now", ["month", "app_user_id", "part"]).read(), MergedTable(spark, f"{path}/late", ["month", "app_user_id", "part", "batch"]).read()
+    return now.unionByName(late.drop("batch")).groupBy("month", "app_user_id").agg(*(F.sum(f).cast("long").alias(f) for f in FIELDS))
 
-    def admit(key, tables, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        used = state.get[0] if state.exists else 0
-        rows, out = _together(tables), []
-        for amount in rows["amount"]:
-            fits = used + amount <= limit
-            used = used + amount if fits else used
-            out.append((fits, used))
-        state.update((int(used),))
-        newest = int(rows["us"].max()) // 1000
-        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + 32 * 86_400_000)
-        yield pd.DataFrame({"req_id": rows["req_id"].values, "app_user_id": key[0], "month": key[1], "admitted": [a for a, _ in out], "used": [u for _, u in out]})
 
+class _Quota(StatefulProcessor):
+    """What a user has used of a month."""
+
+    def init(self, handle):
+        self._handle, self._used = handle, handle.getValueState("used", "used long")
+
+    def handleInitialState(self, key, initialState, timerValues):
+        self._used.update((int(initialState["used"].sum()),))
+        if key[1] is not None:
+            self._handle.registerTimer(_end_of(key[1]))
+
+    def handleInputRows(self, key, rows, timerValues):
+        user, month = key
+        rows = _together(rows)
+        if month is not None and timerValues.getCurrentWatermarkInMs() >= _end_of(month):
+            admitted, after = np.zeros(len(rows), dtype=bool), np.full(len(rows), None)
+        else:
+            if self._used.exists():
+                used = self._used.get()[0]
+            else:
+                used = 0
+                if month is not None:
+                    self._handle.registerTimer(_end_of(month))
+            used, admitted, after = quota_steps(used, *(rows[c].to_numpy() for c in ("amount", "limit", "ok")))
+            self._used.update((used,))
+        yield pd.DataFrame({"req_id": rows["req_id"].to_numpy(), "app_user_id": user, "month": month, "admitted": admitted, "used": pd.array(after, dtype="Int64")})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self._used.clear()
+        yield pd.DataFrame(columns=["req_id", "app_user_id", "month", "admitted", "used"])
+
+    def close(self):
+        pass
+
+
+def quota_stream(requests: DataFrame, limit: int | None = None, initial: DataFrame | None = None, late: str = "1 day") -> DataFrame:
+    """req_id, app_user_id, month, admitted, used as quota_admit_amount has them, for requests with ts, amount, limit and, if it is known, ok.
+
+    initial (app_user_id, month, used) is what was used before the stream began. State is one number for a user and month and goes once the watermark passes the month's end;
+    requests of such a month are refused, with null in used. Requests without a month are one month that does not end.
+    """
     user = requests.schema["app_user_id"].dataType.simpleString()
-    return requests.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("us", F.unix_micros("ts")).withWatermark("ts", late).groupBy("app_user_id", "month").applyInPandasWithState(admit, f"req_id long, app_user_id {user}, month string, admitted boolean, used long", "used long", "append", GroupStateTimeout.EventTimeTimeout)
+    rows = _watermarked(metered(requests, None if limit is None else limit).withColumn("us", F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(NEVER))), late, "app_user_id", "month", "req_id", "us", "amount", "limit", "ok")
+    known = None if initial is None else initial.select(F.col("app_user_id"), F.col("month"), F.col("used").cast("long").alias("used")).groupBy("app_user_id", "month")
+    return rows.groupBy("app_user_id", "month").transformWithStateInPandas(_Quota(), f"req_id long, app_user_id {user}, month string, admitted boolean, used long", "append", "eventTime", known)
+
+
+class _Cached(StatefulProcessor):
+    """When a key was last set."""
+
+    def __init__(self, ttl: int):
+        self._ttl = ttl
 
+    def init(self, handle):
+        self._handle, self._at = handle, handle.getValueState("at", "us long")
 
-def ttl_dedupe_stream(requests: DataFrame, ttl_hours: int = 24, late: str = "1 day") -> DataFrame:
-    """key, req_id, hit: a request whose key was set at most that long ago is a hit and does not renew it. State ends with the time to live."""
-    ttl = ttl_hours * 3_600_000_000
+    def _set(self, us: int) -> None:
+        self._at.update((us,))
+        self._handle.registerTimer((us + self._ttl) // 1000 + 1)
 
-    def judge(key, tables, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        at = state.get[0] if state.exists else None
-        rows, hits = _together(tables), []
-        for us in rows["us"]:
-            hit = at is not None and us <= at + ttl
-            at = at if hit else int(us)
-            hits.append(hit)
-        state.update((at,))
-        state.setTimeoutTimestamp(max((at + ttl) // 1000, state.getCurrentWatermarkMs()) + 1)
-        yield pd.DataFrame({"key": key[0], "req_id": rows["req_id"].values, "hit": hits})
+    def handleInitialState(self, key, initialState, timerValues):
+        self._set(int(initialState["us"].max()))
 
-    return requests.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("us", F.unix_micros("ts")).withWatermark("ts", late).groupBy("key").applyInPandasWithState(judge, "key string, req_id long, hit boolean", "at long", "append", GroupStateTimeout.EventTimeTimeout)
+    def handleInputRows(self, key, rows, timerValues):
+        rows = _together(rows)
+        before = self._at.get()[0] if self._at.exists() else NEVER
+        now, hits = ttl_steps(before, rows["us"].to_numpy(), rows["ok"].to_numpy(), self._ttl)
+        if now != before:
+            self._set(now)
+        yield pd.DataFrame({"key": key[0], "req_id": rows["req_id"].to_numpy(), "hit": hits})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if self._at.exists() and (self._at.get()[0] + self._ttl) // 1000 < expiredTimerInfo.getExpiryTimeInMs():  # else it was set again
+            self._at.clear()
+        yield pd.DataFrame(columns=["key", "req_id", "hit"])
 
-#: Parts of a table of pages that are written anew when a document of theirs gets pages.
-BUCKETS = 64
+    def close(self):
+        pass
+
+
+def ttl_dedupe_stream(requests: DataFrame, ttl_hours: int = 24, initial: DataFrame | None = None, late: str = "1 day") -> DataFrame:
+    """key, req_id, hit as ttl_dedupe has them, for requests with key, ts and, if it is known, ok.
+
+    initial (key, set_at) is what was set before the stream began. State is one time for a key and goes when the watermark is more than the time to live behind it.
+    """
+    rows = _watermarked(timed(requests), late, "key", "req_id", "us", "ok")
+    known = None if initial is None else initial.select(F.col("key"), F.unix_micros(F.col("set_at").cast("timestamp")).alias("us")).groupBy("key")
+    key = requests.schema["key"].dataType.simpleString()
+    return rows.groupBy("key").transformWithStateInPandas(_Cached(ttl_hours * 3_600_000_000), f"key {key}, req_id long, hit boolean", "append", "eventTime", known)
 
 
-def bucketed(pages: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """pages with the part of the table that their document belongs to, to be written with partitionBy("bucket")."""
-    return pages.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
+def page_table(spark: SparkSession, path: str) -> MergedTable:
+    """Pages of documents at a path: of a page, the longer text stays, and of texts as long as each other the one that was there."""
+    return MergedTable(spark, path, ["doc_id", "page"], ["length(text)"], first_stays=True)
 
 
-def page_backfill(spark: SparkSession, pages: str, pending: str, report: Callable[[DataFrame, int], None], buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch over recognised pages: merges them into the table of pages at a path (see bucketed) and reports progress of the batch's documents.
+def page_backfill(spark: SparkSession, pages: MergedTable, pending: DataFrame, report: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch over recognised pages (doc_id, page, text, confidence): adds them to the table of pages and reports progress of the batch's documents.
 
-    Only the parts with documents of the batch are read and written. A longer text wins, so a batch that is run again changes
-    nothing. Of several texts of a page in one batch the longest counts.
+    Only the batch is written, and only pages of its documents are read. Blank texts are left out. A batch that comes again, or that broke off before it was
+    listed, changes nothing twice.
     """
 
     def merge(batch: DataFrame, n: int) -> None:
-        best = F.max_by(F.struct("text", "confidence"), F.struct(F.length("text"), "text"))
-        batch = batch.groupBy("doc_id", "page").agg(best.alias("x")).select("doc_id", "page", "x.text", "x.confidence").persist()
-        touched = [r.bucket for r in bucketed(batch, buckets).select("bucket").distinct().collect()]  # at most so many as there are parts
-        if touched:
-            now = spark.read.parquet(pages).where(F.col("bucket").isin(touched))
-            bucketed(longer(now, batch), buckets).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(pages)
-            have = spark.read.parquet(pages).where(F.col("bucket").isin(touched)).join(batch.select("doc_id").distinct(), "doc_id", "left_semi")
-            left = pending_except(spark.read.parquet(pending), have.where("source = 'ocr'"))
-            report(ocr_progress(have, left), n)
+        batch = batch.select("doc_id", "page", "text", F.lit("ocr").alias("source"), "confidence").persist()
+        pages.append(batch.where(X.trim("text") != ""), n)
+        documents = batch.select("doc_id").distinct()
+        have = pages.read(documents)
+        left = pending_except(pending.join(documents, "doc_id", "left_semi"), have.where("source = 'ocr'"))
+        report(ocr_progress(have, left), n)
         batch.unpersist()
 
     return merge
