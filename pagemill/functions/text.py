@@ -20,6 +20,8 @@ LONG_WORD_ENDINGS = "al|ic|ical|ity|ies"
 SPLIT_WORDS = ["apache", "helicopter", "sniper", "overwatch", "south-central"]
 #: Sites that stamp pages; fixed values.
 STAMPS = r"https?://|(?<![A-Za-z0-9_])www\.|\.(com|ir|org|net)(?![A-Za-z0-9_])|ketabfarsi|takbook|veyq|ebook|persianblog|golshan"
+#: What any of these stamps has in it.
+STAMPED = ["://", "www.", ".com", ".ir", ".org", ".net", "ketabfarsi", "takbook", "veyq", "ebook", "persianblog", "golshan"]
 PERSIAN_ARABIC_DIGITS = "۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩"
 
 
@@ -27,8 +29,32 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: White space of ASCII.
+ASCII_WS = "\t\n\x0b\f\r "
+
+
+def wide(c: Column | str) -> Column:
+    """Whether a text has letters beyond ASCII; most of the rules below are much shorter for others."""
+    return F.octet_length(col(c)) > F.length(col(c))
+
+
 def trim(c: Column | str) -> Column:
-    return F.regexp_replace(col(c), f"^{WS}+|{WS}+$", "")
+    """Without white space at both ends. Letters beyond ASCII matter at the ends only, so others take Spark's own trim."""
+    once = F.btrim(col(c), F.lit(ASCII_WS))
+    return F.when(wide(c), F.regexp_replace(once, f"^{WS}+|(?<!{WS}){WS}+$", "")).otherwise(once)
+
+
+def stamped(norm: Column) -> Column:
+    """Whether a normalized line has an address or the stamp of a site; plain searches come first, as few have."""
+    some = F.lit(False)
+    for part in STAMPED:
+        some = some | norm.contains(part)
+    return some & norm.rlike(STAMPS)
+
+
+def letters_of(c: Column | str, letters: str) -> Column:
+    """How many letters of a class a text has, a run of them at a time."""
+    return F.length(col(c)) - F.length(F.regexp_replace(col(c), f"[{letters}]+", ""))
 
 
 def count_of(c: Column | str, pattern: str) -> Column:
@@ -38,12 +64,15 @@ def count_of(c: Column | str, pattern: str) -> Column:
 def normalize_line(line: Column | str) -> Column:
     """Digits to ASCII, white space to single blanks, tatweel away, trimmed, lower case."""
     digits = F.translate(col(line), PERSIAN_ARABIC_DIGITS, "01234567890123456789")
-    return F.lower(F.trim(F.replace(F.regexp_replace(digits, f"{WS}+", " "), F.lit("ـ"), F.lit(""))))
+    all_ = F.replace(F.regexp_replace(digits, f"{WS}+", " "), F.lit("ـ"), F.lit(""))
+    plain = F.when(col(line).rlike(r"[\t-\r]|  "), F.regexp_replace(col(line), r"[\t-\r ]+", " ")).otherwise(col(line))
+    return F.lower(F.trim(F.when(wide(line), all_).otherwise(plain)))
 
 
 def mostly_latin(line: Column | str, letters: str = LATIN, least: int = 6, times: int = 2) -> Column:
-    n = count_of(line, f"[{letters}]")
-    return (n >= least) & (n > times * count_of(line, f"[{SCRIPTS}]"))
+    n = letters_of(line, letters)
+    enough = col(line).rlike(f"(?:[A-Za-z][^A-Za-z]*+){{{least}}}")  # all that ASCII alone needs
+    return F.when(wide(line), (n >= least) & (n > times * letters_of(line, SCRIPTS))).otherwise(enough)
 
 
 def mostly_latin_ocr(line: Column | str) -> Column:
@@ -54,17 +83,24 @@ def _bounded(pattern: str) -> str:
     return rf"(?<![A-Za-z0-9_]){pattern}(?![A-Za-z0-9_])"
 
 
+def _split_somewhere(word: str) -> str:
+    """A pattern for a word with white space behind its second or a later letter, as far as two letters behind that."""
+    rest = ""
+    for i in range(len(word) - 2, 1, -1):
+        rest = rf"(?:{WS}+{word[i : i + 2]}" + (f"|{word[i]}{rest}" if rest else "") + ")"
+    return word[:2] + rest
+
+
 def joined_words(line: Column) -> Column:
     """Words that scanning split are joined again; real words with such endings are joined as well."""
-    out = F.regexp_replace(line, _bounded(rf"([A-Za-z]{{3,}}){WS}+({ENDINGS})"), "$1$2")
-    out = F.regexp_replace(out, _bounded(rf"([A-Za-z]{{5,}}){WS}+({LONG_WORD_ENDINGS})"), "$1$2")
+    out = F.regexp_replace(line, _bounded(rf"([A-Za-z]{{3,}}+){WS}++({ENDINGS})"), "$1$2")
+    out = F.regexp_replace(out, _bounded(rf"([A-Za-z]{{5,}}+){WS}++({LONG_WORD_ENDINGS})"), "$1$2")
     halves = [(word[:i], word[i:]) for word in SPLIT_WORDS for i in range(2, len(word) - 1)]
     whole = out
     for a, b in halves:
         whole = F.regexp_replace(whole, _bounded(rf"(?i:({a}){WS}+({b}))"), "$1$2")
     # few lines have one; it is looked for in the line as it was, where a second half may still lack its own ending
-    some = "|".join(rf"{a}{WS}+{b[:2]}" for a, b in halves)
-    return F.when(line.rlike(f"(?i:{some})"), whole).otherwise(out)
+    return F.when(line.rlike("(?i:" + "|".join(map(_split_somewhere, SPLIT_WORDS)) + ")"), whole).otherwise(out)
 
 
 def repair_latin_breaks(text: Column | str, latin=mostly_latin) -> Column:
@@ -76,7 +112,7 @@ def repair_latin_breaks(text: Column | str, latin=mostly_latin) -> Column:
 def nfkc(text: Column | str) -> Column:
     """Unicode's compatibility form with composition, by the library for it that Spark brings along; ASCII is left as it is, null stays null."""
     made = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), col(text), F.lit(True))
-    return F.when(col(text).rlike(r"[^\x00-\x7F]"), made).otherwise(col(text))
+    return F.when(wide(text), made).otherwise(col(text))
 
 
 def compatible(text: Column | str, where: Column) -> Column:
@@ -85,7 +121,7 @@ def compatible(text: Column | str, where: Column) -> Column:
 
 
 def has_script(line: Column | str) -> Column:
-    return F.coalesce(col(line).rlike(f"[{SCRIPTS}]"), F.lit(False))
+    return F.coalesce(wide(line) & col(line).rlike(f"[{SCRIPTS}]"), F.lit(False))
 
 
 def repair_script(line: Column | str) -> Column:
@@ -102,7 +138,7 @@ def repair_script(line: Column | str) -> Column:
 
 def split_sentences(text: Column | str) -> Column:
     """After . ! or ? and one closing quote or bracket, if white space follows; trimmed, without empty ones."""
-    marked = F.regexp_replace(col(text), rf"([.!?][\"”’)]?){WS}+", "$1\u0001")
+    marked = F.regexp_replace(col(text), rf"([.!?][\"”’)]?){WS}++", "$1\u0001")
     return F.filter(F.transform(F.split(marked, "\u0001"), trim), lambda x: x != "")
 
 

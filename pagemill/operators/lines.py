@@ -7,12 +7,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as X
+from pagemill.sources.tables import scratch
 
 PAGE = ["doc_id", "page"]
 
 
 def _lines_of(text: Column | str) -> Column:
-    return F.split(F.regexp_replace(F.coalesce(X.col(text), F.lit("")), "\r", ""), "\n")
+    return F.split(F.replace(F.coalesce(X.col(text), F.lit("")), F.lit("\r"), F.lit("")), "\n")
 
 
 def split_lines(pages: DataFrame) -> DataFrame:
@@ -48,7 +49,11 @@ def _opens(line: Column, i: Column, n: Column) -> Column:
     marked = rf"^{X.STARS}{{1,4}}{X.WS}*(.+)$"
     rest = X.trim(F.regexp_extract(t, marked, 1))
     found = F.when(t.rlike(marked), (rest != "") & ((place > 0.45) | (F.length(rest) > 80))).otherwise((place > 0.45) & t.rlike(rf"{X.STARS}{X.WS}*$") & X.mostly_latin(t))
-    return line.rlike(X.STARS) & found
+    return starred(line) & found
+
+
+def starred(line: Column) -> Column:
+    return line.contains("*") | (X.wide(line) & line.rlike(X.STARS))
 
 
 def _closes(line: Column) -> Column:
@@ -71,7 +76,7 @@ def _skipped(line: Column, norm: Column, page: Column) -> Column:
     """Whether a line that is not blank is a footnote mark alone, the page's number, an address or stamp, or a rule."""
     number, rule = page.cast("string"), r"._=\-*~•·"
     ruled = rf"^{X.WS}*[{rule}][{rule}{X.WS[1:-1]}]{{2,}}[{rule}]{X.WS}*$"
-    drop = line.rlike(f"^{X.WS}*{X.STARS}{{1,4}}{X.WS}*$") | ((norm != "") & ((norm == number) | (norm == F.concat(F.lit("page "), number)) | (norm == F.concat(F.lit("صفحه "), number)) | norm.rlike(X.STAMPS) | line.rlike(ruled)))
+    drop = line.rlike(f"^{X.WS}*{X.STARS}{{1,4}}{X.WS}*$") | ((norm != "") & ((norm == number) | (norm == F.concat(F.lit("page "), number)) | (norm == F.concat(F.lit("صفحه "), number)) | X.stamped(norm) | line.rlike(ruled)))
     return F.coalesce(drop, F.lit(False))
 
 
@@ -83,40 +88,52 @@ def skip_lines(lines: DataFrame, skip: DataFrame) -> DataFrame:
 
 
 def _unhyphenated(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, "\r", ""), r"([A-Za-z0-9_])-\n([A-Za-z0-9_])", "$1$2")
+    plain = F.replace(text, F.lit("\r"), F.lit(""))
+    return F.when(plain.contains("-\n"), F.regexp_replace(plain, r"([A-Za-z0-9_])-\n([A-Za-z0-9_])", "$1$2")).otherwise(plain)
+
+
+def _single_blanks(text: Column) -> Column:
+    return F.regexp_replace(text, r"[ \t][ \t]++", " ")
 
 
 def clean_native(text: Column) -> Column:
     """Wrapped lines become paragraphs."""
-    out = F.regexp_replace(_unhyphenated(text), r"([^\n])\n([^\n])", "$1 $2")
-    return X.trim(F.regexp_replace(out, r"[ \t]{2,}", " "))
+    return X.trim(_single_blanks(F.regexp_replace(_unhyphenated(text), r"([^\n])\n([^\n])", "$1 $2")))
 
 
 def clean_ocr(text: Column) -> Column:
     """Line breaks stay; split words are joined."""
-    out = F.regexp_replace(_unhyphenated(X.repair_latin_breaks(text)), r"[ \t]{2,}", " ")
+    out = _single_blanks(_unhyphenated(X.repair_latin_breaks(text)))
     return X.trim(F.regexp_replace(F.regexp_replace(out, r"[ \t]*\n[ \t]*", "\n"), r"\n{3,}", "\n\n"))
 
 
-def _read(pages: DataFrame) -> DataFrame:
+def _read(pages: DataFrame, *own: str) -> DataFrame:
     """pages with lines (array of line and norm), which are looked at twice: for what repeats, and for what is kept."""
-    return pages.select(*PAGE, "source", F.transform(_lines_of("text"), lambda x: F.struct(x.alias("line"), X.normalize_line(x).alias("norm"))).alias("lines"))
+    return pages.select(*PAGE, "source", *own, F.transform(_lines_of("text"), lambda x: F.struct(x.alias("line"), X.normalize_line(x).alias("norm"))).alias("lines"))
 
 
-def clean_pages(pages: DataFrame, share: float = 0.18, least: int = 3) -> DataFrame:
-    """doc_id, page, source, text: pages after all line rules; pages of no line left are gone.
+def often_repeated(pages: DataFrame, share: float = 0.18, least: int = 3) -> DataFrame:
+    """_at, _often: the repeated lines (see repeated_lines) of a document, for each stretch of its pages. Lines are not taken apart from their page; only distinct ones are counted.
 
-    Lines are not taken apart from their page. Only distinct lines of a page are counted by document, and what repeats comes back as one list for each
-    stretch of the document's pages, which is as short as pages are: a line on 18 % of the pages is one of less than six times those of a page.
+    A line on 18 % of the pages is one of less than six times those of a page, so a list is as short as pages are.
     """
-    read = _read(pages)
-    at = _stretch()
     norms = F.array_distinct(F.filter(F.transform("lines", lambda x: x["norm"]), lambda x: F.length(x).between(4, 90)))
-    counts = read.select("doc_id", F.explode(norms).alias("norm")).groupBy("doc_id", "norm").agg(F.count("*").alias("on"))
-    stretches = pages.groupBy("doc_id", at.alias("_at")).agg(F.count("*").alias("pages"))
+    counts = _read(pages).select("doc_id", F.explode(norms).alias("norm")).groupBy("doc_id", "norm").agg(F.count("*").alias("on"))
+    stretches = pages.groupBy("doc_id", _stretch().alias("_at")).agg(F.count("*").alias("pages"))
     often = _often(counts, stretches.groupBy("doc_id").agg(F.sum("pages").alias("pages")), share, least).groupBy("doc_id").agg(F.collect_list("norm").alias("_often"))
-    read = read.withColumn("_at", at).join(stretches.join(often, "doc_id").select("_at", "_often"), "_at", "left")
-    held = F.filter("lines", lambda x: ~F.coalesce(F.array_contains("_often", x["norm"]), F.lit(False)))
+    return stretches.join(often, "doc_id").select("_at", "_often")
+
+
+def clean_pages(pages: DataFrame, share: float = 0.18, least: int = 3) -> DataFrame:
+    """doc_id, page, source, text: pages after all line rules; pages of no line left are gone.
+
+    What repeats is found first and written to the shared folder, so that Spark knows how large it is: it broadcasts what is small, and else
+    joins by stretches of a document's pages.
+    """
+    path = scratch(pages.sparkSession)
+    often_repeated(pages, share, least).write.parquet(path)
+    met = pages.withColumn("_at", _stretch()).join(pages.sparkSession.read.parquet(path), "_at", "left")
+    read = _read(met, "_often")
     # blocks are found among all lines of the page, and what repeats opens and closes them as well
     start = F.struct(F.lit(False).alias("inside"), F.array().cast("array<struct<line:string,norm:string>>").alias("kept"), F.lit(0).alias("i"))
 
@@ -124,10 +141,9 @@ def clean_pages(pages: DataFrame, share: float = 0.18, least: int = 3) -> DataFr
         inside = F.when(_opens(x["line"], acc["i"], F.size("lines")), True).when(_closes(x["line"]), False).otherwise(acc["inside"])
         return F.struct(inside.alias("inside"), F.when(inside, acc["kept"]).otherwise(F.array_append(acc["kept"], x)).alias("kept"), (acc["i"] + 1).alias("i"))
 
-    starred = F.exists("lines", lambda x: x["line"].rlike(X.STARS))
-    outside = F.when(starred, F.aggregate("lines", start, step, lambda acc: acc["kept"])).otherwise(F.col("lines"))
-    read = read.withColumn("lines", outside).withColumn("lines", held)
-    kept = F.filter("lines", lambda x: _blank(x["line"]) | ~_skipped(x["line"], x["norm"], F.col("page")))
+    outside = F.when(F.exists("lines", lambda x: starred(x["line"])), F.aggregate("lines", start, step, lambda acc: acc["kept"])).otherwise(F.col("lines"))
+    often = lambda x: F.coalesce(F.array_contains("_often", x["norm"]), F.lit(False))
+    kept = F.filter(outside, lambda x: ~often(x) & (_blank(x["line"]) | ~_skipped(x["line"], x["norm"], F.col("page"))))
     joined = F.array_join(F.transform(kept, lambda x: F.concat(F.lit("\n"), X.repair_script(x["line"]))), "")
     # as a generator, so that the text is made once and not for the condition as well
     text = read.select(*PAGE, "source", F.explode(F.filter(F.array(joined), lambda x: x != "")).alias("text")).withColumn("text", F.substring("text", 2, 1 << 30))
