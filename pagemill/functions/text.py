@@ -18,10 +18,12 @@ FOOTNOTE_MARKS, SCRIPT_ENDS = "[∗*＊﹡¥￥]", r"[،؛؟,.!?\-]"
 ENDINGS = "er|ers|est|ing|ed|ly|ment|ness|tion|tions|sion|ter|der|per|able|ible|ally|ive|ous"
 LONG_WORD_ENDINGS = "al|ic|ical|ity|ies"
 SPLIT_WORDS = ["apache", "helicopter", "sniper", "overwatch", "south-central"]
-#: Sites that stamp pages; fixed values.
-STAMPS = r"https?://|(?<![A-Za-z0-9_])www\.|\.(com|ir|org|net)(?![A-Za-z0-9_])|ketabfarsi|takbook|veyq|ebook|persianblog|golshan"
+#: Sites that stamp pages, and ends of addresses; fixed values.
+SITES = "ketabfarsi|takbook|veyq|ebook|persianblog|golshan"
+DOMAINS = "com|ir|org|net"
+STAMPS = rf"https?://|(?<![A-Za-z0-9_])www\.|\.({DOMAINS})(?![A-Za-z0-9_])|{SITES}"
 #: What any of these stamps has in it.
-STAMPED = ["://", "www.", ".com", ".ir", ".org", ".net", "ketabfarsi", "takbook", "veyq", "ebook", "persianblog", "golshan"]
+STAMPED = ["://", "www.", *(f".{x}" for x in DOMAINS.split("|")), *SITES.split("|")]
 PERSIAN_ARABIC_DIGITS = "۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩"
 
 

@@ -37,6 +37,19 @@ LANGUAGES = [
 LANGUAGE_SCHEMA = "code string, voice_language string, ocr_lang string, prefixes array<string>, local_voice boolean, cloud_voice boolean"
 #: Preference of regions after that of the language; fixed values.
 REGIONS = {"US": 1, "GB": 2, "UK": 2, "ES": 3, "MX": 4, "FR": 5, "CA": 6, "DE": 7, "BR": 8, "PT": 9}
+#: Names of languages, of regions, and of English by region; fixed values.
+LANGUAGE_LABELS = {
+    "en": "English", "es": "Spanish", "fr": "French", "de": "German", "it": "Italian", "pt": "Portuguese", "nl": "Dutch", "sv": "Swedish", "no": "Norwegian", "da": "Danish", "fi": "Finnish",
+    "tr": "Turkish", "id": "Indonesian", "vi": "Vietnamese", "ja": "Japanese", "ko": "Korean", "zh": "Chinese (Simplified)", "hi": "Hindi", "ru": "Russian", "ar": "Arabic", "fa": "Persian",
+}
+ENGLISH_REGION_LABELS = {
+    "AU": "Australian English", "CA": "Canadian English", "GB": "British English", "IE": "Irish English", "IN": "Indian English", "NZ": "New Zealand English", "UK": "British English", "US": "American English", "ZA": "South African English",
+}
+REGION_LABELS = {
+    "AE": "UAE", "AR": "Argentina", "AT": "Austria", "AU": "Australia", "BE": "Belgium", "BR": "Brazil", "CA": "Canada", "CH": "Switzerland", "CN": "China", "CO": "Colombia", "DE": "Germany", "DK": "Denmark", "EG": "Egypt",
+    "ES": "Spain", "FI": "Finland", "FR": "France", "GB": "United Kingdom", "ID": "Indonesia", "IE": "Ireland", "IN": "India", "IR": "Iran", "IT": "Italy", "JP": "Japan", "KR": "Korea", "MX": "Mexico", "NL": "Netherlands",
+    "NO": "Norway", "NZ": "New Zealand", "PT": "Portugal", "RU": "Russia", "SA": "Saudi Arabia", "SE": "Sweden", "TR": "Turkey", "TW": "Taiwan", "US": "United States", "VN": "Vietnam", "ZA": "South Africa",
+}
 PDF, DOCX = "application/pdf", "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
 
 
@@ -102,23 +115,35 @@ def voice_mode(preferences: DataFrame, tiers: DataFrame) -> DataFrame:
     return rows.select(*preferences.columns, F.when(local, "local").when(cloud, "natural").otherwise("device").alias("mode"))
 
 
+def _mapped(values: dict, key: Column) -> Column:
+    return F.create_map(*(F.lit(x) for kv in values.items() for x in kv))[key]
+
+
+def _region(language: Column) -> Column:
+    """The region of a voice's language, in capitals; the language itself where none is named."""
+    parts = F.split(F.regexp_replace(language, "^([^_]*)_", "$1-"), "-")
+    return F.upper(F.coalesce(F.nullif(F.get(parts, F.lit(1)), F.lit("")), F.nullif(F.get(parts, F.lit(0)), F.lit("")), F.lit("default")))
+
+
 def voices_ranked(voices: DataFrame, n: int = 8) -> DataFrame:
-    """code, place, voice_id of the n best voices (voice_id, name, language) of each reading language.
+    """code, place, voice_id, label of the n best voices (voice_id, name, language) of each reading language.
 
     Rank: region (the language's own first), then offline, phone and network voices; of a region and availability only the
-    first one stays. Ties go to the region's name, then to the voice_id. A voice without a language fits none.
+    first one stays. Ties go by what is shown of the region, then to the region and the voice_id. A voice without a language fits none.
     """
     registry = languages(voices.sparkSession).select("code", "voice_language", F.explode("prefixes").alias("prefix"))
     rows = voices.withColumn("prefix", F.split_part(_dashed("language"), F.lit("-"), F.lit(1))).join(F.broadcast(registry), "prefix")
-    region = F.upper(F.coalesce(F.get(F.split(F.regexp_replace("language", "_", "-"), "-"), F.lit(1)), F.lit("")))
-    own = F.upper(F.split_part("voice_language", F.lit("-"), F.lit(2)))
+    region = _region(F.col("language"))
     words = F.lower(F.concat_ws(" ", "name", "voice_id"))
     quality = F.when(words.contains("network"), 2).when(words.rlike("local|offline|google"), 0).otherwise(1)
-    place = F.create_map(*(F.lit(x) for kv in REGIONS.items() for x in kv))[region]
-    rows = rows.select("code", "voice_id", region.alias("region"), (quality == 2).alias("far"), (F.when(region == own, 0).otherwise(F.coalesce(place, F.lit(9))) * 10 + quality).alias("rank"))
-    order = ("rank", "region", "voice_id")
-    first = rows.withColumn("at", F.row_number().over(Window.partitionBy("code", "region", "far").orderBy(*order))).where("at = 1")
-    return first.withColumn("place", F.row_number().over(Window.partitionBy("code").orderBy(*order))).where(F.col("place") <= n).select("code", "place", "voice_id", "rank")
+    spoken, place = _mapped(LANGUAGE_LABELS, F.col("code")), _mapped(REGION_LABELS, region)
+    label = F.coalesce(F.when(F.col("code") == "en", _mapped(ENGLISH_REGION_LABELS, region)), F.when(place.isNotNull(), F.concat(spoken, F.lit(" ("), place, F.lit(")"))), spoken)
+    rank = F.when(region == _region(F.col("voice_language")), 0).otherwise(F.coalesce(_mapped(REGIONS, region), F.lit(9))) * 10 + quality
+    rows = rows.select("code", "voice_id", region.alias("region"), label.alias("label"), (quality == 2).alias("far"), rank.alias("rank"))
+    # one voice for each region and availability remains, of which there are few for a language
+    first = rows.groupBy("code", "region", "far").agg(F.min(F.struct("rank", "label", "region", "voice_id")).alias("x")).select("code", "x.*")
+    best = Window.partitionBy("code").orderBy("rank", "label", "region", "voice_id")
+    return first.withColumn("place", F.row_number().over(best)).where(F.col("place") <= n).select("code", "place", "voice_id", "rank", "label")
 
 
 #: Tasks, and what they ask for; fixed values.

@@ -36,7 +36,8 @@ EV = """ev AS (SELECT event_id AS req_id, user_id AS app_user_id, ts, strftime(t
 CASE event_type WHEN 'signup' THEN 'pdfs' WHEN 'click' THEN 'aiActions' WHEN 'purchase' THEN 'cloudVoiceChars' WHEN 'view' THEN 'cacheHits' ELSE 'failedRequests' END AS field,
 CAST(CASE WHEN event_type = 'purchase' THEN floor(value) ELSE 1 END AS BIGINT) AS amount, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)"""
 MONTHLY = EV + ",\nmu AS (SELECT month, app_user_id, " + ", ".join(f"CAST(coalesce(sum(CASE WHEN field = '{f}' THEN amount END), 0) AS BIGINT) AS {f}" for f in ["ocrPages", "aiActions", "cloudVoiceChars", "pdfs", "failedRequests", "cacheHits"]) + " FROM ev GROUP BY month, app_user_id)"
-TIERS = "tiers(key, rank, monthly, yearly, ocrPages, aiActions, cloudVoiceChars, pdfs, ai, voice) AS (VALUES ('free', 0, NULL, NULL, 0, 0, 0, 1, false, false), ('reader_plus', 1, 4.99::DOUBLE, 39.99::DOUBLE, 0, 0, 0, 100, false, false), ('ai_pro', 2, 12.99::DOUBLE, 119.99::DOUBLE, 750, 150, 45000, 300, true, true), ('power', 3, 29.99::DOUBLE, 279.99::DOUBLE, 2500, 400, 100000, 1000, true, true))"
+_SQL = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else f"'{v}'" if isinstance(v, str) else f"{v}::DOUBLE" if isinstance(v, float) else str(v)
+TIERS = f"tiers({', '.join(U.TIER_FIELDS)}) AS (VALUES {', '.join('(' + ', '.join(map(_SQL, t)) + ')' for t in U.TIERS)})"
 UT = "en AS (SELECT DISTINCT user_id AS app_user_id, CASE user_id % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'reader_plus' WHEN 2 THEN 'ai_pro' ELSE 'power' END AS e FROM events), ut AS (SELECT app_user_id, coalesce(arg_max(key, rank), 'free') AS tier FROM en LEFT JOIN tiers ON e = key GROUP BY app_user_id)"
 
 
@@ -587,9 +588,8 @@ FAILED_COLUMNS = [x.strip() for x in re.split(r",\s*(?=CASE)", FAILED.removepref
 
 
 @query("""SELECT conv_id, turn, 'Language: ' || CASE turn % 3 WHEN 0 THEN 'fr' ELSE 'en' END || chr(10) || 'Task: ' || task || chr(10) ||
-CASE task WHEN 'ask' THEN 'User question: ' || CASE WHEN turn % 2 = 0 THEN 'Why?' ELSE '' END || chr(10) WHEN 'simplify' THEN 'Rewrite the meaning simply (aim for a 12-year-old) in "simple_explanation". ' WHEN 'key_points' THEN 'Focus on extracting the most important key_points. '
-WHEN 'explain' THEN 'Explain what this passage means and why it matters. ' ELSE 'Summarize concisely. ' END ||
-'Return JSON with keys: summary (string), simple_explanation (string), key_points (string[] up to 6), terms (array of {term, meaning} up to 5), answer (string, only for the "ask" task else empty).' || chr(10) || chr(10) || 'TEXT:' || chr(10) || text AS prompt
+CASE task WHEN 'ask' THEN 'User question: ' || CASE WHEN turn % 2 = 0 THEN 'Why?' ELSE '' END || chr(10) """ + " ".join(f"WHEN '{k}' THEN '{v} '" for k, v in Q.ASKED.items()) + f""" ELSE '{Q.ASKED_ELSE} ' END ||
+'{Q.REPLY}' """ + """|| chr(10) || chr(10) || 'TEXT:' || chr(10) || text AS prompt
 FROM (SELECT *, CASE conv_id % 5 WHEN 0 THEN 'summary' WHEN 1 THEN 'explain' WHEN 2 THEN 'simplify' WHEN 3 THEN 'key_points' ELSE 'ask' END AS task FROM conversations)""")
 def ai_prompt(spark, d):
     task = F.get(F.array(*map(F.lit, Q.TASKS)), (F.col("conv_id") % 5).cast("int"))

@@ -68,14 +68,17 @@ def voice_mode(spark, d):
     return Q.voice_mode(_events(spark, d, engine=ENGINE, language=CODE, tier=TIER, local_ready=READY), U.tiers(spark)).select("event_id", "mode")
 
 
-VOICE = "CASE event_id % 6 WHEN 0 THEN 'en_GB' WHEN 1 THEN 'en-US' WHEN 2 THEN 'en-AU' WHEN 3 THEN 'nb-NO' WHEN 4 THEN 'no' ELSE NULL END"
+VOICE = "CASE event_id % 9 WHEN 0 THEN 'en_GB' WHEN 1 THEN 'en-US' WHEN 2 THEN 'en-AU' WHEN 3 THEN 'nb-NO' WHEN 4 THEN 'no' WHEN 5 THEN 'en-ZA' WHEN 6 THEN 'en_IE' WHEN 7 THEN 'en-IN' ELSE NULL END"
 NAME = "CASE event_id % 5 WHEN 0 THEN 'Network' WHEN 1 THEN 'Offline' ELSE 'Voice' END"
 
 
-@query(f"""WITH v AS (SELECT lpad(CAST(event_id AS VARCHAR), 9, '0') AS voice_id, CASE WHEN event_id % 6 < 3 THEN 'en' ELSE 'no' END AS code, CASE event_id % 6 WHEN 0 THEN 'GB' WHEN 1 THEN 'US' WHEN 2 THEN 'AU' WHEN 3 THEN 'NO' ELSE '' END AS region,
-CASE event_id % 5 WHEN 0 THEN 2 WHEN 1 THEN 0 ELSE 1 END AS q, CASE event_id % 6 WHEN 0 THEN 2 WHEN 1 THEN 0 WHEN 3 THEN 0 ELSE 9 END AS r FROM events WHERE event_id % 6 < 5),
-f AS (SELECT *, r * 10 + q AS rank FROM v QUALIFY row_number() OVER (PARTITION BY code, region, q = 2 ORDER BY r * 10 + q, region, voice_id) = 1)
-SELECT code, CAST(row_number() OVER (PARTITION BY code ORDER BY rank, region, voice_id) AS INTEGER) AS place, voice_id, rank FROM f""")
+@query(f"""WITH v AS (SELECT lpad(CAST(event_id AS VARCHAR), 9, '0') AS voice_id, CASE WHEN event_id % 9 IN (3, 4) THEN 'no' ELSE 'en' END AS code,
+CASE event_id % 9 WHEN 0 THEN 'GB' WHEN 1 THEN 'US' WHEN 2 THEN 'AU' WHEN 5 THEN 'ZA' WHEN 6 THEN 'IE' WHEN 7 THEN 'IN' ELSE 'NO' END AS region,
+CASE event_id % 9 WHEN 0 THEN 'British English' WHEN 1 THEN 'American English' WHEN 2 THEN 'Australian English' WHEN 5 THEN 'South African English' WHEN 6 THEN 'Irish English' WHEN 7 THEN 'Indian English' ELSE 'Norwegian (Norway)' END AS label,
+CASE event_id % 5 WHEN 0 THEN 2 WHEN 1 THEN 0 ELSE 1 END AS q, CASE event_id % 9 WHEN 0 THEN 2 WHEN 1 THEN 0 WHEN 3 THEN 0 WHEN 4 THEN 0 ELSE 9 END AS r FROM events WHERE event_id % 9 < 8),
+f AS (SELECT *, r * 10 + q AS rank FROM v QUALIFY row_number() OVER (PARTITION BY code, region, q = 2 ORDER BY r * 10 + q, label, region, voice_id) = 1),
+p AS (SELECT code, CAST(row_number() OVER (PARTITION BY code ORDER BY rank, label, region, voice_id) AS INTEGER) AS place, voice_id, rank, label FROM f)
+SELECT * FROM p WHERE place <= 8""")
 def voices_ranked(spark, d):
     return Q.voices_ranked(_events(spark, d, voice_id="lpad(CAST(event_id AS STRING), 9, '0')", name=NAME, language=VOICE).drop("event_id"))
 

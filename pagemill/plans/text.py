@@ -23,11 +23,11 @@ def query(sql: str | None = None):
     return keep
 
 
-STARS = "[∗*＊﹡]"
-DIGITS = "translate({0}, '۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩', '01234567890123456789')"
+STARS = X.STARS
+DIGITS = f"translate({{0}}, '{X.PERSIAN_ARABIC_DIGITS}', '01234567890123456789')"
 NORM = "lower(trim(regexp_replace(regexp_replace(" + DIGITS + r", '\s+', ' ', 'g'), 'ـ+', '', 'g')))"
 TRIM = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
-ENDINGS = r"""regexp_replace(regexp_replace({0}, '\b([A-Za-z]{{3,}})\s+(er|ers|est|ing|ed|ly|ment|ness|tion|tions|sion|ter|der|per|able|ible|ally|ive|ous)\b', '\1\2', 'g'), '\b([A-Za-z]{{5,}})\s+(al|ic|ical|ity|ies)\b', '\1\2', 'g')"""
+ENDINGS = rf"""regexp_replace(regexp_replace({{0}}, '\b([A-Za-z]{{{{3,}}}})\s+({X.ENDINGS})\b', '\1\2', 'g'), '\b([A-Za-z]{{{{5,}}}})\s+({X.LONG_WORD_ENDINGS})\b', '\1\2', 'g')"""
 SCRIPT = r"[\x{0400}-\x{04FF}\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{08A0}-\x{08FF}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}\x{0900}-\x{097F}\x{0E00}-\x{0E7F}\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{AC00}-\x{D7AF}\x{1100}-\x{11FF}]"
 N_LATIN = r"length(regexp_replace({0}, '[^A-Za-z\x{{00C0}}-\x{{024F}}]', '', 'g'))"
 N_ASCII = r"length(regexp_replace({0}, '[^A-Za-z]', '', 'g'))"
@@ -54,12 +54,11 @@ KP = FB + rf""",
 kp AS (SELECT fb.* FROM fb LEFT JOIN sk ON fb.doc_id = sk.doc_id AND fb.norm = sk.norm
   WHERE inside = 0 AND (t = '' OR NOT (regexp_matches(t, '^{STARS}{{1,4}}$') OR (fb.norm <> '' AND (
     sk.norm IS NOT NULL OR fb.norm = CAST(page AS VARCHAR) OR fb.norm = 'page ' || page OR fb.norm = 'صفحه ' || page
-    OR regexp_matches(fb.norm, 'https?://|\bwww\.|\.(com|ir|org|net)\b|ketabfarsi|takbook|veyq|ebook|persianblog|golshan')
+    OR regexp_matches(fb.norm, 'https?://|\bwww\.|\.({X.DOMAINS})\b|{X.SITES}')
     OR regexp_matches(t, '^[._=\-*~•·\s]{{4,}}$'))))))"""
 KP = KP.replace("t = '' OR NOT", "(t = '' AND sk.norm IS NULL) OR t <> '' AND NOT")
 JOINED = ENDINGS.format("x")
-WORDS = ["apache", "helicopter", "sniper", "overwatch", "south-central"]
-for _w in WORDS:
+for _w in X.SPLIT_WORDS:
     for _i in range(2, len(_w) - 1):
         JOINED = rf"regexp_replace({JOINED}, '\b({_w[:_i]})\s+({_w[_i:]})\b', '\1\2', 'gi')"
 BREAKS = "array_to_string(list_transform(string_split({0}, chr(10)), lambda x: CASE WHEN " + MOSTLY.format("x") + " THEN " + JOINED.replace("{", "{{").replace("}", "}}") + " ELSE x END), chr(10))"
