@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,10 +42,19 @@ def wide(c: Column | str) -> Column:
     return F.octet_length(col(c)) > F.length(col(c))
 
 
+def once(value: Column | str, use: Callable[[Column], Column]) -> Column:
+    """use(value) with a value that is worked out once, however often it is used. Spark shares what stands twice in a row, but not within branches."""
+    return F.get(F.transform(F.array(col(value)), use), F.lit(0))
+
+
 def trim(c: Column | str) -> Column:
     """Without white space at both ends. Letters beyond ASCII matter at the ends only, so others take Spark's own trim."""
-    once = F.btrim(col(c), F.lit(ASCII_WS))
-    return F.when(wide(c), F.regexp_replace(once, f"^{WS}+|(?<!{WS}){WS}+$", "")).otherwise(once)
+
+    def ends(x: Column) -> Column:
+        plain = F.btrim(x, F.lit(ASCII_WS))
+        return F.when(wide(x), F.regexp_replace(plain, f"^{WS}+|(?<!{WS}){WS}+$", "")).otherwise(plain)
+
+    return once(c, ends)
 
 
 def stamped(norm: Column) -> Column:
@@ -179,8 +190,8 @@ def tidy_ocr(text: Column | str, lang: str) -> Column:
 def clean_rtl_line(line: Column | str, rtl: Column) -> Column:
     out = F.regexp_replace(nfkc(line), "[Ѧѧ]", "")
     out = trim(F.regexp_replace(F.regexp_replace(out, r"\(cid:\d+\)", ""), r"[ \t]+", " "))
-    right = F.regexp_replace(F.translate(out, "ھ", "ه"), rf"([{SCRIPTS}]{{3,}})\1", "$1")
-    return F.when(rtl, right).otherwise(out)
+    right = lambda x: F.regexp_replace(F.translate(x, "ھ", "ه"), rf"([{SCRIPTS}]{{3,}})\1", "$1")
+    return once(out, lambda x: F.when(rtl, right(x)).otherwise(x))
 
 
 def speech_normalize(text: Column | str) -> Column:

@@ -88,8 +88,8 @@ def skip_lines(lines: DataFrame, skip: DataFrame) -> DataFrame:
 
 
 def _unhyphenated(text: Column) -> Column:
-    plain = F.replace(text, F.lit("\r"), F.lit(""))
-    return F.when(plain.contains("-\n"), F.regexp_replace(plain, r"([A-Za-z0-9_])-\n([A-Za-z0-9_])", "$1$2")).otherwise(plain)
+    joined = lambda x: F.when(x.contains("-\n"), F.regexp_replace(x, r"([A-Za-z0-9_])-\n([A-Za-z0-9_])", "$1$2")).otherwise(x)
+    return X.once(F.replace(text, F.lit("\r"), F.lit("")), joined)
 
 
 def _single_blanks(text: Column) -> Column:
