@@ -42,23 +42,38 @@ def unsqueezed(payload: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(payload)
 
 
-def blocks(rows: DataFrame, text: str, block_bytes: int = A.SLICE_BYTES) -> DataFrame:
-    """batch_id, block: all rows in blocks of about block_bytes of text. Saved, so that a block keeps its number."""
+def blocks(rows: DataFrame, text: str, block_bytes: int = A.SLICE_BYTES, deal: str | None = None) -> DataFrame:
+    """batch_id, block: all rows in blocks of about block_bytes of text; rows that differ in `deal` (few whole numbers), a column of the result, share no block.
+
+    Saved, so that a block keeps its number.
+    """
+    names = ["batch_id", "block"] + ([deal] if deal else [])
 
     def run(batches):
-        at, held, size = TaskContext.get().partitionId() << 32, [], 0
+        at, held, size = TaskContext.get().partitionId() << 32, {}, {}
+
+        def closed(own):
+            nonlocal at
+            values = [pa.array([at]), pa.array([write(pa.Table.from_batches(held.pop(own)))], pa.binary())]
+            at += 1
+            return pa.RecordBatch.from_arrays([*values, *([pa.array([own], pa.int32())] if deal else [])], names)
+
         for batch in batches:
-            for part in A.slices(batch, text, block_bytes):
-                own = int(A.utf8(part.column(text))[1][-1])
-                if held and size + own > block_bytes:
-                    yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([write(pa.Table.from_batches(held))], pa.binary())], ["batch_id", "block"])
-                    at, held, size = at + 1, [], 0
-                held.append(part)
-                size += own
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([write(pa.Table.from_batches(held))], pa.binary())], ["batch_id", "block"])
-
-    return saved(rows.mapInArrow(run, "batch_id long, block binary"))
+            kinds = np.unique(batch.column(deal).to_numpy()).tolist() if deal else [0]
+            for own in kinds:
+                rows = batch.filter(pa.array(batch.column(deal).to_numpy() == own)) if len(kinds) > 1 else batch
+                for part in A.slices(rows, text, block_bytes):
+                    more = int(A.utf8(part.column(text))[1][-1])
+                    if own in held and size[own] + more > block_bytes:
+                        yield closed(own)
+                    if own not in held:
+                        held[own], size[own] = [], 0
+                    held[own].append(part)
+                    size[own] += more
+        for own in [*held]:
+            yield closed(own)
+
+    return saved(rows.mapInArrow(run, "batch_id long, block binary" + (f", `{deal}` int" if deal else "")))
 
 
 def over_blocks(packed: DataFrame, work: Callable[..., Iterator], schema: str | T.StructType) -> DataFrame:
