@@ -58,8 +58,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame | None = None, *, url: str =
     fitting rule wins (of equal length, the one with the longer host; then block before allow is decided by the verdict's
     name, the later one winning). Without a fitting rule, `rule` is null and the verdict is `default`.
 
-    Pages are dealt by the last label of their host and, where that has more than rows_a_task pages, by their place in the input,
-    so that one host or top-level domain spreads over as many tasks as it takes; rules are repeated for each. Null urls, and urls without ://, have an empty host
+    Pages are dealt by the last label of their host and, where that has more than rows_a_task pages, by a hash of the
+    row, so that one host or top-level domain spreads over as many tasks as it takes; rules are repeated for each. Null urls, and urls without ://, have an empty host
     and path and fit no rule. Rules with a null or empty host are ignored. Repeated rows are each judged.
     """
     spark = pages.sparkSession
@@ -72,13 +72,15 @@ def filter_urls(pages: DataFrame, rules: DataFrame | None = None, *, url: str =
     rows = pages.select(*columns, host_of(F.col(url)).alias(host), path_of(F.col(url)).alias(path))
     rows = rows.withColumn(key, reversed_host(F.col(host))).withColumn(top, first_label(key))
     ruled = _stacks(rules).select(F.col("key").alias(key), first_label("key").alias(top), F.col("stack").alias(stack))
-    # only last labels that rules have are counted; pages of others meet no rule and need no sweep
+    # only last labels that rules have are counted; pages of others meet no rule
     tops = F.broadcast(ruled.select(top).distinct()) if _few(rules) else ruled.select(top).distinct()
     sized = rows.join(tops, top, "left_semi").groupBy(top).agg(F.ceil(F.count("*") / rows_a_task).cast("int").alias(salts))
     sized = F.broadcast(sized) if _few(rules) else sized
     stacks = ruled.join(sized, top).select(key, top, stack, F.explode(F.sequence(F.lit(0), F.col(salts) - 1)).alias(salt), F.lit(True).alias(is_rule))
-    place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce(F.col(salts), F.lit(1))).cast("int")
-    rows = rows.join(sized, top, "left").withColumn(salt, F.when(F.col(salts).isNotNull(), place).otherwise(-1 - F.pmod(F.xxhash64(key), F.lit(1 << 20)).cast("int"))).drop(salts).withColumn(is_rule, F.lit(False))
+    # by the row's values, so that a recomputed task deals its rows as before; pages without a rule spread likewise
+    hashed = F.xxhash64(*(c for c in (*columns, host, path) if "map<" not in rows.schema[c].dataType.simpleString()))
+    place = F.when(F.col(salts).isNotNull(), F.pmod(hashed, F.col(salts))).otherwise(-1 - F.pmod(hashed, F.lit(1 << 20))).cast("int")
+    rows = rows.join(sized, top, "left").withColumn(salt, place).drop(salts).withColumn(is_rule, F.lit(False))
     sweep = Window.partitionBy(top, salt).orderBy(key, F.desc(is_rule)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     swept = rows.unionByName(stacks, allowMissingColumns=True).withColumn(stack, F.last(stack, ignorenulls=True).over(sweep)).where(~F.col(is_rule))
     fits = F.filter(stack, lambda r: F.startswith(F.col(key), r["key"]) & F.startswith(F.col(path), r["path"]))

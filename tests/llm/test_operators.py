@@ -311,6 +311,20 @@ def test_shard(docs, rows, tolerance, ranges):
         assert (r.size, r.text_crc32) == (len(data) + 16, zlib.crc32(data))
 
 
+@pytest.mark.parametrize("url", ["'http://a.nowhere/x'", "cast(null as string)", "'http://a.example.net/en/'"])
+def test_urls_of_one_host_spread(spark, url):
+    """A host with all pages, with a rule or without, and null urls use all tasks."""
+    held = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        judged = filter_urls(spark.range(20_000).select(F.col("id").alias("page_id"), F.expr(url).alias("url")), rows_a_task=100)
+        sizes = [r["count"] for r in judged.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", held)
+    assert sum(sizes) == 20_000
+    assert max(sizes) < 2 * 20_000 / int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_urls(spark):
     urls = ["http://a.example.net/en/1", "http://example.net/de/", "https://X.org/fr/a?b", "http://org", "http://notexample.com/de/", "http://b.example.com/de/x#y", None, "nothing", "http://x.net"]
     data = [(i % 5, u, "s", 1, "t") for i, u in enumerate(urls * 30)]
