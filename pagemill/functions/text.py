@@ -151,8 +151,9 @@ def repair_script(line: Column | str) -> Column:
 
 def split_sentences(text: Column | str) -> Column:
     """After . ! or ? and one closing quote or bracket, if white space follows; trimmed, without empty ones."""
-    marked = F.regexp_replace(col(text), rf"([.!?][\"”’)]?){WS}++", "$1\u0001")
-    return F.filter(F.transform(F.split(marked, "\u0001"), trim), lambda x: x != "")
+    parts = F.split(F.regexp_replace(trim(text), rf"([.!?][\"”’)]?){WS}++", "$1\u0001"), "\u0001")
+    # what is cut has no white space at its ends, but where the text has the mark itself
+    return F.filter(F.when(col(text).contains("\u0001"), F.transform(parts, trim)).otherwise(parts), lambda x: x != "")
 
 
 def words_with_offsets(text: Column | str) -> Column:

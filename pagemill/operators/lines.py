@@ -27,9 +27,9 @@ def distinct_lines(lines: DataFrame) -> DataFrame:
     return lines.select(*PAGE, X.normalize_line("line").alias("norm")).distinct()
 
 
-def _often(counts: DataFrame, sizes: DataFrame, share: float, least: int) -> DataFrame:
-    """doc_id, norm of the lines that are `on` enough of the document's pages."""
-    return counts.join(sizes, "doc_id").where(F.col("on") >= F.greatest(F.lit(least), F.ceil(F.col("pages") * F.lit(share)))).select("doc_id", "norm")
+def _enough(share: float, least: int) -> Column:
+    """Whether a line is `on` enough of the document's `pages`."""
+    return F.col("on") >= F.greatest(F.lit(least), F.ceil(F.col("pages") * F.lit(share)))
 
 
 def repeated_lines(pages: DataFrame, lines: DataFrame, share: float = 0.18, least: int = 3) -> DataFrame:
@@ -38,8 +38,8 @@ def repeated_lines(pages: DataFrame, lines: DataFrame, share: float = 0.18, leas
     Lines are reduced to distinct ones for each page before they are counted, and counts combine before the shuffle.
     """
     sizes = pages.groupBy("doc_id").agg(F.count("*").alias("pages"))
-    counts = distinct_lines(lines).where(F.length("norm").between(4, 90)).groupBy("doc_id", "norm").agg(F.count("*").alias("on"))
-    return _often(counts, sizes, share, least)
+    counts = distinct_lines(lines).where(_counted(F.col("norm"))).groupBy("doc_id", "norm").agg(F.count("*").alias("on"))
+    return counts.join(sizes, "doc_id").where(_enough(share, least)).select("doc_id", "norm")
 
 
 def _opens(line: Column, i: Column, n: Column) -> Column:
@@ -74,9 +74,8 @@ def _blank(line: Column) -> Column:
 
 def _skipped(line: Column, norm: Column, page: Column) -> Column:
     """Whether a line that is not blank is a footnote mark alone, the page's number, an address or stamp, or a rule."""
-    number, rule = page.cast("string"), r"._=\-*~•·"
-    ruled = rf"^{X.WS}*[{rule}][{rule}{X.WS[1:-1]}]{{2,}}[{rule}]{X.WS}*$"
-    drop = line.rlike(f"^{X.WS}*{X.STARS}{{1,4}}{X.WS}*$") | ((norm != "") & ((norm == number) | (norm == F.concat(F.lit("page "), number)) | (norm == F.concat(F.lit("صفحه "), number)) | X.stamped(norm) | line.rlike(ruled)))
+    ruled = rf"^{X.WS}*[{RULE}][{RULE}{X.WS[1:-1]}]{{2,}}[{RULE}]{X.WS}*$"
+    drop = line.rlike(f"^{X.WS}*{X.STARS}{{1,4}}{X.WS}*$") | ((norm != "") & (norm.isin(*_numbers(page)) | X.stamped(norm) | line.rlike(ruled)))
     return F.coalesce(drop, F.lit(False))
 
 
@@ -107,33 +106,69 @@ def clean_ocr(text: Column) -> Column:
     return X.trim(F.regexp_replace(F.regexp_replace(out, r"[ \t]*\n[ \t]*", "\n"), r"\n{3,}", "\n\n"))
 
 
-def _read(pages: DataFrame, *own: str) -> DataFrame:
-    """pages with lines (array of line and norm), which are looked at twice: for what repeats, and for what is kept."""
-    return pages.select(*PAGE, "source", *own, F.transform(_lines_of("text"), lambda x: F.struct(x.alias("line"), X.normalize_line(x).alias("norm"))).alias("lines"))
+#: Rows of a document's line counts are dealt by this many salts where they meet its number of pages.
+SALTS = 16
+#: What a line is ruled with.
+RULE = r"._=\-*~•·"
 
 
-def often_repeated(pages: DataFrame, share: float = 0.18, least: int = 3) -> DataFrame:
-    """_at, _often: the repeated lines (see repeated_lines) of a document, for each stretch of its pages. Lines are not taken apart from their page; only distinct ones are counted.
+def _norms(text: Column) -> Column:
+    """normalize_line of each line of a text without carriage returns, worked out on the text at once: no rule but trimming looks beyond one run of white space."""
+    own = f"[{X.WS[1:-1]}&&[^\n]]+"
+    digits = F.replace(F.regexp_replace(F.translate(text, X.PERSIAN_ARABIC_DIGITS, "01234567890123456789"), own, " "), F.lit("ـ"), F.lit(""))
+    plain = F.when(text.rlike(r"[\t\x0b\f]|  "), F.regexp_replace(text, r"[\t\x0b\f ]+", " ")).otherwise(text)
+    return F.split(F.trim(F.regexp_replace(F.lower(F.when(X.wide(text), digits).otherwise(plain)), " *\n *", "\n")), "\n")
 
+
+def _counted(norm: Column) -> Column:
+    """Whether a line is one that may be dropped for being repeated."""
+    return F.length(norm).between(4, 90)
+
+
+def _numbers(page: Column) -> list[Column]:
+    number = page.cast("string")
+    return [number, F.concat(F.lit("page "), number), F.concat(F.lit("صفحه "), number)]
+
+
+def _prepared(pages: DataFrame) -> DataFrame:
+    """doc_id, page, source, text, _seen, _odd: hashes of a page's distinct lines that may be repeated ones, and whether any other line rule can change the page."""
+    text = F.replace(F.coalesce("text", F.lit("")), F.lit("\r"), F.lit(""))
+    rows = pages.select(*PAGE, "source", text.alias("text")).select("*", _norms(F.col("text")).alias("_norms"), F.lower("text").alias("_low"))
+    ruled = F.col("text").rlike(rf"(?:^|\n){X.WS}*[{RULE}][{RULE}{X.WS[1:-1]}]{{2,}}[{RULE}]")
+    odd = starred(F.col("text")) | X.has_script(F.col("text")) | F.arrays_overlap("_norms", F.array(*_numbers(F.col("page")))) | X.stamped(F.col("_low")) | ruled
+    seen = F.array_distinct(F.transform(F.filter("_norms", _counted), lambda x: F.xxhash64(x)))
+    return rows.select(*PAGE, "source", "text", seen.alias("_seen"), F.coalesce(odd, F.lit(True)).alias("_odd"))
+
+
+def often_repeated(prepared: DataFrame, share: float = 0.18, least: int = 3) -> DataFrame:
+    """_at, _often: hashes of the repeated lines (see repeated_lines) of a document, for each stretch of its pages.
+
+    Lines travel as 64-bit hashes; that another line of the document has the hash of one of its few repeated ones is ruled out in practice.
     A line on 18 % of the pages is one of less than six times those of a page, so a list is as short as pages are.
     """
-    norms = F.array_distinct(F.filter(F.transform("lines", lambda x: x["norm"]), lambda x: F.length(x).between(4, 90)))
-    counts = _read(pages).select("doc_id", F.explode(norms).alias("norm")).groupBy("doc_id", "norm").agg(F.count("*").alias("on"))
-    stretches = pages.groupBy("doc_id", _stretch().alias("_at")).agg(F.count("*").alias("pages"))
-    often = _often(counts, stretches.groupBy("doc_id").agg(F.sum("pages").alias("pages")), share, least).groupBy("doc_id").agg(F.collect_list("norm").alias("_often"))
-    return stretches.join(often, "doc_id").select("_at", "_often")
+    counts = prepared.select("doc_id", F.explode("_seen").alias("norm")).groupBy("doc_id", "norm").agg(F.count("*").alias("on")).where(F.col("on") >= least)
+    stretches = prepared.groupBy("doc_id", _stretch().alias("_at")).agg(F.count("*").alias("pages"))
+    sizes = stretches.groupBy("doc_id").agg(F.sum("pages").alias("pages"))
+    salted = sizes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    often = counts.withColumn("_salt", F.pmod("norm", F.lit(SALTS)).cast("int")).join(salted, ["doc_id", "_salt"]).where(_enough(share, least))
+    return stretches.join(often.groupBy("doc_id").agg(F.collect_list("norm").alias("_often")), "doc_id").select("_at", "_often")
 
 
 def clean_pages(pages: DataFrame, share: float = 0.18, least: int = 3) -> DataFrame:
     """doc_id, page, source, text: pages after all line rules; pages of no line left are gone.
 
-    What repeats is found first and written to the shared folder, so that Spark knows how large it is: it broadcasts what is small, and else
-    joins by stretches of a document's pages.
+    Pages are read once and written to the shared folder with the hashes of their lines, of which what repeats is found; this is written as well, so that
+    Spark knows how large it is: it broadcasts what is small, and else joins by stretches of a document's pages. Only pages that
+    a line rule can change are taken apart.
     """
-    path = scratch(pages.sparkSession)
-    often_repeated(pages, share, least).write.parquet(path)
-    met = pages.withColumn("_at", _stretch()).join(pages.sparkSession.read.parquet(path), "_at", "left")
-    read = _read(met, "_often")
+    spark, path = pages.sparkSession, scratch(pages.sparkSession)
+    _prepared(pages).write.parquet(path + "/pages")
+    prepared = spark.read.parquet(path + "/pages")
+    often_repeated(prepared, share, least).write.parquet(path + "/often")
+    met = prepared.withColumn("_at", _stretch()).join(spark.read.parquet(path + "/often"), "_at", "left")
+    lines = F.zip_with(F.split("text", "\n"), _norms(F.col("text")), lambda line, norm: F.struct(line.alias("line"), norm.alias("norm")))
+    touched = F.col("_odd") | F.coalesce(F.arrays_overlap("_seen", "_often"), F.lit(False))
+    read = met.select(*PAGE, "source", "text", "_often", F.when(touched, lines).alias("lines"))
     # blocks are found among all lines of the page, and what repeats opens and closes them as well
     start = F.struct(F.lit(False).alias("inside"), F.array().cast("array<struct<line:string,norm:string>>").alias("kept"), F.lit(0).alias("i"))
 
@@ -141,12 +176,13 @@ def clean_pages(pages: DataFrame, share: float = 0.18, least: int = 3) -> DataFr
         inside = F.when(_opens(x["line"], acc["i"], F.size("lines")), True).when(_closes(x["line"]), False).otherwise(acc["inside"])
         return F.struct(inside.alias("inside"), F.when(inside, acc["kept"]).otherwise(F.array_append(acc["kept"], x)).alias("kept"), (acc["i"] + 1).alias("i"))
 
-    outside = F.when(F.exists("lines", lambda x: starred(x["line"])), F.aggregate("lines", start, step, lambda acc: acc["kept"])).otherwise(F.col("lines"))
-    often = lambda x: F.coalesce(F.array_contains("_often", x["norm"]), F.lit(False))
+    outside = F.when(starred(F.col("text")), F.aggregate("lines", start, step, lambda acc: acc["kept"])).otherwise(F.col("lines"))
+    often = lambda x: _counted(x["norm"]) & F.coalesce(F.array_contains("_often", F.xxhash64(x["norm"])), F.lit(False))
     kept = F.filter(outside, lambda x: ~often(x) & (_blank(x["line"]) | ~_skipped(x["line"], x["norm"], F.col("page"))))
     joined = F.array_join(F.transform(kept, lambda x: F.concat(F.lit("\n"), X.repair_script(x["line"]))), "")
+    whole = F.when(F.col("lines").isNull(), F.concat(F.lit("\n"), "text")).otherwise(joined)
     # as a generator, so that the text is made once and not for the condition as well
-    text = read.select(*PAGE, "source", F.explode(F.filter(F.array(joined), lambda x: x != "")).alias("text")).withColumn("text", F.substring("text", 2, 1 << 30))
+    text = read.select(*PAGE, "source", F.explode(F.filter(F.array(whole), lambda x: x != "")).alias("text")).withColumn("text", F.substring("text", 2, 1 << 30))
     return text.withColumn("text", F.when(F.col("source") == "ocr", clean_ocr(F.col("text"))).otherwise(clean_native(F.col("text"))))
 
 
