@@ -134,7 +134,8 @@ def compatible(text: Column | str, where: Column) -> Column:
 
 
 def has_script(line: Column | str) -> Column:
-    return F.coalesce(wide(line) & col(line).rlike(f"[{SCRIPTS}]"), F.lit(False))
+    # two wide ranges around them are looked for first, which is much faster and leaves few
+    return F.coalesce(wide(line) & col(line).rlike(r"[\u0400-\u1FFF\u3000-\uFEFF]") & col(line).rlike(f"[{SCRIPTS}]"), F.lit(False))
 
 
 def repair_script(line: Column | str) -> Column:

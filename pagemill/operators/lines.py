@@ -112,12 +112,18 @@ SALTS = 16
 RULE = r"._=\-*~•·"
 
 
-def _norms(text: Column) -> Column:
-    """normalize_line of each line of a text without carriage returns, worked out on the text at once: no rule but trimming looks beyond one run of white space."""
-    own = f"[{X.WS[1:-1]}&&[^\n]]+"
-    digits = F.replace(F.regexp_replace(F.translate(text, X.PERSIAN_ARABIC_DIGITS, "01234567890123456789"), own, " "), F.lit("ـ"), F.lit(""))
-    plain = F.when(text.rlike(r"[\t\x0b\f]|  "), F.regexp_replace(text, r"[\t\x0b\f ]+", " ")).otherwise(text)
-    return F.split(F.trim(F.regexp_replace(F.lower(F.when(X.wide(text), digits).otherwise(plain)), " *\n *", "\n")), "\n")
+def _norms(text: Column, scripted: Column) -> Column:
+    """normalize_line of each line of a text without carriage returns, worked out on the text at once: no rule but trimming looks beyond one run of white space.
+
+    Digits to be replaced and tatweel are letters of SCRIPTS; few texts without these have anything to replace at all.
+    """
+    blanks = X.WS[1:-1].replace(r"\t-\r", r"\t\x0b\f")
+    single = lambda x: F.regexp_replace(x, f"[{blanks}]+", " ")
+    foreign = F.replace(single(F.translate(text, X.PERSIAN_ARABIC_DIGITS, "01234567890123456789")), F.lit("ـ"), F.lit(""))
+    some = text.rlike(f"[{blanks.replace(' ', '')}]|  ")
+    low = F.lower(F.when(scripted, foreign).when(some, single(text)).otherwise(text))
+    trimmed = X.once(low, lambda x: F.when(x.contains(" \n") | x.contains("\n "), F.regexp_replace(x, " *\n *", "\n")).otherwise(x))
+    return F.split(F.trim(trimmed), "\n")
 
 
 def _counted(norm: Column) -> Column:
@@ -133,9 +139,10 @@ def _numbers(page: Column) -> list[Column]:
 def _prepared(pages: DataFrame) -> DataFrame:
     """doc_id, page, source, text, _seen, _odd: hashes of a page's distinct lines that may be repeated ones, and whether any other line rule can change the page."""
     text = F.replace(F.coalesce("text", F.lit("")), F.lit("\r"), F.lit(""))
-    rows = pages.select(*PAGE, "source", text.alias("text")).select("*", _norms(F.col("text")).alias("_norms"), F.lower("text").alias("_low"))
+    rows = pages.select(*PAGE, "source", text.alias("text")).withColumn("_scripted", X.has_script("text"))
+    rows = rows.select("*", _norms(F.col("text"), F.col("_scripted")).alias("_norms"), F.lower("text").alias("_low"))
     ruled = F.col("text").rlike(rf"(?:^|\n){X.WS}*[{RULE}][{RULE}{X.WS[1:-1]}]{{2,}}[{RULE}]")
-    odd = starred(F.col("text")) | X.has_script(F.col("text")) | F.arrays_overlap("_norms", F.array(*_numbers(F.col("page")))) | X.stamped(F.col("_low")) | ruled
+    odd = starred(F.col("text")) | F.col("_scripted") | F.arrays_overlap("_norms", F.array(*_numbers(F.col("page")))) | X.stamped(F.col("_low")) | ruled
     seen = F.array_distinct(F.transform(F.filter("_norms", _counted), lambda x: F.xxhash64(x)))
     return rows.select(*PAGE, "source", "text", seen.alias("_seen"), F.coalesce(odd, F.lit(True)).alias("_odd"))
 
@@ -166,7 +173,7 @@ def clean_pages(pages: DataFrame, share: float = 0.18, least: int = 3) -> DataFr
     prepared = spark.read.parquet(path + "/pages")
     often_repeated(prepared, share, least).write.parquet(path + "/often")
     met = prepared.withColumn("_at", _stretch()).join(spark.read.parquet(path + "/often"), "_at", "left")
-    lines = F.zip_with(F.split("text", "\n"), _norms(F.col("text")), lambda line, norm: F.struct(line.alias("line"), norm.alias("norm")))
+    lines = F.zip_with(F.split("text", "\n"), _norms(F.col("text"), X.has_script("text")), lambda line, norm: F.struct(line.alias("line"), norm.alias("norm")))
     touched = F.col("_odd") | F.coalesce(F.arrays_overlap("_seen", "_often"), F.lit(False))
     read = met.select(*PAGE, "source", "text", "_often", F.when(touched, lines).alias("lines"))
     # blocks are found among all lines of the page, and what repeats opens and closes them as well
