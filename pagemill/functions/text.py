@@ -52,7 +52,8 @@ def trim(c: Column | str) -> Column:
 
     def ends(x: Column) -> Column:
         plain = F.btrim(x, F.lit(ASCII_WS))
-        return F.when(wide(x), F.regexp_replace(plain, f"^{WS}+|(?<!{WS}){WS}+$", "")).otherwise(plain)
+        blank = F.concat(F.left(plain, F.lit(1)), F.right(plain, F.lit(1))).rlike(f"[{WS[1:-1]}\u0085]")  # $ stands before a last \u0085 as well
+        return F.when(wide(x) & blank, F.regexp_replace(plain, f"^{WS}+|(?<!{WS}){WS}+$", "")).otherwise(plain)
 
     return once(c, ends)
 

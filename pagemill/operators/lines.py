@@ -97,7 +97,12 @@ def _single_blanks(text: Column) -> Column:
 
 def clean_native(text: Column) -> Column:
     """Wrapped lines become paragraphs."""
-    return X.trim(_single_blanks(F.regexp_replace(_unhyphenated(text), r"([^\n])\n([^\n])", "$1 $2")))
+
+    def joined(x: Column) -> Column:
+        # a line of one letter is joined to the line before and no more to the one behind
+        return F.when(x.rlike(r"\n[^\n]\n"), F.regexp_replace(x, r"([^\n])\n([^\n])", "$1 $2")).otherwise(F.regexp_replace(x, r"\n(?<=[^\n]\n)(?=[^\n])", " "))
+
+    return X.trim(_single_blanks(X.once(_unhyphenated(text), joined)))
 
 
 def clean_ocr(text: Column) -> Column:
