@@ -95,3 +95,16 @@ def test_layout_lines(spark):
 ])
 def test_needs_ocr_in_scripts(spark, lang, text, expected):
     assert one(spark, lambda c: X.needs_ocr(c, F.lit(lang)), text) is expected
+
+
+def test_norms_of_a_text_are_those_of_its_lines(spark):
+    texts = ["", "\n", " A  b \n\tC\x0b", "ΣΑΣ\n ΣΑ  x y", "سلام ـ دنیا\n ۱۲ ٣", "K \n　z\u0085", " \n \n", "plain\nwide é  e\n"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    for r in rows.select("text", L._norms(F.col("text"), X.has_script("text")).alias("whole"), F.transform(F.split("text", "\n"), X.normalize_line).alias("each")).collect():
+        assert r.whole == r.each, r.text
+
+
+def test_breaks_next_to_single_letters_and_wide_ends(spark):
+    assert one(spark, L.clean_native, "ab\nc\nde\n\nf\ng") == "ab c\nde\n\nf g"
+    assert one(spark, X.trim, " 　é x ") == "é x" and one(spark, X.trim, "\té \u0085") == "é\u0085"
+    assert one(spark, X.split_sentences, "  One. Two!　Three\u0001 four ") == ["One.", "Two!", "Three", "four"]
