@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -158,18 +161,47 @@ def split_sentences(text: Column | str) -> Column:
     return F.filter(F.when(col(text).contains("\u0001"), F.transform(parts, trim)).otherwise(parts), lambda x: x != "")
 
 
+#: Bytes of text that words are looked for in at once, whole texts at least.
+WORDS_AT_ONCE = 4 << 20
+_BLANK_SIGNS = np.array(sorted({*range(0x09, 0x0E), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF}), np.uint32)
+
+
+def _words_of(texts: list[str | None]) -> pa.ListArray:
+    """(word, offset) of each text's runs without white space, all texts at once: one look at each sign, however long a text is."""
+    signs = np.frombuffer("\n".join(["", *(t or "" for t in texts), ""]).encode("utf-32-le"), np.uint32)
+    lengths = np.array([len(t or "") for t in texts], np.int64)
+    first = np.cumsum(lengths + 1) - lengths  # a break stands before each text and behind the last one
+    blank = (signs >= 0x80) & np.isin(signs, _BLANK_SIGNS[_BLANK_SIGNS >= 0x80]) if signs.max() >= 0x80 else np.zeros(len(signs), bool)
+    blank |= (signs == 0x20) | ((signs >= 0x09) & (signs <= 0x0D))
+    turns = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    starts, ends = turns[::2], turns[1::2]
+    size = 1 + (signs >= 0x80).astype(np.int8) + (signs >= 0x800) + (signs >= 0x10000)  # bytes of a sign
+    size[blank] = 0
+    ends_at = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])[ends]
+    kept = signs[~blank].tobytes().decode("utf-32-le").encode()
+    words = pa.Array.from_buffers(pa.string(), len(ends), [None, pa.py_buffer(np.append(0, ends_at).astype(np.int32)), pa.py_buffer(kept)])
+    of = np.searchsorted(first, starts, "right") - 1
+    bounds = np.searchsorted(starts, np.append(first, len(signs))).astype(np.int32)
+    pairs = pa.StructArray.from_arrays([words, pa.array((starts - first[of]).astype(np.int32))], ["word", "offset"])
+    nulls = pa.array([t is None for t in texts], pa.bool_())
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pairs, mask=nulls)
+
+
 def words_with_offsets(text: Column | str) -> Column:
     """(word, offset) of the runs without white space."""
-    text = col(text)
-    gaps = F.split(text, f"[^{WS[1:-1]}]+")
-    words = F.regexp_extract_all(text, F.lit(f"([^{WS[1:-1]}]+)"), F.lit(1))
-    step = F.arrays_zip(words.alias("word"), gaps.alias("gap"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<word:string,offset:int>>").alias("out"))
-    return F.aggregate(
-        F.filter(step, lambda x: x["word"].isNotNull()), start,
-        lambda acc, x: F.struct((acc["at"] + F.length(x["gap"]) + F.length(x["word"])).alias("at"), F.array_append(acc["out"], F.struct(x["word"].alias("word"), (acc["at"] + F.length(x["gap"])).alias("offset"))).alias("out")),
-        lambda acc: acc["out"],
-    )
+
+    @F.arrow_udf("array<struct<word:string,offset:int>>")
+    def found(texts: pa.Array) -> pa.Array:
+        # slices by bytes, so that long texts take no more memory than they need
+        upto = np.cumsum(np.append(0, pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)))
+        out, at = [], 0
+        while at < len(texts):
+            end = max(at + 1, int(np.searchsorted(upto, upto[at] + WORDS_AT_ONCE, "right")) - 1)
+            out.append(_words_of(texts.slice(at, end - at).to_pylist()))
+            at = end
+        return pa.concat_arrays(out) if out else _words_of([])
+
+    return found(col(text))
 
 
 def tidy_ocr(text: Column | str, lang: str) -> Column:

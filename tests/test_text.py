@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,3 +110,14 @@ def test_breaks_next_to_single_letters_and_wide_ends(spark):
     assert one(spark, L.clean_native, "ab\nc\nde\n\nf\ng") == "ab c\nde\n\nf g"
     assert one(spark, X.trim, " 　é x ") == "é x" and one(spark, X.trim, "\té \u0085") == "é\u0085"
     assert one(spark, X.split_sentences, "  One. Two!　Three\u0001 four ") == ["One.", "Two!", "Three", "four"]
+
+
+def test_words_of_a_long_text_take_time_in_proportion(spark):
+    """A list that is copied for each word takes minutes here."""
+    texts = [None, "", " 　", "a é​ 漢😀﻿z", "word\n" * 400_000]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", X.words_with_offsets("t").alias("w"))
+    began = time.monotonic()
+    few = rows.where("k < 4").select("k", F.transform("w", lambda x: F.concat_ws("@", x["word"], x["offset"])).alias("w")).orderBy("k").collect()
+    assert [r.w for r in few] == [None, [], [], ["a@0", "é​@2", "漢😀@5", "z@8"]]
+    last = rows.where("k = 4").select(F.size("w").alias("n"), F.element_at("w", -1).alias("last")).first()
+    assert (last.n, last.last.word, last.last.offset) == (400_000, "word", 1_999_995) and time.monotonic() - began < 60
