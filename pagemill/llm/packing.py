@@ -21,6 +21,8 @@ from pagemill.llm.session import saved
 LENGTH, END = 2048, 1
 #: Documents of a stretch of a queue, rounds of a stretch of the stream, and stretches that are summed together.
 ROWS_A_STRETCH, ROUNDS_A_STRETCH, STRETCHES = 2048, 64, 4096
+#: Tokens whose pieces a task hands on together, whole documents at least.
+TOKENS_AT_ONCE = 1 << 18
 
 
 def tail(rest: int) -> list[int]:
@@ -109,34 +111,60 @@ def pack(documents: DataFrame, *, tokenizer: str, text: str = "text", source: st
     full, rest = divmod(total, length)
     cuts = np.array(tail(rest) or [0])
 
+    def gathered(batch, rows, ids, columns):
+        """The pieces of some of a batch's rows as one batch; ids are laid end to end."""
+        start, size, sequence, offset = (np.concatenate(x) for x in zip(*columns, strict=True))
+        tokens = np.array([len(x) for x in ids])
+        pieces = np.array([len(x[0]) for x in columns])
+        ends = np.cumsum(tokens)
+        at = np.append(start + np.repeat(ends - tokens, pieces), ends[-1]) * 4
+        data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(at), pa.py_buffer(np.concatenate(ids))]).cast(pa.binary())
+        same = pa.array(np.repeat(rows, pieces))
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").take(same), batch.column("source").take(same), pa.array(start), pa.array(size), data, pa.array(np.repeat(tokens, pieces)), pa.array(sequence), pa.array(offset)], ["doc_id", "source", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+
     def cut(batches):
         squeeze = zstandard.ZstdDecompressor()
         for batch in batches:
+            packed, packets = batch.column("ids").to_pylist(), batch.column("packets")
+            bound, inner = packets.offsets.to_numpy(), packets.values
+            starts, sizes, places = (inner.field(x).to_numpy() for x in ("start", "size", "at"))
+            rows, held, columns, waiting = [], [], [], 0
             for k in range(batch.num_rows):
-                one = batch.slice(k, 1)
-                ids = np.frombuffer(squeeze.decompress(one.column("ids")[0].as_py()), dtype=bpe.dtype).astype("<u4")
-                start, size, at = (one.column("packets").flatten().field(x).to_numpy() for x in ("start", "size", "at"))
+                ids = np.frombuffer(squeeze.decompress(packed[k]), dtype=bpe.dtype).astype("<u4")
+                own = slice(bound[k], bound[k + 1])
+                start, size, at = starts[own], sizes[own], places[own]
                 bounds = [np.stack([at, start])]
-                for a, s, n in zip(at, start, size, strict=True):  # where windows, and sequences of the last one, begin in it
-                    inside = np.append(np.arange(a // length + 1, (a + n - 1) // length + 1) * length, full * length + cuts)
-                    inside = np.unique(inside[(inside > a) & (inside < a + n)])
+                for a, s, n in zip(at.tolist(), start.tolist(), size.tolist(), strict=True):  # where windows, and sequences of the last one, begin in it
+                    if a // length == (a + n - 1) // length < full:
+                        continue
+                    inside = np.arange(a // length + 1, (a + n - 1) // length + 1) * length
+                    if a + n > full * length:
+                        inside = np.append(inside, full * length + cuts)
+                        inside = np.unique(inside[(inside > a) & (inside < a + n)])
                     bounds.append(np.stack([inside, inside - a + s]))
-                at, start = np.concatenate(bounds, axis=1)
-                order = np.argsort(start)
-                at, start = at[order], start[order]
-                size = np.diff(np.append(start, len(ids)))
-                new = np.append(True, (at[1:] != at[:-1] + size[:-1]) | np.isin(at[1:], full * length + cuts) | (at[1:] % length == 0))
-                at, start = at[new], start[new]  # packets that follow each other in a window are one piece
-                size = np.diff(np.append(start, len(ids)))
+                if len(bounds) > 1 or len(start) > 1:
+                    at, start = np.concatenate(bounds, axis=1)
+                    order = np.argsort(start)
+                    at, start = at[order], start[order]
+                    size = np.diff(np.append(start, len(ids)))
+                    new = np.append(True, (at[1:] != at[:-1] + size[:-1]) | (at[1:] % length == 0))
+                    if at[-1] > full * length:
+                        new[1:] |= np.isin(at[1:], full * length + cuts)
+                    at, start = at[new], start[new]  # packets that follow each other in a window are one piece
+                    size = np.diff(np.append(start, len(ids)))
                 sequence, offset = at // length, at % length
                 last = sequence == full
                 if last.any():
                     which = np.searchsorted(cuts, offset[last], side="right") - 1
                     sequence[last] += which
                     offset[last] -= cuts[which]
-                data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(np.append(start, len(ids)) * 4), pa.py_buffer(ids)]).cast(pa.binary())
-                same = pa.array(np.zeros(len(start), np.int64))
-                yield pa.RecordBatch.from_arrays([one.column("doc_id").take(same), one.column("source").take(same), pa.array(start), pa.array(size), data, pa.array(np.full(len(start), len(ids))), pa.array(sequence), pa.array(offset)], ["doc_id", "source", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+                rows.append(k)
+                held.append(ids)
+                columns.append((start, size, sequence, offset))
+                waiting += len(ids)
+                if waiting >= TOKENS_AT_ONCE or k == batch.num_rows - 1:
+                    yield gathered(batch, rows, held, columns)
+                    rows, held, columns, waiting = [], [], [], 0
 
     schema = f"doc_id {doc_type}, source string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     return made.join(own, "row").select("doc_id", "source", "ids", "packets").mapInArrow(cut, schema)
