@@ -87,9 +87,12 @@ def normalize_line(line: Column | str) -> Column:
 
 
 def mostly_latin(line: Column | str, letters: str = LATIN, least: int = 6, times: int = 2) -> Column:
-    n = letters_of(line, letters)
-    enough = col(line).rlike(f"(?:[A-Za-z][^A-Za-z]*+){{{least}}}")  # all that ASCII alone needs
-    return F.when(wide(line), (n >= least) & (n > times * letters_of(line, SCRIPTS))).otherwise(enough)
+    def judged(x: Column) -> Column:
+        ascii_ = letters.replace(r"\u00C0-\u024F", "")
+        some = F.when(wide(x), x.rlike(f"(?:[{letters}][^{letters}]*+){{{least}}}")).otherwise(x.rlike(f"(?:[{ascii_}][^{ascii_}]*+){{{least}}}"))
+        return some & (~has_script(x) | (letters_of(x, letters) > times * letters_of(x, SCRIPTS)))  # only next to other scripts are letters counted
+
+    return once(line, judged)
 
 
 def mostly_latin_ocr(line: Column | str) -> Column:
@@ -117,24 +120,25 @@ def joined_words(line: Column) -> Column:
     for a, b in halves:
         whole = F.regexp_replace(whole, _bounded(rf"(?i:({a}){WS}+({b}))"), "$1$2")
     # few lines have one; it is looked for in the line as it was, where a second half may still lack its own ending
-    return F.when(line.rlike("(?i:" + "|".join(map(_split_somewhere, SPLIT_WORDS)) + ")"), whole).otherwise(out)
+    return F.when(line.rlike(SPLIT_SOMEWHERE), whole).otherwise(out)
+
+
+#: What a line has that joined_words changes; a split word begins where a word does, as joining begins no words.
+SPLIT_SOMEWHERE = "(?<![A-Za-z0-9_])(?i:" + "|".join(map(_split_somewhere, SPLIT_WORDS)) + ")"
+SPLIT_ENDING = rf"{WS}(?:{ENDINGS}|{LONG_WORD_ENDINGS})(?![A-Za-z0-9_])"
 
 
 def repair_latin_breaks(text: Column | str, latin=mostly_latin) -> Column:
-    """joined_words on each mostly Latin line."""
-    lines = F.transform(F.split(col(text), "\n"), lambda x: F.when(latin(x), joined_words(x)).otherwise(x))
-    return F.array_join(lines, "\n")
+    """joined_words on each mostly Latin line. Texts and lines that have nothing to join are left alone, as most have."""
+    split = lambda x: x.rlike(SPLIT_ENDING) | x.rlike(SPLIT_SOMEWHERE)
+    lines = lambda t: F.transform(F.split(t, "\n"), lambda x: F.when(split(x) & latin(x), joined_words(x)).otherwise(x))
+    return once(text, lambda t: F.when(split(t), F.array_join(lines(t), "\n")).otherwise(t))
 
 
 def nfkc(text: Column | str) -> Column:
     """Unicode's compatibility form with composition, by the library for it that Spark brings along; ASCII is left as it is, null stays null."""
-    made = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), col(text), F.lit(True))
-    return F.when(wide(text), made).otherwise(col(text))
-
-
-def compatible(text: Column | str, where: Column) -> Column:
-    """nfkc where the condition holds."""
-    return F.when(where, nfkc(text)).otherwise(col(text))
+    made = lambda x: F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), x, F.lit(True))
+    return once(text, lambda x: F.when(wide(x), made(x)).otherwise(x))
 
 
 def has_script(line: Column | str) -> Column:
@@ -145,13 +149,16 @@ def has_script(line: Column | str) -> Column:
 def repair_script(line: Column | str) -> Column:
     """On lines with a letter of SCRIPTS: NFKC, leftovers of broken fonts away, doubled runs once."""
     ends = SCRIPT_ENDS
-    out = F.regexp_replace(compatible(line, has_script(line)), r"\(cid:\d+\)", "")
-    out = F.regexp_replace(out, f"{FOOTNOTE_MARKS}{{1,4}}", " ")
-    out = F.regexp_replace(out, rf"([{SCRIPTS}]){ARTIFACTS}(?=[{SCRIPTS}])", "$1")
-    out = F.regexp_replace(out, rf"([{SCRIPTS}]){ARTIFACTS}(?={WS}|$|{ends})", "$1")
-    out = F.regexp_replace(out, rf"(^|{WS}|{ends}){ARTIFACTS}(?=[{SCRIPTS}])", "$1")
-    out = F.regexp_replace(out, rf"([{SCRIPTS}]{{3,}})\1", "$1")
-    return F.when(has_script(line), out).otherwise(col(line))
+
+    def repaired(x: Column) -> Column:
+        out = F.regexp_replace(nfkc(x), r"\(cid:\d+\)", "")
+        out = F.regexp_replace(out, f"{FOOTNOTE_MARKS}{{1,4}}", " ")
+        out = F.regexp_replace(out, rf"([{SCRIPTS}]){ARTIFACTS}(?=[{SCRIPTS}])", "$1")
+        out = F.regexp_replace(out, rf"([{SCRIPTS}]){ARTIFACTS}(?={WS}|$|{ends})", "$1")
+        out = F.regexp_replace(out, rf"(^|{WS}|{ends}){ARTIFACTS}(?=[{SCRIPTS}])", "$1")
+        return F.regexp_replace(out, rf"([{SCRIPTS}]{{3,}})\1", "$1")
+
+    return once(line, lambda x: F.when(has_script(x), repaired(x)).otherwise(x))
 
 
 def split_sentences(text: Column | str) -> Column:
@@ -285,10 +292,11 @@ def looks_corrupted(text: Column | str, lang: Column) -> Column:
     """Traces of a broken text layer, more of them for languages with a script of their own."""
     text = col(text)
     n = F.greatest(F.lit(1), F.length(text))
-    lost = count_of(text, r"\uFFFD")
+    # ASCII has none of these, and few other texts have a letter that begins a pair
+    lost = F.length(text) - F.length(F.replace(text, F.lit("\uFFFD"), F.lit("")))
     single = count_of(text, MOJIBAKE)
-    pairs = count_of(text, MOJIBAKE_PAIRS)
-    foreign = text.rlike(FOREIGN)
+    pairs = F.when(wide(text) & text.rlike("[ÃÂÐÑØÙÚÛâ]"), count_of(text, MOJIBAKE_PAIRS)).otherwise(0)
+    foreign = wide(text) & text.rlike(FOREIGN)
     runs = F.when(foreign, count_of(text, "A{2,}")).otherwise(0)
 
     def in_script(letters: str, _) -> Column:
@@ -304,16 +312,20 @@ def looks_corrupted(text: Column | str, lang: Column) -> Column:
 
 def needs_ocr(text: Column | str, lang: Column) -> Column:
     """Whether a page's own text is too poor to read."""
-    t = trim(F.coalesce(col(text), F.lit("")))
     lang = resolve_ocr_lang(lang)
-    n = F.greatest(F.lit(1), F.length(t))
-    latin = count_of(t, f"[{LATIN}]")
 
-    def in_script(letters: str, share: float) -> Column:
-        own = count_of(t, f"[{letters}]")
-        return F.when(own >= 12, False).when(((own + latin) / n > 0.45) & (n >= 80), False).otherwise(own / n < share)
+    def judged(t: Column) -> Column:
+        n = F.greatest(F.lit(1), F.length(t))
+        latin = letters_of(t, LATIN)
+
+        def in_script(letters: str, share: float) -> Column:
+            own = letters_of(t, letters)
+            return F.when(own >= 12, False).when(((own + latin) / n > 0.45) & (n >= 80), False).otherwise(own / n < share)
+
+        few = F.when(n < 200, latin / n < 0.35).otherwise(False)
+        return F.when(F.length(t) < 16, True).when(looks_corrupted(t, lang), True).otherwise(F.coalesce(_by_script(lang, in_script), few))
 
-    return F.when(F.length(t) < 16, True).when(looks_corrupted(t, lang), True).otherwise(F.coalesce(_by_script(lang, in_script), (latin / n < 0.35) & (n < 200)))
+    return once(trim(F.coalesce(col(text), F.lit(""))), judged)
 
 
 def content_key(*parts: Column | str, sha: int = 256) -> Column:

@@ -12,15 +12,13 @@ from pagemill.sources.tables import scratch
 PAGE = ["doc_id", "page"]
 
 
-def _lines_of(text: Column | str) -> Column:
-    return F.split(F.replace(F.coalesce(X.col(text), F.lit("")), F.lit("\r"), F.lit("")), "\n")
-
-
 def split_lines(pages: DataFrame) -> DataFrame:
     """doc_id, page, i, n, line: the lines of each page, counted from 0; other columns of pages stay."""
     own = [c for c in pages.columns if c not in (*PAGE, "text")]
-    rows = pages.select(*PAGE, *own, _lines_of("text").alias("lines"))
-    return rows.select(*PAGE, *own, F.size("lines").alias("n"), F.posexplode("lines").alias("i", "line"))
+    text = F.replace(F.coalesce("text", F.lit("")), F.lit("\r"), F.lit(""))
+    rows = pages.select(*PAGE, *own, text.alias("text"))
+    n = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    return rows.select(*PAGE, *own, n.alias("n"), F.posexplode(F.split("text", "\n")).alias("i", "line"))
 
 
 def distinct_lines(lines: DataFrame) -> DataFrame:
@@ -125,7 +123,8 @@ def _norms(text: Column, scripted: Column) -> Column:
     blanks = X.WS[1:-1].replace(r"\t-\r", r"\t\x0b\f")
     single = lambda x: F.regexp_replace(x, f"[{blanks}]+", " ")
     foreign = F.replace(single(F.translate(text, X.PERSIAN_ARABIC_DIGITS, "01234567890123456789")), F.lit("ـ"), F.lit(""))
-    some = text.rlike(f"[{blanks.replace(' ', '')}]|  ")
+    rare = text.contains("\t") | text.contains("\x0b") | text.contains("\f")
+    some = text.contains("  ") | rare | (X.wide(text) & text.rlike(f"[{blanks.replace(' ', '')}]"))
     low = F.lower(F.when(scripted, foreign).when(some, single(text)).otherwise(text))
     trimmed = X.once(low, lambda x: F.when(x.contains(" \n") | x.contains("\n "), F.regexp_replace(x, " *\n *", "\n")).otherwise(x))
     return F.split(F.trim(trimmed), "\n")
@@ -166,8 +165,8 @@ def often_repeated(prepared: DataFrame, share: float = 0.18, least: int = 3) ->
     return stretches.join(often.groupBy("doc_id").agg(F.collect_list("norm").alias("_often")), "doc_id").select("_at", "_often")
 
 
-def clean_pages(pages: DataFrame, share: float = 0.18, least: int = 3) -> DataFrame:
-    """doc_id, page, source, text: pages after all line rules; pages of no line left are gone.
+def _judged(pages: DataFrame, share: float, least: int) -> DataFrame:
+    """doc_id, page, source, text, kept: the lines (line, norm, i) that footnote blocks, repeats and skipped lines leave of a page; null if no rule can change it.
 
     Pages are read once and written to the shared folder with the hashes of their lines, of which what repeats is found; this is written as well, so that
     Spark knows how large it is: it broadcasts what is small, and else joins by stretches of a document's pages. Only pages that
@@ -178,35 +177,57 @@ def clean_pages(pages: DataFrame, share: float = 0.18, least: int = 3) -> DataFr
     prepared = spark.read.parquet(path + "/pages")
     often_repeated(prepared, share, least).write.parquet(path + "/often")
     met = prepared.withColumn("_at", _stretch()).join(spark.read.parquet(path + "/often"), "_at", "left")
-    lines = F.zip_with(F.split("text", "\n"), _norms(F.col("text"), X.has_script("text")), lambda line, norm: F.struct(line.alias("line"), norm.alias("norm")))
+    own = F.zip_with(F.split("text", "\n"), _norms(F.col("text"), X.has_script("text")), lambda line, norm: F.struct(line.alias("line"), norm.alias("norm")))
+    lines = F.transform(own, lambda x, i: F.struct(x["line"].alias("line"), x["norm"].alias("norm"), i.alias("i")))
     touched = F.col("_odd") | F.coalesce(F.arrays_overlap("_seen", "_often"), F.lit(False))
     read = met.select(*PAGE, "source", "text", "_often", F.when(touched, lines).alias("lines"))
     # blocks are found among all lines of the page, and what repeats opens and closes them as well
-    start = F.struct(F.lit(False).alias("inside"), F.array().cast("array<struct<line:string,norm:string>>").alias("kept"), F.lit(0).alias("i"))
+    start = F.struct(F.lit(False).alias("inside"), F.array().cast("array<struct<line:string,norm:string,i:int>>").alias("kept"))
 
     def step(acc: Column, x: Column) -> Column:
-        inside = F.when(_opens(x["line"], acc["i"], F.size("lines")), True).when(_closes(x["line"]), False).otherwise(acc["inside"])
-        return F.struct(inside.alias("inside"), F.when(inside, acc["kept"]).otherwise(F.array_append(acc["kept"], x)).alias("kept"), (acc["i"] + 1).alias("i"))
+        inside = F.when(_opens(x["line"], x["i"], F.size("lines")), True).when(_closes(x["line"]), False).otherwise(acc["inside"])
+        return F.struct(inside.alias("inside"), F.when(inside, acc["kept"]).otherwise(F.array_append(acc["kept"], x)).alias("kept"))
 
     outside = F.when(starred(F.col("text")), F.aggregate("lines", start, step, lambda acc: acc["kept"])).otherwise(F.col("lines"))
     often = lambda x: _counted(x["norm"]) & F.coalesce(F.array_contains("_often", F.xxhash64(x["norm"])), F.lit(False))
     kept = F.filter(outside, lambda x: ~often(x) & (_blank(x["line"]) | ~_skipped(x["line"], x["norm"], F.col("page"))))
-    joined = F.array_join(F.transform(kept, lambda x: F.concat(F.lit("\n"), X.repair_script(x["line"]))), "")
-    whole = F.when(F.col("lines").isNull(), F.concat(F.lit("\n"), "text")).otherwise(joined)
+    return read.select(*PAGE, "source", "text", F.when(F.col("lines").isNotNull(), kept).alias("kept"))
+
+
+def kept_lines(pages: DataFrame, share: float = 0.18, least: int = 3) -> DataFrame:
+    """doc_id, page, n, i, line: what strip_footnote_blocks and skip_lines leave of split_lines, by whole pages; a line's own rules are worked out only on pages that they can change."""
+    rows = _judged(pages, share, least)
+    one = lambda line, i: F.struct(line.alias("line"), i.alias("i"))
+    lines = F.when(F.col("kept").isNull(), F.transform(F.split("text", "\n"), one)).otherwise(F.transform("kept", lambda x: one(x["line"], x["i"])))
+    n = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    return rows.select(*PAGE, n.alias("n"), F.explode(lines).alias("x")).select(*PAGE, "n", "x.i", "x.line")
+
+
+def clean_pages(pages: DataFrame, share: float = 0.18, least: int = 3) -> DataFrame:
+    """doc_id, page, source, text: pages after all line rules; pages of no line left are gone."""
+    read = _judged(pages, share, least)
+    joined = F.array_join(F.transform("kept", lambda x: F.concat(F.lit("\n"), X.repair_script(x["line"]))), "")
+    whole = F.when(F.col("kept").isNull(), F.concat(F.lit("\n"), "text")).otherwise(joined)
     # as a generator, so that the text is made once and not for the condition as well
     text = read.select(*PAGE, "source", F.explode(F.filter(F.array(whole), lambda x: x != "")).alias("text")).withColumn("text", F.substring("text", 2, 1 << 30))
     return text.withColumn("text", F.when(F.col("source") == "ocr", clean_ocr(F.col("text"))).otherwise(clean_native(F.col("text"))))
 
 
-def page_sentences(cleaned: DataFrame) -> DataFrame:
-    """doc_id, page, sentences of a page; a recognised page's lines are split each for itself."""
+def _sentences() -> Column:
+    """A recognised page's lines are split each for itself."""
     by_line = F.flatten(F.transform(F.split("text", "\n+"), X.split_sentences))
-    return cleaned.select(*PAGE, F.when(F.col("source") == "ocr", by_line).otherwise(X.split_sentences("text")).alias("sentences"))
+    return F.when(F.col("source") == "ocr", by_line).otherwise(X.split_sentences("text"))
+
+
+def page_sentences(cleaned: DataFrame) -> DataFrame:
+    """doc_id, page, sentences of a page."""
+    return cleaned.select(*PAGE, _sentences().alias("sentences"))
 
 
 def page_units(cleaned: DataFrame) -> DataFrame:
     """doc_id, page, pos, text: the sentences of each page, counted from 0."""
-    return page_sentences(cleaned).select(*PAGE, F.posexplode("sentences").alias("pos", "text"))
+    # not by a column of its own, which Spark would work out once more to leave out empty ones
+    return cleaned.select(*PAGE, F.posexplode(_sentences()).alias("pos", "text"))
 
 
 #: Pages of a document that are numbered together.

@@ -121,3 +121,22 @@ def test_words_of_a_long_text_take_time_in_proportion(spark):
     assert [r.w for r in few] == [None, [], [], ["a@0", "é​@2", "漢😀@5", "z@8"]]
     last = rows.where("k = 4").select(F.size("w").alias("n"), F.element_at("w", -1).alias("last")).first()
     assert (last.n, last.last.word, last.last.offset) == (400_000, "word", 1_999_995) and time.monotonic() - began < 60
+
+
+def test_kept_lines_are_those_of_the_line_rules(spark):
+    """By whole pages, what is the same for skip_lines over strip_footnote_blocks, line by line."""
+    page = ["* a note", "www.x.org", "", "same line", "......", "text\tb", "Question two", "after **", "page 3"]
+    texts = ["\n".join(page[k:] + page[:k]) for k in range(len(page))] + ["plain\r\ntext", None, "", "same line"]
+    pages = spark.createDataFrame([("d", k, t, "native") for k, t in enumerate(texts)], "doc_id string, page int, text string, source string")
+    lines = L.split_lines(pages.drop("source"))
+    want = L.skip_lines(L.strip_footnote_blocks(lines), L.repeated_lines(pages, lines))
+    got = L.kept_lines(pages)
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_costly_values_of_a_line_are_worked_out_once(spark):
+    """Each use of a value that is not kept is its own chain of replacements in the plan."""
+    line = F.regexp_replace("t", "needle", "x")
+    for rule in (X.repair_script(line), X.needs_ocr(line, F.lit("eng")), X.mostly_latin(line), X.clean_rtl_line(line, F.lit(True))):
+        plan = spark.createDataFrame([("a",)], "t string").select(rule.alias("r"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("needle") == 1
