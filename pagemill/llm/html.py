@@ -20,15 +20,15 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagemill.llm.session import fresh, saved
 from pagemill.llm.urls import host_of
 
-#: Distinct pages of a host that the shape of its wrapper is taken from, and pages of a host that a task aligns.
-SAMPLE, PAGES_A_TASK = 32, 256
+#: Shapes of a host that are merged together, round after round until one is left, and pages of a host that a task aligns.
+SHAPES_AT_ONCE, PAGES_A_TASK = 32, 256
 #: A slot is judged by its texts from so many pages on, and is template if at most this share of them differ.
 ENOUGH, TEMPLATE_SHARE = 5, 0.5
 #: The share within articles, where near copies of pages repeat a title or paragraph.
@@ -485,7 +485,7 @@ def main_text(page: str | None, shape: Slots, keep: list[bool]) -> str:
     return " ".join(out)
 
 
-def extract(pages: DataFrame, *, url: str = "url", page_html: str = "html", sample: int = SAMPLE, pages_a_task: int = PAGES_A_TASK) -> DataFrame:
+def extract(pages: DataFrame, *, url: str = "url", page_html: str = "html", sample: int = SHAPES_AT_ONCE, pages_a_task: int = PAGES_A_TASK) -> DataFrame:
     """pages without the html, with text and n_chars; columns of these names are replaced.
 
     The text is what a page has in the slots of its host's wrapper that are content (see judged). Elements that by HTML are menus, headers
@@ -493,9 +493,9 @@ def extract(pages: DataFrame, *, url: str = "url", page_html: str = "html", samp
     the wrapper's counts. Character references are decoded, white space within a block becomes one blank, blocks are joined by
     one. Nothing is cut off.
 
-    The shape of a host's wrapper is induced from at most `sample` distinct trees of its pages, picked by a hash; all distinct
-    trees are aligned with it, and all their texts in a slot decide. Only trees of labels, hashes and sizes are
-    gathered by host, and a host's pages are dealt to tasks of about pages_a_task, so a large host is no larger task. Null or
+    The shape of a host's wrapper is induced from all distinct shapes of its pages: about `sample` of them are merged in a task, and what comes of
+    these is merged in turn until a host has one. All distinct trees are aligned with it, and all their texts in a slot
+    decide. A host's pages are dealt to tasks of about pages_a_task, so a large host is no larger task. Null or
     empty html gives an empty text; a null url or one without host belongs to the empty host. Repeated rows are each extracted;
     an empty table gives an empty one.
     """
@@ -522,16 +522,27 @@ def extract(pages: DataFrame, *, url: str = "url", page_html: str = "html", samp
         copies = sized(wrappers).withColumn(salt, F.explode(F.sequence(F.lit(0), salts - 1))).drop(size)
         return sized(frame.withColumn(deal, F.monotonically_increasing_id())).withColumn(salt, F.pmod(F.xxhash64(deal), salts).cast("int")).drop(size, deal).join(copies, [host, salt], "left")
 
-    chance = F.pmod(F.xxhash64(tree), F.lit(1 << 30)) / (1 << 30)
-    some = sized(skeletons).where(chance * F.col(size) < 4 * sample)  # some hundred of a host, of which the first ones are taken
-    pick = Window.partitionBy(host).orderBy(F.xxhash64(tree), tree)
-    picked = some.withColumn("place", F.row_number().over(pick)).where(F.col("place") <= sample)
-
-    def wrap(own_pages: pd.DataFrame) -> pd.DataFrame:
-        shape = induce([Slots.read(x) for x in own_pages.sort_values("place")[tree]])
-        return pd.DataFrame({host: own_pages[host].iloc[:1], own: [shape.write()]})
-
-    shapes = saved(hosts.select(host).join(picked.groupBy(host).applyInPandas(wrap, f"`{host}` string, `{own}` string"), host, "left"))
+    def shaped(batches):
+        for b in batches:
+            made = []
+            for x in b.column(tree).to_pylist():
+                labels, depths, *_ = json.loads(x)
+                made.append(json.dumps([labels, depths, *[[0] * len(labels)] * 3], separators=(",", ":")))
+            yield pa.RecordBatch.from_arrays([b.column(host), pa.array(made, pa.string())], [host, own])
+
+    def wrap(some: pd.DataFrame) -> pd.DataFrame:
+        shape = induce([Slots.read(x) for x in sorted(some[own], key=lambda x: (zlib.crc32(x.encode("utf-8", "surrogatepass")), x))])
+        return pd.DataFrame({host: some[host].iloc[:1], own: [shape.write()]})
+
+    shapes, turn = saved(skeletons.mapInArrow(shaped, f"`{host}` string, `{own}` string").distinct()), 0
+    while True:
+        left = saved(shapes.groupBy(host).agg(F.count("*").alias(size)))
+        if (left.agg(F.max(size)).first()[0] or 0) <= 1:
+            break
+        turn += 1
+        part = F.pmod(F.xxhash64(F.lit(turn), own), F.ceil(F.col(size) / sample)).alias(salt)
+        merged = shapes.join(F.broadcast(left) if few else left, host).select(host, own, part)
+        shapes = saved(merged.groupBy(host, salt).applyInPandas(wrap, f"`{host}` string, `{own}` string"))
 
     def align(batches):
         known: dict[str, Slots] = {}

@@ -125,3 +125,14 @@ def test_matching(seed):
     for y, x in found.items():
         pairs = [found[k] for k in b.kids[y] if k in found]
         assert pairs == sorted(pairs, key=a.kids[x].index)
+
+
+def test_slots_that_few_pages_have_are_judged_by_all_pages(spark):
+    """400 shapes of a host, of which some hold one more template block; a wrapper of some of the shapes lacks it and keeps its text."""
+    def page(k: int) -> str:
+        marks = "".join(f"<div class='{'xy'[k >> b & 1]}'><p>Part {b} of story {k}</p></div>" for b in range(9))
+        extra = "<section class='offer'><p>Buy our hats now</p></section>" if k % 40 == 0 else ""
+        return f"<html><body><article><h1>Story {k}</h1>{marks}{extra}</article></body></html>"
+
+    got = texts(spark, [page(k) for k in range(400)], sample=4, pages_a_task=64)
+    assert got == {k: " ".join([f"Story {k}", *(f"Part {b} of story {k}" for b in range(9))]) for k in range(400)}
