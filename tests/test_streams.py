@@ -167,3 +167,17 @@ def test_backfill_that_breaks_off(spark, tmp_path, monkeypatch):
 def test_replies(spark):
     rows = spark.createDataFrame([("not json",), ('{"summary":"s","key_points":"x"}',), (None,)], "raw string").select(Q.parse_ai_result(F.col("raw")).alias("x")).select("x.*").collect()
     assert [(r.summary, r.key_points, r.answer) for r in rows] == [("not json", [], None), ("s", [], None), ("", [], None)]
+
+
+def test_states_follow_buckets_and_not_keys(spark, tmp_path):
+    """Of 400 users and keys, null ones among them, over two micro-batches: as many states as buckets, and the rows of the batch twins."""
+    row = lambda k, hours: (k, k % 399 and f"u{k % 399}" or None, at(hours), at(hours).strftime("%Y-%m"), k % 5, 9, k % 399 and f"k{k % 399}" or None, FIELDS[k % 6], k % 4 != 1)
+    batches = [[row(k, 1) for k in range(1000)], [row(k, 20) for k in range(1000, 1800)]]
+    path = str(tmp_path / "few")
+    state = replay(spark, batches, lambda s: S.usage_stream(s, parts=2, buckets=3).writeStream.outputMode("update").foreachBatch(S.keep_counters(spark, path)), tmp_path, "few-counters")
+    assert rows_of(S.read_counters(spark, path).select("month", "app_user_id", *FIELDS)) == rows_of(U.usage_monthly(batch_of(spark, batches)).select("month", "app_user_id", *FIELDS)) and max(state) <= 2 * 3
+    got, state = appended(spark, batches, lambda s: S.ttl_dedupe_stream(s, buckets=3), tmp_path, "few-keys")
+    assert rows_of(got.select("key", "req_id", "hit")) == rows_of(U.ttl_dedupe(batch_of(spark, batches)).select("key", "req_id", "hit")) and max(state) <= 2 * 3
+    got, state = appended(spark, batches, lambda s: S.quota_stream(s, buckets=3), tmp_path, "few-users")
+    columns = ["req_id", "app_user_id", "month", "admitted", "used"]
+    assert rows_of(got.select(columns)) == rows_of(U.quota_admit_amount(batch_of(spark, batches)).select(columns)) and max(state) <= 2 * 3
