@@ -316,34 +316,40 @@ def layout_lines(items: DataFrame) -> DataFrame:
     finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) != float("inf"))
     held = lambda c: F.greatest(F.lit(1.5), F.least(F.lit(4.0), F.when(c * 0.35 > 0, c * 0.35).otherwise(2.5)))
     rows = items.where((F.coalesce("str", F.lit("")) != "") & finite("x") & finite("y")).select(*PAGE, "idx", "str", "dir", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), number("width").alias("width"), number("height").alias("height"))
-    high = F.array_sort(F.collect_list(F.when(F.col("height") > 0, F.col("height"))))
-    walk = F.array_sort(F.collect_list(F.struct((-F.col("y")).alias("down"), "x", "idx", "str", "dir", "width")))
+    high = F.sort_array(F.collect_list(F.when(F.col("height") > 0, F.col("height"))))
+    walk = F.sort_array(F.collect_list(F.struct((-F.col("y")).alias("down"), "x", "idx", "str", "dir", "width")))
     pages = rows.groupBy(*PAGE).agg(high.alias("high"), walk.alias("items"))
     pages = pages.select(*PAGE, "items", held(F.coalesce(F.get("high", F.floor(F.size("high") / 2).cast("int")), F.lit(0.0))).alias("tolerance"))
 
     @F.pandas_udf("array<int>")
     def lines_of(down: pd.Series, tolerance: pd.Series) -> pd.Series:
-        return pd.Series([_line_numbers([-d for d in own], t) for own, t in zip(down, tolerance, strict=True)])
+        return pd.Series([_line_numbers((-own).tolist(), t) for own, t in zip(down, tolerance.tolist(), strict=True)])
 
     placed = pages.withColumn("lines", lines_of(F.transform("items", lambda x: x["down"]), "tolerance")).select(*PAGE, F.explode(F.arrays_zip("lines", "items")).alias("z")).select(*PAGE, F.col("z.lines").alias("line_no"), "z.items.*")
-    count = lambda c, letters: X.count_of(c, f"[{letters}]")
-    own = F.struct("x", "idx", "str", "width")
+    # what an item's own text says is found once an item, and not for each neighbour and use
+    item, foreign = F.col("str"), X.wide("str")
+    placed = placed.withColumns({
+        "unit": F.when(F.col("width") > 0, F.col("width") / F.greatest(F.lit(1), F.length(X.trim("str")))), "shut": item.rlike(f"{X.WS}$|{NO_BLANK_AFTER}$"), "bound": item.rlike(f"^{X.WS}|^{NO_BLANK_BEFORE}"),
+        "ends": foreign & item.rlike(f"[{CJK}]$"), "starts": foreign & item.rlike(f"^[{CJK}]"),
+    })
     lines = placed.groupBy(*PAGE, "line_no").agg(
-        F.array_sort(F.collect_list(own)).alias("ltr"), F.array_sort(F.collect_list(F.struct((-F.col("x")).alias("x"), "idx", "str", "width"))).alias("from_right"), F.sum(count("str", RTL)).alias("letters"),
-        F.sum(F.length(F.regexp_replace("str", X.WS, ""))).alias("signs"), F.count_if((F.col("dir") == "rtl") | F.col("str").rlike(f"[{RTL}]")).alias("right"), F.count("*").alias("n"),
+        F.collect_list(F.struct("x", "idx", "str", "width", "unit", "shut", "bound", "ends", "starts")).alias("own"), F.sum(F.when(foreign, X.count_of("str", f"[{RTL}]")).otherwise(0)).alias("letters"),
+        F.sum(F.length(F.regexp_replace("str", X.WS, ""))).alias("signs"), F.count_if((F.col("dir") == "rtl") | (foreign & item.rlike(f"[{RTL}]"))).alias("right"), F.count("*").alias("n"),
     )
     rtl = (F.col("letters") > 0) & ((F.col("right") >= F.col("n") / 2) | (F.col("letters") / F.greatest(F.lit(1), "signs") > 0.25))
-    lines = lines.withColumn("rtl", rtl).withColumn("items", F.when(rtl, F.transform("from_right", lambda x: F.struct((-x["x"]).alias("x"), x["idx"].alias("idx"), x["str"].alias("str"), x["width"].alias("width")))).otherwise(F.col("ltr")))
+    turned = lambda items: F.transform(items, lambda x: x.withField("x", -x["x"]))
+    ordered = F.when(F.col("rtl"), turned(F.sort_array(turned("own")))).otherwise(F.sort_array("own"))
 
     def blank(a: Column, b: Column) -> Column:
         """Whether a blank goes between an item and the next one."""
-        wide = lambda x: F.when(x["width"] > 0, x["width"] / F.greatest(F.lit(1), F.length(X.trim(x["str"]))))
-        mean = F.coalesce((wide(a) + wide(b)) / 2, wide(a), wide(b), F.lit(0.0))
+        mean = F.coalesce((a["unit"] + b["unit"]) / 2, a["unit"], b["unit"], F.lit(0.0))
         gap = F.when(F.col("rtl"), a["x"] - (b["x"] + b["width"])).otherwise(b["x"] - (a["x"] + a["width"]))
-        closed = a["str"].rlike(f"{X.WS}$|{NO_BLANK_AFTER}$") | b["str"].rlike(f"^{X.WS}|^{NO_BLANK_BEFORE}") | (a["str"].rlike(f"[{CJK}]$") & b["str"].rlike(f"^[{CJK}]"))
-        return ~closed & (gap > 0) & (gap > held(mean))
+        return ~(a["shut"] | b["bound"] | (a["ends"] & b["starts"])) & (gap > 0) & (gap > held(mean))
 
-    before = F.concat(F.slice("items", 1, 1), F.slice("items", F.lit(1), F.size("items") - 1))  # the first one before itself, which takes no blank
-    joined = F.zip_with("items", before, lambda x, y: F.concat(F.when(blank(y, x), " ").otherwise(""), x["str"]))
-    lines = lines.select(*PAGE, "line_no", F.array_join(joined, "").alias("text"), "rtl")
-    return lines.withColumn("text", X.clean_rtl_line("text", F.col("rtl"))).where("text <> ''")
+    def joined(items: Column) -> Column:
+        before = F.concat(F.slice(items, 1, 1), F.slice(items, F.lit(1), F.size(items) - 1))  # the first one before itself, which takes no blank
+        return F.array_join(F.zip_with(items, before, lambda x, y: F.concat(F.when(blank(y, x), " ").otherwise(""), x["str"])), "")
+
+    lines = lines.withColumn("rtl", rtl).select(*PAGE, "line_no", "rtl", X.once(ordered, joined).alias("text"))
+    # as a generator, so that a line is made once and not for the condition as well
+    return lines.select(*PAGE, "line_no", F.explode(F.filter(F.array(X.clean_rtl_line("text", F.col("rtl"))), lambda x: x != "")).alias("text"), "rtl")

@@ -140,3 +140,12 @@ def test_costly_values_of_a_line_are_worked_out_once(spark):
     for rule in (X.repair_script(line), X.needs_ocr(line, F.lit("eng")), X.mostly_latin(line), X.clean_rtl_line(line, F.lit(True))):
         plan = spark.createDataFrame([("a",)], "t string").select(rule.alias("r"))._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("needle") == 1
+
+
+def test_layout_lines_look_at_an_item_once(spark):
+    """Neighbours and the check for blank lines take what was found of an item; nothing is sorted by an interpreted comparison, and items are listed once a line."""
+    items = [("d", 1, k, w, None, 60.0 * k, 100.0, 6.0 * len(w), 10.0) for k, w in enumerate(["a", "(", "b", ")", "漢", "字", "é "])] + [("d", 1, 9, "ْ(cid:3)", "rtl", 0.0, 50.0, 5.0, 10.0), ("d", 1, 10, " ", None, 0.0, 20.0, 5.0, 10.0)]
+    got = L.layout_lines(spark.createDataFrame(items, "doc_id string, page int, idx int, str string, dir string, x double, y double, width double, height double"))
+    assert [(r.line_no, r.text) for r in got.where("line_no <> 1").collect()] == [(0, "a (b) 漢字 é")]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_sort" not in plan and plan.count("collect_list(") == 3
