@@ -23,7 +23,7 @@ def page_chunks(pages: DataFrame, n: int = 10) -> DataFrame:
 def chunk_sentences(chunks: DataFrame, sentences: DataFrame) -> DataFrame:
     """chunks with their sentences, an array of (id, page, text) in order; empty where a chunk has none."""
     placed = chunk_of_page(sentences.select("doc_id", "page").distinct(), chunks)
-    own = sentences.join(placed, ["doc_id", "page"]).groupBy("doc_id", "chunk_ix").agg(F.array_sort(F.collect_list(F.struct("id", "page", "text"))).alias("sentences"))
+    own = sentences.join(placed, ["doc_id", "page"]).groupBy("doc_id", "chunk_ix").agg(F.sort_array(F.collect_list(F.struct("id", "page", "text"))).alias("sentences"))
     none = F.array().cast("array<struct<id:bigint,page:int,text:string>>")
     return chunks.join(own, ["doc_id", "chunk_ix"], "left").withColumn("sentences", F.coalesce(F.col("sentences").cast("array<struct<id:bigint,page:int,text:string>>"), none))
 
@@ -52,15 +52,27 @@ def chunk_of_page(refs: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def chunk_text(sentences: DataFrame, chunks: DataFrame) -> DataFrame:
     placed = chunk_of_page(sentences.select("doc_id", "page").distinct(), chunks)
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("id", "text"))), lambda x: x["text"])
-    return sentences.join(placed, ["doc_id", "page"]).groupBy("doc_id", "chunk_ix").agg(F.array_join(texts, " ").alias("text"))
+    return sentences.join(placed, ["doc_id", "page"]).groupBy("doc_id", "chunk_ix").agg(_texts().alias("text"))
+
+
+def _texts() -> Column:
+    """The sentences of a group in order, as one text."""
+    return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "text"))), lambda x: x["text"]), " ")
+
+
+#: Page numbers whose contexts are put together in one group.
+CONTEXTS_A_STRETCH = 64
 
 
 def context_text(sentences: DataFrame, radius: int = 2) -> DataFrame:
-    """doc_id, page, context: the sentences of the pages around each page."""
-    pages = sentences.groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "text"))), lambda x: x["text"]), " ").alias("text"))
-    near = Window.partitionBy("doc_id").orderBy("page").rangeBetween(-radius, radius)
-    return pages.select("doc_id", "page", F.array_join(F.collect_list("text").over(near), " ").alias("context"))
+    """doc_id, page, context: the sentences of the pages around each page. Stretches of page numbers stand apart, and pages near a border go to both sides, so a document of very many pages is no task's alone."""
+    stretch = lambda c: F.floor(c / CONTEXTS_A_STRETCH)
+    pages = sentences.groupBy("doc_id", "page").agg(_texts().alias("text"))
+    reached = F.sequence(stretch(F.col("page") - radius), stretch(F.col("page") + radius))
+    placed = pages.select("doc_id", "page", "text", F.explode_outer(reached).alias("_stretch"))
+    near = Window.partitionBy("doc_id", "_stretch").orderBy("page").rangeBetween(-radius, radius)
+    around = placed.withColumn("context", F.array_join(F.collect_list("text").over(near), " "))
+    return around.where(F.col("_stretch").eqNullSafe(stretch(F.col("page")))).select("doc_id", "page", "context")
 
 
 def first_of_page(refs: DataFrame, sentences: DataFrame) -> DataFrame:
@@ -70,10 +82,9 @@ def first_of_page(refs: DataFrame, sentences: DataFrame) -> DataFrame:
 
 def reanchor(anchors: DataFrame, sentences: DataFrame) -> DataFrame:
     """Anchors (k-th sentence of a page) with the id that they have in another table of sentences; the last one, if it has fewer."""
-    placed = within_page(sentences)
-    counts = placed.groupBy("doc_id", "page").agg(F.count("*").alias("n"))
-    clamped = anchors.join(counts, ["doc_id", "page"]).withColumn("at", F.least(F.col("k"), F.col("n") - 1))
-    return clamped.join(placed.withColumnRenamed("within", "at"), ["doc_id", "page", "at"]).select("doc_id", "page", "k", "id")
+    ids = sentences.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list("id")).alias("_ids"))
+    clamped = anchors.join(ids, ["doc_id", "page"]).withColumn("_at", F.least(F.col("k"), F.size("_ids") - 1).cast("int")).where("_at >= 0")
+    return clamped.select("doc_id", "page", "k", F.get("_ids", F.col("_at")).alias("id"))
 
 
 def speech_chunks(sentences: DataFrame, mode: str = "local", cap: int = 420, page_cap: int | None = None, starts: DataFrame | None = None) -> DataFrame:
@@ -101,7 +112,7 @@ def speech_chunks(sentences: DataFrame, mode: str = "local", cap: int = 420, pag
     rows = rows.withColumn("second", (F.col("place") - F.last(F.when(~F.col("fits"), F.col("place")), ignorenulls=True).over(upto)) % 2 == 1)
     rows = rows.withColumn("chunk_ix", F.sum((~F.col("second")).cast("int")).over(order) - 1).withColumn("start", F.when(F.col("second"), F.lag("n").over(order) + 1).otherwise(0))
     span = F.struct(F.col("start").cast("long").alias("start"), (F.col("start") + F.col("n")).cast("long").alias("end"), F.col("source_start").cast("long").alias("source_start"), F.col("id").alias("sentence_id"), "text")
-    chunks = rows.groupBy("doc_id", "page", "chunk_ix").agg(F.array_sort(F.collect_list(span)).alias("all"))  # of two at most
+    chunks = rows.groupBy("doc_id", "page", "chunk_ix").agg(F.sort_array(F.collect_list(span)).alias("all"))  # of two at most
     spans = F.transform("all", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["source_start"].alias("source_start"), x["sentence_id"].alias("sentence_id")))
     return chunks.select("doc_id", "page", F.col("chunk_ix").cast("int").alias("chunk_ix"), F.array_join(F.transform("all", lambda x: x["text"]), " ").alias("text"), spans.alias("spans"))
 

@@ -385,6 +385,13 @@ def _sentences(spark, d):
     return L.build_sentences(books(spark, d))
 
 
+def _stored(spark, rows):
+    """rows that are read more than once: made once and kept in the shared folder, of which each read takes its own columns."""
+    path = scratch(spark)
+    rows.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 @query(f"WITH {SE} SELECT doc_id, id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY id) - 1 AS within FROM se")
 def within_page(spark, d):
     return R.within_page(_sentences(spark, d)).select("doc_id", "id", "page", F.col("within").cast("long").alias("within"))
@@ -405,7 +412,7 @@ def chunk_of_page(spark, d):
 
 @query(f"WITH {SE} SELECT doc_id, CAST((page - 1) // 10 AS INTEGER) AS chunk_ix, string_agg(text, ' ' ORDER BY id) AS text FROM se GROUP BY doc_id, (page - 1) // 10")
 def chunk_text(spark, d):
-    return R.chunk_text(_sentences(spark, d), R.page_chunks(books(spark, d)))
+    return R.chunk_text(_stored(spark, _sentences(spark, d)), R.page_chunks(books(spark, d)))
 
 
 @query(f"WITH {SE}, p AS (SELECT doc_id, page, string_agg(text, ' ' ORDER BY id) AS t FROM se GROUP BY doc_id, page) SELECT doc_id, page, string_agg(t, ' ') OVER (PARTITION BY doc_id ORDER BY page RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS context FROM p")
@@ -467,7 +474,7 @@ def locate_span(spark, d):
 
 @query(f"WITH {SE}, {CH}, s AS (SELECT doc_id, CAST((page - 1) // 10 AS INTEGER) AS chunk_ix, count(*) AS n, string_agg(page || '.' || id, ' ' ORDER BY id) AS ids FROM se GROUP BY doc_id, (page - 1) // 10) SELECT ch.*, coalesce(n, 0) AS n, coalesce(ids, '') AS ids FROM ch LEFT JOIN s USING (doc_id, chunk_ix)")
 def chunk_sentences(spark, d):
-    rows = R.chunk_sentences(R.page_chunks(books(spark, d)), _sentences(spark, d))
+    rows = R.chunk_sentences(R.page_chunks(books(spark, d)), _stored(spark, _sentences(spark, d)))
     ids = F.array_join(F.transform("sentences", lambda x: F.concat_ws(".", x["page"], x["id"])), " ")
     return rows.select("doc_id", "chunk_ix", "start_page", "end_page", F.size("sentences").cast("long").alias("n"), ids.alias("ids"))
 

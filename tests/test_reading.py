@@ -169,3 +169,21 @@ def test_metering_over_batches_and_keys(spark):
         used[user, month] += (amount or 0) if fits and ok is not False else 0
         assert got[k] == (fits, used[user, month])
     assert len(got) == 2000
+
+
+def test_contexts_of_one_book_are_many_groups(spark):
+    """Pages at borders of stretches see both sides, also where pages are missing, and no window goes over a whole document."""
+    pages = [p for p in range(1, 300) if p % 9 or p % 64 == 0]
+    rows = spark.createDataFrame([("d", k, p, f"t{p}") for k, p in enumerate(pages)] + [("e", 0, None, "none")], "doc_id string, id long, page int, text string")
+    out = R.context_text(rows)
+    got = {(r.doc_id, r.page): r.context for r in out.collect()}
+    assert got == {("d", p): " ".join(f"t{q}" for q in pages if abs(q - p) <= 2) for p in pages} | {("e", None): "none"}
+    assert "_stretch" in next(x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Window " in x)
+
+
+def test_anchors_read_sentences_once(spark):
+    rows = spark.range(40).selectExpr("'d' doc_id", "id", "cast(id div 10 as int) page", "concat('t', id) text")
+    anchors = spark.createDataFrame([("d", 0, 3), ("d", 0, 3), ("d", 1, 99), ("d", 2, -1), ("d", 9, 0), ("d", 3, None)], "doc_id string, page int, k int")
+    out = R.reanchor(anchors, rows)
+    assert sorted((r.page, r.id) for r in out.collect()) == [(0, 3), (0, 3), (1, 19), (3, 39)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
