@@ -166,17 +166,21 @@ OCR = "oc AS (SELECT doc_id, page, CASE WHEN length(text) < 100 THEN ' ' WHEN le
 HAVE = "hv AS (SELECT *, CASE WHEN source = 'ocr' THEN length(text) % 89 END AS confidence FROM bp WHERE length(text) < 8000)"
 
 
-def _recognised(spark, d):
+def _pages(spark, d, pages=None):
+    return books(spark, d) if pages is None else pages
+
+
+def _recognised(spark, d, pages=None):
     n = F.length("text")
-    return books(spark, d).select("doc_id", "page", F.when(n < 100, " ").when(n < 1000, F.expr("substr(text, 2)")).otherwise(F.concat("text", F.lit(" more"))).alias("text"), (n % 101).alias("confidence"))
+    return _pages(spark, d, pages).select("doc_id", "page", F.when(n < 100, " ").when(n < 1000, F.expr("substr(text, 2)")).otherwise(F.concat("text", F.lit(" more"))).alias("text"), (n % 101).alias("confidence"))
 
 
-def _have(spark, d):
-    return books(spark, d).where(F.length("text") < 8000).withColumn("confidence", F.when(F.col("source") == "ocr", F.length("text") % 89))
+def _have(spark, d, pages=None):
+    return _pages(spark, d, pages).where(F.length("text") < 8000).withColumn("confidence", F.when(F.col("source") == "ocr", F.length("text") % 89))
 
 
-def _low(spark, d):
-    return books(spark, d).where(F.expr(LOW))
+def _low(spark, d, pages=None):
+    return _pages(spark, d, pages).where(F.expr(LOW))
 
 
 @query(f"""WITH {BP}, {OCR}, {HAVE}, o AS (SELECT * FROM oc WHERE trim(text) <> '')
@@ -354,10 +358,11 @@ def ttl_dedupe_stream(spark, d):
 @query(ORACLE_SQL["merge_ocr_longer"])
 def page_backfill(spark, d):
     """Recognised pages arrive in two batches, by the length of their document's pages."""
+    stored = _stored(spark, books(spark, d))  # numbered once, as batches and progress read them again
     new, checkpoint = scratch(spark), scratch(spark)
     pages = ST.page_table(spark, scratch(spark))
-    pages.append(_have(spark, d).select("doc_id", "page", "text", "source", F.col("confidence").cast("int").alias("confidence")))
-    pending, rows = _low(spark, d).select("doc_id", "page"), _recognised(spark, d)
+    pages.append(_have(spark, d, stored).select("doc_id", "page", "text", "source", F.col("confidence").cast("int").alias("confidence")))
+    pending, rows = _low(spark, d, stored).select("doc_id", "page"), _recognised(spark, d, stored)
     for part in ("length(text) < 2000", "length(text) >= 2000"):
         rows.where(part).write.mode("append").parquet(new)
         merge = ST.page_backfill(spark, pages, pending, lambda progress, n: progress.write.format("noop").mode("overwrite").save())

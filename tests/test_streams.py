@@ -181,3 +181,11 @@ def test_states_follow_buckets_and_not_keys(spark, tmp_path):
     got, state = appended(spark, batches, lambda s: S.quota_stream(s, buckets=3), tmp_path, "few-users")
     columns = ["req_id", "app_user_id", "month", "admitted", "used"]
     assert rows_of(got.select(columns)) == rows_of(U.quota_admit_amount(batch_of(spark, batches)).select(columns)) and max(state) <= 2 * 3
+
+
+def test_backfill_numbers_its_pages_once(spark, monkeypatch):
+    from pagemill.plans import metering as M
+
+    calls, books = [], M.books
+    monkeypatch.setattr(M, "books", lambda *a: calls.append(a) or books(*a))
+    assert M.page_backfill(spark, "/root/testdata/sf0.001").count() > 0 and len(calls) == 1
