@@ -78,6 +78,18 @@ def count_of(c: Column | str, pattern: str) -> Column:
     return F.regexp_count(col(c), F.lit(pattern))
 
 
+def word_count(c: Column | str) -> Column:
+    """How many runs without white space a text has, by its single blanks; only texts with other white space are rewritten for it."""
+
+    def blanks(x: Column) -> Column:
+        rare = x.contains("  ")
+        for sign in ASCII_WS.replace(" ", ""):
+            rare = rare | x.contains(sign)
+        return F.trim(F.when(rare | (wide(x) & x.rlike(f"[{WS[1:-1].replace(' ', '')}]")), F.regexp_replace(x, f"{WS}+", " ")).otherwise(x))
+
+    return once(once(c, blanks), lambda x: F.when(x == "", 0).otherwise(F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit(""))) + 1))
+
+
 def normalize_line(line: Column | str) -> Column:
     """Digits to ASCII, white space to single blanks, tatweel away, trimmed, lower case."""
     digits = F.translate(col(line), PERSIAN_ARABIC_DIGITS, "01234567890123456789")

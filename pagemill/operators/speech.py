@@ -19,14 +19,14 @@ WORDS_A_MINUTE, LEAST_SECONDS = 165, 0.75
 
 def seconds_of(text: Column | str, rate: Column | float = 1.0) -> Column:
     """How long a sentence is heard: a text has one word at least, rates are held to 0.25 .. 4, and none or 0 is 1."""
-    words = F.greatest(F.lit(1), F.coalesce(X.count_of(text, f"[^{X.WS[1:-1]}]+"), F.lit(0)))
+    words = F.greatest(F.lit(1), F.coalesce(X.word_count(text), F.lit(0)))
     rate = rate if isinstance(rate, Column) else F.lit(float(rate))
     rate = F.when(rate.isNull() | F.isnan(rate) | (rate == 0), 1.0).otherwise(F.greatest(F.lit(SLOWEST), F.least(F.lit(FASTEST), rate)))
     return F.greatest(F.lit(LEAST_SECONDS), words / (F.lit(float(WORDS_A_MINUTE)) * rate) * 60)
 
 
 def listening_time(sentences: DataFrame, rate: Column | float = 1.0) -> DataFrame:
-    """doc_id, page, seconds."""
+    """doc_id, page, seconds, of sentences (doc_id, page, text), which need no ids."""
     return sentences.groupBy("doc_id", "page").agg(F.round(F.sum(seconds_of("text", rate)), 6).alias("seconds"))
 
 

@@ -390,6 +390,11 @@ def _sentences(spark, d):
     return L.build_sentences(books(spark, d))
 
 
+def _units(spark, d):
+    """Sentences without their ids: sums by page or document need no numbers, so texts cross no shuffle for them."""
+    return L.page_units(L.clean_pages(books(spark, d)))
+
+
 def _stored(spark, rows):
     """rows that are read more than once: made once and kept in the shared folder, of which each read takes its own columns."""
     path = scratch(spark)
@@ -567,7 +572,7 @@ SELECT doc_id, page, round(sum(greatest(0.75::DOUBLE, words / (165.0::DOUBLE * r
 def listening_time(spark, d):
     """At rates that are missing, too fast, too slow and fine."""
     k = F.col("page") % 4
-    return P.listening_time(_sentences(spark, d), F.when(k == 0, F.lit(None).cast("double")).when(k == 1, 9.0).when(k == 2, 0.1).otherwise(1.5))
+    return P.listening_time(_units(spark, d), F.when(k == 0, F.lit(None).cast("double")).when(k == 1, 9.0).when(k == 2, 0.1).otherwise(1.5))
 
 
 @query("""SELECT conv_id, turn, CASE turn % 6 WHEN 0 THEN 'summary' WHEN 1 THEN 'explain' WHEN 2 THEN 'simplify' WHEN 3 THEN 'key_points' ELSE 'ask' END AS task, substr(text, 1, 12000) AS text FROM conversations WHERE turn % 6 < 5 AND regexp_replace(text, '\\s', '', 'g') <> ''""")

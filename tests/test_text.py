@@ -7,6 +7,7 @@ from pagemill.functions import text as X
 from pagemill.operators import lines as L
 from pagemill.operators import reading as R
 from pagemill.operators import usage as U
+from pagemill.plans.catalog import QUERIES
 
 
 def one(spark, column, text):
@@ -149,3 +150,20 @@ def test_layout_lines_look_at_an_item_once(spark):
     assert [(r.line_no, r.text) for r in got.where("line_no <> 1").collect()] == [(0, "a (b) 漢字 é")]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "array_sort" not in plan and plan.count("collect_list(") == 3
+
+
+def test_word_count(spark):
+    """Words are counted by blanks, whatever white space there is."""
+    texts = ["", " ", "one", " two words ", "a  b", "a\tb\nc\x0bd\x0ce\rf", "é b", "a b　c", "﻿", "a   b", "a\u0085b", "a​b c", " x ", None]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", X.word_count("t").alias("n"), F.size(F.regexp_extract_all("t", F.lit(f"([^{X.WS[1:-1]}]+)"))).alias("m"), "t").collect()
+    assert len(rows) == len(texts) and all(r.n == (None if r.t is None else r.m) for r in rows)
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_listening_time_needs_no_ids(spark):
+    """Its sums go by page, so sentences are neither numbered nor moved; words are not listed to be counted."""
+    plan = plan_of(QUERIES["listening_time"](spark, "/root/testdata/sf0.001"))
+    assert "Window" not in plan and "regexp_extract_all" not in plan
