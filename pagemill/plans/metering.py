@@ -564,7 +564,7 @@ def library_list(spark, d):
 
 @query(f"""WITH {SE} SELECT doc_id, CAST(sum(length(text)) AS BIGINT) AS chars, sum(length(text)) * 15.0::DOUBLE / 1000000 AS usd FROM se GROUP BY doc_id""")
 def voice_cost(spark, d):
-    return P.voice_cost(_sentences(spark, d), 15)
+    return P.voice_cost(_units(spark, d), 15)
 
 
 @query(f"""WITH {SE}, w AS (SELECT *, greatest(1, len(regexp_extract_all(text, '\\S+'))) AS words, CASE page % 4 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 4.0::DOUBLE WHEN 2 THEN 0.25::DOUBLE ELSE 1.5::DOUBLE END AS rate FROM se)

@@ -167,3 +167,7 @@ def test_listening_time_needs_no_ids(spark):
     """Its sums go by page, so sentences are neither numbered nor moved; words are not listed to be counted."""
     plan = plan_of(QUERIES["listening_time"](spark, "/root/testdata/sf0.001"))
     assert "Window" not in plan and "regexp_extract_all" not in plan
+
+
+def test_voice_cost_needs_no_ids(spark):
+    assert "Window" not in plan_of(QUERIES["voice_cost"](spark, "/root/testdata/sf0.001"))
