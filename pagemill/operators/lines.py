@@ -239,21 +239,30 @@ def _stretch() -> Column:
     return F.struct(F.col("doc_id").alias("doc_id"), F.floor(F.col("page") / PAGES_A_STRETCH).alias("stretch"))
 
 
-def numbered(sentences: DataFrame) -> DataFrame:
-    """doc_id, id, page, text: ids from 0 in each document, for pages with their sentences.
+def numbered_pages(sentences: DataFrame, beside: DataFrame | None = None) -> DataFrame:
+    """doc_id, first, page, sentences: pages with their sentences and the id of the first one; ids count from 0 in each document.
 
     Prefix sums over stretches of pages: a stretch is one group, however long its document is, and only sums are looked at by document. Texts
-    cross one shuffle, which sums and numbers share.
+    cross one shuffle, which sums and numbers share. What is told of documents beside (one row a doc_id) comes with the sums, as more columns.
+    Anything may stand for the sentences, an item for each.
     """
     placed = sentences.withColumn("_at", _stretch()).repartition("_at")
     # all columns are looked at here too, so that this is the same shuffle
     sums = placed.groupBy("_at").agg(F.sum(F.size("sentences")).alias("n"), F.max(F.struct("doc_id", "page")).alias("_last"))
     before_it = Window.partitionBy("_at.doc_id").orderBy("_at.stretch").rowsBetween(Window.unboundedPreceding, -1)
     before = sums.where(F.col("_last").isNotNull()).select("_at", F.coalesce(F.sum("n").over(before_it), F.lit(0)).alias("_before"))
+    told = [c for c in beside.columns if c != "doc_id"] if beside is not None else []
+    if told:
+        before = before.join(beside.withColumnRenamed("doc_id", "_doc"), F.col("_at.doc_id") == F.col("_doc"), "left").drop("_doc")
     inner = Window.partitionBy("_at").orderBy("page", "sentences").rowsBetween(Window.unboundedPreceding, -1)
     rows = placed.withColumn("_inner", F.coalesce(F.sum(F.size("sentences")).over(inner), F.lit(0))).join(before, "_at")
-    rows = rows.select("doc_id", (F.col("_before") + F.col("_inner")).alias("_first"), "page", F.posexplode("sentences").alias("pos", "text"))
-    return rows.select("doc_id", (F.col("_first") + F.col("pos")).cast("long").alias("id"), "page", "text")
+    return rows.select("doc_id", (F.col("_before") + F.col("_inner")).cast("long").alias("first"), "page", "sentences", *told)
+
+
+def numbered(sentences: DataFrame) -> DataFrame:
+    """doc_id, id, page, text: ids from 0 in each document, for pages with their sentences."""
+    rows = numbered_pages(sentences).select("doc_id", "first", "page", F.posexplode("sentences").alias("pos", "text"))
+    return rows.select("doc_id", (F.col("first") + F.col("pos")).cast("long").alias("id"), "page", "text")
 
 
 def build_sentences(pages: DataFrame) -> DataFrame:

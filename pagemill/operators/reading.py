@@ -117,6 +117,72 @@ def speech_chunks(sentences: DataFrame, mode: str = "local", cap: int = 420, pag
     return chunks.select("doc_id", "page", F.col("chunk_ix").cast("int").alias("chunk_ix"), F.array_join(F.transform("all", lambda x: x["text"]), " ").alias("text"), spans.alias("spans"))
 
 
+def _begun(x: Column) -> Column:
+    """A sentence (id, text) as it is read: what lies before the place where reading begins is left out."""
+    skipped = F.when(x["id"] == F.col("start_id"), F.greatest(F.lit(0), F.least(F.length(x["text"]), F.coalesce("offset", F.lit(0))))).otherwise(0).cast("int")
+    return X.once(skipped, lambda k: F.struct(x["id"].alias("id"), k.alias("source_start"), F.substring(x["text"], k + 1, F.length(x["text"])).alias("text")))
+
+
+def _paired(spoken: Column, mode: str, cap: int) -> Column:
+    """What is spoken at once, of a page's sentences (id, source_start, n and whatever else): pairs (a, b) in order, b null where a stands alone."""
+    alone = lambda x: F.struct(x.alias("a"), F.when(F.lit(False), x).alias("b"))
+    if mode != "local":
+        return F.transform(spoken, alone)
+
+    def taken(s: Column) -> Column:
+        # a run begins where a sentence does not fit the one before, and its sentences go by twos
+        begins = F.filter(F.transform(s, lambda x, i: F.struct(i.alias("i"), (F.coalesce(F.get(s, i - 1)["n"] + 1 + x["n"] <= cap, F.lit(False))).alias("fits"))), lambda x: ~x["fits"])
+
+        def run(all_: Column, x: Column, k: Column) -> Column:
+            end = F.coalesce(F.get(all_, k + 1)["i"], F.size(s))
+            two = lambda at, upto: F.struct(F.get(s, at).alias("a"), F.when(at + 1 < upto, F.get(s, at + 1)).alias("b"))
+            return X.once(end, lambda upto: F.transform(F.sequence(x["i"], upto - 1, F.lit(2)), lambda at: two(at, upto)))
+
+        return X.once(begins, lambda all_: F.flatten(F.transform(all_, lambda x, k: run(all_, x, k))))
+
+    return X.once(spoken, taken)
+
+
+def _spans_of(x: Column) -> Column:
+    span = lambda s, start: F.struct(start.cast("long").alias("start"), (start + s["n"]).cast("long").alias("end"), s["source_start"].cast("long").alias("source_start"), s["id"].cast("long").alias("sentence_id"))
+    first = span(x["a"], F.lit(0))
+    return F.when(x["b"].isNull(), F.array(first)).otherwise(F.array(first, span(x["b"], x["a"]["n"] + 1)))
+
+
+def page_speech(pages: DataFrame, mode: str = "local", cap: int = 420, page_cap: int | None = None) -> DataFrame:
+    """doc_id, page, chunk_ix, text, spans: speech_chunks of pages, one row each, with the first sentence's id and their sentences, as numbered_pages makes them.
+
+    A page's chunks are made within its row, so texts are neither sorted nor moved. start_id and offset, where pages have them, tell where reading begins.
+    """
+    rows = pages if page_cap is None else pages.where(F.col("page") <= page_cap)
+    own = F.transform("sentences", lambda x, i: F.struct((F.col("first") + i).alias("id"), x.alias("text")))
+    if "start_id" in rows.columns:
+        own = F.transform(F.filter(own, lambda x: F.col("start_id").isNull() | (x["id"] >= F.col("start_id"))), _begun)
+    else:
+        own = F.transform(own, lambda x: x.withField("source_start", F.lit(0)))
+    spoken = F.transform(F.filter(own, lambda x: _heard(x["text"])), lambda x: F.struct(x["id"].alias("id"), x["source_start"].alias("source_start"), F.length(x["text"]).alias("n"), x["text"].alias("text")))
+    text = lambda x: F.when(x["b"].isNull(), x["a"]["text"]).otherwise(F.concat(x["a"]["text"], F.lit(" "), x["b"]["text"]))
+    chunks = F.transform(_paired(spoken, mode, cap), lambda x: F.struct(text(x).alias("text"), _spans_of(x).alias("spans")))
+    return rows.select("doc_id", "page", F.posexplode(chunks).alias("chunk_ix", "_chunk")).select("doc_id", "page", "chunk_ix", "_chunk.text", "_chunk.spans")
+
+
+def _heard(text: Column) -> Column:
+    return text.rlike(f"[^{X.WS[1:-1]}]")
+
+
+def spoken_lengths(text: Column) -> Column:
+    """What speech_places needs of a page's sentences: their lengths, null for blank ones."""
+    return F.transform(text, lambda x: F.when(_heard(x), F.length(x)))
+
+
+def speech_places(pages: DataFrame, cap: int = 420) -> DataFrame:
+    """doc_id, page, chunk_ix, length, spans of the chunks of speech_chunks in mode local, for pages with the spoken_lengths of their sentences in place of these."""
+    own = F.transform("sentences", lambda n, i: F.struct((F.col("first") + i).alias("id"), F.lit(0).alias("source_start"), n.alias("n")))
+    length = lambda x: x["a"]["n"] + F.coalesce(x["b"]["n"] + 1, F.lit(0))
+    chunks = F.transform(_paired(F.filter(own, lambda x: x["n"].isNotNull()), "local", cap), lambda x: F.struct(length(x).cast("long").alias("length"), _spans_of(x).alias("spans")))
+    return pages.select("doc_id", "page", F.posexplode(chunks).alias("chunk_ix", "_chunk")).select("doc_id", "page", "chunk_ix", "_chunk.length", "_chunk.spans")
+
+
 def bookmarks_latest(events: DataFrame) -> DataFrame:
     """The last write for each document and tag (trimmed, in any case); removals take it away."""
     order = Window.partitionBy("doc_id", F.lower(F.trim("tag"))).orderBy(F.desc("ts"), F.desc("event_id"))

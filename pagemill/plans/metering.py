@@ -395,6 +395,14 @@ def _units(spark, d):
     return L.page_units(L.clean_pages(books(spark, d)))
 
 
+def _numbered(spark, d, kept=lambda x: x, beside=None, upto=None, stored=None):
+    """Pages with what is kept of their sentences and the id of the first one. Pages beyond `upto` are left out before texts are moved, as no id depends on a later page."""
+    cleaned = L.clean_pages(books(spark, d) if stored is None else stored)
+    if upto is not None:
+        cleaned = cleaned.where(F.col("page").isNull() | (F.col("page") <= upto))
+    return L.numbered_pages(L.page_sentences(cleaned).withColumn("sentences", kept(F.col("sentences"))), beside)
+
+
 def _stored(spark, rows):
     """rows that are read more than once: made once and kept in the shared folder, of which each read takes its own columns."""
     path = scratch(spark)
@@ -477,7 +485,8 @@ o AS (SELECT *, greatest(0, least(total - 1, k * 150 - 20)) AS place, k * 150 -
 SELECT doc_id || '/' || page || '/' || chunk_ix AS chunk, CAST(asked AS BIGINT) AS "at", CASE WHEN place <= n1 THEN a ELSE b END AS sentence_id, CAST(CASE WHEN place <= n1 THEN place ELSE greatest(0, place - n1 - 1) END AS BIGINT) AS char_offset FROM o""")
 def locate_span(spark, d):
     """Places in what is spoken, found in the spans of its chunks."""
-    chunks = R.speech_chunks(_sentences(spark, d)).select(F.concat_ws("/", "doc_id", "page", "chunk_ix").alias("chunk"), F.length("text").cast("long").alias("length"), "spans")
+    places = _stored(spark, R.speech_places(_numbered(spark, d, R.spoken_lengths)))  # made once, as places are asked of all
+    chunks = places.select(F.concat_ws("/", "doc_id", "page", "chunk_ix").alias("chunk"), "length", "spans")
     offsets = chunks.select("chunk", F.explode(F.array(*(F.lit(k * 150 - 20).cast("long") for k in range(3)))).alias("at"))
     return R.locate_span(offsets, chunks).select("chunk", "at", "sentence_id", "char_offset")
 

@@ -1,3 +1,5 @@
+import random
+import re
 import time
 
 import pytest
@@ -176,3 +178,37 @@ def test_voice_cost_needs_no_ids(spark):
 def test_book_reading_report_needs_no_ids(spark):
     plan = plan_of(QUERIES["book_reading_report"](spark, "/root/testdata/sf0.001"))
     assert "Window" not in plan and "regexp_extract_all" not in plan
+
+
+def _pages_of_sentences(spark):
+    rng = random.Random(5)
+    some = lambda: "x" * rng.choice([1, 5, 200, 219, 220, 500]) if rng.random() < 0.9 else rng.choice(["", " ", "　 "])
+    pages = [(d, p, [some() for _ in range(rng.randint(0, 12))]) for d in ("a", "b", None) for p in range(1, 70)]
+    return spark.createDataFrame(pages, "doc_id string, page int, sentences array<string>")
+
+
+def rows_of(frame):
+    return sorted(map(repr, frame.collect()))
+
+
+@pytest.mark.parametrize(("mode", "cap"), [("local", None), ("local", 30), ("natural", None)])
+def test_chunks_by_pages(spark, mode, cap):
+    """Chunks made within a page's row are those of its sentences by windows, from wherever reading begins."""
+    pages = _pages_of_sentences(spark)
+    starts = spark.createDataFrame([("a", 3, 7), ("b", 40, None)], "doc_id string, start_id int, offset int")
+    sentences = L.numbered(pages)
+    assert rows_of(R.page_speech(L.numbered_pages(pages), mode=mode, page_cap=cap)) == rows_of(R.speech_chunks(sentences, mode=mode, page_cap=cap))
+    assert rows_of(R.page_speech(L.numbered_pages(pages, starts), mode=mode, page_cap=cap)) == rows_of(R.speech_chunks(sentences, mode=mode, page_cap=cap, starts=starts))
+
+
+def test_places_need_no_texts(spark):
+    pages = _pages_of_sentences(spark)
+    places = R.speech_places(L.numbered_pages(pages.withColumn("sentences", R.spoken_lengths(F.col("sentences")))))
+    assert rows_of(places) == rows_of(R.speech_chunks(L.numbered(pages)).select("doc_id", "page", "chunk_ix", F.length("text").cast("long").alias("length"), "spans"))
+
+
+@pytest.mark.parametrize("name", ["locate_span"])
+def test_places_and_firsts_move_numbers(spark, name):
+    """What is joined by chunk or page was reduced to numbers before, and documents are numbered once."""
+    plan = plan_of(QUERIES[name](spark, "/root/testdata/sf0.001"))
+    assert "documents.parquet" not in plan and "Window [lag(" not in plan
