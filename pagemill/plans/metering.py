@@ -470,8 +470,8 @@ def speech_chunks(spark, d):
 @query(f"""WITH {SE}, sp AS (SELECT doc_id, page, id, text, length(text) AS n, source_start FROM (SELECT doc_id, page, id, substr(text, o + 1) AS text, o AS source_start FROM (SELECT *, CASE WHEN id = 3 THEN least(length(text), 7) ELSE 0 END AS o FROM se WHERE id >= 3 AND page <= 30)) WHERE trim(text) <> ''), {PAIRS} {CHUNKS}""")
 def speech_chunks_from(spark, d):
     """Reading begins within the fourth sentence, and a plan ends after page 30."""
-    starts = books(spark, d).select("doc_id").distinct().select("doc_id", F.lit(3).alias("start_id"), F.lit(7).alias("offset"))
-    return _spans(R.speech_chunks(_sentences(spark, d), page_cap=30, starts=starts))
+    starts = read_table(spark, d, "documents").select(F.col("source").alias("doc_id")).distinct().select("doc_id", F.lit(3).alias("start_id"), F.lit(7).alias("offset"))
+    return _spans(R.page_speech(_numbered(spark, d, beside=starts, upto=30), page_cap=30))
 
 
 @query(f"WITH {SE} SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY id) - 1 AS INTEGER) AS chunk_ix, text, id || ':0-' || length(text) || '@0' AS spans FROM se WHERE trim(text) <> ''")

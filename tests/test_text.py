@@ -207,6 +207,13 @@ def test_places_need_no_texts(spark):
     assert rows_of(places) == rows_of(R.speech_chunks(L.numbered(pages)).select("doc_id", "page", "chunk_ix", F.length("text").cast("long").alias("length"), "spans"))
 
 
+@pytest.mark.parametrize("name", ["speech_chunks_from"])
+def test_chunks_move_texts_once(spark, name):
+    """Texts cross the shuffle of their stretch alone: no window has the key (doc_id, page)."""
+    plan = plan_of(QUERIES[name](spark, "/root/testdata/sf0.001"))
+    assert not re.search(r"hashpartitioning\(doc_id#\d+, page", plan) and "Window [lag(" not in plan
+
+
 @pytest.mark.parametrize("name", ["locate_span"])
 def test_places_and_firsts_move_numbers(spark, name):
     """What is joined by chunk or page was reduced to numbers before, and documents are numbered once."""
