@@ -464,7 +464,7 @@ def _spans(chunks):
 
 @query(f"WITH {SE}, sp AS (SELECT *, length(text) AS n, 0 AS source_start FROM se WHERE trim(text) <> ''), {PAIRS} {CHUNKS}")
 def speech_chunks(spark, d):
-    return _spans(R.speech_chunks(_sentences(spark, d)))
+    return _spans(R.page_speech(_numbered(spark, d)))
 
 
 @query(f"""WITH {SE}, sp AS (SELECT doc_id, page, id, text, length(text) AS n, source_start FROM (SELECT doc_id, page, id, substr(text, o + 1) AS text, o AS source_start FROM (SELECT *, CASE WHEN id = 3 THEN least(length(text), 7) ELSE 0 END AS o FROM se WHERE id >= 3 AND page <= 30)) WHERE trim(text) <> ''), {PAIRS} {CHUNKS}""")
@@ -476,7 +476,7 @@ def speech_chunks_from(spark, d):
 
 @query(f"WITH {SE} SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY id) - 1 AS INTEGER) AS chunk_ix, text, id || ':0-' || length(text) || '@0' AS spans FROM se WHERE trim(text) <> ''")
 def speech_chunks_natural(spark, d):
-    return _spans(R.speech_chunks(_sentences(spark, d), mode="natural"))
+    return _spans(R.page_speech(_numbered(spark, d), mode="natural"))
 
 
 @query(f"""WITH {SE}, sp AS (SELECT *, length(text) AS n, 0 AS source_start FROM se WHERE trim(text) <> ''), {PAIRS},

@@ -207,7 +207,7 @@ def test_places_need_no_texts(spark):
     assert rows_of(places) == rows_of(R.speech_chunks(L.numbered(pages)).select("doc_id", "page", "chunk_ix", F.length("text").cast("long").alias("length"), "spans"))
 
 
-@pytest.mark.parametrize("name", ["speech_chunks_from"])
+@pytest.mark.parametrize("name", ["speech_chunks", "speech_chunks_from", "speech_chunks_natural"])
 def test_chunks_move_texts_once(spark, name):
     """Texts cross the shuffle of their stretch alone: no window has the key (doc_id, page)."""
     plan = plan_of(QUERIES[name](spark, "/root/testdata/sf0.001"))
