@@ -440,7 +440,9 @@ def context_text(spark, d):
 
 @query(f"WITH {SE}, r AS (SELECT doc_id, page * 2 AS page FROM bp) SELECT r.doc_id, r.page, coalesce(min(id), -1) AS id FROM r LEFT JOIN se USING (doc_id, page) GROUP BY r.doc_id, r.page")
 def first_of_page(spark, d):
-    return R.first_of_page(books(spark, d).select("doc_id", (F.col("page") * 2).alias("page")), _sentences(spark, d))
+    pages = _stored(spark, books(spark, d))  # numbered once, as they are asked for as well
+    firsts = _numbered(spark, d, lambda x: F.transform(x, F.length), stored=pages).where(F.size("sentences") > 0).select("doc_id", "page", F.col("first").alias("id"))
+    return R.first_of_page(pages.select("doc_id", (F.col("page") * 2).alias("page")), firsts)
 
 
 @query(f"""WITH {SE}, w AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY id) - 1 AS k, count(*) OVER (PARTITION BY doc_id, page) AS n FROM se)

@@ -214,7 +214,7 @@ def test_chunks_move_texts_once(spark, name):
     assert not re.search(r"hashpartitioning\(doc_id#\d+, page", plan) and "Window [lag(" not in plan
 
 
-@pytest.mark.parametrize("name", ["locate_span"])
+@pytest.mark.parametrize("name", ["locate_span", "first_of_page"])
 def test_places_and_firsts_move_numbers(spark, name):
     """What is joined by chunk or page was reduced to numbers before, and documents are numbered once."""
     plan = plan_of(QUERIES[name](spark, "/root/testdata/sf0.001"))
