@@ -47,9 +47,13 @@ TOKENS, STRETCH, FAN, TEXTS = 4096, 1024, 32, 1024
 SALTS = [np.uint64(0x9E3779B97F4A7C15 * k & 0xFFFFFFFFFFFFFFFF) for k in (1, 2, 3)]
 
 
+#: Hashes of any two bytes in a row.
+_PAIR = (A.mix(np.arange(1 << 16, dtype=np.uint64)) % np.uint64(PAIRS)).astype(np.int64)
+
+
 def _pairs(before: np.ndarray, byte: np.ndarray) -> np.ndarray:
     """Hashes of two bytes in a row."""
-    return (A.mix(before.astype(np.uint64) * np.uint64(256) + byte) % np.uint64(PAIRS)).astype(np.int64)
+    return _PAIR.take(before.astype(np.uint16) << 8 | byte)
 
 
 def spelled(sums: np.ndarray, column: pa.Array) -> None:
@@ -131,10 +135,8 @@ class Tokens:
         n = len(self.row)
         word = np.ones(n, dtype=bool)
         word[begin + size - 1] = False
-        self.kind, self.member, full, leaning = np.full(n, END), np.zeros(n, np.int64), np.full(n, BEGIN), np.zeros((n + 1, BITS), np.int64)
+        self.kind, self.member, full = np.full(n, END), np.zeros(n, np.int64), np.full(n, BEGIN)
         self.kind[word], self.member[word], full[word] = words.kind[words.word], members.of(words.hash)[words.word], words.hash[words.word]
-        leaning[1:][word] = words.leaning[words.word]
-        np.cumsum(leaning, axis=0, out=leaning)
         at = np.arange(n)
         place = at - begin[self.row]
 
@@ -143,7 +145,11 @@ class Tokens:
 
         self.one, self.two = back(full, 1, BEGIN), back(full, 2, BEGIN)
         self.classes = back(self.kind, 1, END) * (CLASSES + 1) + back(self.kind, 2, END)
-        self.leaning = np.where(place > 0, bits_of(leaning[at] - leaning[np.maximum(at - BEFORE, begin[self.row])]), END)
+        upto, since, bits = at - self.row, np.maximum(at - BEFORE, begin[self.row]) - self.row, np.zeros(n, np.int64)  # words before a place: ends are none
+        for k in range(BITS):
+            sums = np.append(0, np.cumsum(words.leaning[:, k].take(words.word)))
+            bits |= (sums.take(upto) > sums.take(since)).astype(np.int64) << k
+        self.leaning = np.where(place > 0, bits, END)
 
     def where(self, chosen: np.ndarray) -> Tokens:
         """Those chosen."""
@@ -187,9 +193,10 @@ class Model:
     @staticmethod
     def scores(weights: np.ndarray, rows: list[np.ndarray], part: slice) -> np.ndarray:
         """Sums of the weights of each token, without their maximum."""
-        out = weights[rows[0][part]]
+        out = weights.take(rows[0][part], axis=0, mode="clip")  # all are within; clipping saves a copy that checks ask for
+        more = np.empty_like(out)
         for r in rows[1:]:
-            out += weights[r[part]]
+            out += weights.take(r[part], axis=0, out=more, mode="clip")
         out -= out.max(axis=1, keepdims=True)
         return out
 
@@ -207,22 +214,27 @@ class Model:
         return out
 
     def count(self, sums: list[np.ndarray], t: Tokens) -> None:
-        """Adds observed and expected counts of each weight: of classes, then of members."""
+        """Adds observed and expected counts of each weight: of classes, then of members.
+
+        Expected shares are added two columns at a time, as the parts of complex numbers, so half as many places are looked up and nothing is sorted.
+        """
         for (weights, rows, own), seen, expected in zip(self.parts(t)[0], sums[::2], sums[1::2], strict=True):
             width = weights.shape[1]
             for r in rows:
                 cells = np.bincount(r * width + own)
                 seen.reshape(-1)[: len(cells)] += cells
+            total = np.zeros((len(weights), (width + 1) // 2), dtype=np.complex128)
+            places, flat = np.arange(total.size).reshape(total.shape), total.reshape(-1)
+            shares = np.zeros((min(TOKENS, len(own)), 2 * total.shape[1]))
             for at in range(0, len(own), TOKENS):
                 part = slice(at, at + TOKENS)
                 p = self.scores(weights, rows, part)
                 np.exp(p, out=p)
-                p /= p.sum(axis=1, keepdims=True)
+                np.divide(p, p.sum(axis=1, keepdims=True), out=shares[: len(p), :width])
+                two = shares[: len(p)].view(np.complex128).ravel()
                 for r in rows:
-                    order = np.argsort(r[part], kind="stable")
-                    sorted_ = r[part][order]
-                    edge = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
-                    expected[sorted_[edge]] += np.add.reduceat(p[order], edge)
+                    np.add.at(flat, places.take(r[part], axis=0, mode="clip").ravel(), two)
+            expected += total.view(np.float64)[:, :width]
 
     def step(self, sums: list[np.ndarray]) -> None:
         """Weights rise where more was seen than expected."""

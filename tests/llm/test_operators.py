@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -392,3 +393,31 @@ def test_empty_tables(spark):
     assert filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     assert top_k(spark.createDataFrame([], "vec_id long, embedding array<double>"), queries=F.lit(True)).count() == 0
+
+
+def test_expected_counts_take_little_more_than_scores():
+    """Adding expected counts takes no sorting, so a step of training is not many times what scoring takes; sums are those by row."""
+    rng = np.random.default_rng(1)
+    n, rows = 60_000, 1 << 14
+    t = object.__new__(Tokens)
+    t.row, t.kind, t.member = np.zeros(n, np.int64), rng.integers(0, CLASSES + 1, n), rng.integers(0, MEMBERS, n)
+    t.one, t.two = (rng.zipf(1.3, n).astype(np.uint64) for _ in range(2))
+    t.classes, t.leaning = rng.integers(0, (CLASSES + 1) ** 2, n), rng.integers(0, CLASSES + 1, n)
+    model = Model(rows, np.ones((CLASSES + 1, CLASSES + 1)), np.ones((CLASSES * (CLASSES + 1), MEMBERS)), np.zeros((CLASSES, MEMBERS), bool))
+    model.kinds[:], model.members[:] = rng.normal(size=model.kinds.shape), rng.normal(size=model.members.shape)
+
+    def seconds(work):
+        began = time.process_time()
+        work()
+        return time.process_time() - began
+
+    sums = [np.zeros(w.shape, "<f4") for w in (model.kinds, model.members) for _ in range(2)]
+    model.count(sums, t)
+    for (weights, places, own), seen, expected in zip(model.parts(t)[0], sums[::2], sums[1::2], strict=True):
+        x = sum(weights[r].astype(float) for r in places)
+        p = np.exp(x - x.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        for k in (0, 7, weights.shape[1] - 1):
+            assert np.allclose(expected[:, k], sum(np.bincount(r, weights=p[:, k], minlength=len(weights)) for r in places), rtol=1e-4, atol=1e-4)
+        assert seen.sum() == len(own) * len(places)
+    assert min(seconds(lambda: model.count(sums, t)) for _ in range(4)) < 3 * min(seconds(lambda: model.log10(t)) for _ in range(4))
