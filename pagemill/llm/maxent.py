@@ -38,6 +38,8 @@ END = CLASSES  # the class of a text's end, and of what stands before a text
 BEGIN = np.uint64(0x5851F42D4C957F2D)  # stands before a text
 #: A step is divided by the weights that act together; pseudo-counts hold weights back; those of the start; the weight of members without a word.
 ACTIVE, PRIOR, START, NEVER = 3, 4.0, 20.0, -30.0
+#: Sums of weights within this of 0 have exponentials that float32 holds to full precision, sums of a row's included.
+REACH = 60
 #: Hashed byte pairs, and the words before that make the leaning.
 PAIRS, BEFORE = 256, 8
 #: Bytes of text of a block: a word is asked for once a block, so larger ones ask less.
@@ -188,16 +190,17 @@ class Model:
         """(weights, rows, what came) of the softmax over classes, of all tokens, and over members, of words."""
         kinds, members = self.features(t)
         word = np.flatnonzero(t.kind < CLASSES)
-        return [(self.kinds, kinds, t.kind), (self.members, [r[word] for r in members], t.member[word])], word
+        return [(self.kinds, kinds, t.kind), (self.members, [r.take(word) for r in members], t.member.take(word))], word
 
     @staticmethod
     def scores(weights: np.ndarray, rows: list[np.ndarray], part: slice) -> np.ndarray:
-        """Sums of the weights of each token, without their maximum."""
+        """Sums of the weights of each token, as they are where float32 holds the exponentials of all, else without their maximum."""
         out = weights.take(rows[0][part], axis=0, mode="clip")  # all are within; clipping saves a copy that checks ask for
         more = np.empty_like(out)
         for r in rows[1:]:
             out += weights.take(r[part], axis=0, out=more, mode="clip")
-        out -= out.max(axis=1, keepdims=True)
+        if not -REACH < out.min() <= out.max() < REACH:
+            out -= out.max(axis=1, keepdims=True)
         return out
 
     def log10(self, t: Tokens) -> np.ndarray:

@@ -420,4 +420,9 @@ def test_expected_counts_take_little_more_than_scores():
         for k in (0, 7, weights.shape[1] - 1):
             assert np.allclose(expected[:, k], sum(np.bincount(r, weights=p[:, k], minlength=len(weights)) for r in places), rtol=1e-4, atol=1e-4)
         assert seen.sum() == len(own) * len(places)
+    model.kinds[:100] += 500  # beyond what float32's exponentials hold
+    far, again = model.log10(t), [np.zeros_like(s) for s in sums]
+    model.count(again, t)
+    model.kinds[:100] -= 500
+    assert np.isfinite(far).all() and all(np.allclose(a, b, rtol=1e-2, atol=1e-2) for a, b in zip(again[2:], sums[2:], strict=True)) and np.isfinite(again[1]).all()
     assert min(seconds(lambda: model.count(sums, t)) for _ in range(4)) < 3 * min(seconds(lambda: model.log10(t)) for _ in range(4))
