@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagemill.llm import arrays as A
-from pagemill.llm.session import fresh, saved
+from pagemill.llm.session import fresh, saved, small_batches
 
 WINDOW, GRAM = 10, 5
 #: Bytes of a benchmark that is broadcast; its tables take some four times as much in each worker.
@@ -208,6 +208,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, *, text: str = "te
     documents give an empty table.
     """
     spark = documents.sparkSession
+    small_batches(spark)
     items = benchmark.select(F.col(item_id).alias("id"), F.col(item_text).alias("text")).where("id is not null and text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     columns = [c for c in documents.columns if c not in RESULT]

@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagemill.llm.session import small_batches
+
 LONGEST, RANKS, TRAIN_DOCS = 5, 300, 2000
+#: n-grams of a language that a task holds before it counts them.
+GRAMS = 500_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _letters: np.ndarray | None = None
 
@@ -61,6 +65,7 @@ def profiles(documents: DataFrame, *, text: str = "text", lang: str = "lang", do
     picked by a hash of doc_id. Rows with a null text or language are left out. The result is small: `ranks` numbers for
     each language.
     """
+    small_batches(documents.sparkSession)
     rows = documents.select(F.col(lang).alias("lang"), F.col(text).alias("text"), (F.pmod(F.xxhash64(doc_id), F.lit(1 << 30)) / (1 << 30)).alias("at")).where("lang is not null and text is not null")
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
     sample = rows.join(F.broadcast(sizes), "lang").where(F.col("at") * F.col("n") < train_docs).select("lang", "text")
@@ -71,7 +76,7 @@ def profiles(documents: DataFrame, *, text: str = "text", lang: str = "lang", do
             for name, one in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 own = gathered.setdefault(name, [])
                 own.append(grams(one))
-                if sum(map(len, own)) > 2_000_000:
+                if sum(map(len, own)) > GRAMS:
                     yield emitted(name, gathered.pop(name))
         for name, own in gathered.items():
             yield emitted(name, own)
@@ -94,6 +99,7 @@ def identify(documents: DataFrame, known: dict[str, np.ndarray], *, text: str =
     that sum as a share of the largest possible. lang_pred is `und`, with score 0, where the text is null or has no letter,
     or no language is known. Repeated rows are each judged; an empty table gives an empty one.
     """
+    small_batches(documents.sparkSession)
     names = list(known)
     columns = [c for c in documents.columns if c not in ("lang_pred", "score")]
     codes = np.concatenate([known[n] for n in names]) if names else np.zeros(0, np.uint64)

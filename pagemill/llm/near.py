@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from pagemill.llm import arrays as A
 from pagemill.llm.graph import components
-from pagemill.llm.session import fresh, partitions, saved, swept
+from pagemill.llm.session import fresh, partitions, saved, small_batches, swept
 
 WORDS, THRESHOLD, RECALL, TREES, DEPTH = 5, 0.8, 0.9999, 24, 8
 #: Documents and bytes of text of a block of exact comparisons.
@@ -45,7 +45,7 @@ def shingles(column: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarr
     data, offsets = A.utf8(column)
     data = A.LOWER[data]
     starts, ends, first = A.tokens(data, offsets, A.WORD)
-    roll = A.Rolling(A.Rolling(data).ranges(starts, ends))
+    roll = A.Rolling(A.hashes(data, starts, ends))
     n = np.diff(first)
     count = np.where(n > 0, np.maximum(n - words + 1, 1), 0)
     begin = A.spread(first[:-1], count)
@@ -204,6 +204,7 @@ def ngram_jaccard_join(documents: DataFrame, *, text: str = "text", doc_id: str
     Texts that are null or have no words have no links. Rows with a null doc_id have no links and a null class. Rows that
     repeat a doc_id are taken for one document that holds each of these sets. An empty table gives an empty one.
     """
+    small_batches(documents.sparkSession)
     columns = [c for c in documents.columns if c not in ("class_id", "copy_of", "n_links", text)]
     own = fresh(["doc_id", "h", "digest", "signature", "text", "bytes"], *(f"own_{c}" for c in columns))
     shortest = depth_for(threshold, recall, trees, depth)

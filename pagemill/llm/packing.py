@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.llm.bpe import ByteBpe
-from pagemill.llm.session import saved
+from pagemill.llm.session import saved, small_batches
 
 LENGTH, END = 2048, 1
 #: Documents of a stretch of a queue, rounds of a stretch of the stream, and stretches that are summed together.
@@ -89,6 +89,7 @@ def pack(documents: DataFrame, *, tokenizer: str, text: str = "text", source: st
     queue of its own. Null and repeated doc_ids are packed like any others; other columns are left out. An empty table gives
     an empty result.
     """
+    small_batches(documents.sparkSession)
     bpe = ByteBpe(tokenizer)
     rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
 
