@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from pagemill.llm import arrays as A
 from pagemill.llm import exchange as X
-from pagemill.llm.session import fresh, saved, swept
+from pagemill.llm.session import fresh, saved, small_batches, swept
 
 #: Directions of spelling, whose signs make a class; members of a class that are one word, and that are shared; rounds of training.
 BITS, OWN, SHARED, ROUNDS = 5, 24, 8, 4
@@ -101,7 +101,7 @@ class Words:
         data, offsets = A.utf8(column)
         data = A.LOWER[data]
         start, end, self.first = A.tokens(data, offsets, A.NONSPACE)
-        self.hash, seen, self.word = np.unique(A.Rolling(data).ranges(start, end), return_index=True, return_inverse=True)
+        self.hash, seen, self.word = np.unique(A.hashes(data, start, end), return_index=True, return_inverse=True)
         if along is not None:
             start, size = start[seen], end[seen] - start[seen] + 1  # with the white space behind
             place, edge = A.spread(start, size), np.cumsum(size) - size
@@ -128,25 +128,28 @@ class Members:
 
 
 class Tokens:
-    """Each token and each text's end: its row, class, member (0 for the end), hashes of the two words before, their classes, and the leaning before it."""
+    """Each token and each text's end: its row, class, member (0 for the end), the leaning before it and, if asked for, hashes of the two words before and their classes."""
 
-    def __init__(self, words: Words, members: Members):
+    def __init__(self, words: Words, members: Members, history: bool = True):
         size = np.diff(words.first) + 1
         begin = np.cumsum(size) - size
         self.row = np.repeat(np.arange(len(size)), size)
         n = len(self.row)
         word = np.ones(n, dtype=bool)
         word[begin + size - 1] = False
-        self.kind, self.member, full = np.full(n, END), np.zeros(n, np.int64), np.full(n, BEGIN)
-        self.kind[word], self.member[word], full[word] = words.kind[words.word], members.of(words.hash)[words.word], words.hash[words.word]
+        self.kind, self.member = np.full(n, END), np.zeros(n, np.int64)
+        self.kind[word], self.member[word] = words.kind[words.word], members.of(words.hash)[words.word]
         at = np.arange(n)
         place = at - begin[self.row]
 
         def back(values, steps, nothing):
             return np.where(place >= steps, values[np.maximum(at - steps, 0)], nothing)
 
-        self.one, self.two = back(full, 1, BEGIN), back(full, 2, BEGIN)
-        self.classes = back(self.kind, 1, END) * (CLASSES + 1) + back(self.kind, 2, END)
+        if history:
+            full = np.full(n, BEGIN)
+            full[word] = words.hash[words.word]
+            self.one, self.two = back(full, 1, BEGIN), back(full, 2, BEGIN)
+            self.classes = back(self.kind, 1, END) * (CLASSES + 1) + back(self.kind, 2, END)
         upto, since, bits = at - self.row, np.maximum(at - BEFORE, begin[self.row]) - self.row, np.zeros(n, np.int64)  # words before a place: ends are none
         for k in range(BITS):
             sums = np.append(0, np.cumsum(words.leaning[:, k].take(words.word)))
@@ -212,7 +215,7 @@ class Model:
                 part = slice(at, at + TOKENS)
                 x = self.scores(weights, rows, part)
                 found = x[np.arange(len(x)), own[part]].astype(np.float64)
-                found -= np.log(np.exp(x, out=x).sum(axis=1, dtype=np.float64))
+                found -= np.log(np.exp(x, out=x).astype(np.float64) @ np.ones(x.shape[1]))
                 out[where[part]] += found / np.log(10)
         return out
 
@@ -233,7 +236,8 @@ class Model:
                 part = slice(at, at + TOKENS)
                 p = self.scores(weights, rows, part)
                 np.exp(p, out=p)
-                np.divide(p, p.sum(axis=1, keepdims=True), out=shares[: len(p), :width])
+                p *= (1 / (p @ np.ones(width, np.float32)))[:, None]
+                shares[: len(p), :width] = p
                 two = shares[: len(p)].view(np.complex128).ravel()
                 for r in rows:
                     np.add.at(flat, places.take(r[part], axis=0, mode="clip").ravel(), two)
@@ -297,6 +301,7 @@ def _summed(packed: DataFrame, shapes: list[tuple[int, int]], work: Callable, ki
 def fitted(documents: DataFrame, *, train: Column, text: str = "text", rounds: int = ROUNDS, block_bytes: int = BLOCK_BYTES) -> tuple[Model, dict, DataFrame]:
     """The model, what it knows of words (directions, members of their own, counts and distinct words of each member), and lm_scores' rows."""
     spark = documents.sparkSession
+    small_batches(spark)
     made = {"n_tokens": "long", "n_known": "long", "train_tokens": "long", "base_score": "double", "score": "double"}
     columns = [c for c in documents.columns if c not in made and c != text]
     (fold,) = fresh([*columns, text, "batch_id", "block"], "fold")
@@ -312,31 +317,52 @@ def fitted(documents: DataFrame, *, train: Column, text: str = "text", rounds: i
         learned = np.bincount(words.word, minlength=len(words.hash)) * (table.column(fold)[0].as_py() >= 0)
         yield from X.rows_of(["batch_id", "n", "key", "kind"], [np.full(len(words.hash), batch_id), learned.astype(np.int64), words.hash.view(np.int64), words.kind.astype(np.int8)])
 
-    asked = X.over_blocks(plain, ask, "batch_id long, n long, key long, kind byte")
-    totals = saved(asked.where("n > 0").groupBy("key").agg(F.sum("n").alias("value"), F.max("kind").alias("kind")))
+    # one shuffle tells blocks the counts of their words, and one of a word's blocks, which is the word's own, that it counts the word
+    same, asked = Window.partitionBy("key"), X.over_blocks(plain, ask, "batch_id long, n long, key long, kind byte")
+    asked = asked.select("batch_id", "key", "kind", F.sum("n").over(same).alias("n"), (F.col("batch_id") == F.min("batch_id").over(same)).alias("own"))
+    value = F.col("n") * (2 * CLASSES) + F.col("kind") * 2 + F.col("own").cast("int")
+    counts = saved(X.gathered(asked.where("n > 0").select("batch_id", "key", value.alias("value")), "counts", "<i8"))
     swept(spark)
-    counts = saved(X.gathered(asked.select("batch_id", "key").join(totals.select("key", "value"), "key"), "counts", "<i8"))
-    swept(spark)
-    ranked = totals.where("value > 1").withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("value"), "key")))
+
+    def words_of(batches):
+        """Hashes, counts and classes of the words of a task's blocks, each word in one block of all."""
+        for batch in batches:
+            for payload in batch.column("counts"):
+                key, value = X.answers_of(payload.as_py(), "<i8")
+                own = np.flatnonzero(value & 1)
+                yield key[own].view(np.int64), value[own] // (2 * CLASSES), value[own] // 2 % CLASSES
+
+    def frequent(batches):
+        """A task's most frequent words of each class."""
+        best = [np.zeros(0, np.int64)] * 3
+        for found in words_of(batches):
+            best = [np.concatenate([x, y[found[1] > 1]]) for x, y in zip(best, found, strict=True)]
+            order = np.lexsort((best[0], -best[1], best[2]))
+            kind = best[2][order]
+            order = order[np.arange(len(order)) - np.searchsorted(kind, kind) < OWN]
+            best = [x[order] for x in best]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, best)], ["key", "value", "kind"])
+
+    ranked = counts.select("counts").mapInArrow(frequent, "key long, value long, kind long").withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("value"), "key")))
     top = ranked.where(F.col("place") <= OWN).select("key", "place").collect()  # CLASSES * OWN at most
     members = Members(np.array([r.key for r in top], dtype=np.int64).view(np.uint64), np.array([r.place - 1 for r in top], dtype=np.int64))
 
     def by_member(batches):
         """Counts and words of each member in a task."""
         sums = np.zeros((2, CLASSES * MEMBERS), dtype=np.int64)
-        for batch in batches:
-            own = batch.column("kind").to_numpy().astype(np.int64) * MEMBERS + members.of(batch.column("key").to_numpy().view(np.uint64))
-            np.add.at(sums[0], own, batch.column("value").to_numpy())
+        for key, n, kind in words_of(batches):
+            own = kind * MEMBERS + members.of(key.view(np.uint64))
+            np.add.at(sums[0], own, n)
             sums[1] += np.bincount(own, minlength=sums.shape[1])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(sums.shape[1], dtype=np.int32)), *map(pa.array, sums)], ["member", "n", "v"])
 
     number, types = np.zeros((CLASSES, MEMBERS), dtype=np.int64), np.zeros((CLASSES, MEMBERS), dtype=np.int64)
-    for r in totals.mapInArrow(by_member, "member int, n long, v long").groupBy("member").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():  # CLASSES * MEMBERS
+    for r in counts.select("counts").mapInArrow(by_member, "member int, n long, v long").groupBy("member").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():  # CLASSES * MEMBERS
         number[divmod(r.member, MEMBERS)], types[divmod(r.member, MEMBERS)] = r.n, r.v
     empty = (types == 0) & (np.arange(MEMBERS) < OWN)
 
     def start(sums, table):
-        t = Tokens(Words(table.column(text), along), members)
+        t = Tokens(Words(table.column(text), along), members, history=False)
         sums[0] += np.bincount(t.leaning * (CLASSES + 1) + t.kind, minlength=sums[0].size).reshape(sums[0].shape)
         t = t.where(t.kind < CLASSES)
         sums[1] += np.bincount((t.kind * (CLASSES + 1) + t.leaning) * MEMBERS + t.member, minlength=sums[1].size).reshape(sums[1].shape)
@@ -356,7 +382,7 @@ def fitted(documents: DataFrame, *, train: Column, text: str = "text", rounds: i
 
     def score(batch_id, table, counts):
         words = Words(table.column(text), along)
-        seen = X.told(counts, words.hash, "<i8")
+        seen = X.told(counts, words.hash, "<i8") // (2 * CLASSES)
         t, n, of = Tokens(words, members), len(words.first) - 1, A.row_of(words.first)
         share = np.log10((seen + 0.5) / of_member[words.kind * MEMBERS + members.of(words.hash)])
         base = np.log10((seen + 0.5) / base_total)
