@@ -182,7 +182,7 @@ def split_sentences(text: Column | str) -> Column:
 
 #: Bytes of text that words are looked for in at once, whole texts at least.
 WORDS_AT_ONCE = 4 << 20
-_BLANK_SIGNS = np.array(sorted({*range(0x09, 0x0E), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF}), np.uint32)
+BLANK_SIGNS = np.array(sorted({*range(0x09, 0x0E), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF}), np.uint32)
 
 
 def _words_of(texts: list[str | None]) -> pa.ListArray:
@@ -190,7 +190,7 @@ def _words_of(texts: list[str | None]) -> pa.ListArray:
     signs = np.frombuffer("\n".join(["", *(t or "" for t in texts), ""]).encode("utf-32-le"), np.uint32)
     lengths = np.array([len(t or "") for t in texts], np.int64)
     first = np.cumsum(lengths + 1) - lengths  # a break stands before each text and behind the last one
-    blank = (signs >= 0x80) & np.isin(signs, _BLANK_SIGNS[_BLANK_SIGNS >= 0x80]) if signs.max() >= 0x80 else np.zeros(len(signs), bool)
+    blank = (signs >= 0x80) & np.isin(signs, BLANK_SIGNS[BLANK_SIGNS >= 0x80]) if signs.max() >= 0x80 else np.zeros(len(signs), bool)
     blank |= (signs == 0x20) | ((signs >= 0x09) & (signs <= 0x0D))
     turns = np.flatnonzero(blank[1:] != blank[:-1]) + 1
     starts, ends = turns[::2], turns[1::2]
@@ -206,23 +206,43 @@ def _words_of(texts: list[str | None]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pairs, mask=nulls)
 
 
+def _words_by_bytes(texts: pa.Array) -> pa.Array:
+    """_words_of all texts, in slices by bytes, so that long texts take no more memory than they need."""
+    upto = np.cumsum(np.append(0, pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)))
+    out, at = [], 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(upto, upto[at] + WORDS_AT_ONCE, "right")) - 1)
+        out.append(_words_of(texts.slice(at, end - at).to_pylist()))
+        at = end
+    return pa.concat_arrays(out) if out else _words_of([])
+
+
 def words_with_offsets(text: Column | str) -> Column:
     """(word, offset) of the runs without white space."""
 
     @F.arrow_udf("array<struct<word:string,offset:int>>")
     def found(texts: pa.Array) -> pa.Array:
-        # slices by bytes, so that long texts take no more memory than they need
-        upto = np.cumsum(np.append(0, pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)))
-        out, at = [], 0
-        while at < len(texts):
-            end = max(at + 1, int(np.searchsorted(upto, upto[at] + WORDS_AT_ONCE, "right")) - 1)
-            out.append(_words_of(texts.slice(at, end - at).to_pylist()))
-            at = end
-        return pa.concat_arrays(out) if out else _words_of([])
+        return _words_by_bytes(texts)
 
     return found(col(text))
 
 
+def words_of_lines(lines: Column | str) -> Column:
+    """(line, place, word, offset): words_with_offsets of the lines of a list, as one list; lines, and words of a line, are counted from 0."""
+
+    @F.arrow_udf("array<struct<line:int,place:int,word:string,offset:int>>")
+    def found(lines: pa.Array) -> pa.Array:
+        words = _words_by_bytes(lines.flatten())
+        first, edges = words.offsets.to_numpy(), lines.offsets.to_numpy() - lines.offsets[0].as_py()
+        sizes = np.diff(first)
+        line = np.arange(len(sizes)) - np.repeat(edges[:-1], np.diff(edges))
+        pairs, place = words.flatten(), np.arange(first[-1]) - np.repeat(first[:-1], sizes)
+        rows = pa.StructArray.from_arrays([pa.array(np.repeat(line, sizes).astype(np.int32)), pa.array(place.astype(np.int32)), *pairs.flatten()], ["line", "place", "word", "offset"])
+        return pa.ListArray.from_arrays(pa.array(first[edges], pa.int32()), rows, mask=lines.is_null())
+
+    return found(col(lines))
+
+
 def tidy_ocr(text: Column | str, lang: str) -> Column:
     """Recognised text: tatweel away, letters of Persian unified, stray line numbers away, split words joined, large gaps closed."""
     out = F.regexp_replace(F.regexp_replace(col(text), "ـ", ""), "\r", "")

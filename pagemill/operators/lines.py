@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as X
-from pagemill.sources.tables import scratch
+from pagemill.sources.tables import scratch, small_batches
 
 PAGE = ["doc_id", "page"]
 
@@ -291,74 +294,134 @@ def paginate(documents: DataFrame, max_chars: int = 1800) -> DataFrame:
 #: Letters of scripts from right to left, of scripts without blanks, and signs that take no blank before or after them; fixed values.
 RTL = r"\u0600-\u06FF\u0750-\u077F\u08A0-\u08FF\uFB50-\uFDFF\uFE70-\uFEFF"
 CJK = r"\u3040-\u30FF\u3400-\u9FFF\uAC00-\uD7AF"
-NO_BLANK_BEFORE, NO_BLANK_AFTER = "[,.;:!?،؛؟)\\]}”’\"»٪%]", "[(\\[{“‘\"«]"
+NO_BLANK_BEFORE, NO_BLANK_AFTER = ",.;:!?،؛؟)]}”’\"»٪%", "([{“‘\"«"
+#: What a tolerance is, at least and at most.
+LEAST, MOST = 1.5, 4.0
+
 
+def _line_numbers(y: list[float], sizes: list[int], tolerance: float) -> list[int]:
+    """The line of items at each height, heights being ordered from the top, with how many items each has: the first one whose mean height is within the tolerance, or a new one.
 
-def _line_numbers(y: list[float], tolerance: float) -> list[int]:
-    """The line of each item, items being ordered from the top: the first one whose mean height is within the tolerance, or a new one."""
-    out, means, sizes, open_ = [], [], [], []
-    for at in y:
+    A line that took an item only comes nearer to those at the same height, and no earlier one does, so these are one step.
+    """
+    out, means, counts, open_ = [], [], [], []
+    for at, size in zip(y, sizes, strict=True):
         open_ = [k for k in open_ if means[k] - at <= tolerance]  # what is higher meets no later item
         k = next((k for k in open_ if abs(means[k] - at) <= tolerance), None)
         if k is None:
-            k = len(means)
+            k, size = len(means), size - 1
             means.append(at)
-            sizes.append(1)
+            counts.append(1)
             open_.append(k)
-        else:
-            sizes[k] += 1
-            means[k] = (means[k] * (sizes[k] - 1) + at) / sizes[k]
+        n, mean = counts[k], means[k]
+        for n in range(n + 1, n + size + 1):
+            mean = (mean * (n - 1) + at) / n
+        counts[k], means[k] = n, mean
         out.append(k)
     order = sorted(range(len(means)), key=lambda k: -means[k])
     place = {k: i for i, k in enumerate(order)}
     return [place[k] for k in out]
 
 
+def _walked(down: pa.Array, tolerance: pa.Array) -> pa.Array:
+    """The line of each item of a page, and, line by line, how many items are in those above it and in itself."""
+    edges = down.offsets.to_numpy() - down.offsets[0].as_py()
+    y = -down.flatten().to_numpy(zero_copy_only=False)
+    new = np.append(True, y[1:] != y[:-1])[: len(y)]
+    new[edges[:-1][edges[:-1] < len(y)]] = True
+    runs = np.flatnonzero(new)
+    sizes, at = np.diff(np.append(runs, len(y))), np.searchsorted(runs, edges)
+    numbers = [_line_numbers(y[runs[a:b]].tolist(), sizes[a:b].tolist(), t) for a, b, t in zip(at[:-1], at[1:], tolerance.to_pylist(), strict=True)]
+    lines = np.repeat(np.array([k for own in numbers for k in own], np.int32), sizes)
+    own = [np.bincount(lines[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    upto = np.cumsum([0, *map(len, own)]).astype(np.int32)
+    listed = lambda edges, values: pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(values, pa.int32()))
+    joined = lambda arrays: np.concatenate([np.empty(0, np.int32), *arrays]).astype(np.int32)
+    return pa.StructArray.from_arrays([listed(edges, lines), listed(upto, joined(np.cumsum(x) - x for x in own)), listed(upto, joined(own))], ["lines", "first", "size"])
+
+
+def _held(c: Column) -> Column:
+    """A height or width of signs as a tolerance."""
+    return F.greatest(F.lit(LEAST), F.least(F.lit(MOST), F.when(c * 0.35 > 0, c * 0.35).otherwise(2.5)))
+
+
+def _number(c: Column) -> Column:
+    return F.coalesce(F.abs(c.cast("double")), F.lit(0.0))
+
+
+def _shown(x: Callable[[str], Column]) -> Column:
+    """Whether an item has text and a place."""
+    finite = lambda c: F.abs(c.cast("double")) < float("inf")
+    return (F.coalesce(x("str"), F.lit("")) != "") & finite(x("x")) & finite(x("y"))
+
+
+def _gathered(items: DataFrame) -> DataFrame:
+    """doc_id, page, walk, high: the items of pages, from the top, and their heights, from rows of one item in any order."""
+    rows = items.where(_shown(F.col)).select(*PAGE, "idx", "str", "dir", F.col("x").cast("double").alias("x"), (-F.col("y").cast("double")).alias("down"), _number(F.col("width")).alias("width"), _number(F.col("height")).alias("height"))
+    # numbers apart from texts, as they travel in fewer bytes so
+    lists = rows.groupBy(*PAGE).agg(F.collect_list(F.when(F.col("height") > 0, F.col("height"))).alias("high"), F.collect_list(F.struct("down", "x", "idx", "width")).alias("places"), F.collect_list(F.struct("str", "dir")).alias("words"))
+    both = F.zip_with("places", "words", lambda p, w: F.struct(p["down"].alias("down"), p["x"].alias("x"), p["idx"].alias("idx"), w["str"].alias("str"), w["dir"].alias("dir"), p["width"].alias("width")))
+    return lists.select(*PAGE, "high", _made(F.sort_array(both), "walk"))
+
+
+def _listed(pages: DataFrame) -> DataFrame:
+    """What _gathered gives, from pages that hold their items; null is no items."""
+    one = lambda x: F.struct((-x["y"].cast("double")).alias("down"), x["x"].cast("double").alias("x"), x["idx"].alias("idx"), x["str"].alias("str"), x["dir"].alias("dir"), _number(x["width"]).alias("width"), _number(x["height"]).alias("height"))
+    walk = F.sort_array(F.transform(F.filter("items", lambda x: _shown(lambda c: x[c])), one))
+    return pages.select(*PAGE, _made(walk, "walk")).select(*PAGE, "walk", F.filter(F.col("walk")["height"], lambda h: h > 0).alias("high"))
+
+
+def _made(value: Column, name: str) -> Column:
+    """As a generator, so that a list is made once, and neither for each use nor for a condition as well; empty ones are left out."""
+    return F.explode(F.filter(F.array(value), lambda x: F.size(x) > 0)).alias(name)
+
+
 def layout_lines(items: DataFrame) -> DataFrame:
     """doc_id, page, line_no, text, rtl: positioned items (idx, str, dir, x, y, width, height) of a page as lines of text, from the top.
 
-    Items without text or place are left out. The tolerance of a line's height follows the upper median of the page's item
-    heights. Only the walk from the top, which depends on order, is done in Python, a page at a time; direction, order in the line,
+    Items come as rows (doc_id, page and these), in any order, or as one list a page (doc_id, page, items): then no item is moved. Either way all
+    that follows is worked out within a page's row. Items without text or place are left out. The tolerance of a line's height follows the upper median of
+    the page's item heights. Only the walk from the top, which depends on order, is done in Python, a page at a time; direction, order in the line,
     gaps and clean-up are columns. A page without items has no lines, and lines that are blank in the end are left out.
     """
-    number = lambda c: F.coalesce(F.abs(F.col(c).cast("double")), F.lit(0.0))
-    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) != float("inf"))
-    held = lambda c: F.greatest(F.lit(1.5), F.least(F.lit(4.0), F.when(c * 0.35 > 0, c * 0.35).otherwise(2.5)))
-    rows = items.where((F.coalesce("str", F.lit("")) != "") & finite("x") & finite("y")).select(*PAGE, "idx", "str", "dir", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), number("width").alias("width"), number("height").alias("height"))
-    high = F.sort_array(F.collect_list(F.when(F.col("height") > 0, F.col("height"))))
-    walk = F.sort_array(F.collect_list(F.struct((-F.col("y")).alias("down"), "x", "idx", "str", "dir", "width")))
-    pages = rows.groupBy(*PAGE).agg(high.alias("high"), walk.alias("items"))
-    pages = pages.select(*PAGE, "items", held(F.coalesce(F.get("high", F.floor(F.size("high") / 2).cast("int")), F.lit(0.0))).alias("tolerance"))
-
-    @F.pandas_udf("array<int>")
-    def lines_of(down: pd.Series, tolerance: pd.Series) -> pd.Series:
-        return pd.Series([_line_numbers((-own).tolist(), t) for own, t in zip(down, tolerance.tolist(), strict=True)])
-
-    placed = pages.withColumn("lines", lines_of(F.transform("items", lambda x: x["down"]), "tolerance")).select(*PAGE, F.explode(F.arrays_zip("lines", "items")).alias("z")).select(*PAGE, F.col("z.lines").alias("line_no"), "z.items.*")
-    # what an item's own text says is found once an item, and not for each neighbour and use
-    item, foreign = F.col("str"), X.wide("str")
-    placed = placed.withColumns({
-        "unit": F.when(F.col("width") > 0, F.col("width") / F.greatest(F.lit(1), F.length(X.trim("str")))), "shut": item.rlike(f"{X.WS}$|{NO_BLANK_AFTER}$"), "bound": item.rlike(f"^{X.WS}|^{NO_BLANK_BEFORE}"),
-        "ends": foreign & item.rlike(f"[{CJK}]$"), "starts": foreign & item.rlike(f"^[{CJK}]"),
-    })
-    lines = placed.groupBy(*PAGE, "line_no").agg(
-        F.collect_list(F.struct("x", "idx", "str", "width", "unit", "shut", "bound", "ends", "starts")).alias("own"), F.sum(F.when(foreign, X.count_of("str", f"[{RTL}]")).otherwise(0)).alias("letters"),
-        F.sum(F.length(F.regexp_replace("str", X.WS, ""))).alias("signs"), F.count_if((F.col("dir") == "rtl") | (foreign & item.rlike(f"[{RTL}]"))).alias("right"), F.count("*").alias("n"),
-    )
-    rtl = (F.col("letters") > 0) & ((F.col("right") >= F.col("n") / 2) | (F.col("letters") / F.greatest(F.lit(1), "signs") > 0.25))
+    small_batches(items.sparkSession)
+    pages = _listed(items) if "items" in items.columns else _gathered(items)
+    median = F.get(F.sort_array("high"), F.floor(F.size("high") / 2).cast("int"))
+    lines_of = F.arrow_udf(_walked, "struct<lines:array<int>,first:array<int>,size:array<int>>")
+    walked = pages.select(*PAGE, "walk", lines_of(F.col("walk")["down"], _held(F.coalesce(median, F.lit(0.0)))).alias("at"))
+    edges = lambda x: F.concat(F.left(x, F.lit(1)), F.right(x, F.lit(1)))
+    one = lambda x, line: F.struct(line.alias("line"), x["x"].alias("x"), x["idx"].alias("idx"), x["str"].alias("str"), x["width"].alias("width"), x["dir"].alias("dir"))
+    by_line = walked.select(*PAGE, "at.first", "at.size", F.sort_array(F.zip_with("walk", "at.lines", one)).alias("walk"))
+    lines = by_line.select(*PAGE, F.posexplode(F.zip_with("first", "size", lambda a, n: F.slice("walk", a + 1, n))).alias("line_no", "own"))
+    # what no item of a line has is found once a line, and not for each item and neighbour
+    lines = lines.withColumn("whole", F.array_join("own.str", "")).withColumn("foreign", X.wide("whole")).withColumn("spaced", F.col("whole").rlike(f"[{X.WS[1:-1]}\u0085]"))
+    lines = lines.withColumn("letters", F.when(F.col("foreign"), X.count_of("whole", f"[{RTL}]")).otherwise(0))
+    right = F.size(F.filter("own", lambda x: (x["dir"] == "rtl") | (X.wide(x["str"]) & x["str"].rlike(f"[{RTL}]"))))
+    share = F.col("letters") / F.greatest(F.lit(1), F.length(F.regexp_replace("whole", X.WS, "")))
+    rtl = F.when(F.col("letters") > 0, (right >= F.size("own") / 2) | (share > 0.25)).otherwise(False)
+    lines = lines.select(*PAGE, "line_no", "own", "foreign", "spaced", rtl.alias("rtl"))
     turned = lambda items: F.transform(items, lambda x: x.withField("x", -x["x"]))
-    ordered = F.when(F.col("rtl"), turned(F.sort_array(turned("own")))).otherwise(F.sort_array("own"))
+    ordered = F.when(F.col("rtl"), turned(F.sort_array(turned(F.col("own"))))).otherwise(F.col("own"))
+    blanks = "".join(map(chr, X.BLANK_SIGNS.tolist()))
+    signs = lambda x: F.greatest(F.lit(1), F.length(F.when(F.col("spaced"), X.trim(x)).otherwise(x)))
+    unit = lambda x: F.when(x["width"] > 0, x["width"] / signs(x["str"]))
+
+    def wide_gap(a: Column, b: Column) -> Column:
+        """Whether a gap is one of a blank; only gaps within what a tolerance can be are held against it."""
+        gap = F.when(F.col("rtl"), a["x"] - (b["x"] + b["width"])).otherwise(b["x"] - (a["x"] + a["width"]))
+        mean = F.coalesce((unit(a) + unit(b)) / 2, unit(a), unit(b), F.lit(0.0))
+        return F.when(gap > MOST, True).when(gap <= LEAST, False).otherwise(gap > _held(mean))
 
     def blank(a: Column, b: Column) -> Column:
         """Whether a blank goes between an item and the next one."""
-        mean = F.coalesce((a["unit"] + b["unit"]) / 2, a["unit"], b["unit"], F.lit(0.0))
-        gap = F.when(F.col("rtl"), a["x"] - (b["x"] + b["width"])).otherwise(b["x"] - (a["x"] + a["width"]))
-        return ~(a["shut"] | b["bound"] | (a["ends"] & b["starts"])) & (gap > 0) & (gap > held(mean))
+        last, next_ = F.substring(a["str"], -1, 1), F.substring(b["str"], 1, 1)
+        held = F.lit(NO_BLANK_AFTER).contains(last) | F.lit(NO_BLANK_BEFORE).contains(next_) | (F.col("spaced") & (F.lit(blanks).contains(last) | F.lit(blanks).contains(next_)))
+        return ~(held | (F.col("foreign") & last.rlike(f"[{CJK}]") & next_.rlike(f"[{CJK}]"))) & wide_gap(a, b)
 
     def joined(items: Column) -> Column:
         before = F.concat(F.slice(items, 1, 1), F.slice(items, F.lit(1), F.size(items) - 1))  # the first one before itself, which takes no blank
-        return F.array_join(F.zip_with(items, before, lambda x, y: F.concat(F.when(blank(y, x), " ").otherwise(""), x["str"])), "")
+        return F.array_join(F.zip_with(items, before, lambda x, y: F.when(blank(y, x), F.concat(F.lit(" "), x["str"])).otherwise(x["str"])), "")
 
-    lines = lines.withColumn("rtl", rtl).select(*PAGE, "line_no", "rtl", X.once(ordered, joined).alias("text"))
+    lines = lines.select(*PAGE, "line_no", "rtl", X.once(ordered, joined).alias("text"))
     # as a generator, so that a line is made once and not for the condition as well
     return lines.select(*PAGE, "line_no", F.explode(F.filter(F.array(X.clean_rtl_line("text", F.col("rtl"))), lambda x: x != "")).alias("text"), "rtl")

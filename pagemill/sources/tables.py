@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import posixpath
+import re
 import tempfile
 import uuid
 
@@ -95,6 +96,22 @@ def scratch(spark: SparkSession) -> str:
     return posixpath.join(folder, uuid.uuid4().hex)
 
 
+#: Bytes of rows that go to a Python worker at once, one row at least.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session hands rows to Python in batches of about BATCH_BYTES, and not 10,000 rows or 64 MB at once; a smaller limit of its own stays.
+
+    What a worker and the JVM hold beside them follows that: a page's items take many times the bytes that go to Python.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    units = {"b": 0, "k": 10, "m": 20, "g": 30}
+    digits, unit = re.fullmatch(r"(\d+)([bkmg]?)b?", spark.conf.get(key).strip().lower()).groups()
+    if int(digits) << units[unit or "b"] > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def usage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The supplied events as usage: app_user_id, ts, event_id, field, amount."""
     kind = F.col("event_type")

@@ -219,3 +219,56 @@ def test_places_and_firsts_move_numbers(spark, name):
     """What is joined by chunk or page was reduced to numbers before, and documents are numbered once."""
     plan = plan_of(QUERIES[name](spark, "/root/testdata/sf0.001"))
     assert "documents.parquet" not in plan and "Window [lag(" not in plan
+
+
+ITEM = "struct<idx:int,str:string,dir:string,x:double,y:double,width:double,height:double>"
+
+
+def _items_of_pages():
+    rng = random.Random(11)
+    words = ["a", "word", "(", ")", ".", "é", "漢", "字", "سلام", "دنیا", " x", "y　", "z\u0085", "(cid:3)", " ", "", None]
+    place = lambda: rng.choice([None, float("nan"), float("inf"), 0.0, *(rng.randint(0, 900) / 8 for _ in range(20))])
+    one = lambda k: (rng.choice([None, k, k % 5]), rng.choice(words), rng.choice([None, "ltr", "rtl"]), place(), rng.choice([place(), 12.0 * rng.randint(0, 5) + rng.randint(0, 3)]), rng.choice([None, 0.0, 3.0, -7.5, 30.0]), rng.choice([None, 0.0, 5.0, 9.0, 30.0]))
+    return [(d, p, [one(k) for k in range(rng.choice([0, 1, 2, 9, 60]))]) for d in ("a", "b", None) for p in range(40)]
+
+
+def test_lines_of_pages_that_hold_their_items(spark):
+    """Whether items come as rows or as a list a page: the same lines."""
+    pages = _items_of_pages()
+    held = spark.createDataFrame([*pages, ("none", 1, None)], f"doc_id string, page int, items array<{ITEM}>")
+    rows = held.select("doc_id", "page", F.explode("items").alias("z")).select("doc_id", "page", "z.*").repartition(3, "x")
+    got = rows_of(L.layout_lines(held))
+    assert got == rows_of(L.layout_lines(rows)) and len(got) > 400 and any("rtl=True" in r for r in got)
+
+
+def test_layout_lines_moves_no_item(spark):
+    """Documents are dealt out, and from there on each page is worked on where it is."""
+    plan = plan_of(QUERIES["layout_lines"](spark, "/root/testdata/sf0.001"))
+    assert plan.count("Exchange hashpartitioning(") == 1 and "Aggregate" not in plan and "Exchange hashpartitioning(doc_id" in plan
+
+
+def test_line_numbers_by_heights_are_those_by_items():
+    """A step for all items at one height gives what one item after the other gives."""
+    rng = random.Random(2)
+    for _ in range(300):
+        y = sorted((rng.choice([rng.random() * 20, rng.randint(0, 40) / 4]) for _ in range(rng.randint(0, 40)) for _ in range(rng.choice([1, 1, 5]))), reverse=True)
+        tolerance, heights = rng.choice([1.5, 2.0, 4.0]), sorted(set(y), reverse=True)
+        by_height = L._line_numbers(heights, [y.count(h) for h in heights], tolerance)
+        means, sizes, want = [], [], []
+        for at in y:
+            k = next((k for k in range(len(means)) if abs(means[k] - at) <= tolerance), len(means))
+            if k == len(means):
+                means.append(at)
+                sizes.append(1)
+            else:
+                sizes[k] += 1
+                means[k] = (means[k] * (sizes[k] - 1) + at) / sizes[k]
+            want.append(k)
+        place = {k: i for i, k in enumerate(sorted(range(len(means)), key=lambda k: -means[k]))}
+        assert [n for n, h in zip(by_height, heights, strict=True) for _ in range(y.count(h))] == [place[k] for k in want]
+
+
+def test_words_of_lines(spark):
+    lines = [["one  two", "", "é x"], [], None, ["a"], [None, " b"]]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "k int, l array<string>").coalesce(1).select("k", X.words_of_lines("l").alias("w")).orderBy("k").collect()
+    assert [r.w and [tuple(w) for w in r.w] for r in rows] == [[(0, 0, "one", 0), (0, 1, "two", 5), (2, 0, "é", 0), (2, 1, "x", 2)], [], None, [(0, 0, "a", 0)], [(1, 0, "b", 1)]]
