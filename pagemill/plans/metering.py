@@ -15,7 +15,7 @@ from pagemill.operators import versions as V
 from pagemill.operators.ranges import cuts, range_of
 from pagemill.plans.text import BP, NEEDS, SE, TRIM
 from pagemill.sources import tables as S
-from pagemill.sources.tables import books, expire_results, read_table, read_versions, scratch, usage_events
+from pagemill.sources.tables import books, expire_results, read_table, read_versions, scratch, swept, usage_events
 from pagemill.streaming import usage as ST
 
 QUERIES: dict = {}
@@ -358,13 +358,14 @@ def ttl_dedupe_stream(spark, d):
 @query(ORACLE_SQL["merge_ocr_longer"])
 def page_backfill(spark, d):
     """Recognised pages arrive in two batches, by the length of their document's pages."""
-    stored = _stored(spark, books(spark, d))  # numbered once, as batches and progress read them again
+    stored = _stored(spark, books(spark, d), "zstd")  # numbered once, as batches and progress read them again
+    swept(spark)  # the shuffle that numbered them
     new, checkpoint = scratch(spark), scratch(spark)
-    pages = ST.page_table(spark, scratch(spark))
+    pages = ST.page_table(spark, scratch(spark), "zstd")
     pages.append(_have(spark, d, stored).select("doc_id", "page", "text", "source", F.col("confidence").cast("int").alias("confidence")))
-    pending, rows = _low(spark, d, stored).select("doc_id", "page"), _recognised(spark, d, stored)
+    pending, rows = _stored(spark, _low(spark, d, stored).select("doc_id", "page")), _recognised(spark, d, stored)
     for part in ("length(text) < 2000", "length(text) >= 2000"):
-        rows.where(part).write.mode("append").parquet(new)
+        rows.where(part).write.mode("append").option("compression", "zstd").parquet(new)
         merge = ST.page_backfill(spark, pages, pending, lambda progress, n: progress.write.format("noop").mode("overwrite").save())
         stream = spark.readStream.schema(rows.schema).parquet(new)
         stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
@@ -403,10 +404,10 @@ def _numbered(spark, d, kept=lambda x: x, beside=None, upto=None, stored=None):
     return L.numbered_pages(L.page_sentences(cleaned).withColumn("sentences", kept(F.col("sentences"))), beside)
 
 
-def _stored(spark, rows):
+def _stored(spark, rows, codec="snappy"):
     """rows that are read more than once: made once and kept in the shared folder, of which each read takes its own columns."""
     path = scratch(spark)
-    rows.write.parquet(path)
+    rows.write.option("compression", codec).parquet(path)
     return spark.read.parquet(path)
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import posixpath
 import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -112,6 +114,18 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def swept(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffles of steps that are written and done with, instead of waiting for the driver's next full collection.
+
+    Python's and the JVM's garbage goes; a small job before takes the place of the last one, which the driver still holds. The JVM hears of Python's garbage a moment later.
+    """
+    gc.collect()
+    for _ in range(2):
+        time.sleep(1)
+        spark.range(2).repartition(1).count()
+        spark._jvm.System.gc()
+
+
 def usage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The supplied events as usage: app_user_id, ts, event_id, field, amount."""
     kind = F.col("event_type")

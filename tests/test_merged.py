@@ -1,6 +1,7 @@
 """Tables with one row for each key: against a dictionary, versions that are seen whole, and runs whose number follows the logarithm."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -102,3 +103,26 @@ def test_versions_of_any_table(spark):
     found = [sorted(map(tuple, read_versions(frame.repartition(k)).collect()), key=repr) for k in (1, 4)]
     assert found[0] == found[1] and [(r[0], r[2]) for r in found[0]] == [("a", 2), ("b", None), (None, 1)]
     assert read_versions(frame.drop("saved_at")).count() == 5
+
+
+def test_no_row_is_moved(spark, tmp_path):
+    """Winners are found by keys and places of rows; what else a row has stays in its file until it is read."""
+    table = MergedTable(spark, str(tmp_path / "t"), ["k"], ["v"])
+    for notes in ("old", "new", "newest"):
+        table.append(spark.createDataFrame([(f"k{i}", 0, i, notes) for i in range(1000 if notes == "old" else 300)], SCHEMA).coalesce(1))
+    runs = table.state()["runs"]
+    rows = table._merged([*runs, table._saved(spark.createDataFrame([("k1", 0, 9, "last"), ("k2", 0, 0, "lost")], SCHEMA))], table.state()["schema"])
+    assert {r.k: r.note for r in rows.where("v < 4 or k = 'k1'").collect()} == {"k0": "newest", "k1": "last", "k2": "newest", "k3": "newest"} and rows.count() == 1000
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "max_by(" in plan and not re.search(r"(max_by|collect_list)\([^\n]*note", plan)
+
+
+def test_a_batch_is_tidied(spark, tmp_path):
+    """A key that comes twice in a batch, in whatever file, leaves one row, many small files become one, and what was written first is gone."""
+    table = MergedTable(spark, str(tmp_path / "t"), ["k"], ["v"])
+    table.append(spark.range(40_000).select((F.col("id") % 39_000).cast("string").alias("k"), F.lit(0).alias("part"), F.col("id").cast("int").alias("v"), F.lit("n").alias("note")).repartition(3))
+    assert table.read().count() == 39_000 and table.read().where("v < 1000").count() == 0
+    table.append(spark.range(40).selectExpr("concat('x', id) as k", "0 as part", "0 as v", "'n' as note").repartition(40))
+    folders = list((tmp_path / "t" / "data").iterdir())
+    assert sorted(f.name for f in folders) == sorted(r["name"] for r in table.state()["runs"]) and len(folders) == 2
+    assert min(len(list(f.glob("*.parquet"))) for f in folders) == 1 and table.read().count() == 39_040

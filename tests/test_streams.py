@@ -1,6 +1,7 @@
 """Streams against their batch twins: several micro-batches, restarts from the checkpoint, ties, nulls, rows out of order within a batch, late rows and state that goes."""
 
 import datetime as dt
+import os
 import random
 
 import pytest
@@ -189,3 +190,13 @@ def test_backfill_numbers_its_pages_once(spark, monkeypatch):
     calls, books = [], M.books
     monkeypatch.setattr(M, "books", lambda *a: calls.append(a) or books(*a))
     assert M.page_backfill(spark, "/root/testdata/sf0.001").count() > 0 and len(calls) == 1
+
+
+def test_backfill_keeps_few_copies(spark, tmp_path, monkeypatch):
+    """What the query writes of its texts is less than four times its input."""
+    from pagemill.plans import metering as M
+
+    monkeypatch.setattr(M, "scratch", lambda _: str(tmp_path / os.urandom(8).hex()))
+    path = "/root/testdata/sf0.01"
+    assert M.page_backfill(spark, path).count() > 0
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < 4 * os.path.getsize(f"{path}/documents.parquet")
