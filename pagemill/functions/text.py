@@ -262,8 +262,10 @@ def tidy_ocr(text: Column | str, lang: str) -> Column:
 
 
 def clean_rtl_line(line: Column | str, rtl: Column) -> Column:
-    out = F.regexp_replace(nfkc(line), "[Ѧѧ]", "")
-    out = trim(F.regexp_replace(F.regexp_replace(out, r"\(cid:\d+\)", ""), r"[ \t]+", " "))
+    # plain searches come first, as few lines have any of these
+    out = once(nfkc(line), lambda x: F.when(wide(x), F.regexp_replace(x, "[Ѧѧ]", "")).otherwise(x))
+    out = once(out, lambda x: F.when(x.contains("(cid:"), F.regexp_replace(x, r"\(cid:\d+\)", "")).otherwise(x))
+    out = trim(once(out, lambda x: F.when(x.contains("  ") | x.contains("\t"), F.regexp_replace(x, r"[ \t]+", " ")).otherwise(x)))
     right = lambda x: F.regexp_replace(F.translate(x, "ھ", "ه"), rf"([{SCRIPTS}]{{3,}})\1", "$1")
     return once(out, lambda x: F.when(rtl, right(x)).otherwise(x))
 

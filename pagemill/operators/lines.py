@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import numpy as np
@@ -295,6 +296,8 @@ def paginate(documents: DataFrame, max_chars: int = 1800) -> DataFrame:
 RTL = r"\u0600-\u06FF\u0750-\u077F\u08A0-\u08FF\uFB50-\uFDFF\uFE70-\uFEFF"
 CJK = r"\u3040-\u30FF\u3400-\u9FFF\uAC00-\uD7AF"
 NO_BLANK_BEFORE, NO_BLANK_AFTER = ",.;:!?،؛؟)]}”’\"»٪%", "([{“‘\"«"
+#: A blank that such signs, or letters of scripts without blanks on both sides, do not allow.
+BOUND = rf" (?:(?<=[{NO_BLANK_AFTER.replace('[', chr(92) + '[')}] )|(?=[{NO_BLANK_BEFORE.replace(']', chr(92) + ']')}])|(?<=[{CJK}] )(?=[{CJK}]))"
 #: What a tolerance is, at least and at most.
 LEAST, MOST = 1.5, 4.0
 
@@ -394,7 +397,9 @@ def layout_lines(items: DataFrame) -> DataFrame:
     by_line = walked.select(*PAGE, "at.first", "at.size", F.sort_array(F.zip_with("walk", "at.lines", one)).alias("walk"))
     lines = by_line.select(*PAGE, F.posexplode(F.zip_with("first", "size", lambda a, n: F.slice("walk", a + 1, n))).alias("line_no", "own"))
     # what no item of a line has is found once a line, and not for each item and neighbour
-    lines = lines.withColumn("whole", F.array_join("own.str", "")).withColumn("foreign", X.wide("whole")).withColumn("spaced", F.col("whole").rlike(f"[{X.WS[1:-1]}\u0085]"))
+    lines = lines.withColumn("whole", F.array_join("own.str", "")).withColumn("foreign", X.wide("whole"))
+    ascii_ = functools.reduce(Column.__or__, (F.col("whole").contains(sign) for sign in X.ASCII_WS))
+    lines = lines.withColumn("spaced", F.when(F.col("foreign"), F.col("whole").rlike(f"[{X.WS[1:-1]}\u0085]")).otherwise(ascii_))
     lines = lines.withColumn("letters", F.when(F.col("foreign"), X.count_of("whole", f"[{RTL}]")).otherwise(0))
     right = F.size(F.filter("own", lambda x: (x["dir"] == "rtl") | (X.wide(x["str"]) & x["str"].rlike(f"[{RTL}]"))))
     share = F.col("letters") / F.greatest(F.lit(1), F.length(F.regexp_replace("whole", X.WS, "")))
@@ -422,6 +427,11 @@ def layout_lines(items: DataFrame) -> DataFrame:
         before = F.concat(F.slice(items, 1, 1), F.slice(items, F.lit(1), F.size(items) - 1))  # the first one before itself, which takes no blank
         return F.array_join(F.zip_with(items, before, lambda x, y: F.when(blank(y, x), F.concat(F.lit(" "), x["str"])).otherwise(x["str"])), "")
 
-    lines = lines.select(*PAGE, "line_no", "rtl", X.once(ordered, joined).alias("text"))
+    # most lines are of words from left to right that all stand apart: these are joined at once, and blanks next to bound signs taken out again
+    gaps = F.zip_with(F.slice("own.x", F.lit(2), F.size("own")), F.zip_with("own.x", "own.width", lambda x, width: x + width), lambda start, end: start - end)
+    apart = ~F.col("rtl") & ~F.col("spaced") & F.coalesce(F.array_min(gaps) > MOST, F.lit(True))
+    lines = lines.withColumn("spread", F.when(apart, F.array_join("own.str", " ")))
+    unbound = F.when(F.col("spread").rlike(BOUND), F.regexp_replace("spread", BOUND, "")).otherwise(F.col("spread"))
+    lines = lines.select(*PAGE, "line_no", "rtl", F.when(F.col("spread").isNotNull(), unbound).otherwise(X.once(ordered, joined)).alias("text"))
     # as a generator, so that a line is made once and not for the condition as well
     return lines.select(*PAGE, "line_no", F.explode(F.filter(F.array(X.clean_rtl_line("text", F.col("rtl"))), lambda x: x != "")).alias("text"), "rtl")

@@ -272,3 +272,16 @@ def test_words_of_lines(spark):
     lines = [["one  two", "", "é x"], [], None, ["a"], [None, " b"]]
     rows = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "k int, l array<string>").coalesce(1).select("k", X.words_of_lines("l").alias("w")).orderBy("k").collect()
     assert [r.w and [tuple(w) for w in r.w] for r in rows] == [[(0, 0, "one", 0), (0, 1, "two", 5), (2, 0, "é", 0), (2, 1, "x", 2)], [], None, [(0, 0, "a", 0)], [(1, 0, "b", 1)]]
+
+
+def test_lines_of_words_that_stand_apart(spark):
+    """Words of a line with a wide gap before each are joined at once; blanks are missing at the same places as for words with narrow gaps, which are looked at one by one."""
+    rng = random.Random(4)
+    words = ["a", "word", "(", ")", ".", ",b", "c(", "é", "漢", "字", "「", "»", "”", "x«y", "[", "]"]
+    lines = [[rng.choice(words) for _ in range(rng.choice([1, 2, 3, 12]))] for _ in range(120)]
+    bound = lambda a, b: a[-1] in L.NO_BLANK_AFTER or b[0] in L.NO_BLANK_BEFORE or bool(re.match(f"[{L.CJK}]{{2}}$", a[-1] + b[0]))
+    want = {k: own[0] + "".join(b if bound(a, b) else " " + b for a, b in zip(own[:-1], own[1:], strict=True)) for k, own in enumerate(lines)}
+    for gap in (50.0, 3.0):
+        at = lambda own, k, gap=gap: sum((len(w) + gap for w in own[:k]), 0.0)
+        pages = spark.createDataFrame([("d", k, [(i, w, "ltr", at(own, i), 5.0, float(len(w)), 9.0) for i, w in enumerate(own)]) for k, own in enumerate(lines)], f"doc_id string, page int, items array<{ITEM}>")
+        assert {r.page: r.text for r in L.layout_lines(pages).collect()} == want
