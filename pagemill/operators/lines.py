@@ -369,14 +369,16 @@ def _gathered(items: DataFrame) -> DataFrame:
 
 def _listed(pages: DataFrame) -> DataFrame:
     """What _gathered gives, from pages that hold their items; null is no items."""
-    one = lambda x: F.struct((-x["y"].cast("double")).alias("down"), x["x"].cast("double").alias("x"), x["idx"].alias("idx"), x["str"].alias("str"), x["dir"].alias("dir"), _number(x["width"]).alias("width"), _number(x["height"]).alias("height"))
-    walk = F.sort_array(F.transform(F.filter("items", lambda x: _shown(lambda c: x[c])), one))
-    return pages.select(*PAGE, _made(walk, "walk")).select(*PAGE, "walk", F.filter(F.col("walk")["height"], lambda h: h > 0).alias("high"))
+    double = lambda name: F.col("items")[name].cast("array<double>")
+    shown = pages.select(*PAGE, _made(F.filter("items", lambda x: _shown(lambda c: x[c])), "items"))
+    lists = shown.select(*PAGE, F.transform(double("y"), lambda y: -y).alias("down"), double("x").alias("x"), F.col("items.idx"), F.col("items.str"), F.col("items.dir"), F.transform(double("width"), _number).alias("width"), F.filter(F.transform(double("height"), _number), lambda h: h > 0).alias("high"))
+    # lists are zipped, and not items made one by one, as that is compiled
+    return lists.select(*PAGE, "high", _made(F.sort_array(F.arrays_zip("down", "x", "idx", "str", "dir", "width")), "walk"))
 
 
 def _made(value: Column, name: str) -> Column:
-    """As a generator, so that a list is made once, and neither for each use nor for a condition as well; empty ones are left out."""
-    return F.explode(F.filter(F.array(value), lambda x: F.size(x) > 0)).alias(name)
+    """As a generator, so that a list is made once, and not for each use."""
+    return F.explode(F.array(value)).alias(name)
 
 
 def layout_lines(items: DataFrame) -> DataFrame:
@@ -393,8 +395,8 @@ def layout_lines(items: DataFrame) -> DataFrame:
     lines_of = F.arrow_udf(_walked, "struct<lines:array<int>,first:array<int>,size:array<int>>")
     walked = pages.select(*PAGE, "walk", lines_of(F.col("walk")["down"], _held(F.coalesce(median, F.lit(0.0)))).alias("at"))
     edges = lambda x: F.concat(F.left(x, F.lit(1)), F.right(x, F.lit(1)))
-    one = lambda x, line: F.struct(line.alias("line"), x["x"].alias("x"), x["idx"].alias("idx"), x["str"].alias("str"), x["width"].alias("width"), x["dir"].alias("dir"))
-    by_line = walked.select(*PAGE, "at.first", "at.size", F.sort_array(F.zip_with("walk", "at.lines", one)).alias("walk"))
+    lists = walked.select(*PAGE, "at.first", "at.size", F.col("at.lines").alias("line"), "walk.x", "walk.idx", "walk.str", "walk.width", "walk.dir")
+    by_line = lists.select(*PAGE, "first", "size", _made(F.sort_array(F.arrays_zip("line", "x", "idx", "str", "width", "dir")), "walk"))
     lines = by_line.select(*PAGE, F.posexplode(F.zip_with("first", "size", lambda a, n: F.slice("walk", a + 1, n))).alias("line_no", "own"))
     # what no item of a line has is found once a line, and not for each item and neighbour
     lines = lines.withColumn("whole", F.array_join("own.str", "")).withColumn("foreign", X.wide("whole"))
