@@ -54,7 +54,9 @@ def trim(c: Column | str) -> Column:
     """Without white space at both ends. Letters beyond ASCII matter at the ends only, so others take Spark's own trim."""
 
     def ends(x: Column) -> Column:
-        plain = F.btrim(x, F.lit(ASCII_WS))
+        # Spark's trim looks at the whole text, so it is kept for those that have something to trim
+        some = F.lit(ASCII_WS).contains(F.substring(x, 1, 1)) | F.lit(ASCII_WS).contains(F.substring(x, -1, 1))
+        plain = F.when(some, F.btrim(x, F.lit(ASCII_WS))).otherwise(x)
         blank = F.concat(F.left(plain, F.lit(1)), F.right(plain, F.lit(1))).rlike(f"[{WS[1:-1]}\u0085]")  # $ stands before a last \u0085 as well
         return F.when(wide(x) & blank, F.regexp_replace(plain, f"^{WS}+|(?<!{WS}){WS}+$", "")).otherwise(plain)
 

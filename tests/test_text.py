@@ -285,3 +285,9 @@ def test_lines_of_words_that_stand_apart(spark):
         at = lambda own, k, gap=gap: sum((len(w) + gap for w in own[:k]), 0.0)
         pages = spark.createDataFrame([("d", k, [(i, w, "ltr", at(own, i), 5.0, float(len(w)), 9.0) for i, w in enumerate(own)]) for k, own in enumerate(lines)], f"doc_id string, page int, items array<{ITEM}>")
         assert {r.page: r.text for r in L.layout_lines(pages).collect()} == want
+
+
+def test_trim_at_both_ends(spark):
+    texts = [None, "", " ", "a", " a", "a ", "\ta b\n", "é", " é", "é\u0085", "　é　", "\x0b\x0c\r x", "x\n\n", "﻿x"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.trim("t").alias("got")).collect()
+    assert [r.got for r in rows] == [None if t is None else re.sub(f"^{X.WS}+|{X.WS}+\\Z", "", t) for t in texts]
