@@ -371,7 +371,12 @@ def _listed(pages: DataFrame) -> DataFrame:
     """What _gathered gives, from pages that hold their items; null is no items."""
     double = lambda name: F.col("items")[name].cast("array<double>")
     shown = pages.select(*PAGE, _made(F.filter("items", lambda x: _shown(lambda c: x[c])), "items"))
-    lists = shown.select(*PAGE, F.transform(double("y"), lambda y: -y).alias("down"), double("x").alias("x"), F.col("items.idx"), F.col("items.str"), F.col("items.dir"), F.transform(double("width"), _number).alias("width"), F.filter(F.transform(double("height"), _number), lambda h: h > 0).alias("high"))
+    # lists of widths without nulls or signs, and of one height, are as they should be
+    plain = F.coalesce(~F.array_contains(double("width"), -1.0) & (F.array_min(double("width")) >= 0), F.lit(False))
+    width = F.when(plain, double("width")).otherwise(F.transform(double("width"), _number))
+    one, most = F.array_min(double("height")), F.array_max(double("height"))
+    high = F.when((one > 0) & (one == most), F.array(one)).otherwise(F.filter(F.transform(double("height"), _number), lambda h: h > 0))
+    lists = shown.select(*PAGE, F.transform(double("y"), lambda y: -y).alias("down"), double("x").alias("x"), F.col("items.idx"), F.col("items.str"), F.col("items.dir"), width.alias("width"), high.alias("high"))
     # lists are zipped, and not items made one by one, as that is compiled
     return lists.select(*PAGE, "high", _made(F.sort_array(F.arrays_zip("down", "x", "idx", "str", "dir", "width")), "walk"))
 
